@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import crc_mod, read
 
 VOCABULARY = "byte_bpe_50k.json"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,13 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score_quality
+
+    scored = score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -38,6 +45,12 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .rules import apply_rules
+
+    return apply_rules(read(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontamination import find_contamination
 
@@ -48,11 +61,22 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import label_languages, train
+
+    documents = read(spark, sf_dir, "documents")
+    model = train(documents.where(crc_mod("doc_id", 4) != 2))
+    return label_languages(documents, model).select("doc_id", "held_out", "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_line_dedup": op5_line_dedup,
+    "op6_quality_rules": op6_quality_rules,
     "op9_decontamination": op9_decontamination,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -65,6 +89,26 @@ ORACLE_SQL: dict[str, str] = {
         select doc_id, count(*) n_lines, count(*) filter (where gone) n_dropped,
           sha256(coalesce(string_agg(line, chr(10) order by i) filter (where not gone), '')) kept_sha256
         from m group by doc_id""",
+    # Lines in more than 20 and in more than 0.5 % of a host's distinct texts go; depleted documents are not kept.
+    "op6_quality_rules": r"""
+        with d as (select doc_id, coalesce(source, '') host, coalesce(text, '') text, text raw,
+            list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') w from documents),
+        g as (select doc_id, i, array_to_string(w[i:i + 4], ' ') g from (select doc_id, w, unnest(range(1, len(w) - 3)) i from d where len(w) >= 5)),
+        r as (select doc_id, count(distinct p) n from (select doc_id, unnest(range(i, i + 5)) p from (select *, count(*) over (partition by doc_id, g) c from g) where c > 1) group by doc_id),
+        l as (select doc_id, host, raw, unnest(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13)))), lambda x: x <> '')) line from d),
+        n as (select *, regexp_replace(lower(line), '[ \t\n\x0B\f\r]+', ' ', 'g') k, len(string_split_regex(line, '[ \t\n\x0B\f\r]+')) n from l),
+        f as (select host, k from n join (select host, count(distinct raw) + max(case when raw is null then 1 else 0 end) a from d group by host) using (host)
+            group by host, k, a having count(distinct raw) > 20 and count(distinct raw) > 0.005 * a),
+        x as (select doc_id, sum(n) n from n join f using (host, k) group by doc_id),
+        m as (select d.doc_id, cast(len(w) as bigint) n_words, cast(length(array_to_string(w, '')) as bigint) word_chars,
+            length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) n_symbols,
+            len(list_filter(string_split(text, chr(10)), lambda x: trim(x, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))) <> '')) - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: trim(x, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))) <> ''))) n_dup_lines,
+            coalesce(r.n, 0) n_repeat_words, len(w) - coalesce(x.n, 0) n_left
+          from d left join r using (doc_id) left join x using (doc_id))
+        select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_left,
+          n_words < 10 or 100 * n_repeat_words > 20 * n_words base_failed,
+          not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and n_left >= 10 and n_left >= 0.3 * n_words kept
+        from m""",
     "op9_decontamination": r"""
         with d as (select doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') w from documents),
         b as (select item_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') w from benchmark where text is not null),
