@@ -42,15 +42,19 @@ def window_hashes(words: Column) -> Column:
     return F.when(F.size(words) >= WINDOW, F.transform(starts, lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(WINDOW))))).otherwise(F.array().cast("array<bigint>"))
 
 
-def repeated_words(hashes: Column) -> Column:
-    """Words inside a window whose hash occurs twice or more in hashes, a column of all windows in order."""
-    placed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    both = _pairs(placed, lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])).otherwise(F.array().cast("array<int>")))
-    starts = F.sort_array(F.array_distinct(F.flatten(both)))
-    # A window adds the words up to the next one's start, five at most.
-    ends = F.array_append(starts, F.lit(2**31 - 1 - WINDOW))
-    covered = F.aggregate(_pairs(ends, lambda a, b: F.least(F.lit(WINDOW), b - a)), F.lit(0), lambda x, y: x + y)
-    return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), covered).otherwise(F.lit(0)).cast("long")
+def with_repeated_words(df: DataFrame, hashes: str, name: str) -> DataFrame:
+    """df with name: the words inside a window whose hash is twice or more in the array column hashes (all windows, in order).
+
+    Each step is a column of its own, as a step that is used twice must not be worked out twice.
+    """
+    none = F.array().cast("array<struct<h:bigint,i:int>>")
+    df = df.withColumn("_placed", F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).otherwise(none))
+    some = lambda values, out: F.when(F.size(values) > 1, out)
+    both = _pairs(F.col("_placed"), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])).otherwise(F.array().cast("array<int>")))
+    df = df.withColumn("_starts", some(F.col("_placed"), F.sort_array(F.array_distinct(F.flatten(both)))))
+    # A window adds the words up to the next one's start, five at most; the last adds five.
+    covered = F.aggregate(_pairs(F.col("_starts"), lambda a, b: F.least(F.lit(WINDOW), b - a)), F.lit(WINDOW), lambda x, y: x + y)
+    return df.withColumn(name, F.coalesce(some(F.col("_starts"), covered), F.lit(0)).cast("long")).drop("_placed", "_starts")
 
 
 def normalised_lines(text: Column) -> Column:
@@ -65,12 +69,11 @@ def base_measures(df: DataFrame, text: str = "text") -> DataFrame:
     column = F.coalesce(F.col(text), F.lit(""))
     out = df.withColumn("_words", split_words(column)).withColumn("_hashes", window_hashes(F.col("_words")))
     with_word = F.filter(F.split(column, "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACES))) > 0)
-    return out.withColumns({
+    return with_repeated_words(out, "_hashes", "n_repeat_words").withColumns({
         "n_words": F.size("_words").cast("long"),
         "word_chars": F.length(F.array_join("_words", "")).cast("long"),
         "n_symbols": (F.length(column) - F.length(F.regexp_replace(column, r"[#*$%&|<>]", ""))).cast("long"),
         "_lines": with_word,
-        "n_repeat_words": repeated_words(F.col("_hashes")),
     }).withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")).drop("_words", "_hashes", "_lines")
 
 
