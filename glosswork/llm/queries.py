@@ -38,6 +38,13 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import remove_repeats
+
+    kept = remove_repeats(read(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import drop_lines
 
@@ -73,6 +80,7 @@ QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_line_dedup": op5_line_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op9_decontamination": op9_decontamination,
@@ -80,6 +88,14 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    # Words inside a window of 35 that starts at two places or more go.
+    "op4_substring_dedup": r"""
+        with d as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') w from documents),
+        g as (select doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) g from (select doc_id, w, unnest(range(1, len(w) - 33)) i from d where len(w) >= 35)),
+        r as (select distinct doc_id, unnest(range(i, i + 35)) p from (select doc_id, i, count(*) over (partition by g) c from g) where c > 1),
+        p as (select doc_id, unnest(w) word, generate_subscripts(w, 1) p from d),
+        k as (select p.doc_id, string_agg(p.word, ' ' order by p.p) filter (where r.p is null) kept, count(r.p) n from p left join r on p.doc_id = r.doc_id and p.p = r.p group by p.doc_id)
+        select d.doc_id, cast(len(w) as bigint) n_words, coalesce(k.n, 0) n_removed, sha256(coalesce(k.kept, '')) kept_sha256 from d left join k using (doc_id)""",
     # Lines of at least 20 code points in three documents or more stay in the largest of these alone.
     "op5_line_dedup": r"""
         with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) i from documents),
