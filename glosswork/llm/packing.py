@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import record, slices
-from .tokens import UnitEncoder
+from .tokens import Encoder
 
 CAPACITY, CLOSING_ID, SHARD_DOCS = 2048, 0, 65_536
 _CUT = pa.schema([("doc_id", pa.int64()), ("n_ids", pa.int64()), ("crcs", pa.list_(pa.int64()))])
@@ -87,11 +87,11 @@ def _cut(path: str, capacity: int):
     closing = np.array([CLOSING_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = UnitEncoder(path)
+        encoder = Encoder(path)
         for b in slices(batches, 1):
             sizes, crcs = [], []
             for text in b.column(1).to_pylist():
-                ids = encoder.ids(text or "") + closing
+                ids = encoder.ids(text or "").astype("<u4").tobytes() + closing
                 n = len(ids) // 4
                 first = 4 * (n % capacity or capacity)
                 ends = range(first, len(ids) + 1, 4 * capacity)

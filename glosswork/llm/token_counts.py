@@ -15,7 +15,6 @@ null or repeated ids give a row each; other columns are left out.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,11 +22,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, encoded, record, slices
-from .tokens import UnitEncoder, load
+from .tokens import STABLE, Encoder, load
 
 #: Characters at a chunk's end in which a special string or a look-ahead may still be open.
 GUARD = 64
-_STABLE = re.compile(r"[^\s\x1c-\x1f\x85](?=[ \t\n\r])")
 
 _COUNTS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("n_chunks", pa.int64())])
 _COUNTS_DDL = "doc_id long, n_bytes long, n_tokens long, n_chunks long"
@@ -39,7 +37,7 @@ _MARKS_DDL = "_row long, doc_id long, n_bytes long, start long, last boolean, to
 
 def _whole(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = UnitEncoder(path)
+        encoder = Encoder(path)
         for b in slices(batches, 1):
             texts = [x or "" for x in b.column(1).to_pylist()]
             yield record(_COUNTS, b.column(0), [len(x) for x in encoded(b, 1)], [encoder.count(x) for x in texts], [1] * len(texts))
@@ -66,8 +64,8 @@ def _marks(path: str, overlap: int):
             out: list[list] = [[] for _ in range(5)]
             for x, code in zip(rows, tokenizer.encode_batch([r["chunk"] for r in rows], add_special_tokens=False), strict=True):
                 chunk, start = x["chunk"], x["start"]
-                stable = {m.end() for m in _STABLE.finditer(chunk, 0, overlap + 1)} if start else set()
-                stable |= set() if x["last"] else {m.end() for m in _STABLE.finditer(chunk, max(0, len(chunk) - overlap - 1))}
+                stable = {m.end() for m in STABLE.finditer(chunk, 0, overlap + 1)} if start else set()
+                stable |= set() if x["last"] else {m.end() for m in STABLE.finditer(chunk, max(0, len(chunk) - overlap - 1))}
                 ends = [(e, i + 1) for i, (_, e) in enumerate(code.offsets) if e in stable]
                 sides = ([p for p in ends if start and p[0] <= overlap], [] if x["last"] else [p for p in ends if len(chunk) - overlap <= p[0] <= len(chunk) - GUARD])
                 # A character of several tokens has its end at each: the last count is that of the boundary.

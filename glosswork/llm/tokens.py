@@ -1,27 +1,27 @@
-"""Token ids of a public tokenizer, word by word through a bounded cache.
+"""Token ids of a public tokenizer file, as the tokenizers library gives them.
 
-Byte-level BPE cuts a text by a pattern in which nothing that begins with a
-non-space can go on over a following white space. A *unit*, white space and the
-non-space characters after it, is therefore encoded alike alone and within its
-text, special strings included (they hold no white space). Corpora repeat their
-units, so each worker encodes a unit once and keeps its ids.
+Byte-level BPE whose merges come in the order of their ids is the same function
+in the tiktoken library, which is three times as fast: its ranks are read from
+the same file, and the property is checked when the file is loaded. Any other
+file goes through the tokenizers library itself.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
 import numpy as np
 
-#: Units kept by a worker at most; beyond that, those of the running batch only.
-CACHE_UNITS = 300_000
 #: Longer texts are taken in segments of about so many characters.
 SEGMENT = 1 << 20
-# Units part before blank, tab or line ends alone: rarer white space is not the same in all Unicode tables.
-_UNIT = re.compile(r"\s*\S+(?:[^\S \t\n\r]\s*\S*)*|\s+")
-_STABLE = re.compile(r"[^\s\x1c-\x1f\x85](?=[ \t\n\r])")
+#: Where the pattern parts in every context: white space after anything but white space (rarer kinds are not the same in all Unicode tables).
+STABLE = re.compile(r"[^\s\x1c-\x1f\x85](?=[ \t\n\r])")
+#: The pattern of byte-level BPE (a fixed value of the file format's pre-tokenizer).
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _loaded: dict[str, object] = {}
+_fast: dict[str, object] = {}
 
 
 def load(path: str):
@@ -33,11 +33,42 @@ def load(path: str):
     return _loaded[path]
 
 
+def _byte_letters() -> dict[str, int]:
+    """The printable letter that byte-level BPE writes for each byte: itself, or the next one from 256 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+def load_fast(path: str):
+    """A tiktoken encoding equal to the file's tokenizer, or None where that isn't sure."""
+    if path not in _fast:
+        _fast[path] = _convert(path)
+    return _fast[path]
+
+
+def _convert(path: str):
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, before = spec["model"], spec["pre_tokenizer"] or {}
+    plain = all(not t[k] for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    if model["type"] != "BPE" or model.get("ignore_merges") or model.get("dropout") or spec["normalizer"] or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex") or not plain:
+        return None
+    import tiktoken
+
+    letters, special = _byte_letters(), {t["content"]: t["id"] for t in spec["added_tokens"]}
+    ranks = {bytes(letters[c] for c in token): n for token, n in model["vocab"].items() if token not in special}
+    merged = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    if merged != sorted(set(merged)) or len(ranks) != len(merged) + 256:
+        return None
+    return tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+
 def segments(text: str, size: int = SEGMENT) -> Iterator[str]:
     """The text in parts that end where every encoding of it has a boundary."""
     start = 0
     while len(text) - start > size:
-        found = _STABLE.search(text, start + size)
+        found = STABLE.search(text, start + size)
         if not found:
             break
         yield text[start : found.end()]
@@ -45,31 +76,20 @@ def segments(text: str, size: int = SEGMENT) -> Iterator[str]:
     yield text[start:]
 
 
-class UnitEncoder:
-    """ids(text): little-endian unsigned 32-bit ids, as tokenizers gives them for the whole text."""
-
-    def __init__(self, path: str, cache_units: int = CACHE_UNITS):
-        self.tokenizer, self.limit, self.cache = load(path), cache_units, {}
-
-    def _learn(self, units: set[str]) -> None:
-        missing = list(units.difference(self.cache))
-        if len(self.cache) + len(missing) > self.limit:
-            self.cache = {u: self.cache[u] for u in units if u in self.cache}
-        for at in range(0, len(missing), 4096):
-            part = missing[at : at + 4096]
-            for unit, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.cache[unit] = np.array(found.ids, dtype="<u4").tobytes()
-
-    def ids(self, text: str) -> bytes:
-        out = []
-        for part in segments(text):
-            units = _UNIT.findall(part)
-            try:
-                out.append(b"".join(map(self.cache.__getitem__, units)))
-            except KeyError:
-                self._learn(set(units))
-                out.append(b"".join(map(self.cache.__getitem__, units)))
-        return b"".join(out)
+class Encoder:
+    """ids(text): as tokenizers gives them for the whole text, without added special tokens."""
+
+    def __init__(self, path: str):
+        self.fast = load_fast(path)
+        self.slow = None if self.fast else load(path)
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.concatenate([self._part(x) for x in segments(text)])
 
     def count(self, text: str) -> int:
-        return sum(len(self.ids(part)) for part in segments(text)) // 4
+        return sum(len(self._part(x)) for x in segments(text))
+
+    def _part(self, text: str) -> np.ndarray:
+        if self.fast:
+            return self.fast.encode_to_numpy(text, allowed_special="all")
+        return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)

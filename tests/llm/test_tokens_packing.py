@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 
 from glosswork.llm.packing import best_fit, pack_documents
 from glosswork.llm.token_counts import count_tokens
-from glosswork.llm.tokens import UnitEncoder
+from glosswork.llm.tokens import Encoder
 
 PATH = str(public_tokenizers.path("byte_bpe_50k.json"))
 ODD = list(" \n\t\r  abAB12.,'’\x85\x1c\x0béß漢😀́_-|") + ["<|endoftext|>", "'s", " \n", "'ll"]
@@ -29,10 +29,13 @@ def odd_texts(n, longest, seed=3):
     return ["".join(rng.choice(ODD) for _ in range(rng.randint(0, longest))) for _ in range(n)]
 
 
-def test_units_equal_whole_texts(library):
-    encoder = UnitEncoder(PATH, cache_units=500)
-    for text in odd_texts(1500, 60):
-        assert np.frombuffer(encoder.ids(text), "<u4").tolist() == ids(library, text), text
+def test_fast_ids_equal_the_library(library):
+    encoder = Encoder(PATH)
+    assert encoder.fast
+    for text in [*odd_texts(3000, 60), "a" * 20_000, "!" * 5000, " " * 5000, "word " * 300_000, "é" * 4000]:
+        assert encoder.ids(text).tolist() == ids(library, text), text[:60]
+    other = Encoder(str(public_tokenizers.path("word_bpe_49k.json")))
+    assert other.fast is None and other.count("Some words") == 2
 
 
 def test_counts_equal_the_library(spark, library):
