@@ -108,7 +108,7 @@ def least_overlap(na: Column, nb: Column, percent: int) -> Column:
 
 def _passes(na: Column, ia: Column, nb: Column, ib: Column, percent: int) -> Column:
     """Length filter, and positional filter for the first shingle that both prefixes hold."""
-    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (1 + F.least(na - ia, nb - ib) - 1 >= least_overlap(na, nb, percent))
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (F.least(na - ia, nb - ib) >= least_overlap(na, nb, percent))
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
