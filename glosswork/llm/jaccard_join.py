@@ -10,9 +10,10 @@ shingle's places and the suffix filter on the sets' counts by hash range drop
 most other pairs, and a pair that is left is verified once, on the whole sets.
 
 Large groups of near copies are not paired out. Of each prefix shingle and
-length band, the least class is verified against the others first; what these
-links join is one component. Then only pairs of different components that
-share a prefix shingle are verified, so no link between components is lost.
+length band, one class is verified against the others, another one in each of a
+few rounds; what these links join is one component. Then only pairs of different
+components that share a prefix shingle are verified, so no link between
+components is lost.
 
 Defined results: null, empty and wordless texts have an empty set and are
 linked with nothing; repeated rows are of one class; rows that share an id but
@@ -38,6 +39,8 @@ from .sketches import counters, sketch
 ORDER_WIDTH = 1 << 23
 #: Ranges of the hash by which the suffix filter counts a set.
 RANGES = 16
+#: Rounds of leaders before the pairs that are left are verified.
+ROUNDS = 3
 #: Classes that a task remembers having sent.
 SENT = 200_000
 _MEMBERS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sid", pa.binary()), ("parts", pa.list_(pa.int32()))])
@@ -153,6 +156,18 @@ def components(edges: DataFrame) -> DataFrame:
     return nodes.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("least")).distinct())
 
 
+def _with_stars(links: DataFrame, joined: DataFrame | None) -> DataFrame:
+    """The links and the components known before."""
+    return links if joined is None else links.unionByName(joined.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")))
+
+
+def _placed(shared: DataFrame, joined: DataFrame | None) -> DataFrame:
+    """shared with each class's component (itself, where none is known)."""
+    if joined is None:
+        return shared.withColumn("least", F.col("sid"))
+    return checkpointed(shared.join(joined.withColumnRenamed("node", "sid"), "sid", "left").withColumn("least", F.coalesce("least", "sid")))
+
+
 def link_documents(df: DataFrame, *, text: str = "text", size: int = 5, percent: int = 80, width: int = ORDER_WIDTH) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id that links reach) for each row of df (doc_id, text); percent: the least similarity."""
     spark = df.sparkSession
@@ -170,23 +185,29 @@ def link_documents(df: DataFrame, *, text: str = "text", size: int = 5, percent:
     several = prefixes.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
     shared = checkpointed(prefixes.join(several, "token", "left_semi").withColumn("band", F.floor(F.log(F.col("n").cast("double")) * 20)))
 
-    # The least class of each shingle and length band against the others.
-    lead = shared.groupBy("token", "band").agg(F.min(F.struct("sid", "n", "at")).alias("lead"))
-    near = shared.join(lead, ["token", "band"]).where(F.col("sid") != F.col("lead.sid"))
-    first = near.where(_passes(F.col("lead.n"), F.col("lead.at"), F.col("n"), F.col("at"), percent)).select(F.col("lead.sid").alias("a"), F.col("sid").alias("b")).distinct()
-    first = checkpointed(first)
-    joined = components(_verified(first, classes, rows, size, percent))
+    # Rounds of leaders: in each, a class meets one class of each of its shingles and length bands.
+    joined = tested = None
+    for number in range(ROUNDS):
+        placed = _placed(shared, joined)
+        lead = placed.groupBy("token", "band").agg(F.min(F.struct(F.xxhash64("sid", F.lit(number)).alias("h"), "sid", "n", "at", "least")).alias("lead"))
+        near = placed.join(lead, ["token", "band"]).where(F.col("least") != F.col("lead.least"))
+        near = near.where(_passes(F.col("lead.n"), F.col("lead.at"), F.col("n"), F.col("at"), percent))
+        pairs = near.select(F.least("sid", "lead.sid").alias("a"), F.greatest("sid", "lead.sid").alias("b")).distinct()
+        pairs = checkpointed(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        links = checkpointed(_verified(pairs, classes, rows, size, percent))
+        if links.isEmpty() and joined is not None:
+            break
+        joined = components(_with_stars(links, joined))
 
     # Pairs of different components, all of them that share a prefix shingle.
-    placed = shared.join(joined.withColumnRenamed("node", "sid"), "sid", "left").withColumn("least", F.coalesce("least", "sid"))
-    placed = checkpointed(placed.select("token", "sid", "n", "at", "least"))
+    placed = _placed(shared, joined)
     open_ = placed.groupBy("token").agg(F.min("least").alias("x"), F.max("least").alias("y")).where("x <> y").select("token")
     left = placed.join(open_, "token", "left_semi")
     right = left.select("token", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"), F.col("least").alias("lb"))
     apart = left.join(right, "token").where((F.col("sid") < F.col("b")) & (F.col("least") != F.col("lb")) & _passes(F.col("n"), F.col("at"), F.col("nb"), F.col("ib"), percent))
-    second = apart.select(F.col("sid").alias("a"), "b").distinct().join(first, ["a", "b"], "left_anti")
-    links = joined.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).unionByName(_verified(second, classes, rows, size, percent))
-    reached = components(links).withColumnRenamed("node", "sid")
+    rest = apart.select(F.col("sid").alias("a"), "b").distinct().join(tested, ["a", "b"], "left_anti")
+    reached = components(_with_stars(_verified(rest, classes, rows, size, percent), joined)).withColumnRenamed("node", "sid")
 
     ids = reached.join(classes.select("sid", "doc_id"), "sid")
     smallest = ids.groupBy("least").agg(F.min("doc_id").alias("_smallest"))
