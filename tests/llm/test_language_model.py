@@ -68,5 +68,34 @@ def test_gradients_and_learning():
     assert -lm.class_logs(trainer.w, pairs, inputs, targets).sum() / (targets != lm.PAD).sum() < before / 3
 
 
+def test_probabilities_add_up_to_one():
+    rng, size = np.random.default_rng(3), 300
+    classes, inner = lm.share_classes(rng.integers(0, 50, size))
+    w = lm.initial() | {"out": rng.standard_normal((lm.WIDTH, lm.CLASSES)).astype(np.float32)}
+    texts = [rng.integers(0, 12, n) for n in (0, 1, 5, 200)]
+    lines = [[size, size, *t, size] for t in texts]
+    twos, threes = Counter(x for s in lines for x in zip(s[1:], s[2:])), Counter(x for s in lines for x in zip(s, s[1:], s[2:]))
+    grams = lambda c: lm.Grams(np.array([sum(v * (size + 1) ** (len(k) - 1 - i) for i, v in enumerate(k)) for k in c], np.int64), np.array(list(c.values())), size + 1)
+    some = {k: c for k, c in threes.items() if c > 1}  # what isn't kept goes to the back-off
+    model = lm.Model(w, lm.pair_logs(rng.integers(0, 9, lm.CLASSES**2)), classes, inner, np.append(np.bincount(np.concatenate(texts), minlength=size), len(texts)), grams(twos), grams(some))
+    p = np.append(rng.random(size), 0.1)
+    p /= p.sum()
+    for first, second in ((size, size), (size, 3), (3, 4), (290, 291)):
+        every = np.arange(size + 1)
+        assert abs(model.sharpened(p, np.full(size + 1, first), np.full(size + 1, second), every).sum() - 1) < 1e-9
+    # After any context, the attention's own probabilities add up to one as well; a text's is the same in groups of any size.
+    assert abs(model.log10(texts[3], 1) - model.log10(texts[3])) < 1e-6
+
+
+def test_grams_are_counted_within_texts(spark):
+    df = spark.createDataFrame([("a b",), ("b",), ("",), ("a b",)], "text string")
+    ids = {"a": 1, "b": 2}
+    blobs = spark.createDataFrame([(zlib.compress(np.array([ids[w] for w in r["text"].split()], "<u4").tobytes()),) for r in df.collect()], "ids binary")
+    twos = lm._kept_grams(blobs, 9, 10)
+    assert dict(zip(twos.keys.tolist(), twos.counts.tolist())) == {12: 2, 29: 3, 91: 2, 92: 1}
+    threes = lm._kept_grams(blobs, 9, 10, spark.sparkContext.broadcast(twos))
+    assert dict(zip(threes.keys.tolist(), threes.counts.tolist())) == {129: 2, 912: 2, 929: 1, 991: 2, 992: 1}
+
+
 def test_empty_table(spark):
     assert lm.score_texts(spark.createDataFrame([], "doc_id long, text string"), tokenizer_path()).count() == 0

@@ -33,3 +33,10 @@ def test_quality_accuracy_on_held_out_documents(spark):
     assert all(0 <= r["score"] <= 1 for r in rows)
     right = sum(r["predicted"] == quality[r["doc_id"]] for r in rows)
     assert len(rows) > 50 and right >= 0.85 * len(rows), (right, len(rows))
+
+
+def test_language_model_beats_word_counts_on_held_out_documents(spark):
+    rows = [r for r in QUERIES["op7_lm_scoring"](spark, "/root/testdata/sf0.01").collect() if r["held_out"]]
+    assert len(rows) > 50
+    score, base = (sum(r[name] for r in rows) for name in ("score", "base_score"))
+    assert score > base, (score, base)
