@@ -12,12 +12,14 @@ Texts are scored in windows that overlap, so that each token is scored once,
 with at least ``CONTEXT`` tokens before it (or all there are), in batches of
 masked attention.
 
-Counts of words, subwords and class pairs cover all training texts and are
-summed by Spark; their number is bounded by the vocabulary and the classes, but
-for the words, which stay distributed. Pairs and triples of at least one in
-``KEPT`` tokens are broadcast, at most so many of each; what the others hold goes
-to what they back off to, so that probabilities add up to one. A triple is
-counted only where both its pairs are kept, as no other can be frequent enough.
+Counts of words, subwords, pairs and triples cover all training texts and are
+summed by Spark. The number of subwords and class pairs is bounded by the
+vocabulary and the classes; words, pairs and triples stay distributed, and none
+is left out. Texts lie in blocks of about ``BLOCK`` subwords; a block sends each
+n-gram that it holds, once, with its count there to the n-gram's part, which adds
+up the blocks' counts and returns the sums to each block that asked. So a part
+gets at most one row of an n-gram from a block, however frequent it is, and the
+number of parts grows with the texts.
 The attention's weights are trained in
 rounds: each task trains on its share of the windows from the same start, and
 the weights are averaged by tokens. A round takes one window in ``every`` of
@@ -41,6 +43,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,15 +56,20 @@ CLASSES = OWN + SHARED + 1  # and the end
 END, PAD = CLASSES - 1, CLASSES
 #: Words of at least one in so many tokens are broadcast: no more than so many.
 HOT = 200_000
-#: Pairs and triples of subwords of at least one in so many tokens are broadcast: no more than so many of each.
+#: Pairs and triples of at least one in so many tokens are what ``_kept_grams`` collects; scoring takes them all.
 KEPT = 2_000_000
+#: Subwords in a block of texts, but for a text that alone has more; n-grams of all blocks in a part, on average no more.
+BLOCK, PART_GRAMS = 500_000, 4_000_000
 #: Counts that a pair's and a triple's back-off is worth, and the attention's share of the mixture.
 PAIR_BACK, TRIPLE_BACK, ATTENTION_SHARE = 4.0, 5.0, 0.2
 #: Subwords in whose n-grams a task counts at a time.
 COUNTED = 1_000_000
 _LONG = 24
 _SHAPES = {"q": (CLASSES + 1, WIDTH), "k": (CLASSES + 1, WIDTH), "v": (CLASSES + 1, WIDTH), "near": (STRIDE + CONTEXT,), "out": (WIDTH, CLASSES)}
-_TOKENS = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
+_TOKENS = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("n_ids", pa.int64()), ("block", pa.int64())])
+_ASKED = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary())])
+_FOUND = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("counts", pa.binary())])
+_SCORED = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("score", pa.float64())])
 _OFFSETS = CONTEXT + np.arange(STRIDE)[:, None] - np.arange(STRIDE + CONTEXT)[None, :]
 
 
@@ -70,16 +78,22 @@ def word_key(word: bytes) -> bytes:
     return word if len(word) <= _LONG else b"\0" + xxhash.xxh3_128_digest(word)
 
 
-def _tokenise(path: str):
+def _tokenise(path: str, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder, number, held = Encoder(path), TaskContext.get().partitionId() << 32, 0
         for b in slices(batches, 3):
-            ids, counts = [], []
+            ids, counts, sizes, blocks = [], [], [], []
             for x in encoded(b, 3):
                 words = x.lower().split()
                 counts.append(len(words) + 1)
-                ids.append(zlib.compress(encoder.ids(b" ".join(words).decode()).astype("<u4").tobytes(), 1))
-            yield record(_TOKENS, b.column(0), b.column(1), b.column(2), counts, ids)
+                found = encoder.ids(b" ".join(words).decode())
+                ids.append(zlib.compress(found.astype("<u4").tobytes(), 1))
+                sizes.append(len(found))
+                if held and held + len(found) + 1 > block:
+                    number, held = number + 1, 0
+                held += len(found) + 1
+                blocks.append(number)
+            yield record(_TOKENS, b.column(0), b.column(1), b.column(2), counts, ids, sizes, blocks)
 
     return run
 
@@ -189,6 +203,72 @@ def _kept_grams(ids: DataFrame, size: int, total: int, pairs=None) -> Grams:
     return Grams(found["at"].to_numpy(np.int64), found["c"].to_numpy(np.int64), size + 1)
 
 
+def block_grams(texts: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of texts, ascending, and which of them is at each place: first the pairs, then the triples.
+
+    A place is a subword or the end of a text; triples are numbered beyond all pairs.
+    """
+    base, ends = size + 1, np.array([size])
+    s = np.concatenate([x for t in texts for x in (ends, ends, t, ends)])
+    real = np.ones(len(s), bool)
+    starts = np.cumsum([0, *(len(t) + 3 for t in texts[:-1])])
+    real[starts] = real[starts + 1] = False  # nothing spans two texts
+    pairs = s[:-1] * base + s[1:]
+    triples = (pairs[:-1] * base + s[2:] + base * base)[real[2:]]
+    return np.unique(np.concatenate([pairs[real[1:]], triples]), return_inverse=True)
+
+
+def part_order(grams: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of n-grams by part, the parts that have any, and where each of these starts."""
+    part = ((grams.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(parts)
+    order = np.argsort(part, kind="stable")
+    return order, *np.unique(part[order].astype(np.int64), return_index=True)
+
+
+def _ask_counts(size: int, parts: int):
+    """For each block (block, held_out, ids) and part, the block's n-grams and how often its training texts have them."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        texts = [_ids(x) for x in rows["ids"].to_pylist()]
+        grams, at = block_grams(texts, size)
+        train = np.repeat(~rows["held_out"].to_numpy(zero_copy_only=False), [len(t) + 1 for t in texts])
+        counts = np.bincount(at, np.tile(train, 2), len(grams)).astype("<u4")
+        order, some, starts = part_order(grams, parts)
+        steps = [zlib.compress(np.diff(x, prepend=0).astype("<i8").tobytes(), 1) for x in np.split(grams[order], starts[1:])]
+        held = [zlib.compress(x.tobytes(), 1) for x in np.split(counts[order], starts[1:])]
+        return pa.Table.from_batches([record(_ASKED, some, np.full(len(some), key[0].as_py()), steps, held)])
+
+    return run
+
+
+def _add_counts(key: tuple, rows: pa.Table) -> pa.Table:
+    """What all blocks together have of each n-gram of a part, for each block in the order in which it asked."""
+    asked = [np.cumsum(np.frombuffer(zlib.decompress(x), "<i8")) for x in rows["grams"].to_pylist()]
+    counts = np.concatenate([np.frombuffer(zlib.decompress(x), "<u4") for x in rows["counts"].to_pylist()])
+    grams, at = np.unique(np.concatenate(asked), return_inverse=True)
+    sums = np.bincount(at, counts, len(grams)).astype("<i8")[at]
+    found = [zlib.compress(x.tobytes(), 1) for x in np.split(sums, np.cumsum([len(x) for x in asked])[:-1])]
+    return pa.Table.from_batches([record(_FOUND, rows["part"].combine_chunks(), rows["block"].combine_chunks(), found)])
+
+
+def gram_counts(tokens: DataFrame, size: int, parts: int) -> DataFrame:
+    """(part, block, counts): the training texts' counts of all n-grams that a block of tokens (block, held_out, ids) has."""
+    asked = tokens.select("block", "held_out", "ids").groupBy("block").applyInArrow(_ask_counts(size, parts), "part long, block long, grams binary, counts binary")
+    return asked.groupBy("part").applyInArrow(_add_counts, "part long, block long, counts binary")
+
+
+def placed_counts(texts: list[np.ndarray], found: pa.Table, size: int, parts: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each text of a block, the counts of the pair and of the triple that end at each place."""
+    grams, at = block_grams(texts, size)
+    counts, (order, some, starts) = np.empty(len(grams)), part_order(grams, parts)
+    blobs = dict(zip(found["part"].to_pylist(), found["counts"].to_pylist(), strict=True))
+    for part, places in zip(some.tolist(), np.split(order, starts[1:]), strict=True):
+        counts[places] = np.frombuffer(zlib.decompress(blobs[part]), "<i8")
+    pairs, triples = np.split(counts[at], 2)
+    cuts = np.cumsum([len(t) + 1 for t in texts])[:-1]
+    return zip(np.split(pairs, cuts), np.split(triples, cuts), strict=True)
+
+
 def _totals(df: DataFrame, size: int) -> np.ndarray:
     """Counts (at, c) summed over all tasks, as an array of the given size."""
     found = df.groupBy("at").agg(F.sum("c").alias("c")).toPandas()
@@ -345,42 +425,51 @@ def train(tokens: DataFrame, classes, pairs: np.ndarray, *, rounds: int = 2, eve
     return weights
 
 
+def mixed(p: np.ndarray, single: np.ndarray, followed: np.ndarray, pair: np.ndarray, before: np.ndarray, before_followed: np.ndarray, triple: np.ndarray) -> np.ndarray:
+    """The attention's p and what a triple backs off to: counts of the subword and the pair before, in all and where what follows is counted, and of the pair and the triple."""
+    of_pair = (pair + (single - followed + PAIR_BACK) * p) / (single + PAIR_BACK)
+    of_triple = (triple + (before - before_followed + TRIPLE_BACK) * of_pair) / (before + TRIPLE_BACK)
+    return ATTENTION_SHARE * p + (1 - ATTENTION_SHARE) * of_triple
+
+
 class Model:
-    """Attention over classes, and the counts of subwords (and of ends, the last), pairs and triples."""
+    """Attention over classes, and the counts of subwords (and of ends, the last); pairs and triples, where texts don't bring theirs."""
 
-    def __init__(self, weights: dict[str, np.ndarray], pairs: np.ndarray, classes: np.ndarray, inner: np.ndarray, singles: np.ndarray, twos: Grams, threes: Grams):
+    def __init__(self, weights: dict[str, np.ndarray], pairs: np.ndarray, classes: np.ndarray, inner: np.ndarray, singles: np.ndarray, twos: Grams | None = None, threes: Grams | None = None):
         self.weights, self.pairs, self.classes, self.inner = weights, pairs, classes, np.append(inner, 0.0)
         self.singles, self.twos, self.threes = singles, twos, threes
 
     def sharpened(self, p: np.ndarray, first: np.ndarray, second: np.ndarray, third: np.ndarray) -> np.ndarray:
         """The probability of third after first and second, where the attention gives it p."""
         base = len(self.singles)
-        n, before = self.singles[second], first * base + second
-        of_pair = (self.twos.of(second * base + third) + (n - self.twos.after(second) + PAIR_BACK) * p) / (n + PAIR_BACK)
+        before = first * base + second
         held = self.threes.after(before)
-        n = np.maximum(self.twos.of(before), held)
-        of_triple = (self.threes.of(before * base + third) + (n - held + TRIPLE_BACK) * of_pair) / (n + TRIPLE_BACK)
-        return ATTENTION_SHARE * p + (1 - ATTENTION_SHARE) * of_triple
+        return mixed(p, self.singles[second], self.twos.after(second), self.twos.of(second * base + third), np.maximum(self.twos.of(before), held), held, self.threes.of(before * base + third))
 
-    def log10(self, ids: np.ndarray, group: int = 128) -> float:
-        """The log10 probability of a text's subwords and its end."""
+    def log10(self, ids: np.ndarray, group: int = 128, counts: tuple[np.ndarray, np.ndarray] | None = None) -> float:
+        """The log10 probability of a text's subwords and its end; counts are those of the pair and the triple that end at each place."""
         inputs, targets = windows(self.classes[ids])
         end = len(self.singles) - 1
         line, total = np.concatenate([[end, end], ids, [end]]), 0.0
         for i in range(0, len(inputs), group):
             part = line[i * STRIDE : (i + group) * STRIDE + 2]
             logs = class_logs(self.weights, self.pairs, inputs[i : i + group], targets[i : i + group]).ravel()[: len(part) - 2]
-            total += float(np.log10(self.sharpened(np.exp(logs + self.inner[part[2:]]), part[:-2], part[1:-1], part[2:])).sum())
+            p = np.exp(logs + self.inner[part[2:]])
+            if counts is None:
+                p = self.sharpened(p, part[:-2], part[1:-1], part[2:])
+            else:  # All are counted, so something follows each time; two ends come before each text.
+                at = slice(i * STRIDE, i * STRIDE + len(p))
+                single, before = self.singles[part[1:-1]], np.append(self.singles[end], counts[0][:-1])[at]
+                p = mixed(p, single, single, counts[0][at], before, before, counts[1][at])
+            total += float(np.log10(p).sum())
         return total
 
 
-def _score(model):
-    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("score", pa.float64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            scores = [model.value.log10(_ids(x)) for x in b.column(4).to_pylist()]
-            yield record(schema, *b.columns[:4], scores)
+def _score(model, size: int, parts: int):
+    def run(rows: pa.Table, found: pa.Table) -> pa.Table:
+        texts = [_ids(x) for x in rows["ids"].to_pylist()]
+        scores = [model.value.log10(t, counts=c) for t, c in zip(texts, placed_counts(texts, found, size, parts), strict=True)]
+        return pa.Table.from_batches([record(_SCORED, *(rows[c].combine_chunks() for c in ("key", "doc_id", "held_out", "n_tokens")), scores)])
 
     return run
 
@@ -429,12 +518,12 @@ def base_scores(rows: DataFrame, train_rows: DataFrame) -> tuple[DataFrame, int]
     return sums.select("key", (F.col("s") / F.col("rows")).alias("base_score"), (F.col("k") / F.col("rows")).cast("long").alias("n_known")), total
 
 
-def score_texts(df: DataFrame, tokenizer: str, *, text: str = "text", folds: int = 10, held_out_fold: int = 0, every: int = 32) -> DataFrame:
+def score_texts(df: DataFrame, tokenizer: str, *, text: str = "text", folds: int = 10, held_out_fold: int = 0, every: int = 32, block: int = BLOCK) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of df (doc_id, text)."""
     spark = df.sparkSession
     rows = df.select(F.xxhash64("doc_id", text).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), (crc_mod("doc_id", folds) == held_out_fold).alias("held_out"), F.col(text).alias("text"))
     base, total = base_scores(rows, rows.where("not held_out"))
-    tokens = checkpointed(rows.mapInArrow(_tokenise(tokenizer), "key long, doc_id long, held_out boolean, n_tokens long, ids binary"))
+    tokens = checkpointed(rows.mapInArrow(_tokenise(tokenizer, block), "key long, doc_id long, held_out boolean, n_tokens long, ids binary, n_ids long, block long"))
     known = tokens.where("not held_out")
     with open(tokenizer, encoding="utf-8") as f:
         spec = json.load(f)
@@ -445,8 +534,9 @@ def score_texts(df: DataFrame, tokenizer: str, *, text: str = "text", folds: int
     pairs = pair_logs(_totals(known.select("ids").mapInArrow(_count_pairs(classes), "at long, c long"), CLASSES * CLASSES))
     weights = train(known, classes, pairs, every=every)
     ends = known.count()
-    twos = _kept_grams(known.select("ids"), size, int(singles.sum()) + ends)
-    threes = _kept_grams(known.select("ids"), size, int(singles.sum()) + ends, spark.sparkContext.broadcast(twos))
-    model = spark.sparkContext.broadcast(Model(weights, pairs, class_of, inner, np.append(singles, ends), twos, threes))
-    scored = tokens.mapInArrow(_score(model), "key long, doc_id long, held_out boolean, n_tokens long, score double")
+    # Each subword and each end of a text closes a pair and a triple.
+    parts = max(1, -(-2 * tokens.agg(F.coalesce(F.sum(F.col("n_ids") + 1), F.lit(0))).first()[0] // PART_GRAMS))
+    model = spark.sparkContext.broadcast(Model(weights, pairs, class_of, inner, np.append(singles, ends)))
+    blocks = tokens.select("key", "doc_id", "held_out", "n_tokens", "ids", "block").groupBy("block")
+    scored = blocks.cogroup(gram_counts(tokens, size, parts).groupBy("block")).applyInArrow(_score(model, size, parts), "key long, doc_id long, held_out boolean, n_tokens long, score double")
     return scored.join(base, "key").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

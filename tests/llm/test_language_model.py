@@ -99,3 +99,29 @@ def test_grams_are_counted_within_texts(spark):
 
 def test_empty_table(spark):
     assert lm.score_texts(spark.createDataFrame([], "doc_id long, text string"), tokenizer_path()).count() == 0
+
+
+def test_counts_of_all_pairs_and_triples_reach_each_place(spark):
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(0, 9, n).tolist() for n in (0, 1, 2, 7, 40, 90, 33)]
+    rows = [(i // 2, i % 3 == 1, zlib.compress(np.array(t, "<u4").tobytes())) for i, t in enumerate(texts)]
+    lines = [[9, 9, *t, 9] for i, t in enumerate(texts) if i % 3 != 1]
+    twos, threes = Counter(x for s in lines for x in zip(s[1:], s[2:])), Counter(x for s in lines for x in zip(s, s[1:], s[2:]))
+    found = lm.gram_counts(spark.createDataFrame(rows, "block long, held_out boolean, ids binary"), 9, 5).toArrow()
+    for block in range(4):
+        own = [np.array(t, np.int64) for i, t in enumerate(texts) if i // 2 == block]
+        mine = found.filter([b == block for b in found["block"].to_pylist()])
+        for t, (pairs, triples) in zip(own, lm.placed_counts(own, mine, 9, 5), strict=True):
+            s = [9, 9, *t.tolist(), 9]
+            assert pairs.tolist() == [twos[x] for x in zip(s[1:], s[2:])]
+            assert triples.tolist() == [threes[x] for x in zip(s, s[1:], s[2:])]
+
+
+def test_no_count_is_left_out_of_scores(spark, monkeypatch):
+    df = spark.createDataFrame(ROWS, "doc_id long, text string")
+    key = lambda r: (str(r["doc_id"]), r["n_tokens"])
+    score = lambda **k: [r["score"] for r in sorted(lm.score_texts(df, tokenizer_path(), **k).collect(), key=key)]
+    whole = score()
+    monkeypatch.setattr(lm, "KEPT", 1)  # the scores don't hang on what a limit keeps, nor on how texts fall into blocks and parts
+    monkeypatch.setattr(lm, "PART_GRAMS", 500)
+    assert np.allclose(whole, score(block=100), atol=1e-6)

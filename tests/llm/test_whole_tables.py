@@ -40,3 +40,9 @@ def test_language_model_beats_word_counts_on_held_out_documents(spark):
     assert len(rows) > 50
     score, base = (sum(r[name] for r in rows) for name in ("score", "base_score"))
     assert score > base, (score, base)
+
+
+def test_language_model_beats_word_counts_at_the_larger_size(spark):
+    rows = [r for r in QUERIES["op7_lm_scoring"](spark, "/root/testdata/sf0.1").collect() if r["held_out"]]
+    score, base = (sum(r[name] for r in rows) for name in ("score", "base_score"))
+    assert len(rows) > 500 and score > base, (score, base)
