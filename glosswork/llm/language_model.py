@@ -22,8 +22,8 @@ gets at most one row of an n-gram from a block, however frequent it is, and the
 number of parts grows with the texts.
 The attention's weights are trained in
 rounds: each task trains on its share of the windows from the same start, and
-the weights are averaged by tokens. A round takes one window in ``every`` of
-each training text, other ones than the last, so it grows with the corpus.
+the weights are averaged by tokens. A round takes all windows of all training
+texts; with ``every`` above 1, it takes one window in so many of each text.
 
 ``base_score`` goes by word counts. The words that make up at least one in
 200,000 of all tokens are at most so many and are broadcast; each other word is
@@ -346,7 +346,8 @@ def gradients(w: dict[str, np.ndarray], pairs: np.ndarray, inputs: np.ndarray, t
     queries, wanted = inputs[:, CONTEXT:], targets.ravel()
     real = wanted != PAD
     z = pairs[np.where(queries.ravel() == PAD, 0, queries.ravel())] + a.reshape(-1, WIDTH) @ w["out"]
-    z = np.exp(z - z.max(-1, keepdims=True))
+    z -= z.max(-1, keepdims=True)
+    np.exp(z, out=z)
     z /= z.sum(-1, keepdims=True)
     z[np.nonzero(real)[0], wanted[real]] -= 1
     z *= (real / max(1, real.sum()))[:, None].astype(np.float32)
@@ -355,8 +356,8 @@ def gradients(w: dict[str, np.ndarray], pairs: np.ndarray, inputs: np.ndarray, t
     ds = p * (dp - (dp * p).sum(-1, keepdims=True))
     grads = {"out": a.reshape(-1, WIDTH).T @ z}
     for name, at, g in (("q", queries, ds @ w["k"][inputs]), ("k", inputs, ds.transpose(0, 2, 1) @ w["q"][queries]), ("v", inputs, p.transpose(0, 2, 1) @ da)):
-        one_hot = (at.ravel()[:, None] == np.arange(CLASSES + 1)).astype(np.float32)
-        grads[name] = one_hot.T @ g.reshape(-1, WIDTH)
+        places = at.reshape(-1, 1) * WIDTH + np.arange(WIDTH)
+        grads[name] = np.bincount(places.ravel(), g.ravel(), (CLASSES + 1) * WIDTH).reshape(-1, WIDTH).astype(np.float32)
     grads["near"] = np.bincount(np.maximum(_OFFSETS, 0).ravel(), (ds.sum(0) * (_OFFSETS >= 0)).ravel(), STRIDE + CONTEXT).astype(np.float32)
     return grads
 
@@ -413,7 +414,7 @@ def _train(shared, classes, number: int, every: int, batch: int, rate: float):
     return run
 
 
-def train(tokens: DataFrame, classes, pairs: np.ndarray, *, rounds: int = 2, every: int = 32, batch: int = 64, rate: float = 0.01) -> dict[str, np.ndarray]:
+def train(tokens: DataFrame, classes, pairs: np.ndarray, *, rounds: int = 2, every: int = 1, batch: int = 64, rate: float = 0.01) -> dict[str, np.ndarray]:
     """Weights trained over tokens (key, ids), by rounds of averaging."""
     weights = initial()
     for number in range(rounds):
@@ -518,7 +519,7 @@ def base_scores(rows: DataFrame, train_rows: DataFrame) -> tuple[DataFrame, int]
     return sums.select("key", (F.col("s") / F.col("rows")).alias("base_score"), (F.col("k") / F.col("rows")).cast("long").alias("n_known")), total
 
 
-def score_texts(df: DataFrame, tokenizer: str, *, text: str = "text", folds: int = 10, held_out_fold: int = 0, every: int = 32, block: int = BLOCK) -> DataFrame:
+def score_texts(df: DataFrame, tokenizer: str, *, text: str = "text", folds: int = 10, held_out_fold: int = 0, every: int = 1, block: int = BLOCK) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of df (doc_id, text)."""
     spark = df.sparkSession
     rows = df.select(F.xxhash64("doc_id", text).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), (crc_mod("doc_id", folds) == held_out_fold).alias("held_out"), F.col(text).alias("text"))

@@ -125,3 +125,25 @@ def test_no_count_is_left_out_of_scores(spark, monkeypatch):
     monkeypatch.setattr(lm, "KEPT", 1)  # the scores don't hang on what a limit keeps, nor on how texts fall into blocks and parts
     monkeypatch.setattr(lm, "PART_GRAMS", 500)
     assert np.allclose(whole, score(block=100), atol=1e-6)
+
+
+def test_a_round_trains_on_all_windows(spark, monkeypatch):
+    texts = [np.arange(n) % 9 for n in (0, 5, 31, 32, 700, 64)]
+    rows = [(i, zlib.compress(t.astype("<u4").tobytes())) for i, t in enumerate(texts)]
+    tokens = spark.createDataFrame(rows, "key long, ids binary").coalesce(1)
+    classes = spark.sparkContext.broadcast(np.arange(9))
+    seen = []  # how much the rounds' tasks trained on, as they report it with their weights
+    run = lm._train
+    monkeypatch.setattr(lm, "_train", lambda *a: seen.append(a) or run(*a))
+    lm.train(tokens, classes, lm.pair_logs(np.zeros(lm.CLASSES**2, np.int64)))
+    assert len(seen) == 2
+    for arguments in seen:
+        n = tokens.mapInArrow(run(*arguments), "at int, x double, n double").first()["n"]
+        assert n == sum(len(t) + 1 for t in texts)
+
+
+def test_scores_with_the_production_parameters(spark, monkeypatch):
+    df = spark.createDataFrame([(i, " ".join(f"w{(i + j) % 11}" for j in range(1 + 7 * (i % 40)))) for i in range(160)], "doc_id long, text string")
+    trained = lm.score_texts(df, tokenizer_path()).where("held_out").agg({"score": "sum"}).first()[0]
+    monkeypatch.setattr(lm, "train", lambda *a, **k: lm.initial())
+    assert trained > lm.score_texts(df, tokenizer_path()).where("held_out").agg({"score": "sum"}).first()[0]
