@@ -8,6 +8,7 @@ A-Z alone; both are used on encoded text throughout.
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -35,17 +36,27 @@ def crc_mod_py(doc_id: object, n: int) -> int:
     return 0 if doc_id is None else zlib.crc32(str(doc_id).encode()) % n
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df cut from its lineage by a checkpoint in the cluster's shared folder.
-
-    A folder of our own is set only where the session names none (local runs).
-    """
-    sc = df.sparkSession.sparkContext
+def _shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder; one of our own is set only where the session names none (local runs)."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="glosswork-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="glosswork-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df cut from its lineage by a checkpoint in the cluster's shared folder."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df written once as Parquet in the cluster's shared folder, and read again."""
+    folder = f"{_shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def slices(batches: Iterable[pa.RecordBatch], text: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut so that column number ``text`` holds about ``limit`` bytes in each."""
     for batch in batches:

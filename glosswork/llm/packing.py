@@ -3,15 +3,16 @@
 A document is its token ids and a closing id. One longer than the capacity is
 cut into full pieces and a first piece that holds the rest, so each document
 brings at most one piece that is not full; full pieces are sequences as they
-are. The others are packed bulk-synchronously: they are spread by a hash over
-shards of a bounded number of documents, each holding the mixture of lengths of
-the whole, and in each shard documents and gaps are kept in size ranges. A sweep
-gives the longest documents their successors, the smallest gaps they fit;
-documents of a size that want the same gaps get them by rank, those beyond the
-gaps' number go on to the next larger gaps or open sequences; filled gaps return
-with their new size, and the next sweep begins, down to the shortest documents.
-Shards never wait for each other: what one loses by it is its last sequence, in
-some 65,536 documents.
+are. Where the others go hangs only on how many there are of each length, at
+most the capacity's number of counts: documents of a length are alike but for
+their rank. So documents are sorted into ranges by Spark, which number them by
+length, and the counts of each range and length give the ranks' offsets. The
+sweep from the longest length to the shortest works on counts: a length gets the
+smallest gaps it fits by rank, those beyond the gaps' number go on to the next
+larger gaps or open sequences, and filled gaps return with their new size.
+Its outcome are runs of ranks, few as the lengths are, which are broadcast; each
+document finds its own by length and rank. It is the packing of one best fit
+over all documents, in whatever ranges they lie; equal rows are spread out too.
 
 Defined results: null or empty text is the closing id alone; repeated rows and
 ids are packed one by one; a null id stays null; other columns are left out.
@@ -21,19 +22,22 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import record, slices
+from .common import record, slices, written
 from .tokens import Encoder
 
 CAPACITY, CLOSING_ID, SHARD_DOCS = 2048, 0, 65_536
 _CUT = pa.schema([("doc_id", pa.int64()), ("n_ids", pa.int64()), ("crcs", pa.list_(pa.int64()))])
+_RANKED = pa.schema([*_CUT, ("first", pa.int64()), ("part", pa.int64()), ("at", pa.int64()), ("full_at", pa.int64())])
+_PACKED = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 _PACKED_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
@@ -83,6 +87,46 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return sequence, offset, opened
 
 
+def fit_counts(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
+    """``best_fit`` of so many of each length: runs of ranks (length, first rank, first sequence, pieces in a sequence, offset), and the number of sequences."""
+    runs: list[tuple[int, int, int, int, int]] = []
+    gaps: dict[int, deque[tuple[int, int]]] = {}  # free places -> runs of sequences (first, number) that have them
+    sizes: list[int] = []  # of gaps, ascending
+    opened = 0
+
+    def keep(free: int, first: int, number: int) -> None:
+        if free and number:
+            if free not in gaps:
+                gaps[free] = deque()
+                insort(sizes, free)
+            gaps[free].append((first, number))
+
+    for size, count in sorted(zip(lengths.tolist(), counts.tolist(), strict=True), reverse=True):
+        rank = 0
+        while rank < count:
+            at = bisect_left(sizes, size)
+            if at == len(sizes):  # no gap is left for this size
+                each = capacity // size
+                runs.append((size, rank, opened, each, 0))
+                full, rest = divmod(count - rank, each)
+                keep(capacity - each * size, opened, full)
+                keep(capacity - rest * size, opened + full, int(rest > 0))
+                opened += full + (rest > 0)
+                break
+            free = sizes[at]
+            first, number = gaps[free].popleft()
+            taken = min(number, count - rank)
+            if taken < number:
+                gaps[free].appendleft((first + taken, number - taken))
+            elif not gaps[free]:
+                del gaps[free]
+                sizes.pop(at)
+            runs.append((size, rank, first, 1, capacity - free))
+            rank += taken
+            keep(free - size, first, taken)
+    return np.array(sorted(runs), np.int64).reshape(-1, 5), opened
+
+
 def _cut(path: str, capacity: int):
     closing = np.array([CLOSING_ID], "<u4").tobytes()
 
@@ -103,35 +147,65 @@ def _cut(path: str, capacity: int):
     return run
 
 
-def _pack(capacity: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        # Lengths, ids and checksums order the rows: the same packing whatever order they come in.
-        rows = rows.assign(_c=[c[0] for c in rows["crcs"]]).sort_values(["n_ids", "doc_id", "_c"], kind="stable")
-        n = rows["n_ids"].to_numpy(np.int64)
-        crcs = rows["crcs"].to_numpy()
-        pieces = np.array([len(c) for c in crcs], np.int64)
-        first = n - (pieces - 1) * capacity
-        sequence, offset, opened = best_fit(first, capacity)
-        owner = np.repeat(np.arange(len(rows)), pieces)
-        piece = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        later = piece > 0
-        numbers = sequence[owner]
-        numbers[later] = opened + np.arange(int(later.sum()))
-        return pd.DataFrame({
-            "doc_id": rows["doc_id"].to_numpy()[owner], "piece": piece.astype(np.int32),
-            "start": np.where(later, first[owner] + (piece - 1) * capacity, 0), "length": np.where(later, capacity, first[owner]),
-            "ids_crc32": np.concatenate(list(crcs)).astype(np.int64) if len(crcs) else np.empty(0, np.int64),
-            "sequence_id": int(rows["_shard"].iloc[0]) << 36 | numbers, "offset": np.where(later, 0, offset[owner]),
-        })
+def _rank(capacity: int):
+    """Numbers the rows (doc_id, n_ids, crcs, first; in order of first) of a range by length, and their full pieces."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, seen, full = TaskContext.get().partitionId(), 0, 0, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            values, starts, sizes = np.unique(b.column(3).to_numpy(), return_index=True, return_counts=True)
+            at = np.arange(b.num_rows) - np.repeat(starts, sizes)
+            if values[0] == last:
+                at[: sizes[0]] += seen
+            last, seen = values[-1], at[-1] + 1
+            later = (b.column(1).to_numpy() - 1) // capacity
+            yield record(_RANKED, *b.columns, np.full(b.num_rows, part), at, full + np.cumsum(later) - later)
+            full += int(later.sum())
+
+    return run
+
+
+def _place(shared, capacity: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs, opened, ranges, before, full_before = shared.value
+        keys = runs[:, 0] << 44 | runs[:, 1]
+        for b in batches:
+            if not b.num_rows:
+                continue
+            n, first, part, at, full_at = (b.column(c).to_numpy() for c in ("n_ids", "first", "part", "at", "full_at"))
+            rank = before[np.searchsorted(ranges, part * (capacity + 1) + first)] + at
+            hit = runs[np.searchsorted(keys, first << 44 | rank, side="right") - 1]
+            sequence, offset = hit[:, 2] + (rank - hit[:, 1]) // hit[:, 3], hit[:, 4] + (rank - hit[:, 1]) % hit[:, 3] * first
+            pieces = (n - 1) // capacity + 1
+            owner = np.repeat(np.arange(len(n)), pieces)
+            piece = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            later, full = piece > 0, opened + full_before[part] + full_at
+            yield record(
+                _PACKED, b.column("doc_id").take(pa.array(owner)), piece, np.where(later, first[owner] + (piece - 1) * capacity, 0), np.where(later, capacity, first[owner]),
+                b.column("crcs").flatten(), np.where(later, full[owner] + piece - 1, sequence[owner]), np.where(later, 0, offset[owner]),
+            )
 
     return run
 
 
 def pack_documents(df: DataFrame, tokenizer: str, *, text: str = "text", capacity: int = CAPACITY, shard_docs: int = SHARD_DOCS) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset for each piece of each row of df (doc_id, text)."""
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset for each piece of each row of df (doc_id, text); a range has about shard_docs rows."""
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    shards = max(1, -(-rows.count() // shard_docs))
-    cut = rows.mapInArrow(_cut(tokenizer, capacity), "doc_id long, n_ids long, crcs array<long>")
-    # Copies of a document share their length but not their id: the hash deals them out.
-    shard = F.pmod(F.xxhash64("doc_id", "n_ids", "crcs"), F.lit(shards)).cast("long")
-    return cut.withColumn("_shard", shard).groupBy("_shard").applyInPandas(_pack(capacity), _PACKED_DDL)
+    cut = written(rows.mapInArrow(_cut(tokenizer, capacity), "doc_id long, n_ids long, crcs array<long>"))
+    ranges = max(1, -(-cut.count() // shard_docs))
+    # Equal rows are interchangeable: a number of their own spreads them over ranges.
+    order = ["first", "n_ids", "doc_id", "_crcs", "_own"]
+    keyed = cut.withColumn("first", (F.col("n_ids") - 1) % capacity + 1).withColumn("_crcs", F.xxhash64("crcs")).withColumn("_own", F.monotonically_increasing_id())
+    in_ranges = keyed.repartitionByRange(ranges, *order).sortWithinPartitions(*order).select("doc_id", "n_ids", "crcs", "first")
+    ranked = written(in_ranges.mapInArrow(_rank(capacity), "doc_id long, n_ids long, crcs array<long>, first long, part long, at long, full_at long"))
+    full = F.sum(F.expr(f"(n_ids - 1) div {capacity}")).alias("full")
+    found = ranked.groupBy("part", "first").agg(F.count(F.lit(1)).alias("c"), full).orderBy("part", "first").toPandas()
+    part, first, count = (found[c].to_numpy(np.int64) for c in ("part", "first", "c"))
+    before = found.groupby("first")["c"].cumsum().to_numpy(np.int64) - count
+    lengths, back = np.unique(first, return_inverse=True)
+    runs, opened = fit_counts(lengths, np.bincount(back, count, len(lengths)).astype(np.int64), capacity)
+    full_of = np.bincount(part, found["full"].to_numpy(np.int64)).astype(np.int64)
+    shared = df.sparkSession.sparkContext.broadcast((runs, opened, part * (capacity + 1) + first, before, np.cumsum(full_of) - full_of))
+    return ranked.mapInArrow(_place(shared, capacity), _PACKED_DDL)

@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from glosswork.llm.packing import best_fit, pack_documents
+from glosswork.llm.packing import best_fit, fit_counts, pack_documents
 from glosswork.llm.token_counts import count_tokens
 from glosswork.llm.tokens import Encoder
 
@@ -110,3 +110,32 @@ def test_packing_is_whole_and_gapless(spark, library, shard_docs):
         assert at <= 256
     total = sum(k[3] * n for k, n in want.items())
     assert shard_docs == 7 or len(places) <= -(-total // 256) + 1
+
+
+def test_counts_alone_give_the_same_fit():
+    rng = np.random.default_rng(6)
+    for _ in range(30):
+        lengths = rng.integers(1, 65, rng.integers(0, 400))
+        sequence, offset, opened = best_fit(lengths, 64)
+        values, counts = np.unique(lengths, return_counts=True)
+        runs, number = fit_counts(values, counts, 64)
+        assert number == opened
+        for value in values:
+            rank = np.arange((lengths == value).sum())
+            hit = runs[runs[:, 0] == value]
+            hit = hit[np.searchsorted(hit[:, 1], rank, side="right") - 1]
+            assert (hit[:, 2] + (rank - hit[:, 1]) // hit[:, 3] == sequence[lengths == value]).all()
+            assert (hit[:, 4] + (rank - hit[:, 1]) % hit[:, 3] * value == offset[lengths == value]).all()
+
+
+def test_ranges_give_one_best_fit(spark):
+    texts = [None] * 30 + ["equal rows"] * 40 + odd_texts(60, 900)
+    df = spark.createDataFrame([(i if i >= 70 else None, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    one, many = (sorted(map(tuple, pack_documents(df, PATH, capacity=256, shard_docs=n).collect()), key=str) for n in (65_536, 9))
+    assert one == many
+    firsts = np.array([r[3] for r in one if r[1] == 0])
+    assert len({r[5] for r in one}) == best_fit(firsts, 256)[2] + sum(r[1] > 0 for r in one)
+
+
+def test_packing_of_no_rows(spark):
+    assert pack_documents(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
