@@ -177,10 +177,10 @@ def viterbi(scores: np.ndarray, best: np.ndarray, penalty: float) -> np.ndarray:
 
 
 def train(df: DataFrame, *, text: str = "text", lang: str = "lang", sample_docs: int = 20_000) -> Model | None:
-    """A model from at most about sample_docs labelled rows of df, chosen by a hash of their ids; None without any."""
+    """A model from all labelled rows of df, or about sample_docs of a language that has more, chosen by a hash of their ids; None without any."""
     rows = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col("doc_id").cast("string"), F.lit("language sample")).alias("_h"))
-    share = min(1.0, sample_docs / max(1, rows.count()))
-    sample = rows.where(F.pmod("_h", F.lit(1_000_000)) < F.lit(int(share * 1_000_000))).select("lang", "text").coalesce(16)
+    limits = rows.groupBy("lang").agg(F.ceil(F.least(F.lit(1.0), sample_docs / F.count(F.lit(1))) * 1_000_000).alias("_limit"))
+    sample = rows.join(F.broadcast(limits), "lang").where(F.pmod("_h", F.lit(1_000_000)) < F.col("_limit")).select("lang", "text").coalesce(16)
     stats: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     for name, grams, scripts in sample.mapInArrow(_stats, _STAT_DDL).toLocalIterator():
         g, s = np.frombuffer(grams), np.frombuffer(scripts)
