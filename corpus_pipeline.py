@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glosswork.llm.common import checkpointed, read
+from glosswork.llm.common import read, written
 from glosswork.llm.decontamination import remove_contamination
 from glosswork.llm.jaccard_join import link_documents
 from glosswork.llm.line_dedup import drop_lines
@@ -63,10 +63,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents; what each returns is written and read again by the next."""
+    """The stages applied to documents; what each returns is written as Parquet and read again by the next."""
     docs = read(spark, sf_dir, "documents")
     for number, (_, stage) in enumerate(STAGES, 1):
         docs = stage(spark, docs, sf_dir)
         if number < len(STAGES):
-            docs = checkpointed(docs)
+            docs = written(docs)
     return docs

@@ -32,3 +32,13 @@ def test_near_duplicates_with_nulls_repeats_and_extra_columns(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, sid int")
     found = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in cp.near_duplicates(spark, docs, "").collect())
     assert found == [(False, 3), (False, 7), (False, 8), (False, 9), (True, 0)]
+
+
+def test_stages_read_the_written_results_of_the_ones_before(spark, sf_dir, monkeypatch):
+    seen = []
+    step = lambda spark, docs, sf_dir: seen.append(docs.inputFiles()) or docs.where("doc_id % 2 = 0")
+    monkeypatch.setattr(cp, "STAGES", [("a", step), ("b", step), ("c", step)])
+    kept = cp.run(spark, sf_dir).count()
+    assert kept == read(spark, sf_dir, "documents").where("doc_id % 2 = 0").count()
+    folder = "/" + spark.sparkContext.getCheckpointDir().rsplit("/", 1)[1] + "/"
+    assert all(files and all(folder in f and f.endswith(".parquet") for f in files) for files in seen[1:]), seen
