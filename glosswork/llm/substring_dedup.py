@@ -9,8 +9,9 @@ the windows' own.
 
 First pass: partitions sketch their anchors, the merged count-min sketch tells
 which may occur twice. Second pass: only windows with such an anchor go on,
-dealt by anchor and grouped exactly by their 64-bit hash, so every repeated
-window is found and none that is unique, up to equal hashes. Windows already
+dealt by anchor and grouped by 128 bits of hash, so every repeated window is
+found and none that is unique (1e13 windows hold two of equal hashes with a
+chance of 1 in 1e12). Windows already
 seen twice within a task's batch are settled there: one row tells of them, so a
 passage that a third of all rows hold is a row a batch. The streams are sorted
 and compared to their neighbours; no group is ever held.
@@ -33,10 +34,10 @@ from .common import encoded, record, slices
 from .hashing import WordHashes, mix, rolled, sliding
 from .sketches import repeated, sketch
 
-_SEGMENTS = pa.schema([("anchor", pa.int64()), ("kind", pa.int8()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int32()), ("count", pa.int32()), ("hashes", pa.list_(pa.int64()))])
-_SEGMENTS_DDL = "anchor long, kind byte, doc_id long, text_hash long, start int, count int, hashes array<long>"
-_WINDOWS = pa.schema([("hash", pa.int64()), ("kind", pa.int8()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int32()), ("count", pa.int32())])
-_WINDOWS_DDL = "hash long, kind byte, doc_id long, text_hash long, start int, count int"
+_SEGMENTS = pa.schema([("anchor", pa.int64()), ("kind", pa.int8()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int32()), ("count", pa.int32()), ("hashes", pa.list_(pa.int64())), ("more", pa.list_(pa.int64()))])
+_SEGMENTS_DDL = "anchor long, kind byte, doc_id long, text_hash long, start int, count int, hashes array<long>, more array<long>"
+_WINDOWS = pa.schema([("hash", pa.int64()), ("more", pa.int64()), ("kind", pa.int8()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int32()), ("count", pa.int32())])
+_WINDOWS_DDL = "hash long, more long, kind byte, doc_id long, text_hash long, start int, count int"
 _HITS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("starts", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))])
 _HITS_DDL = "doc_id long, text_hash long, starts array<int>, counts array<int>"
 _KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("text", pa.string())])
@@ -44,7 +45,9 @@ _KEPT_DDL = "doc_id long, n_words long, n_removed long, text string"
 #: A window to be compared, one of a document settled in its batch, a settled window that others are to know of.
 OPEN, SETTLED, KNOWN = 0, 1, 2
 #: Hits that a reducer gathers by document before it sends them on.
-FLUSH_HITS = 400_000
+FLUSH_HITS = 200_000
+#: Bytes of the texts whose windows are worked out together, and words whose hashes a task keeps.
+SLICE, WORDS = 1_500_000, 100_000
 
 
 class Windows:
@@ -63,9 +66,14 @@ class Windows:
         self.anchor = sliding(grams, span, np.minimum)[:count]
         self.grams, self.span = grams, span
         self.hash = mix(rolled(words, size) ^ np.uint64(0xA5A5A5A5A5A5A5A5)) if count else np.empty(0, np.uint64)
+        self.words, self.size, self.count = words, size, count
         self.doc = np.repeat(np.arange(len(split)), lengths)[:count]
         self.place = np.arange(count) - np.repeat(np.cumsum(lengths) - lengths, lengths)[:count]
 
+    def more(self) -> np.ndarray:
+        """64 further bits of each window's hash, from words whose hashes were mixed first."""
+        return mix(rolled(mix(self.words ^ np.uint64(0x5851F42D4C957F2D)), self.size)) if self.count else self.hash
+
     def anchors(self) -> np.ndarray:
         """The anchor hashes, once for each place where one stands."""
         if not len(self.valid):
@@ -83,8 +91,8 @@ def _texts(b: pa.RecordBatch) -> list[bytes]:
 
 def _candidates(shared, size: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, bits = WordHashes(), shared.value
-        for b in slices(batches, 2, 8_000_000):
+        hashes, bits = WordHashes(WORDS), shared.value
+        for b in slices(batches, 2, SLICE):
             windows = Windows(_texts(b), hashes, size)
             at = np.nonzero(windows.valid)[0]
             at = at[repeated(bits, windows.anchor[at], width)] if len(at) else at
@@ -92,13 +100,14 @@ def _candidates(shared, size: int, width: int):
                 continue
             # Segments: windows in a row of one document with one anchor.
             anchor, doc, place, own = windows.anchor[at], windows.doc[at], windows.place[at], windows.hash[at].view(np.int64)
+            more = windows.more()[at].view(np.int64)
             new = np.concatenate([[True], (np.diff(at) != 1) | (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])])
             cuts = np.append(np.nonzero(new)[0], len(at))
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             known: dict[bytes, list[int]] = {}
             for k, (a, e) in enumerate(zip(cuts, cuts[1:])):
-                known.setdefault(own[a:e].tobytes(), []).append(k)
-            out: list[list] = [[] for _ in range(7)]
+                known.setdefault(own[a:e].tobytes() + more[a:e].tobytes(), []).append(k)
+            out: list[list] = [[] for _ in range(8)]
 
             def put(*row):
                 for column, x in zip(out, row, strict=True):
@@ -111,11 +120,11 @@ def _candidates(shared, size: int, width: int):
                     a, e = cuts[k], cuts[k + 1]
                     i = doc[a]
                     if len(found) == 1:
-                        put(signed[a], OPEN, ids[i], texts[i], place[a], 1, own[a:e])
+                        put(signed[a], OPEN, ids[i], texts[i], place[a], 1, own[a:e], more[a:e])
                     else:
-                        put(route[a], SETTLED, ids[i], texts[i], place[a], e - a, None)
+                        put(route[a], SETTLED, ids[i], texts[i], place[a], e - a, None, None)
                 if len(found) > 1:
-                    put(signed[a], KNOWN, None, None, 0, 0, own[a:e])
+                    put(signed[a], KNOWN, None, None, 0, 0, own[a:e], more[a:e])
             yield record(_SEGMENTS, *out)
 
     return run
@@ -127,13 +136,13 @@ def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.maximum(1, pa.compute.fill_null(pa.compute.list_value_length(b.column(6)), 1).to_numpy(zero_copy_only=False)).astype(np.int64)
         settled = b.column(1).to_numpy() == SETTLED
         row = np.repeat(np.arange(b.num_rows), n)
-        hashes = np.empty(len(row), np.int64)
-        flat = b.column(6).flatten().to_numpy()
-        hashes[~settled[row]] = flat
+        hashes, more = np.empty(len(row), np.int64), np.zeros(len(row), np.int64)
+        hashes[~settled[row]] = b.column(6).flatten().to_numpy()
+        more[~settled[row]] = b.column(7).flatten().to_numpy()
         hashes[settled[row]] = b.column(0).to_numpy()[settled]
         start = b.column(4).to_numpy()[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
         take = pa.array(row)
-        yield record(_WINDOWS, pa.array(hashes), *(b.column(i).take(take) for i in (1, 2, 3)), pa.array(start.astype(np.int32)), b.column(5).take(take))
+        yield record(_WINDOWS, pa.array(hashes), pa.array(more), *(b.column(i).take(take) for i in (1, 2, 3)), pa.array(start.astype(np.int32)), b.column(5).take(take))
 
 
 def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,14 +173,14 @@ def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if carry is not None:
             b = pa.Table.from_batches([carry, b]).combine_chunks().to_batches()[0]
-        hashes, kinds = b.column(0).to_numpy(), b.column(1).to_numpy()
+        hashes, more, kinds = (b.column(i).to_numpy() for i in range(3))
         live = kinds != SETTLED
         # The last hash may go on in the next batch: two of its rows tell as much as all.
-        tail = hashes == hashes[-1]
+        tail = (hashes == hashes[-1]) & (more == more[-1])
         carry_rows = np.nonzero(tail & live)[0]
         at = np.nonzero(live)[0]
-        h = hashes[at]
-        new = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.empty(0, bool)
+        h, m = hashes[at], more[at]
+        new = np.concatenate([[True], (h[1:] != h[:-1]) | (m[1:] != m[:-1])]) if len(h) else np.empty(0, bool)
         group = np.cumsum(new) - 1
         many = np.bincount(group, minlength=0) > 1 if len(group) else np.empty(0, bool)
         some = np.zeros(len(many), bool)
@@ -184,13 +193,13 @@ def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = bool((many | some)[group[-1]])
             if known:
                 keep = pa.array(carry_rows[:1])
-                carry = b.take(keep).set_column(1, _WINDOWS.field(1), pa.array([KNOWN], pa.int8()))
+                carry = b.take(keep).set_column(2, _WINDOWS.field(2), pa.array([KNOWN], pa.int8()))
             else:
                 carry = b.take(pa.array(carry_rows))
         if len(rows):
             taken = b.take(pa.array(rows))
-            ids = taken.column(2)
-            held.append((ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(), taken.column(3).to_numpy(), taken.column(4).to_numpy().astype(np.int64), taken.column(5).to_numpy().astype(np.int64)))
+            ids = taken.column(3)
+            held.append((ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(), taken.column(4).to_numpy(), taken.column(5).to_numpy().astype(np.int64), taken.column(6).to_numpy().astype(np.int64)))
             n_held += len(rows)
             if n_held >= FLUSH_HITS:
                 yield from flush()
@@ -217,7 +226,7 @@ def _removed(size: int):
     return run
 
 
-def remove_repeats(df: DataFrame, *, text: str = "text", size: int = 35, max_width: int = 1 << 28) -> DataFrame:
+def remove_repeats(df: DataFrame, *, text: str = "text", size: int = 35, max_width: int = 1 << 29) -> DataFrame:
     """doc_id, n_words, n_removed and text (the words kept, joined by blanks) for each row of df (doc_id, text).
 
     max_width bounds the sketch, and with it the broadcast (a quarter byte a
@@ -230,18 +239,18 @@ def remove_repeats(df: DataFrame, *, text: str = "text", size: int = 35, max_wid
     width = min(max_width, 1 << max(16, int(4 * n_bytes / 6 / max(1, size // 4)).bit_length()))
 
     def keys(b: pa.RecordBatch) -> np.ndarray:
-        return np.concatenate([Windows(_texts(s), _own(), size).anchors() for s in slices([b], 2)] or [np.empty(0, np.uint64)])
+        return np.concatenate([Windows(_texts(s), _own(), size).anchors() for s in slices([b], 2, SLICE)] or [np.empty(0, np.uint64)])
 
     held: list[WordHashes] = []
 
     def _own() -> WordHashes:
         if not held:
-            held.append(WordHashes())
+            held.append(WordHashes(WORDS))
         return held[0]
 
     bits = spark.sparkContext.broadcast(sketch(rows, keys, rows=2, width=width))
     segments = rows.mapInArrow(_candidates(bits, size, width), _SEGMENTS_DDL).repartition("anchor")
-    windows = segments.mapInArrow(_opened, _WINDOWS_DDL).sortWithinPartitions("hash")
+    windows = segments.mapInArrow(_opened, _WINDOWS_DDL).sortWithinPartitions("hash", "more")
     # A settled range counts its windows; an open one is a window.
     hits = windows.mapInArrow(_matched, _HITS_DDL).groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("starts")).alias("_starts"), F.flatten(F.collect_list("counts")).alias("_counts"))
     hits = hits.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})

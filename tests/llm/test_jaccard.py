@@ -52,3 +52,24 @@ def test_links_equal_brute_force(spark):
 
 def test_empty_table(spark):
     assert link_documents(spark.createDataFrame([], "doc_id long, text string"), width=1 << 16).count() == 0
+
+
+def test_links_do_not_hang_on_the_prefix_drop(spark):
+    rows = corpus(4)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    # With 16 counters each is raised often, so no shingle leaves a prefix; with 2^20 nearly all that are in one document do.
+    found = [sorted(map(tuple, link_documents(df, size=3, percent=80, width=width).collect()), key=str) for width in (16, 1 << 20)]
+    assert found[0] == found[1] == brute(rows, 3, 80)
+
+
+def test_a_large_family_near_the_limit(spark):
+    r = random.Random(5)
+    base = [f"b{i}" for i in range(90)]
+    rows = []
+    for i in range(600):  # more than one block of classes that share most shingles and link only here and there
+        words = list(base)
+        for _ in range(r.randint(1, 3)):
+            words[r.randrange(90)] = f"n{r.randrange(40)}"
+        rows.append((i, " ".join(words)))
+    found = link_documents(spark.createDataFrame(rows, "doc_id long, text string"), size=3, percent=90)
+    assert sorted(map(tuple, found.collect()), key=str) == brute(rows, 3, 90)
