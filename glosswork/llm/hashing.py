@@ -72,3 +72,11 @@ def sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
         out, held = pick(out[: len(out) - held], out[held:]), 2 * held
     rest = width - held
     return pick(out[: len(out) - rest], out[rest:]) if rest else out
+
+
+def rolled_prefix(hashes: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """A hash of each run hashes[start:stop], whatever its place and length."""
+    up, down = _tables(len(hashes) + 1)
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * up[: len(hashes)], dtype=np.uint64)])
+        return mix((sums[stops] - sums[starts]) * down[starts] + (stops - starts).astype(np.uint64) * np.uint64(0x632BE59BD9B4E019))

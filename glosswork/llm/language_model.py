@@ -1,380 +1,373 @@
 """Language-model scoring: a causal self-attention model on subword ids.
 
-The model scores a text's words (A-Z lower-cased, joined by single blanks) and
-an end. Subwords fall into classes: the most frequent are classes of their own,
-the others share classes of about equal mass. A class is predicted from the
-class before it, by counts over all training texts, and from what one head of
-causal self-attention with relative positions gathers from the classes before
-that; a subword in its class goes by its count. Counts of pairs and triples of
-subwords sharpen that: a triple backs off to its last pair, a pair to the
-attention's probability, and the outcome is mixed with the attention's again.
-Texts are scored in windows that overlap, so that each token is scored once,
-with at least ``CONTEXT`` tokens before it (or all there are), in batches of
-masked attention.
-
-Counts of words, subwords, pairs and triples cover all training texts and are
-summed by Spark. The number of subwords and class pairs is bounded by the
-vocabulary and the classes; words, pairs and triples stay distributed, and none
-is left out. Texts lie in blocks of about ``BLOCK`` subwords; a block sends each
-n-gram that it holds, once, with its count there to the n-gram's part, which adds
-up the blocks' counts and returns the sums to each block that asked. So a part
-gets at most one row of an n-gram from a block, however frequent it is, and the
-number of parts grows with the texts.
-The attention's weights are trained in
-rounds: each task trains on its share of the windows from the same start, and
-the weights are averaged by tokens. A round takes all windows of all training
-texts; with ``every`` above 1, it takes one window in so many of each text.
-
-``base_score`` goes by word counts. The words that make up at least one in
-200,000 of all tokens are at most so many and are broadcast; each other word is
-joined with its count.
+The model scores a text's words (A-Z lower-cased), each as the tokenizer encodes
+it after a blank, and an end. One head of masked attention spreads the next
+subword's probability over *slots*: the places of the window that lie before it,
+whose value is the subword that stands there, and three memory slots, whose
+values are the training texts' shares of a subword, of a subword after the one
+before, and after the two before. A place attends by the likeness (``q`` and
+``k``, by class) of the subword before it to the one before the next, by distance
+(``near``) and by whether one or two subwords before are equal (``same``); a memory
+slot's logit (``memory``) goes by how often its context was seen. One softmax runs
+over all slots, so whatever a slot gives passes through the attention, and the
+probabilities of all subwords and the end add up to one. Nothing else is mixed in
+and no weight is set by hand: all are trained, on training texts alone, which
+leave their own occurrence out of each count.
+
+Texts lie in blocks of about ``BLOCK`` subwords. A block asks for each pair,
+triple and word that it holds, once, with its own count, and each n-gram's part
+adds up the blocks' counts and returns the sums to each block that asked: one row
+for a block and part, however frequent an n-gram is, and none is left out.
+Windows of ``STRIDE`` subwords overlap by ``CONTEXT``: each token is scored once,
+with at least so many before it (or all there are), windows of many texts in one
+batch. A round trains on all windows of all training texts: each task trains on
+its blocks from the same start, and the weights are averaged by tokens.
+
+``base_score`` takes the words' counts from the same exchange. Words are told
+apart by 62 bits of hash (1e9 different words hold two of one hash with a chance
+of 1 in 9).
 
 Defined results: null and empty texts are an end alone; repeated rows give a
 row each, of the same scores; a null id is held out; other columns are left out.
+The tokenizer is of the byte-level kind, whose words begin with a blank; a text
+that is longer than a block is a block by itself.
 """
 
 from __future__ import annotations
 
 import json
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, crc_mod, encoded, record, slices
+from .common import crc_mod, encoded, record, slices, written
+from .hashing import mix, rolled_prefix
 from .tokens import Encoder
 
-STRIDE, CONTEXT, WIDTH = 32, 16, 16
-OWN, SHARED = 191, 64  # classes of one subword, classes of several
-CLASSES = OWN + SHARED + 1  # and the end
-END, PAD = CLASSES - 1, CLASSES
-#: Words of at least one in so many tokens are broadcast: no more than so many.
-HOT = 200_000
-#: Pairs and triples of at least one in so many tokens are what ``_kept_grams`` collects; scoring takes them all.
-KEPT = 2_000_000
+STRIDE, CONTEXT, WIDTH = 32, 32, 8
+#: Classes of the attention: the most frequent subwords are classes of their own, the others share.
+OWN, SHARED = 512, 512
+CLASSES = OWN + SHARED
+#: A context's count falls into one of so many steps of a power of two; memory slots.
+STEPS, SLOTS = 16, 3
 #: Subwords in a block of texts, but for a text that alone has more; n-grams of all blocks in a part, on average no more.
-BLOCK, PART_GRAMS = 500_000, 4_000_000
-#: Counts that a pair's and a triple's back-off is worth, and the attention's share of the mixture.
-PAIR_BACK, TRIPLE_BACK, ATTENTION_SHARE = 4.0, 5.0, 0.2
-#: Subwords in whose n-grams a task counts at a time.
-COUNTED = 1_000_000
-_LONG = 24
-_SHAPES = {"q": (CLASSES + 1, WIDTH), "k": (CLASSES + 1, WIDTH), "v": (CLASSES + 1, WIDTH), "near": (STRIDE + CONTEXT,), "out": (WIDTH, CLASSES)}
-_TOKENS = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("n_ids", pa.int64()), ("block", pa.int64())])
+BLOCK, PART_GRAMS = 1_000_000, 4_000_000
+#: Windows in a training step and in a scoring batch.
+BATCH = 256
+#: Words beyond all pairs and triples.
+WORDS = 1 << 62
+CACHED_WORDS = 100_000
+_SHAPES = {"q": (CLASSES, WIDTH), "k": (CLASSES, WIDTH), "near": (STRIDE + CONTEXT,), "same": (2,), "memory": (STEPS * STEPS, SLOTS)}
+_BLOCKS = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())), ("ids", pa.binary())])
+_BLOCKS_DDL = "block long, doc_ids array<long>, held_out array<boolean>, sizes array<long>, ids binary"
 _ASKED = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary())])
-_FOUND = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("counts", pa.binary())])
-_SCORED = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("score", pa.float64())])
+_FOUND = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("counts", pa.binary()), ("words", pa.int64())])
+_COUNTED = pa.schema([*_BLOCKS, ("counts", pa.binary())])
+_SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 _OFFSETS = CONTEXT + np.arange(STRIDE)[:, None] - np.arange(STRIDE + CONTEXT)[None, :]
+_CAUSAL = np.where(_OFFSETS > 0, np.float32(0), np.float32(-1e9))
+_LOW = np.float32(-1e9)
 
 
-def word_key(word: bytes) -> bytes:
-    """The word, or a 128-bit hash of a long one."""
-    return word if len(word) <= _LONG else b"\0" + xxhash.xxh3_128_digest(word)
+class Vocabulary:
+    """Number of ids, and which of them begin with a blank (and so a word)."""
 
-
-def _tokenise(path: str, block: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, number, held = Encoder(path), TaskContext.get().partitionId() << 32, 0
-        for b in slices(batches, 3):
-            ids, counts, sizes, blocks = [], [], [], []
-            for x in encoded(b, 3):
-                words = x.lower().split()
-                counts.append(len(words) + 1)
-                found = encoder.ids(b" ".join(words).decode())
-                ids.append(zlib.compress(found.astype("<u4").tobytes(), 1))
-                sizes.append(len(found))
-                if held and held + len(found) + 1 > block:
-                    number, held = number + 1, 0
-                held += len(found) + 1
-                blocks.append(number)
-            yield record(_TOKENS, b.column(0), b.column(1), b.column(2), counts, ids, sizes, blocks)
-
-    return run
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        ids = spec["model"]["vocab"]
+        self.size = 1 + max([*ids.values(), *(t["id"] for t in spec["added_tokens"])])
+        self.starts = np.zeros(self.size + 1, bool)
+        self.starts[[i for token, i in ids.items() if token[0] == "Ġ"]] = True  # byte-level files write a blank so
+        self.starts[self.size] = True
 
 
-def _ids(blob: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(blob), "<u4").astype(np.int64)
+class WordIds(dict):
+    """A word's ids, as it is encoded after a blank; forgets all words when it holds too many."""
 
+    def __init__(self, path: str):
+        super().__init__()
+        self.encoder = Encoder(path)
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("word", pa.binary()), ("c", pa.int64())])
-    held: Counter[bytes] = Counter()
-    for b in slices(batches, 0):
-        for x in encoded(b, 0):
-            held.update(x.lower().split())
-        if len(held) > 400_000:
-            yield record(schema, [word_key(w) for w in held], list(held.values()))
-            held.clear()
-    yield record(schema, [word_key(w) for w in held], list(held.values()))
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= CACHED_WORDS:
+            self.clear()
+        found = self[word] = self.encoder.ids((b" " + word).decode()).astype("<u4").tobytes()
+        return found
 
 
-def _count_ids(size: int):
+def _blocks(path: str, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
-        for b in batches:
-            for x in b.column(0).to_pylist():
-                total += np.bincount(_ids(x), minlength=size)[:size]
-        some = np.nonzero(total)[0]
-        yield record(pa.schema([("at", pa.int64()), ("c", pa.int64())]), some, total[some])
-
-    return run
-
-
-def _count_pairs(classes):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CLASSES * CLASSES, np.int64)
-        for b in batches:
-            for x in b.column(0).to_pylist():
-                c = np.concatenate([[END], classes.value[_ids(x)], [END]])
-                np.add.at(total, c[:-1] * CLASSES + c[1:], 1)
-        some = np.nonzero(total)[0]
-        yield record(pa.schema([("at", pa.int64()), ("c", pa.int64())]), some, total[some])
+        words, number = WordIds(path), TaskContext.get().partitionId() << 32
+        doc_ids, held_out, sizes, ids, total = [], [], [], [], 0
+
+        def full() -> pa.RecordBatch:
+            return record(_BLOCKS, [number], [doc_ids], [held_out], [sizes], [zlib.compress(b"".join(ids), 1)])
+
+        for b in slices(batches, 2):
+            for doc_id, held, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), encoded(b, 2), strict=True):
+                own = b"".join(map(words.__getitem__, text.lower().split()))
+                n = len(own) // 4
+                if total and total + n + 1 > block:
+                    yield full()
+                    number += 1
+                    doc_ids, held_out, sizes, ids, total = [], [], [], [], 0
+                doc_ids.append(doc_id)
+                held_out.append(held)
+                sizes.append(n)
+                ids.append(own)
+                total += n + 1
+        if doc_ids:
+            yield full()
 
     return run
 
 
-def found_counts(keys: np.ndarray, counts: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """The count of each wanted key, 0 where it isn't among the sorted keys."""
-    if not len(keys):
-        return np.zeros(len(wanted))
-    once, back = np.unique(wanted, return_inverse=True)
-    at = np.minimum(np.searchsorted(keys, once), len(keys) - 1)
-    return np.where(keys[at] == once, counts[at], 0.0)[back]
-
-
-class Grams:
-    """Counts of n-grams, keyed by numbers to a base, and their sums by what comes before the last subword."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, base: int):
-        order = np.argsort(keys)
-        self.keys, self.counts = keys[order], counts[order].astype(np.float64)
-        self.before, starts = np.unique(self.keys // base, return_index=True)
-        self.sums = np.add.reduceat(self.counts, starts) if len(starts) else np.empty(0)
+class Block:
+    """The texts of a block in one line: two ends before each text and one after; places are the subwords and closing ends."""
+
+    def __init__(self, sizes: list[int], ids: bytes, vocabulary: Vocabulary):
+        self.sizes, end = np.array(sizes, np.int64), vocabulary.size
+        flat = np.frombuffer(zlib.decompress(ids), "<u4")
+        starts = np.cumsum(self.sizes + 3) - self.sizes - 3
+        self.line = np.full(int((self.sizes + 3).sum()), end, np.int64)
+        self.real = np.ones(len(self.line), bool)
+        self.real[starts] = self.real[starts + 1] = False
+        inside = self.real.copy()
+        inside[starts + self.sizes + 2] = False
+        self.line[inside] = flat
+        self.starts, self.base = starts, end + 1
+        self.places = np.nonzero(self.real)[0]
+        self.text = np.repeat(np.arange(len(sizes)), self.sizes + 1)
+        self.first = vocabulary.starts[self.line] & self.real  # of a word, or an end
+
+    def words(self) -> tuple[np.ndarray, np.ndarray]:
+        """A key above ``WORDS`` for each word and closing end, and its text."""
+        at = np.nonzero(self.first)[0]
+        # A word runs to the next one's start; two ends stand before the next text.
+        stop = np.append(at[1:], len(self.line))
+        closing = self.line[at] == self.base - 1
+        stop[closing] = at[closing] + 1
+        keys = rolled_prefix(mix(self.line.astype(np.uint64) + np.uint64(1)), at, stop)
+        return (keys >> np.uint64(2)).astype(np.int64) | WORDS, self.text[np.searchsorted(self.places, at)]
+
+    def grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct n-grams ascending, which is at each place (pairs, then triples, then words), and the words' texts."""
+        s, p = self.line, self.places
+        pairs = s[p - 1] * self.base + s[p]
+        triples = (s[p - 2] * self.base + s[p - 1]) * self.base + s[p] + self.base * self.base
+        words, owners = self.words()
+        return *np.unique(np.concatenate([pairs, triples, words]), return_inverse=True), owners
 
-    def of(self, keys: np.ndarray) -> np.ndarray:
-        return found_counts(self.keys, self.counts, keys)
 
-    def after(self, before: np.ndarray) -> np.ndarray:
-        return found_counts(self.before, self.sums, before)
+def part_order(grams: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of n-grams by part, the parts that have any, and where each of these starts."""
+    part = ((grams.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(parts)
+    order = np.argsort(part, kind="stable")
+    return order, *np.unique(part[order].astype(np.int64), return_index=True)
 
 
-def _count_grams(size: int, shared=None):
-    """Counts of pairs; of triples whose pairs are among the shared ones, where these are given."""
+def _count_ids(size: int):
+    """How often the training texts of blocks (held_out, sizes, ids) have each id, and the end as the last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema, base = pa.schema([("at", pa.int64()), ("c", pa.int64())]), size + 1
-        kept = shared.value if shared else None
-
-        def counted(held: list[np.ndarray]) -> pa.RecordBatch:
-            s = np.concatenate(held) if held else np.empty(0, np.int64)
-            pairs = s[:-1] * base + s[1:]
-            # Texts follow each other between two ends: nothing spans two texts.
-            within = ~((s[:-1] == size) & (s[1:] == size))
-            if kept:
-                both = kept.of(pairs) > 0
-                inside = (both[:-1] | ~within[:-1]) & both[1:]
-                pairs = (pairs[:-1] * base + s[2:])[inside]
-            else:
-                pairs = pairs[within]
-            return record(schema, *np.unique(pairs, return_counts=True))
-
-        held, n = [], 0
+        total = np.zeros(size + 1, np.int64)
         for b in batches:
-            for x in b.column(0).to_pylist():
-                held.append(np.concatenate([[size, size], _ids(x), [size]]) if kept else np.concatenate([[size], _ids(x), [size]]))
-                n += len(held[-1])
-                if n >= COUNTED:
-                    yield counted(held)
-                    held, n = [], 0
-        yield counted(held)
+            for held_out, sizes, ids in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                train = ~np.array(held_out, bool)
+                flat = np.frombuffer(zlib.decompress(ids), "<u4")
+                total[:size] += np.bincount(flat[np.repeat(train, sizes)], minlength=size)
+                total[size] += int(train.sum())
+        some = np.nonzero(total)[0]
+        yield record(pa.schema([("at", pa.int64()), ("c", pa.int64())]), some, total[some])
 
     return run
 
 
-def _kept_grams(ids: DataFrame, size: int, total: int, pairs=None) -> Grams:
-    counts = ids.mapInArrow(_count_grams(size, pairs), "at long, c long").groupBy("at").agg(F.sum("c").alias("c"))
-    found = counts.where(F.col("c") * KEPT >= total).toPandas()
-    return Grams(found["at"].to_numpy(np.int64), found["c"].to_numpy(np.int64), size + 1)
-
-
-def block_grams(texts: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct n-grams of texts, ascending, and which of them is at each place: first the pairs, then the triples.
-
-    A place is a subword or the end of a text; triples are numbered beyond all pairs.
-    """
-    base, ends = size + 1, np.array([size])
-    s = np.concatenate([x for t in texts for x in (ends, ends, t, ends)])
-    real = np.ones(len(s), bool)
-    starts = np.cumsum([0, *(len(t) + 3 for t in texts[:-1])])
-    real[starts] = real[starts + 1] = False  # nothing spans two texts
-    pairs = s[:-1] * base + s[1:]
-    triples = (pairs[:-1] * base + s[2:] + base * base)[real[2:]]
-    return np.unique(np.concatenate([pairs[real[1:]], triples]), return_inverse=True)
+def _ask_counts(vocabulary, parts: int):
+    """For each block and part, the block's n-grams and how often its training texts have them."""
 
-
-def part_order(grams: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of n-grams by part, the parts that have any, and where each of these starts."""
-    part = ((grams.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(parts)
-    order = np.argsort(part, kind="stable")
-    return order, *np.unique(part[order].astype(np.int64), return_index=True)
-
-
-def _ask_counts(size: int, parts: int):
-    """For each block (block, held_out, ids) and part, the block's n-grams and how often its training texts have them."""
-
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
-        texts = [_ids(x) for x in rows["ids"].to_pylist()]
-        grams, at = block_grams(texts, size)
-        train = np.repeat(~rows["held_out"].to_numpy(zero_copy_only=False), [len(t) + 1 for t in texts])
-        counts = np.bincount(at, np.tile(train, 2), len(grams)).astype("<u4")
-        order, some, starts = part_order(grams, parts)
-        steps = [zlib.compress(np.diff(x, prepend=0).astype("<i8").tobytes(), 1) for x in np.split(grams[order], starts[1:])]
-        held = [zlib.compress(x.tobytes(), 1) for x in np.split(counts[order], starts[1:])]
-        return pa.Table.from_batches([record(_ASKED, some, np.full(len(some), key[0].as_py()), steps, held)])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for number, held_out, sizes, ids in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                block = Block(sizes, ids, vocabulary.value)
+                grams, at, owners = block.grams()
+                train = ~np.array(held_out, bool)
+                counts = np.bincount(at, np.concatenate([train[block.text], train[block.text], train[owners]]), len(grams)).astype("<u4")
+                order, some, starts = part_order(grams, parts)
+                steps = [zlib.compress(np.diff(x, prepend=0).astype("<i8").tobytes(), 1) for x in np.split(grams[order], starts[1:])]
+                held = [zlib.compress(x.tobytes(), 1) for x in np.split(counts[order], starts[1:])]
+                yield record(_ASKED, some, np.full(len(some), number), steps, held)
 
     return run
 
 
 def _add_counts(key: tuple, rows: pa.Table) -> pa.Table:
-    """What all blocks together have of each n-gram of a part, for each block in the order in which it asked."""
+    """What all blocks together have of each n-gram of a part, for each block in the order in which it asked; and how many words the part's training texts have."""
     asked = [np.cumsum(np.frombuffer(zlib.decompress(x), "<i8")) for x in rows["grams"].to_pylist()]
     counts = np.concatenate([np.frombuffer(zlib.decompress(x), "<u4") for x in rows["counts"].to_pylist()])
     grams, at = np.unique(np.concatenate(asked), return_inverse=True)
-    sums = np.bincount(at, counts, len(grams)).astype("<i8")[at]
-    found = [zlib.compress(x.tobytes(), 1) for x in np.split(sums, np.cumsum([len(x) for x in asked])[:-1])]
-    return pa.Table.from_batches([record(_FOUND, rows["part"].combine_chunks(), rows["block"].combine_chunks(), found)])
-
-
-def gram_counts(tokens: DataFrame, size: int, parts: int) -> DataFrame:
-    """(part, block, counts): the training texts' counts of all n-grams that a block of tokens (block, held_out, ids) has."""
-    asked = tokens.select("block", "held_out", "ids").groupBy("block").applyInArrow(_ask_counts(size, parts), "part long, block long, grams binary, counts binary")
-    return asked.groupBy("part").applyInArrow(_add_counts, "part long, block long, counts binary")
-
-
-def placed_counts(texts: list[np.ndarray], found: pa.Table, size: int, parts: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each text of a block, the counts of the pair and of the triple that end at each place."""
-    grams, at = block_grams(texts, size)
-    counts, (order, some, starts) = np.empty(len(grams)), part_order(grams, parts)
-    blobs = dict(zip(found["part"].to_pylist(), found["counts"].to_pylist(), strict=True))
-    for part, places in zip(some.tolist(), np.split(order, starts[1:]), strict=True):
-        counts[places] = np.frombuffer(zlib.decompress(blobs[part]), "<i8")
-    pairs, triples = np.split(counts[at], 2)
-    cuts = np.cumsum([len(t) + 1 for t in texts])[:-1]
-    return zip(np.split(pairs, cuts), np.split(triples, cuts), strict=True)
-
-
-def _totals(df: DataFrame, size: int) -> np.ndarray:
-    """Counts (at, c) summed over all tasks, as an array of the given size."""
-    found = df.groupBy("at").agg(F.sum("c").alias("c")).toPandas()
-    out = np.zeros(size, np.int64)
-    out[found["at"].to_numpy(np.int64)] = found["c"]
-    return out
+    totals = np.bincount(at, counts, len(grams)).astype("<i8")
+    sums = totals[at]
+    words = [int(((grams >= WORDS) & (totals > 0)).sum())] + [0] * (len(asked) - 1)
+    narrow = "<u4" if totals.max(initial=0) < 2**32 else "<i8"
+    found = [(b"4" if narrow == "<u4" else b"8") + zlib.compress(x.astype(narrow).tobytes(), 1) for x in np.split(sums, np.cumsum([len(x) for x in asked])[:-1])]
+    return pa.Table.from_batches([record(_FOUND, rows["part"].combine_chunks(), rows["block"].combine_chunks(), found, words)])
 
 
-def share_classes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The class of each subword, and its log probability in its class."""
-    order = np.argsort(-counts, kind="stable")
-    mass = np.cumsum(counts[order[OWN:]] + 0.1)
-    classes = np.empty(len(counts), np.int64)
-    classes[order[:OWN]] = np.arange(min(OWN, len(counts)))
-    if len(mass):
-        classes[order[OWN:]] = OWN + np.minimum(SHARED - 1, (mass - 0.05) * SHARED / mass[-1]).astype(np.int64)
-    sums = np.bincount(classes, counts + 0.1, CLASSES)
-    return classes, np.log((counts + 0.1) / sums[classes])
+def _counts_of(blob: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(blob[1:]), "<u4" if blob[:1] == b"4" else "<i8").astype(np.int64)
 
 
-def pair_logs(pairs: np.ndarray) -> np.ndarray:
-    """log P(class | class before), smoothed by the classes' own shares."""
-    pairs = pairs.reshape(CLASSES, CLASSES)
-    own = (pairs.sum(0) + 0.5) / (pairs.sum() + 0.5 * CLASSES)
-    return np.log((pairs + 5 * own) / (pairs.sum(1, keepdims=True) + 5)).astype(np.float32)
+def _joined(vocabulary, parts: int):
+    """A block with the counts of its distinct n-grams in ascending order."""
 
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.to_pylist()[0]
+        grams = Block(row["sizes"], row["ids"], vocabulary.value).grams()[0]
+        order, some, starts = part_order(grams, parts)
+        blobs = dict(zip(right["part"].to_pylist(), right["counts"].to_pylist(), strict=True))
+        counts = np.empty(len(grams), np.int64)
+        for part, places in zip(some.tolist(), np.split(order, starts[1:]), strict=True):
+            counts[places] = _counts_of(blobs[part])
+        narrow = b"4" if counts.max(initial=0) < 2**32 else b"8"
+        blob = narrow + zlib.compress(counts.astype("<u4" if narrow == b"4" else "<i8").tobytes(), 1)
+        return pa.Table.from_batches([record(_COUNTED, *(left[c].combine_chunks() for c in _BLOCKS.names), [blob])])
 
-def windows(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Inputs (windows, CONTEXT + STRIDE) and targets (windows, STRIDE) of a text's classes; PAD where there is none."""
-    n = -(-(len(classes) + 1) // STRIDE)
-    inputs, targets = np.full(CONTEXT + n * STRIDE, PAD), np.full(n * STRIDE, PAD)
-    inputs[CONTEXT] = END
-    inputs[CONTEXT + 1 : CONTEXT + 1 + len(classes)] = classes
-    targets[: len(classes)], targets[len(classes)] = classes, END
-    at = np.arange(n)[:, None] * STRIDE + np.arange(CONTEXT + STRIDE)
-    return inputs[at], targets.reshape(n, STRIDE)
+    return run
+
+
+class Shares:
+    """What every task knows of the training texts: counts of ids (the end is the last), and the classes."""
+
+    def __init__(self, vocabulary: Vocabulary, singles: np.ndarray):
+        self.vocabulary, self.singles, self.total = vocabulary, singles, int(singles.sum())
+        rank = np.empty(len(singles), np.int64)
+        rank[np.argsort(-singles, kind="stable")] = np.arange(len(singles))
+        self.classes = np.where(rank < OWN, rank, OWN + np.arange(len(singles)) % SHARED)
+
+
+class Placed:
+    """A block's places with the values of their memory slots, and its windows."""
+
+    def __init__(self, block: Block, counts: np.ndarray, shares: Shares, train: np.ndarray | None = None):
+        grams, at, self.owners = block.grams()
+        pairs, triples, self.words = np.split(counts[at], [len(block.places), 2 * len(block.places)])
+        self.block, s, p = block, block.line, block.places
+        # A training text leaves its own occurrence out of each count.
+        own = np.zeros(len(p), np.int64) if train is None else train[block.text].astype(np.int64)
+        before = shares.singles[s[p - 1]]
+        before_two = np.where(block.real[p - 1], np.concatenate([[0], pairs[:-1]]), shares.singles[-1])
+        one, two = before - own, before_two - own
+        p_one = (shares.singles[s[p]] - own + 0.1) / (shares.total - own + 0.1 * len(shares.singles))
+        p_two = np.where(one > 0, (pairs - own) / np.maximum(one, 1), 0.0)
+        p_three = np.where(two > 0, (triples - own) / np.maximum(two, 1), 0.0)
+        self.values = np.stack([p_one, p_two, p_three], 1).astype(np.float32)
+        step = lambda c: np.minimum(STEPS - 1, np.where(c > 0, 1 + np.log2(np.maximum(c, 1)), 0)).astype(np.int64)
+        self.row = step(two) * STEPS + step(one)
+        self.open = np.stack([np.ones(len(p), bool), one > 0, two > 0], 1)
+        self.classes = shares.classes[s]
+        # Windows of each text: their first places, and how many places they score.
+        per_text = block.sizes + 1
+        number = -(-per_text // STRIDE)
+        text = np.repeat(np.arange(len(per_text)), number)
+        k = np.arange(len(text)) - np.repeat(np.cumsum(number) - number, number)
+        self.window_text = text
+        self.window_at = block.starts[text] + 2 + k * STRIDE  # in the line
+        self.window_from = np.cumsum(per_text)[text] - per_text[text] + k * STRIDE  # among the places
+        self.window_size = np.minimum(STRIDE, per_text[text] - k * STRIDE)
+        self.text_start = block.starts[text] + 2
+
+    def batch(self, w: slice) -> dict[str, np.ndarray]:
+        """Inputs of the attention for so many windows: (windows, STRIDE) targets and (windows, CONTEXT + STRIDE) keys."""
+        s, last = self.block.line, len(self.block.line) - 1
+        at, size = self.window_at[w, None], self.window_size[w, None]
+        key_at = at - CONTEXT + np.arange(CONTEXT + STRIDE)
+        key_ok = (key_at >= self.text_start[w, None]) & (key_at < at + size)
+        key_at = np.clip(key_at, 2, last)
+        target_at = np.minimum(at + np.arange(STRIDE), last)
+        place = np.minimum(self.window_from[w, None] + np.arange(STRIDE), len(self.row) - 1)
+        return {
+            "real": np.arange(STRIDE) < size, "key_ok": key_ok, "key": s[key_at], "target": s[target_at],
+            "key_class": self.classes[key_at - 1], "query_class": self.classes[target_at - 1],
+            "key_before": s[key_at - 1], "before": s[target_at - 1], "key_before_two": s[key_at - 2], "before_two": s[target_at - 2],
+            "values": self.values[place], "row": self.row[place], "open": self.open[place],
+        }
 
 
 def initial() -> dict[str, np.ndarray]:
     rng = np.random.default_rng(7)
-    out = {k: (0.3 * rng.standard_normal(s)).astype(np.float32) for k, s in _SHAPES.items()}
-    return out | {"out": 0 * out["out"], "near": (-0.1 * np.arange(STRIDE + CONTEXT)).astype(np.float32)}
-
-
-def attend(w: dict[str, np.ndarray], inputs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The attention's shares (windows, STRIDE, CONTEXT + STRIDE) and what it gathers (windows, STRIDE, WIDTH)."""
-    bias = np.where(_OFFSETS >= 0, w["near"][np.maximum(_OFFSETS, 0)], np.float32(-1e9)).astype(np.float32)
-    s = w["q"][inputs[:, CONTEXT:]] @ w["k"][inputs].transpose(0, 2, 1) + bias
-    s += np.where(inputs == PAD, np.float32(-1e9), np.float32(0))[:, None, :]
-    s -= s.max(-1, keepdims=True)
-    np.exp(s, out=s)
-    s /= s.sum(-1, keepdims=True)
-    return s, s @ w["v"][inputs]
-
-
-def class_logs(w: dict[str, np.ndarray], pairs: np.ndarray, inputs: np.ndarray, targets: np.ndarray) -> np.ndarray:
-    """log P of each target's class (0 for padding), in the targets' shape."""
-    gathered = attend(w, inputs)[1].reshape(-1, WIDTH)
-    last, wanted = inputs[:, CONTEXT:].ravel(), targets.ravel()
-    real = np.nonzero(wanted != PAD)[0]
-    z = pairs[last[real]]
-    z += gathered[real] @ w["out"]
-    hit = z[np.arange(len(real)), wanted[real]]
-    top = z.max(-1)
-    z -= top[:, None]
-    np.exp(z, out=z)
-    out = np.zeros(len(wanted))
-    out[real] = hit - top - np.log(z.sum(-1))
-    return out.reshape(targets.shape)
-
-
-def gradients(w: dict[str, np.ndarray], pairs: np.ndarray, inputs: np.ndarray, targets: np.ndarray) -> dict[str, np.ndarray]:
-    """Of the mean negative log probability of the targets' classes."""
-    p, a = attend(w, inputs)
-    queries, wanted = inputs[:, CONTEXT:], targets.ravel()
-    real = wanted != PAD
-    z = pairs[np.where(queries.ravel() == PAD, 0, queries.ravel())] + a.reshape(-1, WIDTH) @ w["out"]
-    z -= z.max(-1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(-1, keepdims=True)
-    z[np.nonzero(real)[0], wanted[real]] -= 1
-    z *= (real / max(1, real.sum()))[:, None].astype(np.float32)
-    da = (z @ w["out"].T).reshape(a.shape)
-    dp = da @ w["v"][inputs].transpose(0, 2, 1)
-    ds = p * (dp - (dp * p).sum(-1, keepdims=True))
-    grads = {"out": a.reshape(-1, WIDTH).T @ z}
-    for name, at, g in (("q", queries, ds @ w["k"][inputs]), ("k", inputs, ds.transpose(0, 2, 1) @ w["q"][queries]), ("v", inputs, p.transpose(0, 2, 1) @ da)):
+    out = {k: np.zeros(s, np.float32) for k, s in _SHAPES.items()}
+    for name in "qk":
+        out[name] = (0.3 * rng.standard_normal(_SHAPES[name])).astype(np.float32)
+    out["near"] -= 4
+    out["same"] += 1
+    two, one = np.divmod(np.arange(STEPS * STEPS), STEPS)
+    out["memory"][:, 1] = 0.7 * one
+    out["memory"][:, 2] = 0.7 * two + 1
+    return out
+
+
+def attend(w: dict[str, np.ndarray], x: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
+    """Each target's attention over the window's places and the memory slots, what each of these gives it, and which places follow one and two equal subwords."""
+    same = x["key_before"][:, None, :] == x["before"][:, :, None]
+    twice = same & (x["key_before_two"][:, None, :] == x["before_two"][:, :, None])
+    bias = w["near"][np.maximum(_OFFSETS, 0)] + _CAUSAL
+    s = w["q"][x["query_class"]] @ w["k"][x["key_class"]].transpose(0, 2, 1)
+    s += bias
+    s += w["same"][0] * same
+    s += w["same"][1] * twice
+    s += np.where(x["key_ok"], np.float32(0), _LOW)[:, None, :]
+    m = np.where(x["open"], w["memory"][x["row"]], _LOW)
+    a = np.concatenate([s, m], 2)
+    a -= a.max(2, keepdims=True)
+    np.exp(a, out=a)
+    a /= a.sum(2, keepdims=True)
+    v = np.concatenate([(x["key"][:, None, :] == x["target"][:, :, None]).astype(a.dtype), x["values"]], 2)
+    return a, v, (same, twice)
+
+
+def probabilities(w: dict[str, np.ndarray], x: dict[str, np.ndarray]) -> np.ndarray:
+    """The probability of each target (windows, STRIDE), whatever stands where there is none."""
+    a, v, _ = attend(w, x)
+    return np.einsum("bij,bij->bi", a, v)
+
+
+def gradients(w: dict[str, np.ndarray], x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Of the mean negative log probability of the targets."""
+    a, v, (same, twice) = attend(w, x)
+    v *= a
+    p = np.maximum(v.sum(2, keepdims=True), 1e-30)
+    # By a slot's logit: its attention less its share of what was given.
+    d = a - v / p
+    d *= (x["real"] / max(1, x["real"].sum()))[:, :, None].astype(d.dtype)
+    ds, dm = d[:, :, : CONTEXT + STRIDE], d[:, :, CONTEXT + STRIDE :]
+    grads = {"near": np.bincount(np.maximum(_OFFSETS, 0).ravel(), (ds.sum(0) * (_OFFSETS > 0)).ravel(), STRIDE + CONTEXT), "same": np.array([ds[same].sum(), ds[twice].sum()])}
+    for name, at, g in (("q", x["query_class"], ds @ w["k"][x["key_class"]]), ("k", x["key_class"], ds.transpose(0, 2, 1) @ w["q"][x["query_class"]])):
         places = at.reshape(-1, 1) * WIDTH + np.arange(WIDTH)
-        grads[name] = np.bincount(places.ravel(), g.ravel(), (CLASSES + 1) * WIDTH).reshape(-1, WIDTH).astype(np.float32)
-    grads["near"] = np.bincount(np.maximum(_OFFSETS, 0).ravel(), (ds.sum(0) * (_OFFSETS >= 0)).ravel(), STRIDE + CONTEXT).astype(np.float32)
+        grads[name] = np.bincount(places.ravel(), g.ravel(), CLASSES * WIDTH).reshape(-1, WIDTH)
+    places = x["row"].reshape(-1, 1) * SLOTS + np.arange(SLOTS)
+    grads["memory"] = np.bincount(places.ravel(), dm.ravel(), STEPS * STEPS * SLOTS).reshape(-1, SLOTS)
     return grads
 
 
 class Trainer:
     """Adam over batches of windows."""
 
-    def __init__(self, weights: dict[str, np.ndarray], pairs: np.ndarray, rate: float):
-        self.w = {k: v.copy() for k, v in weights.items()}
-        self.pairs, self.rate, self.steps, self.tokens = pairs, rate, 0, 0
-        self.m = {k: np.zeros_like(v) for k, v in weights.items()}
-        self.v = {k: np.zeros_like(v) for k, v in weights.items()}
+    def __init__(self, weights: dict[str, np.ndarray], rate: float):
+        self.w, self.rate, self.steps, self.tokens = {k: v.copy() for k, v in weights.items()}, rate, 0, 0
+        self.m, self.v = ({k: np.zeros_like(v) for k, v in weights.items()} for _ in range(2))
 
-    def step(self, inputs: np.ndarray, targets: np.ndarray) -> None:
+    def step(self, x: dict[str, np.ndarray]) -> None:
         self.steps += 1
-        self.tokens += int((targets != PAD).sum())
-        for k, g in gradients(self.w, self.pairs, inputs, targets).items():
+        self.tokens += int(x["real"].sum())
+        for k, g in gradients(self.w, x).items():
+            g = g.astype(self.w[k].dtype)
             self.m[k] += 0.1 * (g - self.m[k])
             self.v[k] += 0.01 * (g * g - self.v[k])
             self.w[k] -= self.rate * (self.m[k] / (1 - 0.9**self.steps)) / (np.sqrt(self.v[k] / (1 - 0.99**self.steps)) + 1e-8)
@@ -389,24 +382,16 @@ def _unflat(values: np.ndarray) -> dict[str, np.ndarray]:
     return {k: x.reshape(s).astype(np.float32) for (k, s), x in zip(_SHAPES.items(), np.split(values, cuts), strict=True)}
 
 
-def _train(shared, classes, number: int, every: int, batch: int, rate: float):
+def _train(shared, shares, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, pairs = shared.value
-        trainer, held, n = Trainer(weights, pairs, rate), [], 0
+        trainer = Trainer(shared.value, rate)
         for b in batches:
-            for key, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                inputs, targets = windows(classes.value[_ids(blob)])
-                own = slice((number - key) % every, None, every)
-                held.append((inputs[own], targets[own]))
-                n += len(held[-1][0])
-                if n >= batch:
-                    x, y = (np.concatenate(z) for z in zip(*held, strict=True))
-                    for at in range(0, len(x), batch):
-                        trainer.step(x[at : at + batch], y[at : at + batch])
-                    held, n = [], 0
-        if n:
-            x, y = (np.concatenate(z) for z in zip(*held, strict=True))
-            trainer.step(x, y)
+            for held_out, sizes, ids, counts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                train = ~np.array(held_out, bool)
+                placed = Placed(Block(sizes, ids, shares.value.vocabulary), _counts_of(counts), shares.value, train)
+                order = np.random.default_rng(len(sizes)).permutation(np.nonzero(train[placed.window_text])[0])
+                for at in range(0, len(order), BATCH):
+                    trainer.step(placed.batch(order[at : at + BATCH]))
         if trainer.tokens:
             values = _flat(trainer.w)
             yield record(pa.schema([("at", pa.int32()), ("x", pa.float64()), ("n", pa.float64())]), np.arange(len(values)), values * float(trainer.tokens), np.full(len(values), float(trainer.tokens)))
@@ -414,130 +399,65 @@ def _train(shared, classes, number: int, every: int, batch: int, rate: float):
     return run
 
 
-def train(tokens: DataFrame, classes, pairs: np.ndarray, *, rounds: int = 2, every: int = 1, batch: int = 64, rate: float = 0.01) -> dict[str, np.ndarray]:
-    """Weights trained over tokens (key, ids), by rounds of averaging."""
+def train(counted: DataFrame, shares, *, rounds: int = 1, rate: float = 0.02) -> dict[str, np.ndarray]:
+    """Weights trained over all windows of the training texts in blocks with counts, by rounds of averaging."""
     weights = initial()
-    for number in range(rounds):
-        shared = tokens.sparkSession.sparkContext.broadcast((weights, pairs))
-        parts = tokens.select("key", "ids").mapInArrow(_train(shared, classes, number, every, batch, rate), "at int, x double, n double")
+    for _ in range(rounds):
+        shared = counted.sparkSession.sparkContext.broadcast(weights)
+        parts = counted.select("held_out", "sizes", "ids", "counts").mapInArrow(_train(shared, shares, rate), "at int, x double, n double")
         mean = parts.groupBy("at").agg((F.sum("x") / F.sum("n")).alias("x")).orderBy("at").toPandas()
         if len(mean):
             weights = _unflat(mean["x"].to_numpy())
     return weights
 
 
-def mixed(p: np.ndarray, single: np.ndarray, followed: np.ndarray, pair: np.ndarray, before: np.ndarray, before_followed: np.ndarray, triple: np.ndarray) -> np.ndarray:
-    """The attention's p and what a triple backs off to: counts of the subword and the pair before, in all and where what follows is counted, and of the pair and the triple."""
-    of_pair = (pair + (single - followed + PAIR_BACK) * p) / (single + PAIR_BACK)
-    of_triple = (triple + (before - before_followed + TRIPLE_BACK) * of_pair) / (before + TRIPLE_BACK)
-    return ATTENTION_SHARE * p + (1 - ATTENTION_SHARE) * of_triple
-
-
-class Model:
-    """Attention over classes, and the counts of subwords (and of ends, the last); pairs and triples, where texts don't bring theirs."""
-
-    def __init__(self, weights: dict[str, np.ndarray], pairs: np.ndarray, classes: np.ndarray, inner: np.ndarray, singles: np.ndarray, twos: Grams | None = None, threes: Grams | None = None):
-        self.weights, self.pairs, self.classes, self.inner = weights, pairs, classes, np.append(inner, 0.0)
-        self.singles, self.twos, self.threes = singles, twos, threes
-
-    def sharpened(self, p: np.ndarray, first: np.ndarray, second: np.ndarray, third: np.ndarray) -> np.ndarray:
-        """The probability of third after first and second, where the attention gives it p."""
-        base = len(self.singles)
-        before = first * base + second
-        held = self.threes.after(before)
-        return mixed(p, self.singles[second], self.twos.after(second), self.twos.of(second * base + third), np.maximum(self.twos.of(before), held), held, self.threes.of(before * base + third))
-
-    def log10(self, ids: np.ndarray, group: int = 128, counts: tuple[np.ndarray, np.ndarray] | None = None) -> float:
-        """The log10 probability of a text's subwords and its end; counts are those of the pair and the triple that end at each place."""
-        inputs, targets = windows(self.classes[ids])
-        end = len(self.singles) - 1
-        line, total = np.concatenate([[end, end], ids, [end]]), 0.0
-        for i in range(0, len(inputs), group):
-            part = line[i * STRIDE : (i + group) * STRIDE + 2]
-            logs = class_logs(self.weights, self.pairs, inputs[i : i + group], targets[i : i + group]).ravel()[: len(part) - 2]
-            p = np.exp(logs + self.inner[part[2:]])
-            if counts is None:
-                p = self.sharpened(p, part[:-2], part[1:-1], part[2:])
-            else:  # All are counted, so something follows each time; two ends come before each text.
-                at = slice(i * STRIDE, i * STRIDE + len(p))
-                single, before = self.singles[part[1:-1]], np.append(self.singles[end], counts[0][:-1])[at]
-                p = mixed(p, single, single, counts[0][at], before, before, counts[1][at])
-            total += float(np.log10(p).sum())
-        return total
-
-
-def _score(model, size: int, parts: int):
-    def run(rows: pa.Table, found: pa.Table) -> pa.Table:
-        texts = [_ids(x) for x in rows["ids"].to_pylist()]
-        scores = [model.value.log10(t, counts=c) for t, c in zip(texts, placed_counts(texts, found, size, parts), strict=True)]
-        return pa.Table.from_batches([record(_SCORED, *(rows[c].combine_chunks() for c in ("key", "doc_id", "held_out", "n_tokens")), scores)])
-
-    return run
-
-
-def _base(shared, total: float, denominator: float, end: int):
-    schema = pa.schema([("key", pa.int64()), ("word", pa.binary()), ("times", pa.int64()), ("part", pa.float64()), ("known", pa.int64())])
+def _score(weights, shares, total: int, distinct: int):
+    denominator = total + 0.1 * (distinct + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs = {word: float(np.log10((c + 0.1) / denominator)) for word, c in shared.value.items()}
-        for b in slices(batches, 1):
-            out: list[list] = [[], [], [], [], []]
-            for key, x in zip(b.column(0).to_pylist(), encoded(b, 1), strict=True):
-                part, known = float(np.log10((end + 0.1) / denominator)), int(end > 0)
-                rest = []
-                for word, times in Counter(x.lower().split()).items():
-                    word = word_key(word)
-                    if word in logs:
-                        part += times * logs[word]
-                        known += times
-                    else:
-                        rest.append((key, word, times, None, None))
-                # The row of the frequent words bears a key that no word has.
-                rest.append((key, b"\0row" + key.to_bytes(8, "little", signed=True), 0, part, known))
-                for column, values in zip(out, zip(*rest, strict=True), strict=True):
-                    column.extend(values)
-            yield record(schema, *out)
+        w = weights.value
+        for b in batches:
+            for _, doc_ids, held_out, sizes, ids, counts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                placed = Placed(Block(sizes, ids, shares.value.vocabulary), _counts_of(counts), shares.value)
+                scores = np.zeros(len(sizes))
+                for at in range(0, len(placed.window_at), BATCH):
+                    part = slice(at, at + BATCH)
+                    x = placed.batch(part)
+                    logs = np.where(x["real"], np.log10(np.maximum(probabilities(w, x), 1e-30)), 0).sum(1, dtype=np.float64)
+                    scores += np.bincount(placed.window_text[part], logs, len(sizes))
+                n = np.bincount(placed.owners, minlength=len(sizes))
+                known = np.bincount(placed.owners, placed.words > 0, len(sizes)).astype(np.int64)
+                base = np.bincount(placed.owners, np.log10((placed.words + 0.1) / denominator), len(sizes))
+                yield record(_SCORED, pa.array(doc_ids, pa.int64()), held_out, n, known, base, scores)
 
     return run
 
 
-def base_scores(rows: DataFrame, train_rows: DataFrame) -> tuple[DataFrame, int]:
-    """(key, base_score, n_known) by word counts over train_rows, and the number of training tokens."""
+def counted_blocks(rows: DataFrame, tokenizer: str, block: int = BLOCK) -> tuple[DataFrame, object, int, int]:
+    """Blocks of rows (doc_id, held_out, text) with the training texts' counts of all their n-grams; what tasks share; training tokens and different ones."""
     spark = rows.sparkSession
-    counts = checkpointed(train_rows.select("text").mapInArrow(_count_words, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")))
-    n_words, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    end = train_rows.count()
-    total, distinct = n_words + end, distinct + (end > 0)
-    denominator = total + 0.1 * (distinct + 1)
-    hot = {bytes(r["word"]): r["c"] for r in counts.where(F.col("c") * HOT >= total).toLocalIterator()}
-    parts = rows.select("key", "text").mapInArrow(_base(spark.sparkContext.broadcast(hot), total, denominator, end), "key long, word binary, times long, part double, known long")
-    found = parts.join(counts.where(F.col("c") * HOT < total), "word", "left")
-    value = F.coalesce("part", F.col("times") * F.log10((F.coalesce("c", F.lit(0)) + 0.1) / F.lit(denominator)))
-    known = F.coalesce("known", F.when(F.col("c") > 0, F.col("times")).otherwise(0))
-    # Rows of one key are equal rows: what they sum to is shared out again.
-    sums = found.groupBy("key").agg(F.sum(value).alias("s"), F.sum(known).alias("k"), F.count("part").alias("rows"))
-    return sums.select("key", (F.col("s") / F.col("rows")).alias("base_score"), (F.col("k") / F.col("rows")).cast("long").alias("n_known")), total
+    vocabulary = Vocabulary(tokenizer)
+    blocks = written(rows.select("doc_id", "held_out", "text").mapInArrow(_blocks(tokenizer, block), _BLOCKS_DDL))
+    found = blocks.select("held_out", "sizes", "ids").mapInArrow(_count_ids(vocabulary.size), "at long, c long").groupBy("at").agg(F.sum("c").alias("c")).toPandas()
+    singles = np.zeros(vocabulary.size + 1, np.int64)
+    singles[found["at"].to_numpy(np.int64)] = found["c"]
+    shares = Shares(vocabulary, singles)
+    places = blocks.agg(F.coalesce(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda x, y: x + y) + F.size("sizes")), F.lit(0))).first()[0]
+    # Each subword and each end of a text closes a pair and a triple.
+    parts = max(1, -(-2 * places // PART_GRAMS))
+    shared = spark.sparkContext.broadcast(vocabulary)
+    asked = blocks.select("block", "held_out", "sizes", "ids").mapInArrow(_ask_counts(shared, parts), "part long, block long, grams binary, counts binary")
+    summed = written(asked.groupBy("part").applyInArrow(_add_counts, "part long, block long, counts binary, words long"))
+    counted = written(blocks.groupBy("block").cogroup(summed.select("part", "block", "counts").groupBy("block")).applyInArrow(_joined(shared, parts), _BLOCKS_DDL + ", counts binary"))
+    distinct = summed.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
+    word_starts = int(singles[vocabulary.starts].sum())
+    return counted, spark.sparkContext.broadcast(shares), word_starts, distinct
 
 
-def score_texts(df: DataFrame, tokenizer: str, *, text: str = "text", folds: int = 10, held_out_fold: int = 0, every: int = 1, block: int = BLOCK) -> DataFrame:
+def score_texts(df: DataFrame, tokenizer: str, *, text: str = "text", folds: int = 10, held_out_fold: int = 0, block: int = BLOCK, rounds: int = 1) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of df (doc_id, text)."""
-    spark = df.sparkSession
-    rows = df.select(F.xxhash64("doc_id", text).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), (crc_mod("doc_id", folds) == held_out_fold).alias("held_out"), F.col(text).alias("text"))
-    base, total = base_scores(rows, rows.where("not held_out"))
-    tokens = checkpointed(rows.mapInArrow(_tokenise(tokenizer, block), "key long, doc_id long, held_out boolean, n_tokens long, ids binary, n_ids long, block long"))
-    known = tokens.where("not held_out")
-    with open(tokenizer, encoding="utf-8") as f:
-        spec = json.load(f)
-    size = 1 + max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])])
-    singles = _totals(known.select("ids").mapInArrow(_count_ids(size), "at long, c long"), size)
-    class_of, inner = share_classes(singles)
-    classes = spark.sparkContext.broadcast(class_of)
-    pairs = pair_logs(_totals(known.select("ids").mapInArrow(_count_pairs(classes), "at long, c long"), CLASSES * CLASSES))
-    weights = train(known, classes, pairs, every=every)
-    ends = known.count()
-    # Each subword and each end of a text closes a pair and a triple.
-    parts = max(1, -(-2 * tokens.agg(F.coalesce(F.sum(F.col("n_ids") + 1), F.lit(0))).first()[0] // PART_GRAMS))
-    model = spark.sparkContext.broadcast(Model(weights, pairs, class_of, inner, np.append(singles, ends)))
-    blocks = tokens.select("key", "doc_id", "held_out", "n_tokens", "ids", "block").groupBy("block")
-    scored = blocks.cogroup(gram_counts(tokens, size, parts).groupBy("block")).applyInArrow(_score(model, size, parts), "key long, doc_id long, held_out boolean, n_tokens long, score double")
-    return scored.join(base, "key").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_mod("doc_id", folds) == held_out_fold).alias("held_out"), F.col(text).alias("text"))
+    counted, shares, total, distinct = counted_blocks(rows, tokenizer, block)
+    weights = df.sparkSession.sparkContext.broadcast(train(counted, shares, rounds=rounds))
+    scored = counted.mapInArrow(_score(weights, shares, total, distinct), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

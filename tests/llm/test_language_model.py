@@ -3,147 +3,202 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from glosswork.llm import language_model as lm
 from glosswork.llm.queries import tokenizer_path
+from glosswork.llm.tokens import Encoder
 
-ROWS = [(i, " ".join(["The", "cat", "sat", f"w{i % 7}", "on"] * (1 + i % 9))) for i in range(60)] + [(60, None), (61, ""), (62, "x" * 9000), (62, "x" * 9000), (None, "The  dog\n"), (63, "new " * 300)]
+ROWS = [(i, " ".join(["The", "cat", "sat", f"w{i % 7}", "on"] * (1 + i % 9))) for i in range(60)] + [(60, None), (61, ""), (62, "x" * 9000), (62, "x" * 9000), (None, "The  dog\n"), (63, "new " * 300), (64, "a    b"), (65, "naïve größer été")]
 
 
 def lower(text):
-    return (text or "").lower().encode().split()
-
-
-def test_scores(spark):
-    df = spark.createDataFrame([(a, b, 1) for a, b in ROWS], "doc_id long, text string, key int")
-    found = lm.score_texts(df, tokenizer_path(), every=2).collect()
-    train = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 != 0
-    counts = Counter(w for i, t in ROWS if train(i) for w in [*lower(t), "end"])
+    return (text or "").encode().lower().split()
+
+
+def in_training(doc_id):
+    return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 10 != 0
+
+
+def text_ids(encoder, text):
+    return [int(x) for w in lower(text) for x in encoder.ids((b" " + w).decode())]
+
+
+def plain_probability(w, shares, counts, s, t, own):
+    """The probability of s[t] (s: two ends, subwords, an end) slot by slot; own: occurrences to leave out of the counts."""
+    singles, pairs, triples, total = counts
+    end, first = len(singles) - 1, 2
+    window = first + (t - first) // lm.STRIDE * lm.STRIDE
+    logits, values = [], []
+    for j in range(max(first, window - lm.CONTEXT), t):
+        z = float(w["q"][shares.classes[s[t - 1]]] @ w["k"][shares.classes[s[j - 1]]]) + w["near"][t - j]
+        if s[j - 1] == s[t - 1]:
+            z += w["same"][0] + (w["same"][1] if s[j - 2] == s[t - 2] else 0)
+        logits.append(z)
+        values.append(float(s[j] == s[t]))
+    one = singles[s[t - 1]] - own
+    two = (pairs[s[t - 2], s[t - 1]] if t > first else singles[end]) - own
+    step = lambda c: min(lm.STEPS - 1, 1 + int(math.log2(c))) if c > 0 else 0
+    memory = w["memory"][step(two) * lm.STEPS + step(one)]
+    logits.append(memory[0])
+    values.append((singles[s[t]] - own + 0.1) / (total - own + 0.1 * len(singles)))
+    if one > 0:
+        logits.append(memory[1])
+        values.append((pairs[s[t - 1], s[t]] - own) / one)
+    if two > 0:
+        logits.append(memory[2])
+        values.append((triples[s[t - 2], s[t - 1], s[t]] - own) / two)
+    a = np.exp(np.array(logits, float) - max(logits))
+    return float(a @ np.array(values) / a.sum())
+
+
+def counted(lines, size):
+    singles, pairs, triples = np.zeros(size + 1, np.int64), Counter(), Counter()
+    for s in lines:
+        for t in range(2, len(s)):
+            singles[s[t]] += 1
+            pairs[s[t - 1], s[t]] += 1
+            triples[s[t - 2], s[t - 1], s[t]] += 1
+    return singles, pairs, triples, int(singles.sum())
+
+
+@pytest.fixture(scope="module")
+def scored(spark):
+    """The rows' results and the weights that gave them, from blocks of 400 subwords and small parts."""
+    held, train = [], lm.train
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(lm, "PART_GRAMS", 500)
+        patch.setattr(lm, "train", lambda *a, **k: held.append(train(*a, **k)) or held[-1])
+        df = spark.createDataFrame([(a, b, 1) for a, b in ROWS], "doc_id long, text string, block int").repartition(3)
+        return lm.score_texts(df, tokenizer_path(), block=400).collect(), held[0]
+
+
+def test_base_scores_equal_brute_force(scored):
+    counts = Counter(w for i, t in ROWS if in_training(i) for w in [*lower(t), "end"])
     n, v = sum(counts.values()), len(counts)
     expected = []
     for i, t in ROWS:
         words = [*lower(t), "end"]
         base = sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in words)
-        expected.append((i, not train(i), len(words), sum(counts[w] > 0 for w in words), n, round(base, 6)))
-    assert sorted(expected, key=str) == sorted(((*r[:5], round(r[5], 6)) for r in found), key=str)
-    assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in found)
+        expected.append((i, not in_training(i), len(words), sum(counts[w] > 0 for w in words), n, round(base, 6)))
+    assert sorted(expected, key=str) == sorted(((*r[:5], round(r[5], 6)) for r in scored[0]), key=str)
 
 
-def test_windows_score_each_token_once_and_causally():
-    rng = np.random.default_rng(1)
-    w = lm.initial() | {"out": rng.standard_normal((lm.WIDTH, lm.CLASSES)).astype(np.float32)}
-    pairs = lm.pair_logs(rng.integers(0, 9, lm.CLASSES**2))
-    for n in (0, 1, 31, 32, 33, 200):
-        c = rng.integers(0, lm.CLASSES, n)
-        inputs, targets = lm.windows(c)
-        assert targets[targets != lm.PAD].tolist() == [*c, lm.END]
-        logs = lm.class_logs(w, pairs, inputs, targets).ravel()[: n + 1]
-        seen = [lm.END, *c]
-        for t in range(n + 1):  # one token at a time, from no more than the window holds
-            before = seen[max(0, t // lm.STRIDE * lm.STRIDE - lm.CONTEXT) : t + 1]
-            s = np.array([w["q"][seen[t]] @ w["k"][x] + w["near"][len(before) - 1 - i] for i, x in enumerate(before)])
-            p = np.exp(s - s.max())
-            z = pairs[seen[t]] + (p / p.sum()) @ w["v"][before] @ w["out"]
-            assert abs(z[[*c, lm.END][t]] - np.log(np.exp(z - z.max()).sum()) - z.max() - logs[t]) < 1e-3
+def test_scores_equal_brute_force_from_the_texts_on(scored):
+    found, w = scored
+    encoder, vocabulary = Encoder(tokenizer_path()), lm.Vocabulary(tokenizer_path())
+    end = vocabulary.size
+    line = lambda t: [end, end, *text_ids(encoder, t), end]
+    counts = counted([line(t) for i, t in ROWS if in_training(i)], end)
+    shares = lm.Shares(vocabulary, counts[0])
+    expected = []
+    for i, t in ROWS:
+        s = line(t)
+        expected.append((i, len(lower(t)) + 1, sum(math.log10(plain_probability(w, shares, counts, s, at, 0)) for at in range(2, len(s)))))
+    key = lambda r: (str(r[0]), r[1], round(r[2], 2))
+    for one, two in zip(sorted(expected, key=key), sorted(((r["doc_id"], r["n_tokens"], r["score"]) for r in found), key=key), strict=True):
+        assert one[:2] == two[:2] and abs(one[2] - two[2]) < 1e-3 * max(1, abs(one[2])), (one, two)
 
 
-def test_gradients_and_learning():
-    rng = np.random.default_rng(2)
-    c = np.tile(rng.integers(0, 8, 5), 40)
-    inputs, targets = lm.windows(c)
-    pairs = lm.pair_logs(np.zeros(lm.CLASSES**2, np.int64))
-    w = {k: v.astype(np.float64) for k, v in (lm.initial() | {"out": 0.3 * rng.standard_normal((lm.WIDTH, lm.CLASSES))}).items()}
-    loss = lambda: -lm.class_logs(w, pairs.astype(float), inputs, targets).sum() / (targets != lm.PAD).sum()
-    g = lm.gradients(w, pairs.astype(float), inputs, targets)
-    for name, at in (("q", (int(c[0]), 1)), ("k", (int(c[1]), 2)), ("v", (int(c[2]), 3)), ("near", (4,)), ("out", (5, int(c[3])))):
-        w[name][at] += 1e-3
-        up = loss()
-        w[name][at] -= 2e-3
-        down = loss()
-        w[name][at] += 1e-3
-        assert abs((up - down) / 2e-3 - g[name][at]) < 1e-4, name
-    trainer, before = lm.Trainer(lm.initial(), pairs, 0.01), loss()
-    for _ in range(150):
-        trainer.step(inputs, targets)
-    assert -lm.class_logs(trainer.w, pairs, inputs, targets).sum() / (targets != lm.PAD).sum() < before / 3
-
-
-def test_probabilities_add_up_to_one():
-    rng, size = np.random.default_rng(3), 300
-    classes, inner = lm.share_classes(rng.integers(0, 50, size))
-    w = lm.initial() | {"out": rng.standard_normal((lm.WIDTH, lm.CLASSES)).astype(np.float32)}
-    texts = [rng.integers(0, 12, n) for n in (0, 1, 5, 200)]
-    lines = [[size, size, *t, size] for t in texts]
-    twos, threes = Counter(x for s in lines for x in zip(s[1:], s[2:])), Counter(x for s in lines for x in zip(s, s[1:], s[2:]))
-    grams = lambda c: lm.Grams(np.array([sum(v * (size + 1) ** (len(k) - 1 - i) for i, v in enumerate(k)) for k in c], np.int64), np.array(list(c.values())), size + 1)
-    some = {k: c for k, c in threes.items() if c > 1}  # what isn't kept goes to the back-off
-    model = lm.Model(w, lm.pair_logs(rng.integers(0, 9, lm.CLASSES**2)), classes, inner, np.append(np.bincount(np.concatenate(texts), minlength=size), len(texts)), grams(twos), grams(some))
-    p = np.append(rng.random(size), 0.1)
-    p /= p.sum()
-    for first, second in ((size, size), (size, 3), (3, 4), (290, 291)):
-        every = np.arange(size + 1)
-        assert abs(model.sharpened(p, np.full(size + 1, first), np.full(size + 1, second), every).sum() - 1) < 1e-9
-    # After any context, the attention's own probabilities add up to one as well; a text's is the same in groups of any size.
-    assert abs(model.log10(texts[3], 1) - model.log10(texts[3])) < 1e-6
-
-
-def test_grams_are_counted_within_texts(spark):
-    df = spark.createDataFrame([("a b",), ("b",), ("",), ("a b",)], "text string")
-    ids = {"a": 1, "b": 2}
-    blobs = spark.createDataFrame([(zlib.compress(np.array([ids[w] for w in r["text"].split()], "<u4").tobytes()),) for r in df.collect()], "ids binary")
-    twos = lm._kept_grams(blobs, 9, 10)
-    assert dict(zip(twos.keys.tolist(), twos.counts.tolist())) == {12: 2, 29: 3, 91: 2, 92: 1}
-    threes = lm._kept_grams(blobs, 9, 10, spark.sparkContext.broadcast(twos))
-    assert dict(zip(threes.keys.tolist(), threes.counts.tolist())) == {129: 2, 912: 2, 929: 1, 991: 2, 992: 1}
-
-
-def test_empty_table(spark):
-    assert lm.score_texts(spark.createDataFrame([], "doc_id long, text string"), tokenizer_path()).count() == 0
+class Small:
+    """A vocabulary of nine ids, of which 0 to 4 begin words."""
 
+    size, starts = 9, np.array([True] * 5 + [False] * 4 + [True])
 
-def test_counts_of_all_pairs_and_triples_reach_each_place(spark):
-    rng = np.random.default_rng(4)
-    texts = [rng.integers(0, 9, n).tolist() for n in (0, 1, 2, 7, 40, 90, 33)]
-    rows = [(i // 2, i % 3 == 1, zlib.compress(np.array(t, "<u4").tobytes())) for i, t in enumerate(texts)]
-    lines = [[9, 9, *t, 9] for i, t in enumerate(texts) if i % 3 != 1]
-    twos, threes = Counter(x for s in lines for x in zip(s[1:], s[2:])), Counter(x for s in lines for x in zip(s, s[1:], s[2:]))
-    found = lm.gram_counts(spark.createDataFrame(rows, "block long, held_out boolean, ids binary"), 9, 5).toArrow()
-    for block in range(4):
-        own = [np.array(t, np.int64) for i, t in enumerate(texts) if i // 2 == block]
-        mine = found.filter([b == block for b in found["block"].to_pylist()])
-        for t, (pairs, triples) in zip(own, lm.placed_counts(own, mine, 9, 5), strict=True):
-            s = [9, 9, *t.tolist(), 9]
-            assert pairs.tolist() == [twos[x] for x in zip(s[1:], s[2:])]
-            assert triples.tolist() == [threes[x] for x in zip(s, s[1:], s[2:])]
 
+def placed(texts, train=None):
+    lines = [[9, 9, *t, 9] for t in texts]
+    counts = counted(lines, 9)
+    blob = zlib.compress(np.array([x for t in texts for x in t], "<u4").tobytes())
+    block = lm.Block([len(t) for t in texts], blob, Small)
+    grams, at, owners = block.grams()
+    return lm.Placed(block, np.bincount(at, minlength=len(grams)), lm.Shares(Small, counts[0]), train), lines, counts
 
-def test_no_count_is_left_out_of_scores(spark, monkeypatch):
-    df = spark.createDataFrame(ROWS, "doc_id long, text string")
-    key = lambda r: (str(r["doc_id"]), r["n_tokens"])
-    score = lambda **k: [r["score"] for r in sorted(lm.score_texts(df, tokenizer_path(), **k).collect(), key=key)]
-    whole = score()
-    monkeypatch.setattr(lm, "KEPT", 1)  # the scores don't hang on what a limit keeps, nor on how texts fall into blocks and parts
-    monkeypatch.setattr(lm, "PART_GRAMS", 500)
-    assert np.allclose(whole, score(block=100), atol=1e-6)
 
+def some_weights(seed):
+    rng = np.random.default_rng(seed)
+    return {k: v + 0.3 * rng.standard_normal(v.shape) for k, v in lm.initial().items()}
+
+
+def test_windows_score_each_token_once_causally_and_leave_own_counts_out():
+    rng = np.random.default_rng(1)
+    texts = [rng.integers(0, 9, n).tolist() for n in (0, 1, 31, 32, 33, 200)]
+    train, w = np.array([True, False, True, False, True, True]), some_weights(2)
+    p, lines, counts = placed(texts, train)
+    shares, seen = lm.Shares(Small, counts[0]), [[] for _ in texts]
+    for at in range(0, len(p.window_at), 3):
+        x = p.batch(slice(at, at + 3))
+        for text, real, row in zip(p.window_text[at : at + 3], x["real"], lm.probabilities(w, x), strict=True):
+            seen[text] += row[real].tolist()
+    for text, s in enumerate(lines):
+        expected = [plain_probability(w, shares, counts, s, t, int(train[text])) for t in range(2, len(s))]
+        assert np.allclose(expected, seen[text], rtol=1e-4), text
+
+
+def test_probabilities_of_all_subwords_and_the_end_add_up_to_one():
+    texts, w = [[0, 1, 2, 0, 1], [3, 3, 3], [], [0, 5, 6] * 20], some_weights(3)
+    _, lines, counts = placed(texts)
+    shares = lm.Shares(Small, counts[0])
+    for s, t in ((lines[0], 6), (lines[0], 2), (lines[1], 4), (lines[3], 50)):
+        assert abs(sum(plain_probability(w, shares, counts, [*s[:t], x], t, 0) for x in range(10)) - 1) < 1e-6
 
-def test_a_round_trains_on_all_windows(spark, monkeypatch):
-    texts = [np.arange(n) % 9 for n in (0, 5, 31, 32, 700, 64)]
-    rows = [(i, zlib.compress(t.astype("<u4").tobytes())) for i, t in enumerate(texts)]
-    tokens = spark.createDataFrame(rows, "key long, ids binary").coalesce(1)
-    classes = spark.sparkContext.broadcast(np.arange(9))
-    seen = []  # how much the rounds' tasks trained on, as they report it with their weights
+
+def test_gradients_and_learning():
+    rng = np.random.default_rng(2)
+    p, _, _ = placed([np.tile(rng.integers(0, 9, 7), 40).tolist(), rng.integers(0, 9, 100).tolist()], np.array([True, True]))
+    w, x = some_weights(4), p.batch(slice(0, 9))
+    loss = lambda w: -(np.log(lm.probabilities(w, x)) * x["real"]).sum() / x["real"].sum()
+    g = lm.gradients(w, x)
+    row, one, two = int(x["row"][3, 4]), int(x["query_class"][2, 3]), int(x["key_class"][4, 40])
+    for name, at in (("q", (one, 1)), ("k", (two, 2)), ("near", (4,)), ("same", (0,)), ("same", (1,)), ("memory", (row, 1)), ("memory", (row, 2))):
+        kept = w[name][at]
+        w[name][at] = kept + 1e-4
+        up = loss(w)
+        w[name][at] = kept - 1e-4
+        down = loss(w)
+        w[name][at] = kept
+        assert abs((up - down) / 2e-4 - g[name][at]) < 1e-5, name
+    trainer = lm.Trainer(lm.initial(), 0.02)
+    before = loss(trainer.w)
+    for _ in range(60):
+        trainer.step(x)
+    assert loss(trainer.w) < before - 0.1
+
+
+def test_a_round_trains_on_all_windows_of_training_texts(spark, monkeypatch):
+    df = spark.createDataFrame(ROWS, "doc_id long, text string")
+    seen = []
     run = lm._train
     monkeypatch.setattr(lm, "_train", lambda *a: seen.append(a) or run(*a))
-    lm.train(tokens, classes, lm.pair_logs(np.zeros(lm.CLASSES**2, np.int64)))
+    rows = df.selectExpr("doc_id", "crc32(cast(cast(doc_id as string) as binary)) % 10 = 0 or doc_id is null held_out", "text")
+    blocks, shares, _, _ = lm.counted_blocks(rows, tokenizer_path(), 300)
+    lm.train(blocks, shares, rounds=2)
+    encoder = Encoder(tokenizer_path())
     assert len(seen) == 2
     for arguments in seen:
-        n = tokens.mapInArrow(run(*arguments), "at int, x double, n double").first()["n"]
-        assert n == sum(len(t) + 1 for t in texts)
+        each = blocks.select("held_out", "sizes", "ids", "counts").coalesce(1).mapInArrow(run(*arguments), "at int, x double, n double")
+        assert each.first()["n"] == sum(len(text_ids(encoder, t)) + 1 for i, t in ROWS if in_training(i))
+
+
+def test_scores_dont_hang_on_blocks_and_parts(spark, monkeypatch):
+    df = spark.createDataFrame(ROWS, "doc_id long, text string")
+    key = lambda r: (str(r["doc_id"]), r["n_tokens"], r["base_score"])
+    monkeypatch.setattr(lm, "train", lambda *a, **k: lm.initial())
+    score = lambda **k: [r["score"] for r in sorted(lm.score_texts(df, tokenizer_path(), **k).collect(), key=key)]
+    whole = score()
+    monkeypatch.setattr(lm, "PART_GRAMS", 500)
+    assert np.allclose(whole, score(block=100), rtol=1e-5)
 
 
-def test_scores_with_the_production_parameters(spark, monkeypatch):
+def test_training_helps_on_held_out_texts(spark, monkeypatch):
     df = spark.createDataFrame([(i, " ".join(f"w{(i + j) % 11}" for j in range(1 + 7 * (i % 40)))) for i in range(160)], "doc_id long, text string")
     trained = lm.score_texts(df, tokenizer_path()).where("held_out").agg({"score": "sum"}).first()[0]
     monkeypatch.setattr(lm, "train", lambda *a, **k: lm.initial())
     assert trained > lm.score_texts(df, tokenizer_path()).where("held_out").agg({"score": "sum"}).first()[0]
+
+
+def test_empty_table_and_no_training_texts(spark):
+    assert lm.score_texts(spark.createDataFrame([], "doc_id long, text string"), tokenizer_path()).count() == 0
+    found = lm.score_texts(spark.createDataFrame([(None, "a b"), (None, None)], "doc_id long, text string"), tokenizer_path()).collect()
+    assert [(r["held_out"], r["n_known"], r["train_tokens"]) for r in found] == [(True, 0, 0)] * 2
+    assert all(math.isfinite(r["score"]) for r in found)
