@@ -47,7 +47,7 @@ MAX_WIDTH = 1 << 29
 #: Ranges of the hash by which the suffix filter counts a set.
 RANGES = 128
 #: Rounds of leaders, at most, before the pairs that are left are verified.
-ROUNDS = 4
+ROUNDS = 2
 #: Classes of a shingle that meet in one block, and ways in which a leader's row is dealt.
 BLOCK, SALTS = 256, 8
 #: Classes that a task remembers having sent, and the bytes of a slice of texts.
