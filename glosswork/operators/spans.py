@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import SPACE
+
 #: Spans meet in buckets of so many characters: a document of very many spans is spread over its buckets.
 BUCKET = 4096
 
@@ -50,6 +52,6 @@ def clean_span(text: Column, s: Column, e: Column) -> tuple[Column, Column]:
     low = F.least(F.greatest(s, F.lit(0)), F.length(text))
     high = F.greatest(F.least(e, F.length(text)), low)
     part = F.substring(text, low + 1, high - low)
-    left = F.length(part) - F.length(F.regexp_replace(part, r"^\s+", ""))
-    right = F.length(part) - F.length(F.regexp_replace(part, r"\s+$", ""))
+    left = F.length(part) - F.length(F.regexp_replace(part, rf"^[{SPACE}]+", ""))
+    right = F.length(part) - F.length(F.regexp_replace(part, rf"[{SPACE}]+\z", ""))
     return F.least(low + left, high), F.greatest(high - right, F.least(low + left, high))

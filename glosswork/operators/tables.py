@@ -24,3 +24,23 @@ def reconcile(authority: DataFrame, found: DataFrame, key: str) -> DataFrame:
     a, b = (df.groupBy(key).agg(F.count(F.lit(1)).alias(name)) for df, name in ((authority, "_a"), (found, "_b")))
     diff = F.coalesce("_a", F.lit(0)) - F.coalesce("_b", F.lit(0))
     return a.join(b, key, "full").select(key, F.greatest(diff, F.lit(0)).cast("long").alias("missing"), F.greatest(-diff, F.lit(0)).cast("long").alias("excess"))
+
+
+def domain_problems(df: DataFrame, column: str, allowed: list[str]) -> DataFrame:
+    """problem, value: values of a column that aren't allowed, and allowed ones that it lacks."""
+    found = df.select(F.col(column).cast("string").alias("value")).distinct()
+    known = df.sparkSession.createDataFrame([(x,) for x in allowed], "value string")
+    extra, absent = found.join(known, "value", "left_anti"), known.join(found, "value", "left_anti")
+    return extra.select(F.lit("unexpected").alias("problem"), "value").unionByName(absent.select(F.lit("missing").alias("problem"), "value"))
+
+
+def looked_up(wanted: DataFrame, stored: DataFrame, name: str, stored_name: str, keys: list[str]) -> DataFrame:
+    """wanted with the stored name that equals its name, else the one that does so less ``.json``; null where there is none."""
+    bare = lambda c: F.regexp_replace(c, r"\.json$", "")
+    pairs = wanted.join(stored.withColumn("_bare", bare(stored_name)), bare(name) == F.col("_bare"), "left")
+    return pairs.groupBy(*keys, name).agg(F.min_by(stored_name, F.struct(F.col(stored_name) != F.col(name), F.col(stored_name))).alias(stored_name))
+
+
+def latest(df: DataFrame, keys: list[str], order: str, values: list[str]) -> DataFrame:
+    """Of each key the values of the row that is last in order."""
+    return df.groupBy(*keys).agg(F.max(F.struct(order, *values)).alias("_x")).select(*keys, f"_x.{order}", *(f"_x.{v}" for v in values))

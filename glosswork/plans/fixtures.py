@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LABELS = ("ae", "sdrug", "cdrug", "lab", "mhx")
 CATEGORIES = ("AE", "DRUG", "DRUG", "LAB", "HX")
 
 
@@ -35,12 +34,45 @@ def categories(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(enumerate(CATEGORIES)), "lab int, category string")
 
 
+#: Labels as annotators write them, their notes, and the labels that the taxonomy knows (raw, canonical, category; null: excluded).
+RAW_LABELS = ("AE", " ae ", "sDrug", "CDRUG", "lab", "mHx", "RO", "cod", "xyz", "r/o", "Dx")
+NOTES = ("SME1", "SME2", "ETHER", "LLM", "BERT | VERIFIED BY SME1")
+TAXONOMY = (("AE", "AE", "AE"), ("sDrug", "SDRUG", "DRUG"), ("cDrug", "CDRUG", "DRUG"), ("Lab", "LAB", "LAB"), ("MHx", "MHX", "HX"), ("Dx", "DX", "DX"), ("Status", "STATUS", "STATUS"), ("RO", None, None), ("COD", None, None))
+#: Characters of a document that the annotations belong to.
+LENGTH = 190
+
+
+def taxonomy(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(TAXONOMY, "raw string, canonical string, category string")
+
+
+def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, ln, pk, sk, label, note, used, s, e (as text), text, text_raw."""
+    pk, sk, start = F.col("pk"), F.col("sk"), (F.col("ln") - 1) * 30 + F.col("pk") % 12
+    rows = base(spark, sf_dir).join(table(spark, sf_dir, "part").select(F.col("p_partkey").cast("int").alias("pk"), F.col("p_name").alias("text")), "pk")
+    pick = lambda values, at: F.element_at(F.array(*map(F.lit, values)), at + 1)
+    return rows.select(
+        "doc_id", "ln", "pk", "sk", pick(RAW_LABELS, pk % 11).alias("label"), pick(NOTES, sk % 5).alias("note"), F.when(sk % 3 == 0, "Yes").when(sk % 3 == 1, "no").alias("used"),
+        F.when(pk % 13 == 0, "x").otherwise((start - F.when(pk % 7 == 0, 20).otherwise(0)).cast("string")).alias("s"), (start + 3 + F.col("q") % 25 - F.when(pk % 17 == 0, 40).otherwise(0)).cast("string").alias("e"),
+        "text", F.when(pk % 4 == 1, "  ").when(pk % 4 > 1, F.concat(F.upper("text"), F.lit(" "))).alias("text_raw"),
+    )
+
+
 #: The same in SQL.
 SQL = """
     base as (select cast(l_orderkey as bigint) doc_id, cast(l_linenumber as int) ln, cast(l_quantity as int) q, cast(l_partkey as int) pk, cast(l_suppkey as int) sk from lineitem),
     gold as (select doc_id, (ln-1)*30+pk%12 s, (ln-1)*30+pk%12+3+q%25 e, pk%5 lab from base),
     pred as (select doc_id, (ln-1)*30+pk%12+(case when sk%4=0 then 2 else 0 end) s, (ln-1)*30+pk%12+3+q%25 e, case when pk%9=0 then (pk+1)%5 else pk%5 end lab from base where sk%6<>0
         union all select doc_id, 300+ln*40, 300+ln*40+5+q%10, sk%5 from base where sk%7=0)"""
+_LIST = lambda values: "[" + ", ".join(f"'{v}'" for v in values) + "]"
+ANNOTATION_SQL = f"""{SQL},
+    ann as (select doc_id, ln, pk, sk, {_LIST(RAW_LABELS)}[pk % 11 + 1] label, {_LIST(NOTES)}[sk % 5 + 1] note, case sk % 3 when 0 then 'Yes' when 1 then 'no' end used,
+        case when pk % 13 = 0 then 'x' else cast((ln-1)*30+pk%12 - case when pk % 7 = 0 then 20 else 0 end as varchar) end s, cast((ln-1)*30+pk%12+3+q%25 - case when pk % 17 = 0 then 40 else 0 end as varchar) e,
+        p_name "text", case when pk % 4 = 1 then '  ' when pk % 4 > 1 then upper(p_name) || ' ' end text_raw from base join part on p_partkey = pk),
+    taxonomy(raw, canonical, category) as (values """ + ", ".join("(" + ", ".join("null" if v is None else f"'{v}'" for v in t) + ")" for t in TAXONOMY) + f"""),
+    norm as (select a.*, coalesce(x.canonical, y.canonical) canonical, coalesce(x.category, y.category) category, case when coalesce(x.raw, y.raw) is null then 'unknown' when coalesce(x.canonical, y.canonical) is null then 'excluded' else 'mapped' end status
+        from ann a left join taxonomy x on x.raw = trim(a.label) left join taxonomy y on lower(y.raw) = lower(trim(a.label))),
+    placed as (select * exclude (s, e), try_cast(s as int) s, try_cast(e as int) e, case when try_cast(s as int) is null or try_cast(e as int) is null then 'no number' when try_cast(s as int) < 0 then 'negative' when try_cast(s as int) >= try_cast(e as int) then 'empty' when try_cast(e as int) > {LENGTH} then 'beyond' else 'valid' end reason from norm)"""
 CATEGORY_SQL = "categories(lab, category) as (values " + ", ".join(f"({i}, '{c}')" for i, c in enumerate(CATEGORIES)) + ")"
 
 

@@ -2,28 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import alignment, corpus, evaluation, spans, splits, tables
 from .fixtures import CATEGORY_SQL, COUNTS_SQL, SQL, categories, gold, outcomes_sql, pred, scores_sql, table
+from .registry import query
 
 SEEDS = (42, 123, 456, 789, 1011)
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
 
 
 def outcomes(spark: SparkSession, sf_dir: str, two_tier: bool = True) -> DataFrame:
@@ -134,11 +120,6 @@ def cohen_kappa(spark, sf_dir):
     return evaluation.agreement(base(spark, sf_dir).select(one.alias("a"), two.alias("b")))
 
 
-@query(f"with {SQL} select lab, count(*) n, count(distinct doc_id) documents from gold group by lab")
-def label_counts(spark, sf_dir):
-    return corpus.label_counts(gold(spark, sf_dir))
-
-
 @query(f"""with {SQL}, u as (select lab, 'gold' src from gold union all select lab, 'pred' from pred)
     select coalesce(cast(lab as varchar), 'TOTAL') lab, count(*) filter (where src = 'gold') gold, count(*) filter (where src = 'pred') pred from u group by rollup(lab)""")
 def source_matrix(spark, sf_dir):

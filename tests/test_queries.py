@@ -5,7 +5,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from glosswork.plans.queries import ORACLE_SQL, QUERIES
+from glosswork.plans.catalog import ORACLE_SQL, QUERIES
 
 
 @pytest.fixture(scope="module")
