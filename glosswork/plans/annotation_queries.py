@@ -14,7 +14,10 @@ _A = f"with {ANNOTATION_SQL}"
 _HUMAN = "(not regexp_matches(upper(note), 'AI|LLM|LLAMA|BERT') or contains(upper(note), 'VERIFIED'))"
 _LAYER = f"case when {_HUMAN} then 'Human' when regexp_matches(upper(note), 'LLM|LLAMA') then 'LLM' when contains(upper(note), 'BERT') then 'BERT' else 'LLM' end"
 _CANON = "case when lower(trim(label)) = 'r/o' then 'ro' else lower(trim(label)) end"
-_N = F.count(F.lit(1)).alias("n")
+
+
+def count_n():
+    return F.count(F.lit(1)).alias("n")
 
 
 def length():
@@ -28,12 +31,12 @@ def normalize_label(spark, sf_dir):
 
 @query(f"{_A} select label, {_CANON} canonical, count(*) n from ann group by all")
 def canonical_label(spark, sf_dir):
-    return annotations(spark, sf_dir).groupBy("label", L.canonical(F.col("label")).alias("canonical")).agg(_N)
+    return annotations(spark, sf_dir).groupBy("label", L.canonical(F.col("label")).alias("canonical")).agg(count_n())
 
 
 @query(f"{_A} select reason, count(*) n from placed group by all")
 def valid_offsets(spark, sf_dir):
-    return L.with_offsets(annotations(spark, sf_dir), length()).groupBy("reason").agg(_N)
+    return L.with_offsets(annotations(spark, sf_dir), length()).groupBy("reason").agg(count_n())
 
 
 @query(f"{_A} select doc_id, s, e, canonical label, category from placed where status = 'mapped' and reason = 'valid'")
@@ -64,7 +67,7 @@ def used_flag_filter(spark, sf_dir):
 
 @query(f"{_A} select note, {_HUMAN} human, count(*) n from ann group by all")
 def human_or_verified(spark, sf_dir):
-    return annotations(spark, sf_dir).groupBy("note", L.is_human(F.col("note")).alias("human")).agg(_N)
+    return annotations(spark, sf_dir).groupBy("note", L.is_human(F.col("note")).alias("human")).agg(count_n())
 
 
 @query(f"""{_A} select doc_id, ln, pk, "text" from ann where lower(trim(label)) in ('ae', 'lab') and contains(lower("text"), 'wi')""")
@@ -135,7 +138,7 @@ def join_ann_doc(spark, sf_dir):
 @query("select doc_id, count(*) n from (select l_orderkey doc_id from lineitem) join (select o_orderkey doc_id from orders where o_orderkey % 4 = 1) using (doc_id) group by doc_id")
 def join_loo_docs(spark, sf_dir):
     series = table(spark, sf_dir, "orders").where("o_orderkey % 4 = 1").select(F.col("o_orderkey").alias("doc_id"))
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id")).join(series, "doc_id").groupBy("doc_id").agg(_N)
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id")).join(series, "doc_id").groupBy("doc_id").agg(count_n())
 
 
 @query("select distinct l_orderkey doc_id from lineitem where l_orderkey not in (select o_orderkey from orders where o_orderkey % 7 <> 0)")
@@ -147,7 +150,7 @@ def join_missing_metadata(spark, sf_dir):
 @query("select s_name username, r_name role, count(*) n from lineitem join supplier on s_suppkey = l_suppkey join nation on n_nationkey = s_nationkey join region on r_regionkey = n_regionkey group by all")
 def join_annotation_user_role(spark, sf_dir):
     users = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    counts = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(_N)
+    counts = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(count_n())
     return counts.join(users, "s_suppkey").groupBy(F.col("s_name").alias("username"), F.col("r_name").alias("role")).agg(F.sum("n").alias("n"))
 
 
@@ -190,7 +193,7 @@ def case_lookup_fallback(spark, sf_dir):
 @query(f"{_A}, u as (select s_suppkey id, upper(['sme1', 'SME2', 'ether'][s_suppkey + 1]) alias from supplier where s_suppkey < 3) select note, coalesce(id, 1) user_id, count(*) n from ann left join u on alias = upper(trim(note)) group by all")
 def user_lookup(spark, sf_dir):
     users = table(spark, sf_dir, "supplier").where("s_suppkey < 3").select(F.col("s_suppkey").alias("id"), F.element_at(F.array(F.lit("sme1"), F.lit("SME2"), F.lit("ether")), (F.col("s_suppkey") + 1).cast("int")).alias("alias"))
-    notes = annotations(spark, sf_dir).groupBy("note").agg(_N)
+    notes = annotations(spark, sf_dir).groupBy("note").agg(count_n())
     return notes.join(users, F.upper(F.trim("note")) == F.upper("alias"), "left").select("note", F.coalesce("id", F.lit(1)).alias("user_id"), "n")
 
 
@@ -199,7 +202,7 @@ def user_lookup_contains(spark, sf_dir):
     """The first alias that a note holds, else the administrator (0)."""
     aliases = ["SME1", "SME2", "LLM"]
     found = F.coalesce(*(F.when(F.col("note").contains(a), i) for i, a in enumerate(aliases, 1)), F.lit(0))
-    return annotations(spark, sf_dir).groupBy("note").agg(_N).select("note", found.alias("user_id"), "n")
+    return annotations(spark, sf_dir).groupBy("note").agg(count_n()).select("note", found.alias("user_id"), "n")
 
 
 @query(f"""{_A} select label, coalesce(t.canonical, case lower(trim(label)) when 'xyz' then 'STATUS' end, upper(trim(label))) term, count(*) n from ann left join taxonomy t on lower(t.raw) = lower(trim(label)) group by all""")
@@ -207,18 +210,18 @@ def label_guideline_map(spark, sf_dir):
     """The official label of a free term: by its normal form, else by a dictionary, else itself."""
     found = L.normalized(annotations(spark, sf_dir), taxonomy(spark))
     other = F.when(F.lower(F.trim("label")) == "xyz", "STATUS").otherwise(F.upper(F.trim("label")))
-    return found.groupBy("label", F.coalesce("canonical", other).alias("term")).agg(_N)
+    return found.groupBy("label", F.coalesce("canonical", other).alias("term")).agg(count_n())
 
 
 @query(f"{_A} select {_CANON} label, count(*) n, count(distinct doc_id) documents from ann group by 1")
 def label_counts(spark, sf_dir):
-    return annotations(spark, sf_dir).groupBy(L.canonical(F.col("label")).alias("label")).agg(_N, F.count_distinct("doc_id").alias("documents"))
+    return annotations(spark, sf_dir).groupBy(L.canonical(F.col("label")).alias("label")).agg(count_n(), F.count_distinct("doc_id").alias("documents"))
 
 
 @query(f"{_A} select t.category, coalesce(sum(c), 0)::bigint n from (select distinct category from taxonomy where category is not null) t left join (select category, count(*) c from norm where note = 'SME1' group by 1) using (category) group by 1")
 def category_counts(spark, sf_dir):
     """Each category's annotations, 0 for one that has none."""
-    counts = L.normalized(annotations(spark, sf_dir).where("note = 'SME1'"), taxonomy(spark)).groupBy("category").agg(_N)
+    counts = L.normalized(annotations(spark, sf_dir).where("note = 'SME1'"), taxonomy(spark)).groupBy("category").agg(count_n())
     return taxonomy(spark).where("category is not null").select("category").distinct().join(counts, "category", "left").select("category", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -227,7 +230,7 @@ def category_counts(spark, sf_dir):
 def category_counts_shared(spark, sf_dir):
     """A coarse source's counts under each category that it stands for, marked where several share it."""
     bridge = spark.createDataFrame([("AE", "AE"), ("DRUG", "DRUG"), ("VACCINE", "DRUG"), ("HX", None)], "category string, source string")
-    counts = L.normalized(annotations(spark, sf_dir).where("note = 'ETHER'"), taxonomy(spark)).groupBy(F.col("category").alias("source")).agg(_N)
+    counts = L.normalized(annotations(spark, sf_dir).where("note = 'ETHER'"), taxonomy(spark)).groupBy(F.col("category").alias("source")).agg(count_n())
     shared = bridge.where("source is not null").groupBy("source").agg((F.count(F.lit(1)) > 1).alias("shared"))
     shown = F.when(F.col("source").isNull(), "n/a").otherwise(F.concat(F.coalesce("n", F.lit(0)).cast("string"), F.when(F.col("shared"), "*").otherwise("")))
     return bridge.join(shared, "source", "left").join(counts, "source", "left").select("category", shown.alias("shown"))
@@ -273,7 +276,7 @@ def label_distribution_grouped(spark, sf_dir):
 
 @query("select l_suppkey user_id, count(*) n from lineitem group by 1")
 def user_distribution(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("user_id")).agg(_N)
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("user_id")).agg(count_n())
 
 
 @query("select s_name, n from (select l_suppkey, count(*) n from lineitem group by 1) join supplier on s_suppkey = l_suppkey order by n desc, s_name limit 10")
@@ -300,7 +303,7 @@ def distinct_terms(spark, sf_dir):
 @query(f"{_A} select {_TERM} term, count(*) n from ann group by 1 order by n desc, term limit 25")
 def top_terms(spark, sf_dir):
     rows = annotations(spark, sf_dir)
-    return rows.groupBy(L.terms(rows).alias("term")).agg(_N).orderBy(F.desc("n"), "term").limit(25)
+    return rows.groupBy(L.terms(rows).alias("term")).agg(count_n()).orderBy(F.desc("n"), "term").limit(25)
 
 
 @query(f"{_A} select upper(trim(label)) label from ann union select unnest(['AE', 'STATUS'])")
@@ -331,7 +334,7 @@ def first_n_docs(spark, sf_dir):
 @query(f"""{_A}, x as (select *, {_LAYER} layer from placed where reason = 'valid'), r as (select *, row_number() over (partition by doc_id, s, e order by case layer when 'Human' then 1 when 'LLM' then 2 else 3 end, ln * 100000 + pk desc, note, label) k from x) select doc_id, s, e, layer, count(*) n from r where k = 1 group by all""")
 def display_layer_pick(spark, sf_dir):
     found = L.with_offsets(annotations(spark, sf_dir), length()).where("reason = 'valid'").withColumn("ord", F.col("ln") * 100000 + F.col("pk"))
-    return L.display_pick(found, "ord").groupBy("doc_id", "s", "e", "layer").agg(_N)
+    return L.display_pick(found, "ord").groupBy("doc_id", "s", "e", "layer").agg(count_n())
 
 
 @query("""with e as (select user_id, event_id, value, event_type <> 'error' ok from events) select user_id, max(event_id) event_id, arg_max(value, event_id) "value" from e where ok group by user_id""")
@@ -345,7 +348,7 @@ def relationship_flags(spark, sf_dir):
     pk = F.col("pk")
     json = F.when(pk % 3 == 0, '{"date": {"text": "May"}, "time": {"text": " "}}').when(pk % 3 == 1, '{"time": {"text": "noon"}}')
     spans = F.from_json(json, "map<string,struct<page:int,text:string,start:int,end:int>>")
-    return annotations(spark, sf_dir).select("doc_id", spans.alias("r")).select("doc_id", *L.flags(F.col("r"), ("date", "time"))).groupBy("doc_id", "rel_date", "rel_time").agg(_N)
+    return annotations(spark, sf_dir).select("doc_id", spans.alias("r")).select("doc_id", *L.flags(F.col("r"), ("date", "time"))).groupBy("doc_id", "rel_date", "rel_time").agg(count_n())
 
 
 @query("""select user_id, arg_max(event_type, event_id) status, arg_max(strftime(ts, '%Y-%m-%dT%H:%M:%S'), event_id) "timestamp" from events group by user_id""")
