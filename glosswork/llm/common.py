@@ -7,6 +7,7 @@ A-Z alone; both are used on encoded text throughout.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zlib
@@ -40,7 +41,10 @@ def _shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder; one of our own is set only where the session names none (local runs)."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="glosswork-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="glosswork-"))
     return sc.getCheckpointDir()
 
 
@@ -57,6 +61,18 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def discard(df: DataFrame) -> None:
+    """Removes what written() wrote for df, once nothing is to read it again, and lets Spark clear the shuffles that led to it."""
+    spark = df.sparkSession
+    jvm, root = spark.sparkContext._jvm, _shared_folder(spark)
+    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        if root.rsplit("/", 1)[-1] in name:  # nothing outside our own folder
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
+
+
 def slices(batches: Iterable[pa.RecordBatch], text: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut so that column number ``text`` holds about ``limit`` bytes in each."""
     for batch in batches:

@@ -36,20 +36,22 @@ that is longer than a block is a block by itself.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, encoded, record, slices, written
+from .common import crc_mod, discard, encoded, record, slices, written
 from .hashing import mix, rolled_prefix
 from .tokens import Encoder
 
-STRIDE, CONTEXT, WIDTH = 32, 32, 8
+STRIDE, CONTEXT, WIDTH = 16, 16, 8
 #: Classes of the attention: the most frequent subwords are classes of their own, the others share.
 OWN, SHARED = 512, 512
 CLASSES = OWN + SHARED
@@ -58,22 +60,45 @@ STEPS, SLOTS = 16, 3
 #: Subwords in a block of texts, but for a text that alone has more; n-grams of all blocks in a part, on average no more.
 BLOCK, PART_GRAMS = 1_000_000, 4_000_000
 #: Windows in a training step and in a scoring batch.
-BATCH = 256
+BATCH = 512
 #: Words beyond all pairs and triples.
 WORDS = 1 << 62
-CACHED_WORDS = 100_000
+#: White space that isn't ASCII's: only there may a subword hold the end of one word and the start of the next.
+_OTHER_SPACE = re.compile(r"[^\S\t\n\r\x0b\x0c ]")
 _SHAPES = {"q": (CLASSES, WIDTH), "k": (CLASSES, WIDTH), "near": (STRIDE + CONTEXT,), "same": (2,), "memory": (STEPS * STEPS, SLOTS)}
 _BLOCKS = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())), ("ids", pa.binary())])
 _BLOCKS_DDL = "block long, doc_ids array<long>, held_out array<boolean>, sizes array<long>, ids binary"
 _ASKED = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary())])
 _FOUND = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("counts", pa.binary()), ("words", pa.int64())])
-_COUNTED = pa.schema([*_BLOCKS, ("counts", pa.binary())])
 _SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 _OFFSETS = CONTEXT + np.arange(STRIDE)[:, None] - np.arange(STRIDE + CONTEXT)[None, :]
 _CAUSAL = np.where(_OFFSETS > 0, np.float32(0), np.float32(-1e9))
 _LOW = np.float32(-1e9)
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Numbers from 0, compressed: byte planes of as many bytes as the largest needs."""
+    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return bytes([width]) + zlib.compress(planes.tobytes(), 1)
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(blob[1:]), np.uint8).reshape(blob[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : blob[0]] = planes.T
+    return out.view("<i8").ravel()
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, ascending, and which of them is at each place."""
+    codes, found = pd.factorize(keys)
+    order = np.argsort(found)
+    rank = np.empty(len(found), np.int64)
+    rank[order] = np.arange(len(found))
+    return found[order], rank[codes]
+
+
 class Vocabulary:
     """Number of ids, and which of them begin with a blank (and so a word)."""
 
@@ -87,18 +112,18 @@ class Vocabulary:
         self.starts[self.size] = True
 
 
-class WordIds(dict):
-    """A word's ids, as it is encoded after a blank; forgets all words when it holds too many."""
+class WordIds:
+    """The ids of a text's words, each as it is encoded after a blank."""
 
     def __init__(self, path: str):
-        super().__init__()
         self.encoder = Encoder(path)
 
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        found = self[word] = self.encoder.ids((b" " + word).decode()).astype("<u4").tobytes()
-        return found
+    def of(self, text: bytes) -> np.ndarray:
+        words = text.lower().split()
+        line = b"".join(b" " + w for w in words).decode()
+        if _OTHER_SPACE.search(line):  # might join words into one subword
+            return np.concatenate([self.encoder.ids((b" " + w).decode()) for w in words])
+        return self.encoder.ids(line) if words else np.empty(0, np.uint32)
 
 
 def _blocks(path: str, block: int):
@@ -107,12 +132,12 @@ def _blocks(path: str, block: int):
         doc_ids, held_out, sizes, ids, total = [], [], [], [], 0
 
         def full() -> pa.RecordBatch:
-            return record(_BLOCKS, [number], [doc_ids], [held_out], [sizes], [zlib.compress(b"".join(ids), 1)])
+            return record(_BLOCKS, [number], [doc_ids], [held_out], [sizes], [packed(np.concatenate(ids))])
 
         for b in slices(batches, 2):
             for doc_id, held, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), encoded(b, 2), strict=True):
-                own = b"".join(map(words.__getitem__, text.lower().split()))
-                n = len(own) // 4
+                own = words.of(text)
+                n = len(own)
                 if total and total + n + 1 > block:
                     yield full()
                     number += 1
@@ -133,7 +158,7 @@ class Block:
 
     def __init__(self, sizes: list[int], ids: bytes, vocabulary: Vocabulary):
         self.sizes, end = np.array(sizes, np.int64), vocabulary.size
-        flat = np.frombuffer(zlib.decompress(ids), "<u4")
+        flat = unpacked(ids)
         starts = np.cumsum(self.sizes + 3) - self.sizes - 3
         self.line = np.full(int((self.sizes + 3).sum()), end, np.int64)
         self.real = np.ones(len(self.line), bool)
@@ -157,19 +182,36 @@ class Block:
         return (keys >> np.uint64(2)).astype(np.int64) | WORDS, self.text[np.searchsorted(self.places, at)]
 
     def grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The distinct n-grams ascending, which is at each place (pairs, then triples, then words), and the words' texts."""
+        """The distinct n-grams ascending, which is at each place (pairs, then triples, then words), and the words' texts.
+
+        Pairs and triples are numbered, and the numbers spread over their range by
+        an odd factor, so that a range of them is a fair part.
+        """
         s, p = self.line, self.places
         pairs = s[p - 1] * self.base + s[p]
         triples = (s[p - 2] * self.base + s[p - 1]) * self.base + s[p] + self.base * self.base
         words, owners = self.words()
-        return *np.unique(np.concatenate([pairs, triples, words]), return_inverse=True), owners
+        bits = number_bits(self.base)
+        with np.errstate(over="ignore"):
+            numbers = (np.concatenate([pairs, triples]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) & np.uint64((1 << bits) - 1)
+        return *distinct(np.concatenate([numbers.astype(np.int64), words])), owners
+
 
+def number_bits(base: int) -> int:
+    """Bits of the number of any pair or triple of so many subwords."""
+    return (base**3 + base**2).bit_length()
 
-def part_order(grams: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of n-grams by part, the parts that have any, and where each of these starts."""
-    part = ((grams.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(parts)
-    order = np.argsort(part, kind="stable")
-    return order, *np.unique(part[order].astype(np.int64), return_index=True)
+
+def part_cuts(grams: np.ndarray, parts: int, base: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Each part is a range of the pairs and triples and one of the words: the parts that have any of these ascending n-grams, how many, and the places of each."""
+    few = int(np.searchsorted(grams, WORDS))
+    limits = [np.array([k * span // parts for k in range(1, parts)], np.int64) + at for at, span in ((0, 1 << number_bits(base)), (WORDS, WORDS))]
+    low = np.split(np.arange(few), np.searchsorted(grams[:few], limits[0]))
+    high = np.split(np.arange(few, len(grams)), np.searchsorted(grams[few:], limits[1]))
+    places = [np.concatenate(x) for x in zip(low, high, strict=True)]
+    sizes = np.array([len(x) for x in places])
+    some = np.nonzero(sizes)[0]
+    return some, sizes[some], [places[k] for k in some]
 
 
 def _count_ids(size: int):
@@ -178,9 +220,9 @@ def _count_ids(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size + 1, np.int64)
         for b in batches:
-            for held_out, sizes, ids in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for held_out, sizes, ids in _rows(b):
                 train = ~np.array(held_out, bool)
-                flat = np.frombuffer(zlib.decompress(ids), "<u4")
+                flat = unpacked(ids)
                 total[:size] += np.bincount(flat[np.repeat(train, sizes)], minlength=size)
                 total[size] += int(train.sum())
         some = np.nonzero(total)[0]
@@ -194,54 +236,51 @@ def _ask_counts(vocabulary, parts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for number, held_out, sizes, ids in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for number, held_out, sizes, ids in _rows(b):
                 block = Block(sizes, ids, vocabulary.value)
                 grams, at, owners = block.grams()
                 train = ~np.array(held_out, bool)
-                counts = np.bincount(at, np.concatenate([train[block.text], train[block.text], train[owners]]), len(grams)).astype("<u4")
-                order, some, starts = part_order(grams, parts)
-                steps = [zlib.compress(np.diff(x, prepend=0).astype("<i8").tobytes(), 1) for x in np.split(grams[order], starts[1:])]
-                held = [zlib.compress(x.tobytes(), 1) for x in np.split(counts[order], starts[1:])]
-                yield record(_ASKED, some, np.full(len(some), number), steps, held)
+                counts = np.bincount(at, np.concatenate([train[block.text], train[block.text], train[owners]]), len(grams)).astype(np.int64)
+                some, _, places = part_cuts(grams, parts, block.base)
+                # Differences, of the pairs and triples and of the words, each from their range's start.
+                few = [int(np.searchsorted(grams[x], WORDS)) for x in places]
+                starts = [(k * (1 << number_bits(block.base)) // parts, k * WORDS // parts) for k in some.tolist()]
+                steps = [b"".join(len(y).to_bytes(4, "little") + y for y in (packed(np.diff(grams[x[:f]], prepend=a)), packed(np.diff(grams[x[f:]] - WORDS, prepend=b)))) for x, f, (a, b) in zip(places, few, starts, strict=True)]
+                yield record(_ASKED, some, np.full(len(some), number), steps, [packed(counts[x]) for x in places])
 
     return run
 
 
-def _add_counts(key: tuple, rows: pa.Table) -> pa.Table:
+def _asked_grams(blob: bytes, part: int, parts: int, bits: int) -> np.ndarray:
+    n = int.from_bytes(blob[:4], "little")
+    low, high = unpacked(blob[4 : 4 + n]), unpacked(blob[8 + n :])
+    return np.concatenate([np.cumsum(low) + part * (1 << bits) // parts, np.cumsum(high) + (part * WORDS // parts + WORDS)])
+
+
+def _add_counts(parts: int, bits: int):
     """What all blocks together have of each n-gram of a part, for each block in the order in which it asked; and how many words the part's training texts have."""
-    asked = [np.cumsum(np.frombuffer(zlib.decompress(x), "<i8")) for x in rows["grams"].to_pylist()]
-    counts = np.concatenate([np.frombuffer(zlib.decompress(x), "<u4") for x in rows["counts"].to_pylist()])
-    grams, at = np.unique(np.concatenate(asked), return_inverse=True)
-    totals = np.bincount(at, counts, len(grams)).astype("<i8")
-    sums = totals[at]
-    words = [int(((grams >= WORDS) & (totals > 0)).sum())] + [0] * (len(asked) - 1)
-    narrow = "<u4" if totals.max(initial=0) < 2**32 else "<i8"
-    found = [(b"4" if narrow == "<u4" else b"8") + zlib.compress(x.astype(narrow).tobytes(), 1) for x in np.split(sums, np.cumsum([len(x) for x in asked])[:-1])]
-    return pa.Table.from_batches([record(_FOUND, rows["part"].combine_chunks(), rows["block"].combine_chunks(), found, words)])
-
-
-def _counts_of(blob: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(blob[1:]), "<u4" if blob[:1] == b"4" else "<i8").astype(np.int64)
-
-
-def _joined(vocabulary, parts: int):
-    """A block with the counts of its distinct n-grams in ascending order."""
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        row = left.to_pylist()[0]
-        grams = Block(row["sizes"], row["ids"], vocabulary.value).grams()[0]
-        order, some, starts = part_order(grams, parts)
-        blobs = dict(zip(right["part"].to_pylist(), right["counts"].to_pylist(), strict=True))
-        counts = np.empty(len(grams), np.int64)
-        for part, places in zip(some.tolist(), np.split(order, starts[1:]), strict=True):
-            counts[places] = _counts_of(blobs[part])
-        narrow = b"4" if counts.max(initial=0) < 2**32 else b"8"
-        blob = narrow + zlib.compress(counts.astype("<u4" if narrow == b"4" else "<i8").tobytes(), 1)
-        return pa.Table.from_batches([record(_COUNTED, *(left[c].combine_chunks() for c in _BLOCKS.names), [blob])])
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        asked = [_asked_grams(x, key[0].as_py(), parts, bits) for x in rows["grams"].to_pylist()]
+        counts = np.concatenate([unpacked(x) for x in rows["counts"].to_pylist()])
+        grams, at = distinct(np.concatenate(asked))
+        totals = np.bincount(at, counts, len(grams)).astype(np.int64)
+        words = [int(((grams >= WORDS) & (totals > 0)).sum())] + [0] * (len(asked) - 1)
+        found = [packed(x) for x in np.split(totals[at], np.cumsum([len(x) for x in asked])[:-1])]
+        return pa.Table.from_batches([record(_FOUND, rows["part"].combine_chunks(), rows["block"].combine_chunks(), found, words)])
 
     return run
 
 
+def found_counts(block: Block, grams: np.ndarray, found: list[dict], parts: int) -> np.ndarray:
+    """The counts of a block's distinct n-grams, from what each part returned."""
+    some, _, places = part_cuts(grams, parts, block.base)
+    blobs, counts = {x["part"]: x["counts"] for x in found}, np.empty(len(grams), np.int64)
+    for part, at in zip(some.tolist(), places, strict=True):
+        counts[at] = unpacked(blobs[part])
+    return counts
+
+
 class Shares:
     """What every task knows of the training texts: counts of ids (the end is the last), and the classes."""
 
@@ -255,8 +294,10 @@ class Shares:
 class Placed:
     """A block's places with the values of their memory slots, and its windows."""
 
-    def __init__(self, block: Block, counts: np.ndarray, shares: Shares, train: np.ndarray | None = None):
+    def __init__(self, block: Block, counted, shares: Shares, train: np.ndarray | None = None):
+        """counted: gives the counts of the block's distinct n-grams."""
         grams, at, self.owners = block.grams()
+        counts = counted(grams)
         pairs, triples, self.words = np.split(counts[at], [len(block.places), 2 * len(block.places)])
         self.block, s, p = block, block.line, block.places
         # A training text leaves its own occurrence out of each count.
@@ -268,10 +309,10 @@ class Placed:
         p_two = np.where(one > 0, (pairs - own) / np.maximum(one, 1), 0.0)
         p_three = np.where(two > 0, (triples - own) / np.maximum(two, 1), 0.0)
         self.values = np.stack([p_one, p_two, p_three], 1).astype(np.float32)
-        step = lambda c: np.minimum(STEPS - 1, np.where(c > 0, 1 + np.log2(np.maximum(c, 1)), 0)).astype(np.int64)
+        step = lambda c: np.minimum(STEPS - 1, np.frexp(np.maximum(c, 0).astype(np.float32))[1])
         self.row = step(two) * STEPS + step(one)
         self.open = np.stack([np.ones(len(p), bool), one > 0, two > 0], 1)
-        self.classes = shares.classes[s]
+        self.classes, self.short = shares.classes[s], s.astype(np.int32)
         # Windows of each text: their first places, and how many places they score.
         per_text = block.sizes + 1
         number = -(-per_text // STRIDE)
@@ -285,7 +326,7 @@ class Placed:
 
     def batch(self, w: slice) -> dict[str, np.ndarray]:
         """Inputs of the attention for so many windows: (windows, STRIDE) targets and (windows, CONTEXT + STRIDE) keys."""
-        s, last = self.block.line, len(self.block.line) - 1
+        s, last = self.short, len(self.block.line) - 1
         at, size = self.window_at[w, None], self.window_size[w, None]
         key_at = at - CONTEXT + np.arange(CONTEXT + STRIDE)
         key_ok = (key_at >= self.text_start[w, None]) & (key_at < at + size)
@@ -313,42 +354,42 @@ def initial() -> dict[str, np.ndarray]:
     return out
 
 
-def attend(w: dict[str, np.ndarray], x: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
-    """Each target's attention over the window's places and the memory slots, what each of these gives it, and which places follow one and two equal subwords."""
-    same = x["key_before"][:, None, :] == x["before"][:, :, None]
-    twice = same & (x["key_before_two"][:, None, :] == x["before_two"][:, :, None])
-    bias = w["near"][np.maximum(_OFFSETS, 0)] + _CAUSAL
-    s = w["q"][x["query_class"]] @ w["k"][x["key_class"]].transpose(0, 2, 1)
-    s += bias
-    s += w["same"][0] * same
-    s += w["same"][1] * twice
-    s += np.where(x["key_ok"], np.float32(0), _LOW)[:, None, :]
-    m = np.where(x["open"], w["memory"][x["row"]], _LOW)
-    a = np.concatenate([s, m], 2)
-    a -= a.max(2, keepdims=True)
-    np.exp(a, out=a)
-    a /= a.sum(2, keepdims=True)
-    v = np.concatenate([(x["key"][:, None, :] == x["target"][:, :, None]).astype(a.dtype), x["values"]], 2)
-    return a, v, (same, twice)
+def attend(w: dict[str, np.ndarray], x: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
+    """Of each target: what its attention gives to the window's places and the memory slots before they are made to add up to one, their sum, the probability; and the places (flat) after one and after two equal subwords and those that hold the target."""
+    e = w["q"][x["query_class"]] @ w["k"][x["key_class"]].transpose(0, 2, 1)
+    e += w["near"][np.maximum(_OFFSETS, 0)] + _CAUSAL.astype(e.dtype)
+    e += np.where(x["key_ok"], e.dtype.type(0), e.dtype.type(_LOW))[:, None, :]
+    keys, flat = CONTEXT + STRIDE, e.reshape(-1)
+    same = np.flatnonzero(x["key_before"][:, None, :] == x["before"][:, :, None])
+    at, key = same // keys, same // (STRIDE * keys) * keys + same % keys
+    twice = same[x["key_before_two"].reshape(-1)[key] == x["before_two"].reshape(-1)[at]]
+    flat[same] += w["same"][0]
+    flat[twice] += w["same"][1]
+    np.minimum(e, 60, out=e)
+    np.exp(e, out=e)
+    m = np.exp(np.minimum(np.where(x["open"], w["memory"][x["row"]], _LOW), 60))
+    total = e.sum(2) + m.sum(2)
+    hit = np.flatnonzero(x["key"][:, None, :] == x["target"][:, :, None])
+    given = np.bincount(hit // keys, flat[hit], total.size).reshape(total.shape) + (m * x["values"]).sum(2)
+    return e, m, total, (np.maximum(given / total, 1e-30), same, twice, hit)
 
 
 def probabilities(w: dict[str, np.ndarray], x: dict[str, np.ndarray]) -> np.ndarray:
     """The probability of each target (windows, STRIDE), whatever stands where there is none."""
-    a, v, _ = attend(w, x)
-    return np.einsum("bij,bij->bi", a, v)
+    return attend(w, x)[3][0]
 
 
 def gradients(w: dict[str, np.ndarray], x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     """Of the mean negative log probability of the targets."""
-    a, v, (same, twice) = attend(w, x)
-    v *= a
-    p = np.maximum(v.sum(2, keepdims=True), 1e-30)
+    e, m, total, (p, same, twice, hit) = attend(w, x)
     # By a slot's logit: its attention less its share of what was given.
-    d = a - v / p
-    d *= (x["real"] / max(1, x["real"].sum()))[:, :, None].astype(d.dtype)
-    ds, dm = d[:, :, : CONTEXT + STRIDE], d[:, :, CONTEXT + STRIDE :]
-    grads = {"near": np.bincount(np.maximum(_OFFSETS, 0).ravel(), (ds.sum(0) * (_OFFSETS > 0)).ravel(), STRIDE + CONTEXT), "same": np.array([ds[same].sum(), ds[twice].sum()])}
-    for name, at, g in (("q", x["query_class"], ds @ w["k"][x["key_class"]]), ("k", x["key_class"], ds.transpose(0, 2, 1) @ w["q"][x["query_class"]])):
+    scale = (x["real"] / max(1, x["real"].sum()) / total).astype(e.dtype)
+    d, flat = e, e.reshape(-1)
+    d *= scale[:, :, None]
+    dm = m * scale[:, :, None] * (1 - x["values"] / p[:, :, None])
+    flat[hit] *= 1 - 1 / p.reshape(-1)[hit // (CONTEXT + STRIDE)]
+    grads = {"near": np.bincount(np.maximum(_OFFSETS, 0).ravel(), (d.sum(0) * (_OFFSETS > 0)).ravel(), STRIDE + CONTEXT), "same": np.array([flat[same].sum(), flat[twice].sum()])}
+    for name, at, g in (("q", x["query_class"], d @ w["k"][x["key_class"]]), ("k", x["key_class"], d.transpose(0, 2, 1) @ w["q"][x["query_class"]])):
         places = at.reshape(-1, 1) * WIDTH + np.arange(WIDTH)
         grads[name] = np.bincount(places.ravel(), g.ravel(), CLASSES * WIDTH).reshape(-1, WIDTH)
     places = x["row"].reshape(-1, 1) * SLOTS + np.arange(SLOTS)
@@ -382,13 +423,20 @@ def _unflat(values: np.ndarray) -> dict[str, np.ndarray]:
     return {k: x.reshape(s).astype(np.float32) for (k, s), x in zip(_SHAPES.items(), np.split(values, cuts), strict=True)}
 
 
-def _train(shared, shares, rate: float):
+def _rows(b: pa.RecordBatch) -> Iterator[tuple]:
+    """The rows of a batch of blocks, one at a time."""
+    for i in range(b.num_rows):
+        yield tuple(c[i].as_py() for c in b.columns)
+
+
+def _train(shared, shares, parts: int, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trainer = Trainer(shared.value, rate)
         for b in batches:
-            for held_out, sizes, ids, counts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for held_out, sizes, ids, found in _rows(b):
                 train = ~np.array(held_out, bool)
-                placed = Placed(Block(sizes, ids, shares.value.vocabulary), _counts_of(counts), shares.value, train)
+                block = Block(sizes, ids, shares.value.vocabulary)
+                placed = Placed(block, lambda grams, b=block, f=found: found_counts(b, grams, f, parts), shares.value, train)
                 order = np.random.default_rng(len(sizes)).permutation(np.nonzero(train[placed.window_text])[0])
                 for at in range(0, len(order), BATCH):
                     trainer.step(placed.batch(order[at : at + BATCH]))
@@ -399,26 +447,27 @@ def _train(shared, shares, rate: float):
     return run
 
 
-def train(counted: DataFrame, shares, *, rounds: int = 1, rate: float = 0.02) -> dict[str, np.ndarray]:
+def train(counted: DataFrame, shares, parts: int, *, rounds: int = 1, rate: float = 0.02) -> dict[str, np.ndarray]:
     """Weights trained over all windows of the training texts in blocks with counts, by rounds of averaging."""
     weights = initial()
     for _ in range(rounds):
         shared = counted.sparkSession.sparkContext.broadcast(weights)
-        parts = counted.select("held_out", "sizes", "ids", "counts").mapInArrow(_train(shared, shares, rate), "at int, x double, n double")
-        mean = parts.groupBy("at").agg((F.sum("x") / F.sum("n")).alias("x")).orderBy("at").toPandas()
+        trained = counted.select("held_out", "sizes", "ids", "found").mapInArrow(_train(shared, shares, parts, rate), "at int, x double, n double")
+        mean = trained.groupBy("at").agg((F.sum("x") / F.sum("n")).alias("x")).orderBy("at").toPandas()
         if len(mean):
             weights = _unflat(mean["x"].to_numpy())
     return weights
 
 
-def _score(weights, shares, total: int, distinct: int):
-    denominator = total + 0.1 * (distinct + 1)
+def _score(weights, shares, parts: int, total: int, different: int):
+    denominator = total + 0.1 * (different + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = weights.value
         for b in batches:
-            for _, doc_ids, held_out, sizes, ids, counts in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                placed = Placed(Block(sizes, ids, shares.value.vocabulary), _counts_of(counts), shares.value)
+            for doc_ids, held_out, sizes, ids, found in _rows(b):
+                block = Block(sizes, ids, shares.value.vocabulary)
+                placed = Placed(block, lambda grams, b=block, f=found: found_counts(b, grams, f, parts), shares.value)
                 scores = np.zeros(len(sizes))
                 for at in range(0, len(placed.window_at), BATCH):
                     part = slice(at, at + BATCH)
@@ -433,8 +482,8 @@ def _score(weights, shares, total: int, distinct: int):
     return run
 
 
-def counted_blocks(rows: DataFrame, tokenizer: str, block: int = BLOCK) -> tuple[DataFrame, object, int, int]:
-    """Blocks of rows (doc_id, held_out, text) with the training texts' counts of all their n-grams; what tasks share; training tokens and different ones."""
+def counted_blocks(rows: DataFrame, tokenizer: str, block: int = BLOCK) -> tuple[DataFrame, object, int, int, int]:
+    """Blocks of rows (doc_id, held_out, text) with what the parts found for them; what tasks share; the number of parts; training tokens and different ones."""
     spark = rows.sparkSession
     vocabulary = Vocabulary(tokenizer)
     blocks = written(rows.select("doc_id", "held_out", "text").mapInArrow(_blocks(tokenizer, block), _BLOCKS_DDL))
@@ -445,19 +494,20 @@ def counted_blocks(rows: DataFrame, tokenizer: str, block: int = BLOCK) -> tuple
     places = blocks.agg(F.coalesce(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda x, y: x + y) + F.size("sizes")), F.lit(0))).first()[0]
     # Each subword and each end of a text closes a pair and a triple.
     parts = max(1, -(-2 * places // PART_GRAMS))
-    shared = spark.sparkContext.broadcast(vocabulary)
-    asked = blocks.select("block", "held_out", "sizes", "ids").mapInArrow(_ask_counts(shared, parts), "part long, block long, grams binary, counts binary")
-    summed = written(asked.groupBy("part").applyInArrow(_add_counts, "part long, block long, counts binary, words long"))
-    counted = written(blocks.groupBy("block").cogroup(summed.select("part", "block", "counts").groupBy("block")).applyInArrow(_joined(shared, parts), _BLOCKS_DDL + ", counts binary"))
-    distinct = summed.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
-    word_starts = int(singles[vocabulary.starts].sum())
-    return counted, spark.sparkContext.broadcast(shares), word_starts, distinct
+    asked = blocks.select("block", "held_out", "sizes", "ids").mapInArrow(_ask_counts(spark.sparkContext.broadcast(vocabulary), parts), "part long, block long, grams binary, counts binary")
+    summed = written(asked.groupBy("part").applyInArrow(_add_counts(parts, number_bits(vocabulary.size + 1)), "part long, block long, counts binary, words long"))
+    distinct_words = summed.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
+    each = summed.groupBy("block").agg(F.collect_list(F.struct("part", "counts")).alias("found"))
+    counted = written(blocks.join(each, "block"))
+    for used in (blocks, summed):
+        discard(used)
+    return counted, spark.sparkContext.broadcast(shares), parts, int(singles[vocabulary.starts].sum()), distinct_words
 
 
 def score_texts(df: DataFrame, tokenizer: str, *, text: str = "text", folds: int = 10, held_out_fold: int = 0, block: int = BLOCK, rounds: int = 1) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of df (doc_id, text)."""
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_mod("doc_id", folds) == held_out_fold).alias("held_out"), F.col(text).alias("text"))
-    counted, shares, total, distinct = counted_blocks(rows, tokenizer, block)
-    weights = df.sparkSession.sparkContext.broadcast(train(counted, shares, rounds=rounds))
-    scored = counted.mapInArrow(_score(weights, shares, total, distinct), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    counted, shares, parts, total, different = counted_blocks(rows, tokenizer, block)
+    weights = df.sparkSession.sparkContext.broadcast(train(counted, shares, parts, rounds=rounds))
+    scored = counted.select("doc_ids", "held_out", "sizes", "ids", "found").mapInArrow(_score(weights, shares, parts, total, different), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -37,7 +37,6 @@ from .sketches import repeated, sketch
 _SEGMENTS = pa.schema([("anchor", pa.int64()), ("kind", pa.int8()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int32()), ("count", pa.int32()), ("hashes", pa.list_(pa.int64())), ("more", pa.list_(pa.int64()))])
 _SEGMENTS_DDL = "anchor long, kind byte, doc_id long, text_hash long, start int, count int, hashes array<long>, more array<long>"
 _WINDOWS = pa.schema([("hash", pa.int64()), ("more", pa.int64()), ("kind", pa.int8()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int32()), ("count", pa.int32())])
-_WINDOWS_DDL = "hash long, more long, kind byte, doc_id long, text_hash long, start int, count int"
 _HITS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("starts", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))])
 _HITS_DDL = "doc_id long, text_hash long, starts array<int>, counts array<int>"
 _KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("text", pa.string())])
@@ -130,19 +129,11 @@ def _candidates(shared, size: int, width: int):
     return run
 
 
-def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _opened(segments: DataFrame) -> DataFrame:
     """A row for each window of a segment; settled segments stay as they are."""
-    for b in batches:
-        n = np.maximum(1, pa.compute.fill_null(pa.compute.list_value_length(b.column(6)), 1).to_numpy(zero_copy_only=False)).astype(np.int64)
-        settled = b.column(1).to_numpy() == SETTLED
-        row = np.repeat(np.arange(b.num_rows), n)
-        hashes, more = np.empty(len(row), np.int64), np.zeros(len(row), np.int64)
-        hashes[~settled[row]] = b.column(6).flatten().to_numpy()
-        more[~settled[row]] = b.column(7).flatten().to_numpy()
-        hashes[settled[row]] = b.column(0).to_numpy()[settled]
-        start = b.column(4).to_numpy()[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        take = pa.array(row)
-        yield record(_WINDOWS, pa.array(hashes), pa.array(more), *(b.column(i).take(take) for i in (1, 2, 3)), pa.array(start.astype(np.int32)), b.column(5).take(take))
+    hashes = F.when(F.col("kind") == SETTLED, F.array(F.struct(F.col("anchor").alias("hashes"), F.lit(0).cast("long").alias("more")))).otherwise(F.arrays_zip("hashes", "more"))
+    rows = segments.select("kind", "doc_id", "text_hash", "start", "count", F.posexplode(hashes).alias("_at", "_w"))
+    return rows.select(F.col("_w.hashes").alias("hash"), F.col("_w.more").alias("more"), "kind", "doc_id", "text_hash", (F.col("start") + F.col("_at")).cast("int").alias("start"), "count")
 
 
 def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,7 +241,7 @@ def remove_repeats(df: DataFrame, *, text: str = "text", size: int = 35, max_wid
 
     bits = spark.sparkContext.broadcast(sketch(rows, keys, rows=2, width=width))
     segments = rows.mapInArrow(_candidates(bits, size, width), _SEGMENTS_DDL).repartition("anchor")
-    windows = segments.mapInArrow(_opened, _WINDOWS_DDL).sortWithinPartitions("hash", "more")
+    windows = _opened(segments).sortWithinPartitions("hash", "more")
     # A settled range counts its windows; an open one is a window.
     hits = windows.mapInArrow(_matched, _HITS_DDL).groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("starts")).alias("_starts"), F.flatten(F.collect_list("counts")).alias("_counts"))
     hits = hits.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
