@@ -69,8 +69,13 @@ def discard(df: DataFrame) -> None:
         path = jvm.org.apache.hadoop.fs.Path(name)
         if root.rsplit("/", 1)[-1] in name:  # nothing outside our own folder
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    release(spark)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark clear the shuffles of jobs that are over: it does so for plans that nothing holds any more."""
     gc.collect()
-    jvm.System.gc()
+    spark.sparkContext._jvm.System.gc()
 
 
 def slices(batches: Iterable[pa.RecordBatch], text: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

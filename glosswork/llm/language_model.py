@@ -47,7 +47,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, discard, encoded, record, slices, written
+from .common import crc_mod, discard, encoded, record, release, slices, written
 from .hashing import mix, rolled_prefix
 from .tokens import Encoder
 
@@ -58,9 +58,9 @@ CLASSES = OWN + SHARED
 #: A context's count falls into one of so many steps of a power of two; memory slots.
 STEPS, SLOTS = 16, 3
 #: Subwords in a block of texts, but for a text that alone has more; n-grams of all blocks in a part, on average no more.
-BLOCK, PART_GRAMS = 1_000_000, 4_000_000
+BLOCK, PART_GRAMS = 700_000, 3_000_000
 #: Windows in a training step and in a scoring batch.
-BATCH = 512
+BATCH = 256
 #: Words beyond all pairs and triples.
 WORDS = 1 << 62
 #: White space that isn't ASCII's: only there may a subword hold the end of one word and the start of the next.
@@ -300,18 +300,22 @@ class Placed:
         counts = counted(grams)
         pairs, triples, self.words = np.split(counts[at], [len(block.places), 2 * len(block.places)])
         self.block, s, p = block, block.line, block.places
+        here, last = s[p], s[p - 1]
         # A training text leaves its own occurrence out of each count.
-        own = np.zeros(len(p), np.int64) if train is None else train[block.text].astype(np.int64)
-        before = shares.singles[s[p - 1]]
-        before_two = np.where(block.real[p - 1], np.concatenate([[0], pairs[:-1]]), shares.singles[-1])
-        one, two = before - own, before_two - own
-        p_one = (shares.singles[s[p]] - own + 0.1) / (shares.total - own + 0.1 * len(shares.singles))
-        p_two = np.where(one > 0, (pairs - own) / np.maximum(one, 1), 0.0)
-        p_three = np.where(two > 0, (triples - own) / np.maximum(two, 1), 0.0)
-        self.values = np.stack([p_one, p_two, p_three], 1).astype(np.float32)
+        own = np.int64(0) if train is None else train[block.text].astype(np.int64)
+        two = np.concatenate([[0], pairs[:-1]])
+        first = np.cumsum(block.sizes + 1) - block.sizes - 1  # of each text, after two ends
+        two[first] = shares.singles[-1]
+        one, two = shares.singles[last] - own, two - own
+        self.values = np.empty((len(p), SLOTS), np.float32)
+        self.values[:, 0] = (shares.singles[here] - own + 0.1) / (shares.total - own + 0.1 * len(shares.singles))
+        self.values[:, 1] = (pairs - own) / np.maximum(one, 1)
+        self.values[:, 2] = (triples - own) / np.maximum(two, 1)
+        self.open = np.ones((len(p), SLOTS), bool)
+        self.open[:, 1], self.open[:, 2] = one > 0, two > 0
+        self.values[~self.open] = 0
         step = lambda c: np.minimum(STEPS - 1, np.frexp(np.maximum(c, 0).astype(np.float32))[1])
         self.row = step(two) * STEPS + step(one)
-        self.open = np.stack([np.ones(len(p), bool), one > 0, two > 0], 1)
         self.classes, self.short = shares.classes[s], s.astype(np.int32)
         # Windows of each text: their first places, and how many places they score.
         per_text = block.sizes + 1
@@ -354,41 +358,43 @@ def initial() -> dict[str, np.ndarray]:
     return out
 
 
-def attend(w: dict[str, np.ndarray], x: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
-    """Of each target: what its attention gives to the window's places and the memory slots before they are made to add up to one, their sum, the probability; and the places (flat) after one and after two equal subwords and those that hold the target."""
+def attend(w: dict[str, np.ndarray], x: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
+    """What each target's attention gives to the window's places and to the memory slots before it adds up to one, its sum, the target's probability, and which places follow one and two equal subwords and hold the target (1 or 0)."""
+    number = w["near"].dtype
     e = w["q"][x["query_class"]] @ w["k"][x["key_class"]].transpose(0, 2, 1)
-    e += w["near"][np.maximum(_OFFSETS, 0)] + _CAUSAL.astype(e.dtype)
-    e += np.where(x["key_ok"], e.dtype.type(0), e.dtype.type(_LOW))[:, None, :]
-    keys, flat = CONTEXT + STRIDE, e.reshape(-1)
-    same = np.flatnonzero(x["key_before"][:, None, :] == x["before"][:, :, None])
-    at, key = same // keys, same // (STRIDE * keys) * keys + same % keys
-    twice = same[x["key_before_two"].reshape(-1)[key] == x["before_two"].reshape(-1)[at]]
-    flat[same] += w["same"][0]
-    flat[twice] += w["same"][1]
+    e += w["near"][np.maximum(_OFFSETS, 0)] + _CAUSAL.astype(number)
+    e += np.where(x["key_ok"], number.type(0), number.type(_LOW))[:, None, :]
+    same = x["key_before"][:, None, :] == x["before"][:, :, None]
+    twice = (same & (x["key_before_two"][:, None, :] == x["before_two"][:, :, None])).astype(number)
+    same = same.astype(number)
+    e += w["same"][0] * same
+    e += w["same"][1] * twice
     np.minimum(e, 60, out=e)
     np.exp(e, out=e)
     m = np.exp(np.minimum(np.where(x["open"], w["memory"][x["row"]], _LOW), 60))
     total = e.sum(2) + m.sum(2)
-    hit = np.flatnonzero(x["key"][:, None, :] == x["target"][:, :, None])
-    given = np.bincount(hit // keys, flat[hit], total.size).reshape(total.shape) + (m * x["values"]).sum(2)
-    return e, m, total, (np.maximum(given / total, 1e-30), same, twice, hit)
+    hit = (x["key"][:, None, :] == x["target"][:, :, None]).astype(number)
+    given = np.einsum("bij,bij->bi", e, hit) + np.einsum("bij,bij->bi", m, x["values"])
+    return e, m, total, np.maximum(given / total, 1e-30), same, twice, hit
 
 
 def probabilities(w: dict[str, np.ndarray], x: dict[str, np.ndarray]) -> np.ndarray:
     """The probability of each target (windows, STRIDE), whatever stands where there is none."""
-    return attend(w, x)[3][0]
+    return attend(w, x)[3]
 
 
 def gradients(w: dict[str, np.ndarray], x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     """Of the mean negative log probability of the targets."""
-    e, m, total, (p, same, twice, hit) = attend(w, x)
+    d, m, total, p, same, twice, hit = attend(w, x)
     # By a slot's logit: its attention less its share of what was given.
-    scale = (x["real"] / max(1, x["real"].sum()) / total).astype(e.dtype)
-    d, flat = e, e.reshape(-1)
-    d *= scale[:, :, None]
-    dm = m * scale[:, :, None] * (1 - x["values"] / p[:, :, None])
-    flat[hit] *= 1 - 1 / p.reshape(-1)[hit // (CONTEXT + STRIDE)]
-    grads = {"near": np.bincount(np.maximum(_OFFSETS, 0).ravel(), (d.sum(0) * (_OFFSETS > 0)).ravel(), STRIDE + CONTEXT), "same": np.array([flat[same].sum(), flat[twice].sum()])}
+    scale = (x["real"] / max(1, x["real"].sum()) / total).astype(d.dtype)[:, :, None]
+    over = (1 / p).astype(d.dtype)[:, :, None]
+    d *= scale
+    hit *= over
+    np.subtract(1, hit, out=hit)
+    d *= hit
+    dm = m * scale * (1 - x["values"] * over)
+    grads = {"near": np.bincount(np.maximum(_OFFSETS, 0).ravel(), (d.sum(0) * (_OFFSETS > 0)).ravel(), STRIDE + CONTEXT), "same": np.array([np.vdot(d, same), np.vdot(d, twice)])}
     for name, at, g in (("q", x["query_class"], d @ w["k"][x["key_class"]]), ("k", x["key_class"], d.transpose(0, 2, 1) @ w["q"][x["query_class"]])):
         places = at.reshape(-1, 1) * WIDTH + np.arange(WIDTH)
         grads[name] = np.bincount(places.ravel(), g.ravel(), CLASSES * WIDTH).reshape(-1, WIDTH)
@@ -447,7 +453,7 @@ def _train(shared, shares, parts: int, rate: float):
     return run
 
 
-def train(counted: DataFrame, shares, parts: int, *, rounds: int = 1, rate: float = 0.02) -> dict[str, np.ndarray]:
+def train(counted: DataFrame, shares, parts: int, *, rounds: int = 1, rate: float = 0.01) -> dict[str, np.ndarray]:
     """Weights trained over all windows of the training texts in blocks with counts, by rounds of averaging."""
     weights = initial()
     for _ in range(rounds):
@@ -496,6 +502,8 @@ def counted_blocks(rows: DataFrame, tokenizer: str, block: int = BLOCK) -> tuple
     parts = max(1, -(-2 * places // PART_GRAMS))
     asked = blocks.select("block", "held_out", "sizes", "ids").mapInArrow(_ask_counts(spark.sparkContext.broadcast(vocabulary), parts), "part long, block long, grams binary, counts binary")
     summed = written(asked.groupBy("part").applyInArrow(_add_counts(parts, number_bits(vocabulary.size + 1)), "part long, block long, counts binary, words long"))
+    del asked
+    release(spark)
     distinct_words = summed.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
     each = summed.groupBy("block").agg(F.collect_list(F.struct("part", "counts")).alias("found"))
     counted = written(blocks.join(each, "block"))
