@@ -30,3 +30,8 @@ def exact_only(m: Column, c: Column, s: Column, n: Column) -> tuple[Column, Colu
     """As strict, with conflated spans left out."""
     p, r = ratio(m, m + s), ratio(m, m + n)
     return p, r, f1(p, r)
+
+
+def overlap_ratio(s: Column, e: Column, s2: Column, e2: Column) -> Column:
+    """What two spans share over what they cover together."""
+    return ratio(F.greatest(F.least(e, e2) - F.greatest(s, s2), F.lit(0)), F.greatest(e, e2) - F.least(s, s2))

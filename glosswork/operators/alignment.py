@@ -3,50 +3,181 @@
 Gold spans go in order of start, end and label. Each takes the free prediction
 that equals it; else the one of its label with the largest overlap; else, with
 two tiers, the one of another label with the largest overlap; the first on
-ties. Spans of different overlap islands never meet, so the fold runs on each
-island by itself, inside the JVM, and a document may have any number of spans.
+ties. Spans of different overlap islands never meet, so each island is aligned
+by itself: short ones by a fold inside the JVM, longer ones in Arrow batches,
+where a gold span looks only at the free predictions that it overlaps. An island
+is one row; a document may have any number of them.
+
+Defined results: null labels are equal to each other and to nothing else; gold
+spans that hold nothing (s >= e, or a null offset) are missed and such
+predictions spurious; rows of a null document are left out; repeated spans are
+aligned one by one; other columns are left out.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .spans import with_islands
 
 _PICK = "struct<tier:int,overlap:int,back:int>"
+#: Spans of an island that the fold takes; its work grows with their square.
+FOLDED = 48
+KINDS = {3: ("M", "exact"), 2: ("C", "boundary"), 1: ("C", "class_confusion"), 0: ("N", "missed")}
+Span = dict
+Row = tuple[str, str, Span | None, Span | None]
 
 
 def _pick(taken: Column, gold: Column, two_tier: bool) -> Column:
     def score(p: Column, j: Column) -> Column:
         overlap = F.least(p["e"], gold["e"]) - F.greatest(p["s"], gold["s"])
-        used = F.exists(taken, lambda t: (t["tier"] > 0) & (t["back"] == -j))
-        same = p["lab"] == gold["lab"]
-        tier = F.when(used, 0).when(same & (p["s"] == gold["s"]) & (p["e"] == gold["e"]), 3).when(overlap <= 0, 0).when(same, 2).otherwise(int(two_tier))
+        same = p["lab"].eqNullSafe(gold["lab"])
+        tier = F.when(F.array_contains(taken, j), 0).when(same & (p["s"] == gold["s"]) & (p["e"] == gold["e"]), 3).when(overlap <= 0, 0).when(same, 2).otherwise(int(two_tier))
         return F.struct(tier.cast("int").alias("tier"), overlap.cast("int").alias("overlap"), (-j).cast("int").alias("back"))
 
     none = F.struct(F.lit(0).alias("tier"), F.lit(0).alias("overlap"), F.lit(1).alias("back")).cast(_PICK)
     return F.coalesce(F.array_max(F.transform(F.col("ps"), score)), none)
 
 
-def align(gold: DataFrame, pred: DataFrame, *, two_tier: bool = True) -> DataFrame:
-    """Outcomes: doc_id, match_type (M, C, S, N), subtype, gold_s, gold_e, gold_lab, pred_s, pred_e, pred_lab."""
-    both = gold.select("doc_id", "s", "e", "lab", F.lit(True).alias("_gold")).unionByName(pred.select("doc_id", "s", "e", "lab", F.lit(False).alias("_gold")))
-    span = F.struct("s", "e", "lab")
-    islands = with_islands(both.where("s < e")).groupBy("doc_id", "island").agg(
-        F.sort_array(F.collect_list(F.when(F.col("_gold"), span))).alias("gs"), F.sort_array(F.collect_list(F.when(~F.col("_gold"), span))).alias("ps")
-    )
-    picks = F.aggregate("gs", F.array().cast(f"array<{_PICK}>"), lambda acc, g: F.array_append(acc, _pick(acc, g, two_tier)))
-    islands = islands.withColumn("picks", picks)
-    kinds = {3: ("M", "exact"), 2: ("C", "boundary"), 1: ("C", "class_confusion"), 0: ("N", "missed")}
+def _folded(islands: DataFrame, two_tier: bool) -> DataFrame:
+    state = F.struct(F.array().cast("array<int>").alias("taken"), F.array().cast(f"array<{_PICK}>").alias("picks"))
+
+    def step(acc: Column, g: Column) -> Column:
+        pick = _pick(acc["taken"], g, two_tier)
+        return F.transform(F.array(pick), lambda p: F.struct(F.when(p["tier"] > 0, F.array_append(acc["taken"], -p["back"])).otherwise(acc["taken"]).alias("taken"), F.array_append(acc["picks"], p).alias("picks")))[0]
+
+    done = islands.withColumn("_done", F.aggregate("gs", state, step)).withColumns({"picks": F.col("_done.picks"), "taken": F.col("_done.taken")})
 
     def outcome(g: Column, pick: Column) -> Column:
-        choose = lambda n: F.element_at(F.array(*(F.lit(kinds[t][n]) for t in range(4))), pick["tier"] + 1)
+        choose = lambda n: F.element_at(F.array(*(F.lit(KINDS[t][n]) for t in range(4))), pick["tier"] + 1)
         return F.struct(choose(0).alias("match_type"), choose(1).alias("subtype"), g.alias("g"), F.when(pick["tier"] > 0, F.get("ps", -pick["back"])).alias("p"))
 
-    spare = F.filter(F.transform("ps", lambda p, j: F.struct(F.lit("S").alias("match_type"), F.lit("spurious").alias("subtype"), F.when(F.lit(False), p).alias("g"), p.alias("p"), j.alias("j"))), lambda x: ~F.exists("picks", lambda t: (t["tier"] > 0) & (t["back"] == -x["j"])))
-    found = F.zip_with("gs", "picks", outcome)
-    rows = F.concat(found, F.transform(spare, lambda x: F.struct(x["match_type"].alias("match_type"), x["subtype"].alias("subtype"), x["g"].alias("g"), x["p"].alias("p"))))
-    out = islands.select("doc_id", F.explode(rows).alias("_x"))
+    spare = F.filter(F.transform("ps", lambda p, j: F.struct(F.lit("S").alias("match_type"), F.lit("spurious").alias("subtype"), F.when(F.lit(False), p).alias("g"), p.alias("p"), j.alias("j"))), lambda x: ~F.array_contains("taken", x["j"]))
+    rows = F.concat(F.zip_with("gs", "picks", outcome), F.transform(spare, lambda x: F.struct(x["match_type"].alias("match_type"), x["subtype"].alias("subtype"), x["g"].alias("g"), x["p"].alias("p"))))
+    out = done.select("doc_id", F.explode(rows).alias("_x"))
     sides = [F.col(f"_x.{a}.{x}").alias(f"{b}_{x}") for a, b in (("g", "gold"), ("p", "pred")) for x in ("s", "e", "lab")]
     return out.select("doc_id", "_x.match_type", "_x.subtype", *sides)
+
+
+class Free:
+    """Predictions in order that aren't taken; those that end before the gold spans to come are passed over for good."""
+
+    def __init__(self, ps: list[Span]):
+        self.ps, self.starts, self.next = ps, [p["s"] for p in ps], list(range(1, len(ps) + 1))
+        self.head, self.taken = 0, [False] * len(ps)
+
+    def over(self, g: Span) -> Iterator[int]:
+        """Numbers of the free predictions that overlap g, in order; gold spans come by start."""
+        stop, before, j = bisect_left(self.starts, g["e"]), -1, self.head
+        while j < stop:
+            if self.taken[j] or self.ps[j]["e"] <= g["s"]:
+                j = self.next[j]
+                if before < 0:
+                    self.head = j
+                else:
+                    self.next[before] = j
+                continue
+            yield j
+            before, j = j, self.next[j]
+
+
+def greedy(gs: list[Span], ps: list[Span], two_tier: bool) -> Iterator[Row]:
+    """The alignment of one island's sorted spans."""
+    free = Free(ps)
+    for g in gs:
+        best = (0, 0, 0)
+        for j in free.over(g):
+            p = ps[j]
+            same = p["lab"] == g["lab"]
+            tier = 3 if same and p["s"] == g["s"] and p["e"] == g["e"] else 2 if same else int(two_tier)
+            best = max(best, (tier, min(p["e"], g["e"]) - max(p["s"], g["s"]), -j)) if tier else best
+        if best[0]:
+            free.taken[-best[2]] = True
+        yield *KINDS[best[0]], g, ps[-best[2]] if best[0] else None
+    for j, p in enumerate(ps):
+        if not free.taken[j]:
+            yield "S", "spurious", None, p
+
+
+def legacy(gs: list[Span], ps: list[Span]) -> Iterator[Row]:
+    """The older scorer on an island's distinct spans: a gold span takes the first prediction in order that equals it, taken or not, or overlaps it and is free."""
+    taken, exact = [False] * len(ps), 0
+    for g in gs:
+        hit = None
+        for j, p in enumerate(ps):
+            if p["s"] >= g["e"]:
+                break
+            if (p["s"], p["e"], p["lab"]) == (g["s"], g["e"], g["lab"]):
+                hit = ("M", "exact", j)
+                break
+            if p["e"] > g["s"] and not taken[j]:
+                hit = ("C", "boundary" if p["lab"] == g["lab"] else "class_confusion", j)
+                break
+        if hit is None:
+            yield "N", "missed", g, None
+        else:
+            exact += taken[hit[2]]
+            taken[hit[2]] = True
+            yield hit[0], hit[1], g, ps[hit[2]]
+    for j, p in enumerate(ps):
+        if not taken[j]:
+            # Predictions less matches count as spurious: one that was taken twice makes up for a free one.
+            yield "S", "spurious" if exact <= 0 else "made up for", None, p
+            exact -= 1
+
+
+def by_island(islands: DataFrame, schema: str, rows_of: Callable[[list[Span], list[Span]], Iterator[Row]]) -> DataFrame:
+    """rows_of over the sorted spans (gs, ps) of each island, as outcomes."""
+    names = ["doc_id", "match_type", "subtype", *(f"{side}_{x}" for side in ("gold", "pred") for x in ("s", "e", "lab"))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):  # an island at a time, however long
+                doc_id, gs, ps = (c[i].as_py() for c in b.columns)
+                out = [[doc_id, kind, subtype, *((x[k] if x else None) for x in (g, p) for k in ("s", "e", "lab"))] for kind, subtype, g, p in rows_of(gs, ps)]
+                for at in range(0, len(out), 10_000):
+                    columns = list(zip(*out[at : at + 10_000], strict=True))
+                    types = [b.schema.field(0).type, pa.string(), pa.string(), *(b.schema.field(1).type.value_type.field(x).type for _ in range(2) for x in ("s", "e", "lab"))]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+    return islands.select("doc_id", "gs", "ps").mapInArrow(run, schema)
+
+
+def islands_of(gold: DataFrame, pred: DataFrame) -> tuple[DataFrame, str]:
+    """doc_id, gs and ps of each overlap island, sorted, and the schema of outcomes."""
+    both = gold.select("doc_id", "s", "e", "lab", F.lit(True).alias("_gold")).unionByName(pred.select("doc_id", "s", "e", "lab", F.lit(False).alias("_gold")))
+    span = F.struct("s", "e", "lab")
+    islands = with_islands(both.where("doc_id is not null and s < e")).groupBy("doc_id", "island").agg(
+        F.sort_array(F.collect_list(F.when(F.col("_gold"), span))).alias("gs"), F.sort_array(F.collect_list(F.when(~F.col("_gold"), span))).alias("ps")
+    )
+    kind = {f.name: f.dataType.simpleString() for f in both.schema}
+    sides = ", ".join(f"{side}_{x} {kind[x]}" for side in ("gold", "pred") for x in ("s", "e", "lab"))
+    return islands, f"doc_id {kind['doc_id']}, match_type string, subtype string, {sides}"
+
+
+def _hollow(gold: DataFrame, pred: DataFrame) -> DataFrame:
+    """Outcomes of spans that hold nothing."""
+    hollow, null = "doc_id is not null and coalesce(s >= e, true)", F.lit(None)
+    own = lambda side: [F.col(x).alias(f"{side}_{x}") for x in ("s", "e", "lab")]
+    other = lambda side, df: [null.cast(df.schema[x].dataType).alias(f"{side}_{x}") for x in ("s", "e", "lab")]
+    missed = gold.where(hollow).select("doc_id", F.lit("N").alias("match_type"), F.lit("missed").alias("subtype"), *own("gold"), *other("pred", pred))
+    return missed.unionByName(pred.where(hollow).select("doc_id", F.lit("S").alias("match_type"), F.lit("spurious").alias("subtype"), *other("gold", gold), *own("pred")))
+
+
+def align(gold: DataFrame, pred: DataFrame, *, two_tier: bool = True, folded: int = FOLDED) -> DataFrame:
+    """Outcomes: doc_id, match_type (M, C, S, N), subtype, gold_s, gold_e, gold_lab, pred_s, pred_e, pred_lab."""
+    islands, schema = islands_of(gold, pred)
+    short = F.size("gs") + F.size("ps") <= folded
+    long = by_island(islands.where(~short), schema, lambda gs, ps: greedy(gs, ps, two_tier))
+    return _folded(islands.where(short), two_tier).unionByName(long).unionByName(_hollow(gold, pred))
+
+
+def align_legacy(gold: DataFrame, pred: DataFrame) -> DataFrame:
+    """Outcomes of the older scorer, on distinct spans (doc_id, s, e, lab)."""
+    islands, schema = islands_of(gold.select("doc_id", "s", "e", "lab").distinct(), pred.select("doc_id", "s", "e", "lab").distinct())
+    return by_island(islands, schema, legacy).where("subtype <> 'made up for'")

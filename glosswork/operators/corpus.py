@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import n_sentences, n_tokens
+
 
 def measured(documents: DataFrame) -> DataFrame:
-    """documents with n_tokens (words and single marks) and n_sentences."""
-    text = F.coalesce("text", F.lit(""))
-    return documents.withColumns({"n_tokens": F.regexp_count(text, F.lit(r"[A-Za-z0-9_]+|[.,;:!?]")).cast("long"), "n_sentences": F.regexp_count(text, F.lit(r"[^.!?\n]+[.!?\n]?")).cast("long")})
+    """documents with n_tokens (words and single other marks) and n_sentences (those that aren't blank)."""
+    return documents.withColumns({"n_tokens": n_tokens(F.col("text")), "n_sentences": n_sentences(F.col("text"))})
 
 
 def statistics(documents: DataFrame, keys: list[str], digits: int = 4) -> DataFrame:
@@ -21,10 +22,6 @@ def statistics(documents: DataFrame, keys: list[str], digits: int = 4) -> DataFr
     )
 
 
-def label_counts(spans: DataFrame) -> DataFrame:
-    return spans.groupBy("lab").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("documents"))
-
-
 def source_matrix(spans: DataFrame, source: str, values: list[str]) -> DataFrame:
     """Counts by label and source, side by side, with a row of totals (label TOTAL)."""
     cells = [F.count_if(F.col(source) == v).alias(v) for v in values]

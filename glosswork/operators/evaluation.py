@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scores import adapted, strict
+from ..functions.scores import adapted, exact_only, f1, ratio, strict
 
 
 def counts() -> list[Column]:
@@ -19,6 +19,11 @@ def scored(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.withColumns({k: F.round(v, digits) for k, v in zip(names, (*strict(*columns), *adapted(*columns)), strict=True)})
 
 
+def scored_exact(df: DataFrame, digits: int = 6) -> DataFrame:
+    """df with precision, recall and F1 that leave conflated spans out."""
+    return df.withColumns({f"exact_{k}": F.round(v, digits) for k, v in zip(("p", "r", "f1"), exact_only(*(F.col(x) for x in "mcsn")), strict=True)})
+
+
 def by_label(outcomes: DataFrame) -> DataFrame:
     """Counts by the gold label, spurious spans by the predicted one."""
     return scored(outcomes.groupBy(F.coalesce("gold_lab", "pred_lab").alias("lab")).agg(*counts()))
@@ -63,3 +68,73 @@ def agreement(pairs: DataFrame, digits: int = 6) -> DataFrame:
     chance = rows.join(columns, "k").agg(F.coalesce(F.sum(F.col("x").cast("double") * F.col("y")), F.lit(0.0)).alias("both"))
     po, pe = F.col("same") / F.col("n"), F.col("both") / (F.col("n").cast("double") * F.col("n"))
     return total.join(chance).select("n", F.round(po, digits).alias("observed"), F.round(pe, digits).alias("expected"), F.round(F.when(pe < 1, (po - pe) / (1 - pe)).otherwise(1.0), digits).alias("kappa"))
+
+
+def total_counts(outcomes: DataFrame) -> DataFrame:
+    """One row: how many outcomes of each kind, 0 for none."""
+    return outcomes.agg(*counts())
+
+
+def by_category_directed(outcomes: DataFrame, digits: int = 6) -> DataFrame:
+    """Counts by category (gold_cat, pred_cat) in which an outcome of two categories is wrong_gold in the one and wrong_pred in the other, with precision and recall of their own."""
+    gold, pred, kind = F.col("gold_cat"), F.col("pred_cat"), F.col("match_type")
+    own = outcomes.where((kind != "C") | (gold == pred)).select(F.coalesce(gold, pred).alias("category"), F.when(kind == "M", "exact").when(kind == "C", "boundary").when(kind == "S", "spurious").otherwise("missed").alias("as"))
+    wrong = outcomes.where((kind == "C") & (gold != pred))
+    rows = own.unionByName(wrong.select(gold.alias("category"), F.lit("wrong_gold").alias("as"))).unionByName(wrong.select(pred.alias("category"), F.lit("wrong_pred").alias("as")))
+    names = ("exact", "boundary", "wrong_gold", "wrong_pred", "spurious", "missed")
+    found = rows.groupBy("category").agg(*(F.count_if(F.col("as") == x).alias(x) for x in names))
+    e, b, wg, wp, s, n = (F.col(x) for x in names)
+    p, r = ratio(e + 0.5 * (b + wp), e + b + wp + 0.25 * s), ratio(e + 0.5 * (b + wg), e + b + wg + n)
+    return found.withColumns({"p": F.round(p, digits), "r": F.round(r, digits), "f1": F.round(f1(p, r), digits)})
+
+
+def collapsed(per_label: DataFrame, categories: DataFrame) -> DataFrame:
+    """Rows of counts by label (lab, m, c, s, n) summed by category, scored anew."""
+    sums = per_label.join(F.broadcast(categories), "lab").groupBy("category").agg(*(F.sum(x).alias(x) for x in "mcsn"))
+    return scored(sums)
+
+
+def complete_seeds(outcomes: DataFrame, folds: int) -> DataFrame:
+    """Micro scores by seed with folds, and complete: whether all folds are there; where any seed is complete, those that aren't are left out."""
+    found = scored(outcomes.groupBy("seed").agg(F.count_distinct("fold").alias("folds"), *counts())).withColumn("complete", F.col("folds") == folds)
+    # As many rows as there are seeds.
+    any_complete = F.max("complete").over(Window.partitionBy(F.lit(0)))
+    return found.withColumn("_any", any_complete).where(F.col("complete") | ~F.col("_any")).drop("_any")
+
+
+def with_micro(runs: DataFrame, per_seed: DataFrame, digits: int = 6) -> DataFrame:
+    """summary() of fold and seed runs by fold, and one of the seeds' pooled scores as fold -1."""
+    total = summary(per_seed.withColumn("fold", F.lit(-1)), ["fold"], digits)
+    return summary(runs, ["fold"], digits).unionByName(total)
+
+
+def over_folds(outcomes: DataFrame, digits: int = 4) -> DataFrame:
+    """By label: folds, summed counts, and mean and deviation over folds of scores that were rounded first."""
+    each = scored(outcomes.groupBy("fold", F.coalesce("gold_lab", "pred_lab").alias("lab")).agg(*counts()), digits)
+    spread = [f(F.col(x)) for x in ("strict_p", "strict_r", "strict_f1") for f in (lambda c: F.round(F.avg(c.cast(f"decimal(18,{digits})")), digits).cast("double"), lambda c: F.round(F.coalesce(F.stddev_samp(c), F.lit(0.0)), digits))]
+    names = [f"{x}_{y}" for x in ("p", "r", "f1") for y in ("mean", "sd")]
+    return each.groupBy("lab").agg(F.count_distinct("fold").alias("folds"), *(F.sum(x).alias(x) for x in "mcsn"), *(c.alias(n) for c, n in zip(spread, names, strict=True)))
+
+
+def bootstrap(outcomes: DataFrame, *, unit: str = "doc_id", replicates: int = 1000, least_units: int = 5, digits: int = 6) -> DataFrame:
+    """One row: 2.5 and 97.5 percentiles of strict and adapted F1 over resampled units; nulls for fewer than least_units.
+
+    A replicate draws as many units as there are, with replacement, by a hash of
+    (replicate, draw); a unit is one row of counts, numbered in the order of its
+    id. The draws are generated where they are joined; nothing is collected.
+    """
+    spark = outcomes.sparkSession
+    units = outcomes.groupBy(unit).agg(*counts())
+    numbered = units.withColumn("_bucket", F.pmod(F.xxhash64(unit), F.lit(256)))
+    sizes = numbered.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    numbered = numbered.join(F.broadcast(starts), "_bucket").withColumn("_i", F.col("_start") + F.row_number().over(Window.partitionBy("_bucket").orderBy(unit)) - 1)
+    total = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_total")).first()[0]
+    draws = spark.range(replicates * total).select((F.col("id") / F.lit(max(1, total))).cast("long").alias("replicate"), F.pmod(F.xxhash64("id", F.lit(42)), F.lit(max(1, total))).alias("_i"))
+    # Draws of a unit are counted before they meet it: a unit is shuffled once for each replicate that drew it.
+    times = draws.groupBy("replicate", "_i").agg(F.count(F.lit(1)).alias("_times"))
+    sums = times.join(numbered.select("_i", *"mcsn"), "_i").groupBy("replicate").agg(*(F.sum(F.col(x) * F.col("_times")).alias(x) for x in "mcsn"))
+    scores = scored(sums, 12)
+    bounds = [F.round(F.percentile(x, F.lit(q)), digits).alias(f"{x}_{name}") for x in ("strict_f1", "adapted_f1") for q, name in ((0.025, "low"), (0.975, "high"))]
+    found = scores.agg(*bounds, F.count(F.lit(1)).alias("replicates"))
+    return found.select("replicates", *(F.when(F.lit(total >= least_units), F.col(b)).alias(b) for b in found.columns if b != "replicates"))

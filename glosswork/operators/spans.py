@@ -55,3 +55,11 @@ def clean_span(text: Column, s: Column, e: Column) -> tuple[Column, Column]:
     left = F.length(part) - F.length(F.regexp_replace(part, rf"^[{SPACE}]+", ""))
     right = F.length(part) - F.length(F.regexp_replace(part, rf"[{SPACE}]+\z", ""))
     return F.least(low + left, high), F.greatest(high - right, F.least(low + left, high))
+
+
+def longest_first(spans: DataFrame) -> DataFrame:
+    """The longest spans first, then by start and label: each that overlaps none that was kept before."""
+    groups = with_islands(spans).groupBy("doc_id", "island").agg(F.sort_array(F.collect_list(F.struct((F.col("s") - F.col("e")).alias("_n"), "s", "e", "lab"))).alias("_all"))
+    free = lambda acc, x: ~F.exists(acc, lambda k: (k["s"] < x["e"]) & (x["s"] < k["e"]))
+    kept = F.aggregate(F.slice("_all", F.lit(2), F.size("_all")), F.slice("_all", 1, 1), lambda acc, x: F.when(free(acc, x), F.array_append(acc, x)).otherwise(acc))
+    return groups.select("doc_id", F.explode(kept).alias("_x")).select("doc_id", "_x.s", "_x.e", "_x.lab")

@@ -108,13 +108,13 @@ def _ratio(top: str, bottom: str) -> str:
     return f"(case when {bottom} > 0 then ({top}) / ({bottom}) else 0.0 end)"
 
 
-def scores_sql() -> str:
+def scores_sql(digits: int = 6) -> str:
     """Select items: strict and adapted scores from m, c, s, n."""
     out = []
     r_bottom = "cast(m + c + n as double)"
     for kind, top, bottom in (("strict", "m", "cast(m + c + s as double)"), ("adapted", "m + 0.5::double * c", "m + c + 0.25::double * s")):
         p, r = _ratio(top, f"({bottom})"), _ratio(top, r_bottom)
-        out += [f"round({p}, 6) {kind}_p", f"round({r}, 6) {kind}_r", f"round({_ratio(f'2 * {p} * {r}', f'({p} + {r})')}, 6) {kind}_f1"]
+        out += [f"round({p}, {digits}) {kind}_p", f"round({r}, {digits}) {kind}_r", f"round({_ratio(f'2 * {p} * {r}', f'({p} + {r})')}, {digits}) {kind}_f1"]
     return ", ".join(out)
 
 

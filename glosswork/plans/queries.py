@@ -127,12 +127,6 @@ def source_matrix(spark, sf_dir):
     return corpus.source_matrix(both, "source", ["gold", "pred"])
 
 
-@query(r"""with t as (select lang, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9_]+|[.,;:!?]')) t, len(regexp_extract_all(coalesce(text, ''), '[^.!?\n]+[.!?\n]?')) s from documents)
-    select lang, count(*) documents, cast(sum(t) as bigint) tokens, cast(sum(s) as bigint) sentences, round(avg(t), 4) mean_tokens, round(coalesce(stddev_samp(t), 0), 4) sd_tokens, median(t) median_tokens from t group by lang""")
-def corpus_stats(spark, sf_dir):
-    return corpus.statistics(table(spark, sf_dir, "documents"), ["lang"])
-
-
 @query(f"with {SQL} select * from gold except all select * from pred")
 def multiset_except(spark, sf_dir):
     return gold(spark, sf_dir).exceptAll(pred(spark, sf_dir))
@@ -163,13 +157,6 @@ def cv_assign(spark, sf_dir):
     return splits.cross_validation(round_robin_folds(spark, sf_dir), 10).groupBy("test_fold", "part").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""select c_custkey, case when c_custkey % 3 = 0 then c_name when c_custkey % 3 = 1 then upper(c_name) else c_name end c_name, coalesce(case when c_custkey % 2 = 0 then c_mktsegment || '+' end, c_mktsegment) c_mktsegment from customer""")
-def merge_cases(spark, sf_dir):
-    old = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
-    name = F.when(F.col("c_custkey") % 3 == 0, " ").when(F.col("c_custkey") % 3 == 1, F.upper("c_name"))
-    return tables.merge(old, old.select("c_custkey", name.alias("c_name"), F.when(F.col("c_custkey") % 2 == 0, F.concat("c_mktsegment", F.lit("+"))).alias("c_mktsegment")), ["c_custkey"])
-
-
 @query("select d.doc_id, d.source from documents d where not exists (select 1 from labels l where l.doc_id = d.doc_id)")
 def pending_work(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")

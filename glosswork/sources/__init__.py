@@ -1 +1 @@
-
+"""Reading and writing annotation files."""
