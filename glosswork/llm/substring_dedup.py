@@ -152,12 +152,9 @@ def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cuts = np.concatenate([[0], np.nonzero(~same | (start[1:] > start[:-1] + count[:-1]))[0] + 1])
             ends = np.maximum.reduceat(start + count, cuts)
             first = np.concatenate([[0], np.nonzero(~same[cuts[1:] - 1])[0] + 1]) if len(cuts) > 1 else np.array([0])
-            stops = [*first[1:].tolist(), len(cuts)]
-            begins = start[cuts]
-            yield record(
-                _HITS, pa.array(doc[cuts[first]], mask=no_id[cuts[first]]), pa.array(text[cuts[first]]),
-                [begins[a:e] for a, e in zip(first, stops)], [(ends - begins)[a:e] for a, e in zip(first, stops)],
-            )
+            begins, offsets = start[cuts], pa.array(np.append(first, len(cuts)), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (begins, ends - begins)]
+            yield record(_HITS, pa.array(doc[cuts[first]], mask=no_id[cuts[first]]), pa.array(text[cuts[first]]), *lists)
         held, n_held = [], 0
 
     carry = None  # the last hash of the batch before, its rows that wait, and whether it is known
