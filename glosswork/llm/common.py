@@ -54,9 +54,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A place for a new table in the cluster's shared folder."""
+    return f"{_shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame) -> DataFrame:
     """df written once as Parquet in the cluster's shared folder, and read again."""
-    folder = f"{_shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    folder = new_folder(df.sparkSession)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 

@@ -7,15 +7,17 @@ benchmark's vocabulary, looks up rolling hashes of its windows in the broadcast
 set, verifies each hit word by word and marks the words that it covers.
 
 The broadcast set is checked: above ``max_words`` benchmark words the items are
-dealt into parts of at most so many words, each broadcast in turn, and the hits
-of a document are merged. Defined results: null text has no words and no hits;
-null or wordless items match nothing; repeated rows give a row each; repeated
-items count by their distinct item_id; other columns are left out.
+dealt by a hash of their ids into parts of about so many, and each part is read,
+broadcast, scanned for and let go before the next; a document's hits are merged.
+Windows are looked for in the text as it came, whichever part finds them. Defined
+results: null text has no words and no hits; null or wordless items match
+nothing; repeated rows give a row each; repeated items count by their distinct
+item_id; other columns are left out by ``find_contamination`` and kept, whatever
+their names, by ``remove_contamination``.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -24,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import encoded, record, slices
+from .common import encoded, record, slices, written
 
 #: Lower-cases A-Z and blanks every other ASCII character that is no digit or lower-case letter.
 _NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_HITS = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("hit", pa.list_(pa.int32())), ("items", pa.list_(pa.string())), ("cleaned", pa.string())])
-_HITS_DDL = "doc_id long, n_words long, hit array<int>, items array<string>, cleaned string"
+_HITS = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("hit", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
+_HITS_DDL = "doc_id long, n_words long, hit array<int>, items array<string>"
 
 
 def words(text: bytes) -> list[bytes]:
@@ -82,19 +84,18 @@ class NgramSet:
         return np.nonzero(np.cumsum(hit[:-1]))[0].tolist(), items
 
 
-def _scan(shared, clean: bool):
+def _scan(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ngrams = shared.value
         for b in slices(batches, 1):
-            counts, hits, items, cleaned = [], [], [], []
+            counts, hits, items = [], [], []
             for text in encoded(b, 1):
                 found = words(text)
                 hit, owners = ngrams.find(found)
                 counts.append(len(found))
                 hits.append(hit)
                 items.append(sorted(owners))
-                cleaned.append(_without(text, set(hit)) if clean and hit else None)
-            yield record(_HITS, b.column(0), counts, hits, items, cleaned)
+            yield record(_HITS, b.column(0), counts, hits, items)
 
     return run
 
@@ -116,57 +117,66 @@ def _without(text: bytes, hit: set[int]) -> str:
     return (b"".join(keep) + text[start:]).decode()
 
 
-def benchmark_parts(benchmark: DataFrame, max_words: int) -> Iterator[list[tuple[str, bytes]]]:
-    """The items, in parts of at most so many words (or one item)."""
-    part, held = [], 0
-    rows = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).where("item_id is not null and text is not null")
-    for item_id, text in rows.toLocalIterator():
-        size = len(words(text.encode()))
-        if part and held + size > max_words:
-            yield part
-            part, held = [], 0
-        part.append((item_id, text.encode()))
-        held += size
-    yield part
+def benchmark_parts(benchmark: DataFrame, max_words: int) -> list[DataFrame]:
+    """(item_id, text) of the items, in parts of about max_words words; an item lies in one part."""
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
+    total = rows.agg(F.coalesce(F.sum(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))), F.lit(0))).first()[0]
+    parts = max(1, -(-total // max_words))
+    return [rows.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == i) for i in range(parts)]
 
 
-def find_contamination(df: DataFrame, benchmark: DataFrame, *, text: str = "text", n: int = 10, max_words: int = 2_000_000, clean: bool = False) -> DataFrame:
-    """doc_id, n_words, hit (word positions), items (sorted ids), cleaned (where asked for and hit) for each row of df."""
-    spark = df.sparkSession
+def _shared(part: DataFrame, n: int):
+    """The windows of a part's items, which are about max_words words, broadcast."""
+    return part.sparkSession.sparkContext.broadcast(NgramSet([(item_id, text.encode()) for item_id, text in part.collect()], n))
+
+
+def _hits(rows: DataFrame, parts: list[DataFrame], n: int) -> DataFrame:
+    """_row, n_words, hit, items of rows (_row, text), over all parts, one after the other."""
+    found = []
+    for part in parts:
+        shared = _shared(part, n)
+        found.append(written(rows.select(F.col("_row").alias("doc_id"), "text").mapInArrow(_scan(shared), _HITS_DDL)))
+        shared.unpersist()
+    merged = found[0]
+    for one in found[1:]:
+        merged = merged.unionByName(one)
+    flat = lambda c: F.sort_array(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    return merged.groupBy(F.col("doc_id").alias("_row")).agg(F.first("n_words").alias("n_words"), flat("hit"), flat("items"))
+
+
+def find_contamination(df: DataFrame, benchmark: DataFrame, *, text: str = "text", n: int = 10, max_words: int = 500_000) -> DataFrame:
+    """doc_id, n_words, hit (word positions), items (sorted ids) for each row of df."""
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    parts = list(benchmark_parts(benchmark, max_words))
+    parts = benchmark_parts(benchmark, max_words)
     if len(parts) == 1:
-        return rows.mapInArrow(_scan(spark.sparkContext.broadcast(NgramSet(parts[0], n)), clean), _HITS_DDL)
-    if clean:
-        raise ValueError("a benchmark of several parts is removed part by part: call once for each")
-    keyed = rows.select(F.struct(F.monotonically_increasing_id().alias("row"), "doc_id").alias("_key"), "text")
-    found = None
-    for part in parts:
-        one = keyed.select(F.col("_key.row").alias("doc_id"), "text").mapInArrow(_scan(spark.sparkContext.broadcast(NgramSet(part, n)), False), _HITS_DDL)
-        found = one if found is None else found.unionByName(one)
-    merged = found.groupBy(F.col("doc_id").alias("_row")).agg(F.first("n_words").alias("n_words"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("hit")))).alias("hit"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return keyed.select(F.col("_key.row").alias("_row"), F.col("_key.doc_id").alias("doc_id")).join(merged, "_row").select("doc_id", "n_words", "hit", "items", F.lit(None).cast("string").alias("cleaned"))
+        return rows.mapInArrow(_scan(_shared(parts[0], n)), _HITS_DDL)
+    # Written first: a number that a lost task gave again might be another.
+    keyed = written(rows.withColumn("_row", F.monotonically_increasing_id()))
+    return keyed.select("_row", "doc_id").join(_hits(keyed, parts, n), "_row").select("doc_id", "n_words", "hit", "items")
 
 
-def remove_contamination(df: DataFrame, benchmark: DataFrame, *, text: str = "text", n: int = 10, max_words: int = 2_000_000) -> DataFrame:
-    """doc_id and the text less every word inside a benchmark window; each row stays."""
-    spark = df.sparkSession
-    shared = [spark.sparkContext.broadcast(NgramSet(part, n)) for part in benchmark_parts(benchmark, max_words)]
-    fields = [f for f in df.schema]
-    at = [f.name for f in fields].index(text)
+def _removed(at: int, width: int, hits_of):
+    """The first width columns with the hit words taken out of column number at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, at):
-            out = []
-            for raw, x in zip(b.column(at).to_pylist(), encoded(b, at), strict=True):
-                found = words(x)
-                hit = set().union(*(s.value.find(found)[0] for s in shared))
-                out.append(_without(x, hit) if hit else raw)
-            columns = [pa.array(out, b.schema.field(at).type) if i == at else c for i, c in enumerate(b.columns)]
-            yield pa.RecordBatch.from_arrays(columns, schema=b.schema)
+            hits = hits_of(b)
+            out = [_without(x, set(hit)) if hit else raw for raw, x, hit in zip(b.column(at).to_pylist(), encoded(b, at), hits, strict=True)]
+            columns = [pa.array(out, b.schema.field(at).type) if i == at else c for i, c in enumerate(b.columns[:width])]
+            yield pa.RecordBatch.from_arrays(columns, names=b.schema.names[:width])
 
-    return df.mapInArrow(run, df.schema)
+    return run
 
 
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
+def remove_contamination(df: DataFrame, benchmark: DataFrame, *, text: str = "text", n: int = 10, max_words: int = 500_000) -> DataFrame:
+    """df, whatever its columns' names, with every word inside a benchmark window taken out of the text; each row stays."""
+    at, width = df.columns.index(text), len(df.columns)
+    plain = df.toDF(*(f"c{i}" for i in range(width)))
+    parts = benchmark_parts(benchmark, max_words)
+    if len(parts) == 1:
+        shared = _shared(parts[0], n)
+        return plain.mapInArrow(_removed(at, width, lambda b: [shared.value.find(words(x))[0] for x in encoded(b, at)]), plain.schema).toDF(*df.columns)
+    keyed = written(plain.withColumn("_row", F.monotonically_increasing_id()))
+    hits = _hits(keyed.select("_row", F.col(f"c{at}").alias("text")), parts, n).select("_row", "hit")
+    joined = keyed.join(hits, "_row", "left").select(*plain.columns, "hit")
+    return joined.mapInArrow(_removed(at, width, lambda b: b.column(width).to_pylist()), plain.schema).toDF(*df.columns)

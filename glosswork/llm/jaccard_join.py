@@ -52,8 +52,8 @@ ROUNDS = 2
 BLOCK, SALTS = 256, 8
 #: Classes that a task remembers having sent, and the bytes of a slice of texts.
 SENT, SLICE = 100_000, 1_000_000
-_TABLE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sid", pa.binary()), ("prefix", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())), ("parts", pa.binary()), ("shingles", pa.binary())])
-_TABLE_DDL = "doc_id long, n long, sid binary, prefix array<long>, places array<int>, parts binary, shingles binary"
+_TABLE = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("sid", pa.binary()), ("prefix", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())), ("parts", pa.binary()), ("shingles", pa.binary())])
+_TABLE_DDL = "doc_id long, text_hash long, n long, sid binary, prefix array<long>, places array<int>, parts binary, shingles binary"
 _PAIRS = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("la", pa.binary()), ("lb", pa.binary())])
 _PAIRS_DDL = "a binary, b binary, la binary, lb binary"
 PAIR = ["a", "b", "la", "lb"]
@@ -110,7 +110,7 @@ def _candidates(size: int, percent: int, shared, width: int):
                         rest = (s[first[at]].view(np.int64), at.astype(np.int32), range_counts(s), s.tobytes())
                 for column, x in zip(out, (sid, *rest), strict=True):
                     column.append(x)
-            yield record(_TABLE, b.column(0), [len(s) for s in sets], *out)
+            yield record(_TABLE, b.column(0), b.column(2), [len(s) for s in sets], *out)
 
     return run
 
@@ -271,10 +271,10 @@ def _known(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(-(2**63)))
 
 
-def link_documents(df: DataFrame, *, text: str = "text", size: int = 5, percent: int = 80, width: int | None = None) -> DataFrame:
+def link_documents(df: DataFrame, *, text: str = "text", size: int = 5, percent: int = 80, width: int | None = None, text_hashes: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id that links reach) for each row of df (doc_id, text); percent: the least similarity."""
     spark = df.sparkSession
-    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
     if width is None:
         n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         width = min(MAX_WIDTH, 1 << max(16, (n_bytes // 6).bit_length()))
@@ -284,7 +284,7 @@ def link_documents(df: DataFrame, *, text: str = "text", size: int = 5, percent:
 
     order = spark.sparkContext.broadcast(sketch(rows, keys, rows=1, width=width, levels=True)[0])
     table = written(rows.mapInArrow(_candidates(size, percent, order, width), _TABLE_DDL))
-    members = table.select("doc_id", "n", "sid")
+    members = table.select("doc_id", "text_hash", "n", "sid")
     classes = table.where("shingles is not null").select("sid", "n", "prefix", "places").dropDuplicates(["sid"])
     placed = classes.select("sid", "n", F.explode(F.arrays_zip("prefix", "places")).alias("p")).select(F.col("p.prefix").alias("token"), "sid", "n", F.col("p.places").alias("at"), F.floor(F.log(F.col("n").cast("double")) * 20).alias("band"), F.col("sid").alias("least"))
     placed = written(placed)
@@ -315,4 +315,16 @@ def link_documents(df: DataFrame, *, text: str = "text", size: int = 5, percent:
     own = members.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("_own")).join(labels, "sid", "left").withColumn("least", F.coalesce("least", "sid"))
     smallest = own.groupBy("least").agg(F.min("_own").alias("_component"))
     ids = own.join(smallest, "least").select("sid", "_component")
-    return members.join(ids, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("_component", "doc_id").alias("component_id"))
+    more = ["text_hash"] if text_hashes else []
+    return members.join(ids, "sid", "left").select("doc_id", *more, F.col("n").alias("n_shingles"), F.coalesce("_component", "doc_id").alias("component_id"))
+
+
+def one_of_each(df: DataFrame, *, text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of df that stay of each component: one, of its smallest id (and of the smallest text hash, where rows share that id), with all columns whatever their names; rows of a null id stay as they are."""
+    linked = link_documents(df, text=text, size=size, percent=percent, text_hashes=True)
+    kept = linked.where("doc_id = component_id").groupBy(F.col("doc_id").alias("own")).agg(F.min("text_hash").alias("own_hash"))
+    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    doc_id, body = (F.col(f"c{df.columns.index(c)}") for c in ("doc_id", text))
+    known = plain.where(doc_id.isNotNull()).withColumn("hash", F.xxhash64(body)).join(kept, (doc_id.cast("long") == F.col("own")) & (F.col("hash") == F.col("own_hash")), "left_semi")
+    once = known.dropDuplicates([f"c{df.columns.index('doc_id')}", "hash"]).drop("hash")
+    return once.unionByName(plain.where(doc_id.isNull())).toDF(*df.columns)

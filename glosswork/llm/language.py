@@ -36,8 +36,8 @@ _CODES = np.array([NAMES.index(s) for s in SCRIPTS])
 #: ASCII characters that are no letters part words.
 _LETTERS = bytes(c if 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 _ALPHA = re.compile(r"[^\W\d_]")
-_STAT_DDL = "lang string, grams binary, scripts binary"
-_STATS = pa.schema([("lang", pa.string()), ("grams", pa.binary()), ("scripts", pa.binary())])
+_STAT_DDL = "lang string, at int, n double"
+_STATS = pa.schema([("lang", pa.string()), ("at", pa.int32()), ("n", pa.float64())])
 _SPANS = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())])))])
 _SPANS_DDL = "doc_id long, held_out boolean, lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>"
 
@@ -88,7 +88,11 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             buckets, starts = _trigrams(words)
             g += np.bincount(buckets, np.repeat(n, np.diff([*starts, len(buckets)])), BUCKETS)
     for lang in grams:
-        yield record(_STATS, [lang], [grams[lang].tobytes()], [scripts[lang].tobytes()])
+        found = np.concatenate([grams[lang], scripts[lang]])
+        some = np.nonzero(found)[0]
+        # A language without a word is known all the same.
+        some = some if len(some) else np.array([0])
+        yield record(_STATS, [lang] * len(some), some, found[some])
 
 
 class Model:
@@ -177,15 +181,21 @@ def viterbi(scores: np.ndarray, best: np.ndarray, penalty: float) -> np.ndarray:
 
 
 def train(df: DataFrame, *, text: str = "text", lang: str = "lang", sample_docs: int = 20_000) -> Model | None:
-    """A model from all labelled rows of df, or about sample_docs of a language that has more, chosen by a hash of their ids; None without any."""
+    """A model from all labelled rows of df, or about sample_docs of a language that has more, chosen by a hash of their ids; None without any.
+
+    A task counts the sampled texts that it reads, Spark adds the counts up, and
+    the driver gets a row for each language and bucket.
+    """
     rows = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col("doc_id").cast("string"), F.lit("language sample")).alias("_h"))
-    limits = rows.groupBy("lang").agg(F.ceil(F.least(F.lit(1.0), sample_docs / F.count(F.lit(1))) * 1_000_000).alias("_limit"))
-    sample = rows.join(F.broadcast(limits), "lang").where(F.pmod("_h", F.lit(1_000_000)) < F.col("_limit")).select("lang", "text").coalesce(16)
+    # A share of the 63 bits of a hash: never none of them, however many rows there are.
+    limits = rows.groupBy("lang").agg((F.least(F.lit(1.0), sample_docs / F.count(F.lit(1))) * F.lit(2.0**63)).alias("_limit"))
+    sample = rows.join(F.broadcast(limits), "lang").where(F.shiftrightunsigned("_h", 1).cast("double") <= F.col("_limit")).select("lang", "text")
+    counts = sample.mapInArrow(_stats, _STAT_DDL).groupBy("lang", "at").agg(F.sum("n").alias("n")).toPandas()
     stats: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    for name, grams, scripts in sample.mapInArrow(_stats, _STAT_DDL).toLocalIterator():
-        g, s = np.frombuffer(grams), np.frombuffer(scripts)
-        held = stats.get(name)
-        stats[name] = (held[0] + g, held[1] + s) if held else (g, s)
+    for name, own in counts.groupby("lang"):
+        found = np.zeros(BUCKETS + len(NAMES))
+        found[own["at"].to_numpy()] = own["n"].to_numpy()
+        stats[name] = found[:BUCKETS], found[BUCKETS:]
     return Model(stats) if stats else None
 
 

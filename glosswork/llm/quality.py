@@ -123,17 +123,41 @@ def cell_scores(weights: np.ndarray, cells: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-(_one_hot(cells) @ weights)))
 
 
+def train_quality(cells: DataFrame, labels: DataFrame, folds: int, held_out_fold: int) -> np.ndarray | None:
+    """Weights learned from cells (doc_id, cell, held_out) that aren't held out; None without a positive."""
+    trusted = labels.where((F.col("quality") == 1) & (crc_mod("doc_id", folds) != held_out_fold)).select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("_p", F.lit(1))
+    counts = cells.where(~F.col("held_out")).join(trusted, "doc_id", "left").groupBy("cell").agg(F.count(F.lit(1)).alias("u"), F.count("_p").alias("p")).orderBy("cell").toPandas()
+    at, p, u = counts["cell"].to_numpy(), counts["p"].to_numpy(float), counts["u"].to_numpy(float)
+    return train(at, p, u)[0] if p.sum() else None
+
+
+def keep_quality(df: DataFrame, labels: DataFrame, *, text: str = "text", least: float = 0.5, folds: int = 4, held_out_fold: int = 2) -> DataFrame:
+    """The rows of df whose text scores least or more, each judged by itself, with all its columns whatever their names."""
+    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
+    cells = rows.mapInArrow(_to_cells, "doc_id long, cell int").withColumn("held_out", crc_mod("doc_id", folds) == held_out_fold)
+    found, at = train_quality(cells, labels, folds, held_out_fold), df.columns.index(text)
+    weights = df.sparkSession.sparkContext.broadcast(found)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, at):
+            if weights.value is None:
+                yield b if least <= 0.5 else b.slice(0, 0)
+                continue
+            scores = cell_scores(weights.value, np.array([cell(x or "") for x in b.column(at).to_pylist()]))
+            yield b.filter(pa.array(scores >= least))
+
+    return df.mapInArrow(keep, df.schema)
+
+
 def score_quality(df: DataFrame, labels: DataFrame, *, text: str = "text", folds: int = 4, held_out_fold: int = 2) -> DataFrame:
     """doc_id, held_out, score for each row of df (doc_id, text); labels: (doc_id, quality)."""
     spark = df.sparkSession
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     cells = checkpointed(rows.mapInArrow(_to_cells, "doc_id long, cell int").withColumn("held_out", crc_mod("doc_id", folds) == held_out_fold))
-    trusted = labels.where((F.col("quality") == 1) & (crc_mod("doc_id", folds) != held_out_fold)).select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("_p", F.lit(1))
-    counts = cells.where(~F.col("held_out")).join(trusted, "doc_id", "left").groupBy("cell").agg(F.count(F.lit(1)).alias("u"), F.count("_p").alias("p")).orderBy("cell").toPandas()
-    at, p, u = counts["cell"].to_numpy(), counts["p"].to_numpy(float), counts["u"].to_numpy(float)
-    if not p.sum():
+    found = train_quality(cells, labels, folds, held_out_fold)
+    if found is None:
         return cells.select("doc_id", "held_out", F.lit(0.5).alias("score"))
-    weights = spark.sparkContext.broadcast(train(at, p, u)[0])
+    weights = spark.sparkContext.broadcast(found)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -90,3 +90,32 @@ def test_no_benchmark_and_no_rows(spark, benchmark):
     assert find_contamination(df, empty).first().hit == []
     assert find_contamination(df.limit(0), benchmark).count() == 0
     assert hashlib.sha256(b"").hexdigest()
+
+
+def test_runs_settle_keys_and_are_kept_between_calls(spark, tmp_path):
+    from glosswork.llm.line_dedup import LineRuns
+
+    batch = lambda rows: spark.createDataFrame(rows, "k1 long, k2 long, doc_id long")
+    folder = str(tmp_path / "runs")
+    LineRuns(spark, folder, fanout=3).add(batch([(1, 1, 90), (1, 1, 91), (1, 1, 92), (2, 2, 95)]))
+    again = LineRuns(spark, folder, fanout=3)  # another call finds the first one's run
+    again.add(batch([(1, 1, 50), (2, 2, 51), (3, 3, 52)]))
+    assert [r[0] for r in again.runs()] == [0, 0]
+    # What the runs settle adds nothing, what they know adds its count alone: this is the anti-join's work.
+    second = sorted(tuple(r) for r in again.read(again.runs()[1]).collect())
+    assert second == [(2, 2, 1, None), (3, 3, 1, 52)]
+    again.add(batch([(2, 2, 10), (2, 2, 11), (1, 1, 12)]))
+    assert [r[:3] for r in again.runs()] == [(1, 0, 2)]  # compacted
+    assert sorted(tuple(r) for r in again.keys().collect()) == [(1, 1, 3, 92), (2, 2, 4, 95), (3, 3, 1, 52)]
+    # A run that a lost compaction left behind is covered by the one that was made of it.
+    spark.read.parquet(f"{folder}/run-1-0-2").write.parquet(f"{folder}/run-0-1-1")
+    assert again.runs() == [(1, 0, 2)]
+
+
+def test_contamination_in_parts_equals_that_in_one(spark):
+    items = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(14))) for i in range(9)], "item_id long, text string")
+    docs = spark.createDataFrame([(k, f"start {' '.join(f'w{k % 9}x{j}' for j in range(k % 16))} and end", k) for k in range(60)] + [(99, None, 1), (99, None, 1)], "doc_id long, text string, hit int")
+    one, many = (sorted(map(tuple, find_contamination(docs, items, max_words=w).collect()), key=str) for w in (10**6, 20))
+    assert one == many and any(r[2] for r in one)
+    one, many = (sorted(map(tuple, remove_contamination(docs, items, max_words=w).collect()), key=str) for w in (10**6, 20))
+    assert one == many
