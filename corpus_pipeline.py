@@ -1,9 +1,10 @@
 """The corpus pipeline: each stage works on all that the one before kept.
 
-Stages that change a text set ``n_chars`` anew; rows of a null id pass through
-every stage; rows that share an id are judged by their best score, and stay or
-go together where near duplicates are dropped, but for equal rows, of which one
-stays. Other columns pass through as they are.
+Rows are told apart by themselves: each is judged by its own text, whatever id it
+has. Of a group of near duplicates one row stays, of the smallest id; rows of a
+null id have none and pass that stage and the line stage. Stages that change a text
+set ``n_chars`` anew, where there is such a column of whole numbers; all other
+columns pass through as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -13,10 +14,10 @@ from pyspark.sql import functions as F
 
 from glosswork.llm.common import read, written
 from glosswork.llm.decontamination import remove_contamination
-from glosswork.llm.jaccard_join import link_documents
+from glosswork.llm.jaccard_join import one_of_each
 from glosswork.llm.line_dedup import drop_lines
 from glosswork.llm.packing import pack_documents
-from glosswork.llm.quality import score_quality
+from glosswork.llm.quality import keep_quality
 from glosswork.llm.queries import tokenizer_path
 
 #: Documents below this score are rejected.
@@ -29,22 +30,17 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on docs and their labels, doesn't reject."""
-    scores = score_quality(docs, read(spark, sf_dir, "labels")).groupBy(F.col("doc_id").alias("_id")).agg(F.max("score").alias("_score"))
-    kept = scores.where(F.col("_score") >= LEAST_SCORE)
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    return keep_quality(docs, read(spark, sf_dir, "labels"), least=LEAST_SCORE)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents less the lines that three or more share, but in their last; a document that loses all keeps an empty text."""
-    return _measured(drop_lines(docs).select(docs.columns))
+    return _measured(drop_lines(docs, counts=False))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id in each group that links of five-word shingles at 0.8 reach."""
-    linked = link_documents(docs, size=5, percent=80)
-    kept = linked.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    known = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("_id"), "left_semi").withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
-    return known.unionByName(docs.where("doc_id is null"))
+    return one_of_each(docs, size=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
