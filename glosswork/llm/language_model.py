@@ -21,7 +21,9 @@ for a block and part, however frequent an n-gram is, and none is left out.
 Windows of ``STRIDE`` subwords overlap by ``CONTEXT``: each token is scored once,
 with at least so many before it (or all there are), windows of many texts in one
 batch. A round trains on all windows of all training texts: each task trains on
-its blocks from the same start, and the weights are averaged by tokens.
+its blocks from the same start, with the counts of pairs and triples that the
+block itself has (how much a count tells depends on it, not on the corpus), and
+the weights are averaged by tokens. Scores take the counts of all training texts.
 
 ``base_score`` takes the words' counts from the same exchange. Words are told
 apart by 62 bits of hash (1e9 different words hold two of one hash with a chance
@@ -35,6 +37,7 @@ that is longer than a block is a block by itself.
 
 from __future__ import annotations
 
+import copy
 import json
 import re
 import zlib
@@ -47,20 +50,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, discard, encoded, record, release, slices, written
+from .common import crc_mod, discard, encoded, record, slices, written
 from .hashing import mix, rolled_prefix
 from .tokens import Encoder
 
-STRIDE, CONTEXT, WIDTH = 16, 16, 8
+STRIDE, CONTEXT, WIDTH = 8, 16, 8
 #: Classes of the attention: the most frequent subwords are classes of their own, the others share.
 OWN, SHARED = 512, 512
 CLASSES = OWN + SHARED
 #: A context's count falls into one of so many steps of a power of two; memory slots.
 STEPS, SLOTS = 16, 3
 #: Subwords in a block of texts, but for a text that alone has more; n-grams of all blocks in a part, on average no more.
-BLOCK, PART_GRAMS = 700_000, 3_000_000
+BLOCK, PART_GRAMS = 1_000_000, 4_000_000
 #: Windows in a training step and in a scoring batch.
-BATCH = 256
+BATCH = 512
 #: Words beyond all pairs and triples.
 WORDS = 1 << 62
 #: White space that isn't ASCII's: only there may a subword hold the end of one word and the start of the next.
@@ -70,7 +73,7 @@ _BLOCKS = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), (
 _BLOCKS_DDL = "block long, doc_ids array<long>, held_out array<boolean>, sizes array<long>, ids binary"
 _ASKED = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary())])
 _FOUND = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("counts", pa.binary()), ("words", pa.int64())])
-_SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+_SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("words", pa.int64())])
 _OFFSETS = CONTEXT + np.arange(STRIDE)[:, None] - np.arange(STRIDE + CONTEXT)[None, :]
 _CAUSAL = np.where(_OFFSETS > 0, np.float32(0), np.float32(-1e9))
 _LOW = np.float32(-1e9)
@@ -166,6 +169,7 @@ class Block:
         inside = self.real.copy()
         inside[starts + self.sizes + 2] = False
         self.line[inside] = flat
+        self.inside, self.vocabulary = inside, vocabulary
         self.starts, self.base = starts, end + 1
         self.places = np.nonzero(self.real)[0]
         self.text = np.repeat(np.arange(len(sizes)), self.sizes + 1)
@@ -181,20 +185,29 @@ class Block:
         keys = rolled_prefix(mix(self.line.astype(np.uint64) + np.uint64(1)), at, stop)
         return (keys >> np.uint64(2)).astype(np.int64) | WORDS, self.text[np.searchsorted(self.places, at)]
 
-    def grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The distinct n-grams ascending, which is at each place (pairs, then triples, then words), and the words' texts.
-
-        Pairs and triples are numbered, and the numbers spread over their range by
-        an odd factor, so that a range of them is a fair part.
-        """
+    def numbers(self) -> np.ndarray:
+        """The number of the pair, then of the triple, that ends at each place; spread over their range by an odd factor, so that a range of them is a fair part."""
         s, p = self.line, self.places
         pairs = s[p - 1] * self.base + s[p]
         triples = (s[p - 2] * self.base + s[p - 1]) * self.base + s[p] + self.base * self.base
-        words, owners = self.words()
-        bits = number_bits(self.base)
         with np.errstate(over="ignore"):
-            numbers = (np.concatenate([pairs, triples]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) & np.uint64((1 << bits) - 1)
-        return *distinct(np.concatenate([numbers.astype(np.int64), words])), owners
+            numbers = (np.concatenate([pairs, triples]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) & np.uint64((1 << number_bits(self.base)) - 1)
+        return numbers.astype(np.int64)
+
+    def grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct n-grams ascending, which is at each place (pairs, then triples, then words), and the words' texts."""
+        words, owners = self.words()
+        return *distinct(np.concatenate([self.numbers(), words])), owners
+
+    def own_counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """How often the block itself has the pair and the triple that end at each place."""
+        codes = pd.factorize(self.numbers())[0]
+        return np.split(np.bincount(codes)[codes], 2)
+
+    def alone(self, keep: np.ndarray) -> Block:
+        """The block of some of its texts."""
+        flat = self.line[self.inside]
+        return Block(self.sizes[keep], packed(flat[np.repeat(keep, self.sizes)]), self.vocabulary)
 
 
 def number_bits(base: int) -> int:
@@ -289,24 +302,28 @@ class Shares:
         rank = np.empty(len(singles), np.int64)
         rank[np.argsort(-singles, kind="stable")] = np.arange(len(singles))
         self.classes = np.where(rank < OWN, rank, OWN + np.arange(len(singles)) % SHARED)
+        self.contexts = singles
+
+    def within(self, contexts: np.ndarray) -> Shares:
+        """The same, where subwords are as frequent as contexts, before another, as given."""
+        out = copy.copy(self)
+        out.contexts = contexts
+        return out
 
 
 class Placed:
     """A block's places with the values of their memory slots, and its windows."""
 
-    def __init__(self, block: Block, counted, shares: Shares, train: np.ndarray | None = None):
-        """counted: gives the counts of the block's distinct n-grams."""
-        grams, at, self.owners = block.grams()
-        counts = counted(grams)
-        pairs, triples, self.words = np.split(counts[at], [len(block.places), 2 * len(block.places)])
+    def __init__(self, block: Block, pairs: np.ndarray, triples: np.ndarray, shares: Shares, train: np.ndarray | None = None):
+        """pairs, triples: the counts of those that end at each place; train: the texts that are among the counted ones."""
         self.block, s, p = block, block.line, block.places
         here, last = s[p], s[p - 1]
-        # A training text leaves its own occurrence out of each count.
+        # A text that was counted leaves its own occurrence out of each count.
         own = np.int64(0) if train is None else train[block.text].astype(np.int64)
         two = np.concatenate([[0], pairs[:-1]])
         first = np.cumsum(block.sizes + 1) - block.sizes - 1  # of each text, after two ends
-        two[first] = shares.singles[-1]
-        one, two = shares.singles[last] - own, two - own
+        two[first] = shares.contexts[-1]
+        one, two = shares.contexts[last] - own, two - own
         self.values = np.empty((len(p), SLOTS), np.float32)
         self.values[:, 0] = (shares.singles[here] - own + 0.1) / (shares.total - own + 0.1 * len(shares.singles))
         self.values[:, 1] = (pairs - own) / np.maximum(one, 1)
@@ -435,15 +452,20 @@ def _rows(b: pa.RecordBatch) -> Iterator[tuple]:
         yield tuple(c[i].as_py() for c in b.columns)
 
 
-def _train(shared, shares, parts: int, rate: float):
+def _train(shared, shares, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trainer = Trainer(shared.value, rate)
         for b in batches:
-            for held_out, sizes, ids, found in _rows(b):
+            for held_out, sizes, ids in _rows(b):
                 train = ~np.array(held_out, bool)
-                block = Block(sizes, ids, shares.value.vocabulary)
-                placed = Placed(block, lambda grams, b=block, f=found: found_counts(b, grams, f, parts), shares.value, train)
-                order = np.random.default_rng(len(sizes)).permutation(np.nonzero(train[placed.window_text])[0])
+                if not train.any():
+                    continue
+                block = Block(sizes, ids, shares.value.vocabulary).alone(train)
+                own = block.own_counts()
+                # Shares of single subwords are those of all texts; contexts are as frequent as the block has them.
+                singles = np.bincount(block.line[block.places], minlength=block.base)
+                placed = Placed(block, *own, shares.value.within(singles), np.ones(len(block.sizes), bool))
+                order = np.random.default_rng(len(sizes)).permutation(len(placed.window_text))
                 for at in range(0, len(order), BATCH):
                     trainer.step(placed.batch(order[at : at + BATCH]))
         if trainer.tokens:
@@ -453,69 +475,67 @@ def _train(shared, shares, parts: int, rate: float):
     return run
 
 
-def train(counted: DataFrame, shares, parts: int, *, rounds: int = 1, rate: float = 0.01) -> dict[str, np.ndarray]:
-    """Weights trained over all windows of the training texts in blocks with counts, by rounds of averaging."""
+def train(blocks: DataFrame, shares, *, rounds: int = 1, rate: float = 0.01) -> dict[str, np.ndarray]:
+    """Weights trained over all windows of the training texts in blocks, by rounds of averaging."""
     weights = initial()
     for _ in range(rounds):
-        shared = counted.sparkSession.sparkContext.broadcast(weights)
-        trained = counted.select("held_out", "sizes", "ids", "found").mapInArrow(_train(shared, shares, parts, rate), "at int, x double, n double")
+        shared = blocks.sparkSession.sparkContext.broadcast(weights)
+        trained = blocks.select("held_out", "sizes", "ids").mapInArrow(_train(shared, shares, rate), "at int, x double, n double")
         mean = trained.groupBy("at").agg((F.sum("x") / F.sum("n")).alias("x")).orderBy("at").toPandas()
         if len(mean):
             weights = _unflat(mean["x"].to_numpy())
     return weights
 
 
-def _score(weights, shares, parts: int, total: int, different: int):
-    denominator = total + 0.1 * (different + 1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = weights.value
-        for b in batches:
-            for doc_ids, held_out, sizes, ids, found in _rows(b):
-                block = Block(sizes, ids, shares.value.vocabulary)
-                placed = Placed(block, lambda grams, b=block, f=found: found_counts(b, grams, f, parts), shares.value)
-                scores = np.zeros(len(sizes))
-                for at in range(0, len(placed.window_at), BATCH):
-                    part = slice(at, at + BATCH)
-                    x = placed.batch(part)
-                    logs = np.where(x["real"], np.log10(np.maximum(probabilities(w, x), 1e-30)), 0).sum(1, dtype=np.float64)
-                    scores += np.bincount(placed.window_text[part], logs, len(sizes))
-                n = np.bincount(placed.owners, minlength=len(sizes))
-                known = np.bincount(placed.owners, placed.words > 0, len(sizes)).astype(np.int64)
-                base = np.bincount(placed.owners, np.log10((placed.words + 0.1) / denominator), len(sizes))
-                yield record(_SCORED, pa.array(doc_ids, pa.int64()), held_out, n, known, base, scores)
+def _score(weights, shares, parts: int):
+    """Of each text of a block its scores; the base score less what each token's denominator takes; and the words that the block's parts were told to count."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        _, doc_ids, held_out, sizes, ids = (left[c][0].as_py() for c in _BLOCKS.names)
+        block = Block(sizes, ids, shares.value.vocabulary)
+        grams, at, owners = block.grams()
+        counts = found_counts(block, grams, right.select(["part", "counts"]).to_pylist(), parts)[at]
+        pairs, triples, words = np.split(counts, [len(block.places), 2 * len(block.places)])
+        placed, scores, w = Placed(block, pairs, triples, shares.value), np.zeros(len(sizes)), weights.value
+        for k in range(0, len(placed.window_at), BATCH):
+            part = slice(k, k + BATCH)
+            x = placed.batch(part)
+            logs = np.where(x["real"], np.log10(np.maximum(probabilities(w, x), 1e-30)), 0).sum(1, dtype=np.float64)
+            scores += np.bincount(placed.window_text[part], logs, len(sizes))
+        n = np.bincount(owners, minlength=len(sizes))
+        known = np.bincount(owners, words > 0, len(sizes)).astype(np.int64)
+        base = np.bincount(owners, np.log10(words + 0.1), len(sizes))
+        told = np.zeros(len(sizes), np.int64)
+        told[0] = sum(right["words"].to_pylist())
+        return pa.Table.from_batches([record(_SCORED, pa.array(doc_ids, pa.int64()), held_out, n, known, base, scores, told)])
 
     return run
 
 
-def counted_blocks(rows: DataFrame, tokenizer: str, block: int = BLOCK) -> tuple[DataFrame, object, int, int, int]:
-    """Blocks of rows (doc_id, held_out, text) with what the parts found for them; what tasks share; the number of parts; training tokens and different ones."""
-    spark = rows.sparkSession
+def blocks_of(rows: DataFrame, tokenizer: str, block: int = BLOCK) -> tuple[DataFrame, object]:
+    """Blocks of rows (doc_id, held_out, text), and what tasks share of the training texts."""
     vocabulary = Vocabulary(tokenizer)
     blocks = written(rows.select("doc_id", "held_out", "text").mapInArrow(_blocks(tokenizer, block), _BLOCKS_DDL))
     found = blocks.select("held_out", "sizes", "ids").mapInArrow(_count_ids(vocabulary.size), "at long, c long").groupBy("at").agg(F.sum("c").alias("c")).toPandas()
     singles = np.zeros(vocabulary.size + 1, np.int64)
     singles[found["at"].to_numpy(np.int64)] = found["c"]
-    shares = Shares(vocabulary, singles)
-    places = blocks.agg(F.coalesce(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda x, y: x + y) + F.size("sizes")), F.lit(0))).first()[0]
-    # Each subword and each end of a text closes a pair and a triple.
-    parts = max(1, -(-2 * places // PART_GRAMS))
-    asked = blocks.select("block", "held_out", "sizes", "ids").mapInArrow(_ask_counts(spark.sparkContext.broadcast(vocabulary), parts), "part long, block long, grams binary, counts binary")
-    summed = written(asked.groupBy("part").applyInArrow(_add_counts(parts, number_bits(vocabulary.size + 1)), "part long, block long, counts binary, words long"))
-    del asked
-    release(spark)
-    distinct_words = summed.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
-    each = summed.groupBy("block").agg(F.collect_list(F.struct("part", "counts")).alias("found"))
-    counted = written(blocks.join(each, "block"))
-    for used in (blocks, summed):
-        discard(used)
-    return counted, spark.sparkContext.broadcast(shares), parts, int(singles[vocabulary.starts].sum()), distinct_words
+    return blocks, rows.sparkSession.sparkContext.broadcast(Shares(vocabulary, singles))
 
 
 def score_texts(df: DataFrame, tokenizer: str, *, text: str = "text", folds: int = 10, held_out_fold: int = 0, block: int = BLOCK, rounds: int = 1) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of df (doc_id, text)."""
+    spark = df.sparkSession
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_mod("doc_id", folds) == held_out_fold).alias("held_out"), F.col(text).alias("text"))
-    counted, shares, parts, total, different = counted_blocks(rows, tokenizer, block)
-    weights = df.sparkSession.sparkContext.broadcast(train(counted, shares, parts, rounds=rounds))
-    scored = counted.select("doc_ids", "held_out", "sizes", "ids", "found").mapInArrow(_score(weights, shares, parts, total, different), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    blocks, shares = blocks_of(rows, tokenizer, block)
+    weights = spark.sparkContext.broadcast(train(blocks, shares, rounds=rounds))
+    vocabulary, singles = shares.value.vocabulary, shares.value.singles
+    places = blocks.agg(F.coalesce(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda x, y: x + y) + F.size("sizes")), F.lit(0))).first()[0]
+    # Each subword and each end of a text closes a pair and a triple.
+    parts = max(1, -(-2 * places // PART_GRAMS))
+    asked = blocks.select("block", "held_out", "sizes", "ids").mapInArrow(_ask_counts(spark.sparkContext.broadcast(vocabulary), parts), "part long, block long, grams binary, counts binary")
+    summed = asked.groupBy("part").applyInArrow(_add_counts(parts, number_bits(vocabulary.size + 1)), "part long, block long, counts binary, words long")
+    scored = written(blocks.groupBy("block").cogroup(summed.groupBy("block")).applyInArrow(_score(weights, shares, parts), "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, words long"))
+    discard(blocks)
+    total, different = int(singles[vocabulary.starts].sum()), scored.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
+    base = F.col("base") - F.col("n_tokens") * float(np.log10(total + 0.1 * (different + 1)))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")

@@ -112,7 +112,7 @@ def placed(texts, train=None):
     blob = lm.packed(np.array([x for t in texts for x in t], np.int64))
     block = lm.Block([len(t) for t in texts], blob, Small)
     grams, at, owners = block.grams()
-    return lm.Placed(block, lambda grams: np.bincount(at, minlength=len(grams)), lm.Shares(Small, counts[0]), train), lines, counts
+    return lm.Placed(block, *np.split(np.bincount(at, minlength=len(grams))[at][: 2 * len(block.places)], 2), lm.Shares(Small, counts[0]), train), lines, counts
 
 
 def some_weights(seed):
@@ -149,7 +149,7 @@ def test_gradients_and_learning():
     w, x = some_weights(4), p.batch(slice(0, 9))
     loss = lambda w: -(np.log(lm.probabilities(w, x)) * x["real"]).sum() / x["real"].sum()
     g = lm.gradients(w, x)
-    row, one, two = int(x["row"][3, 4]), int(x["query_class"][2, 3]), int(x["key_class"][4, 20])
+    row, one, two = int(x["row"][3, 4]), int(x["query_class"][2, 3]), int(x["key_class"][4, 12])
     for name, at in (("q", (one, 1)), ("k", (two, 2)), ("near", (4,)), ("same", (0,)), ("same", (1,)), ("memory", (row, 1)), ("memory", (row, 2))):
         kept = w[name][at]
         w[name][at] = kept + 1e-4
@@ -171,12 +171,12 @@ def test_a_round_trains_on_all_windows_of_training_texts(spark, monkeypatch):
     run = lm._train
     monkeypatch.setattr(lm, "_train", lambda *a: seen.append(a) or run(*a))
     rows = df.selectExpr("doc_id", "crc32(cast(cast(doc_id as string) as binary)) % 10 = 0 or doc_id is null held_out", "text")
-    blocks, shares, parts, _, _ = lm.counted_blocks(rows, tokenizer_path(), 300)
-    lm.train(blocks, shares, parts, rounds=2)
+    blocks, shares = lm.blocks_of(rows, tokenizer_path(), 300)
+    lm.train(blocks, shares, rounds=2)
     encoder = Encoder(tokenizer_path())
     assert len(seen) == 2
     for arguments in seen:
-        each = blocks.select("held_out", "sizes", "ids", "found").coalesce(1).mapInArrow(run(*arguments), "at int, x double, n double")
+        each = blocks.select("held_out", "sizes", "ids").coalesce(1).mapInArrow(run(*arguments), "at int, x double, n double")
         assert each.first()["n"] == sum(len(text_ids(encoder, t)) + 1 for i, t in ROWS if in_training(i))
 
 
@@ -202,3 +202,15 @@ def test_empty_table_and_no_training_texts(spark):
     found = lm.score_texts(spark.createDataFrame([(None, "a b"), (None, None)], "doc_id long, text string"), tokenizer_path()).collect()
     assert [(r["held_out"], r["n_known"], r["train_tokens"]) for r in found] == [(True, 0, 0)] * 2
     assert all(math.isfinite(r["score"]) for r in found)
+
+
+def test_a_block_counts_what_it_has_itself():
+    texts = [[0, 1, 2, 0, 1], [3, 3, 3], [], [0, 1, 6] * 5]
+    block = lm.Block([len(t) for t in texts], lm.packed(np.array([x for t in texts for x in t], np.int64)), Small)
+    lines = [[9, 9, *t, 9] for t in texts]
+    _, pairs, triples, _ = counted(lines, 9)
+    one, two = block.own_counts()
+    assert one.tolist() == [pairs[s[t - 1], s[t]] for s in lines for t in range(2, len(s))]
+    assert two.tolist() == [triples[s[t - 2], s[t - 1], s[t]] for s in lines for t in range(2, len(s))]
+    some = block.alone(np.array([True, False, True, True]))
+    assert some.sizes.tolist() == [5, 0, 15] and some.line.tolist() == [*lines[0], *lines[2], *lines[3]]
