@@ -88,6 +88,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_languages(documents, model).select("doc_id", "held_out", "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fill_in_middle import fill_in_middle, restored
+
+    sha = lambda x: F.sha2(x.cast("binary"), 256)
+    cut = fill_in_middle(read(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"), sha(restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_quality_classifier": op2_quality_classifier,
@@ -99,6 +107,7 @@ QUERIES: dict[str, Query] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_decontamination": op9_decontamination,
     "op10_language_id": op10_language_id,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -151,4 +160,18 @@ ORACLE_SQL: dict[str, str] = {
         select d.doc_id, cast(coalesce(len(d.w), 0) as bigint) n_words, coalesce(c.n_hit, 0) n_hit, coalesce(t.n_items, 0) n_items,
           sha256(coalesce(t.ids, '')) items_sha256, coalesce(c.n_hit, 0) > 0 contaminated
         from d left join c using (doc_id) left join t using (doc_id)""",
+    # Lines drawn by the id's hash; the restored text is the document's.
+    "op11_fill_in_middle": r"""
+        with d as (select doc_id, coalesce(text, '') t, sha256(concat('7:', doc_id)) x from documents),
+        h as (select doc_id, t, string_split(t, chr(10)) u, ('0x' || x[1:8])::bigint h1, ('0x' || x[9:16])::bigint h2, ('0x' || x[17:24])::bigint h3, ('0x' || x[25:32])::bigint h4 from d),
+        n as (select *, len(u) - cast(u[-1] = '' as int) n from h),
+        k as (select *, least(h1 % (n + 1), h2 % (n + 1)) a, greatest(h1 % (n + 1), h2 % (n + 1)) b,
+          case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 100 then 'plain' when h4 % 100 < 50 then 'spm' else 'psm' end form from n),
+        p as (select *, case when a = n then t when a = 0 then '' else concat(array_to_string(u[1:a], chr(10)), chr(10)) end p,
+          case when b = n then t when b = 0 then '' else concat(array_to_string(u[1:b], chr(10)), chr(10)) end pm from k),
+        c as (select *, substr(pm, length(p) + 1) m, substr(t, length(pm) + 1) s from p)
+        select doc_id, cast(n as bigint) n, form, case when form <> 'plain' then length(p) end prefix_chars, case when form <> 'plain' then length(m) end middle_chars,
+          sha256(case form when 'plain' then t when 'psm' then concat('<P>', p, '<S>', s, '<M>', m) else concat('<S>', s, '<P>', p, '<M>', m) end) output_sha256,
+          sha256(t) restored_sha256
+        from c""",
 }
