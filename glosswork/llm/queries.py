@@ -96,6 +96,13 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"), sha(restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
 
 
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_files import read_tokens, write_tokens
+
+    documents = read(spark, sf_dir, "documents")
+    return read_tokens(write_tokens(documents, tokenizer_path("word_bpe_49k.json")), documents.schema["doc_id"].dataType.simpleString())
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_quality_classifier": op2_quality_classifier,
@@ -108,6 +115,7 @@ QUERIES: dict[str, Query] = {
     "op9_decontamination": op9_decontamination,
     "op10_language_id": op10_language_id,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op13_token_files": op13_token_files,
 }
 
 ORACLE_SQL: dict[str, str] = {
