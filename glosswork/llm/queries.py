@@ -96,6 +96,12 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"), sha(restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_alignment import align_tokens
+
+    return align_tokens(read(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import read_tokens, write_tokens
 
@@ -115,6 +121,7 @@ QUERIES: dict[str, Query] = {
     "op9_decontamination": op9_decontamination,
     "op10_language_id": op10_language_id,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_token_alignment": op12_token_alignment,
     "op13_token_files": op13_token_files,
 }
 
