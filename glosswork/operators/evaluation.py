@@ -109,9 +109,18 @@ def with_micro(runs: DataFrame, per_seed: DataFrame, digits: int = 6) -> DataFra
 
 
 def over_folds(outcomes: DataFrame, digits: int = 4) -> DataFrame:
-    """By label: folds, summed counts, and mean and deviation over folds of scores that were rounded first."""
+    """By label: folds, summed counts, and mean and deviation over folds of scores that were rounded first.
+
+    Means are taken of whole numbers (scores times 10**digits), halves up, so that a tie is one in every engine.
+    """
     each = scored(outcomes.groupBy("fold", F.coalesce("gold_lab", "pred_lab").alias("lab")).agg(*counts()), digits)
-    spread = [f(F.col(x)) for x in ("strict_p", "strict_r", "strict_f1") for f in (lambda c: F.round(F.avg(c.cast(f"decimal(18,{digits})")), digits).cast("double"), lambda c: F.round(F.coalesce(F.stddev_samp(c), F.lit(0.0)), digits))]
+    scale, n = 10**digits, F.count(F.lit(1))
+
+    def mean(c: Column) -> Column:
+        whole = F.sum(F.round(c * scale).cast("long"))
+        return F.floor((2 * whole + n) / (2 * n)) / scale
+
+    spread = [f(F.col(x)) for x in ("strict_p", "strict_r", "strict_f1") for f in (mean, lambda c: F.round(F.coalesce(F.stddev_samp(c), F.lit(0.0)), digits))]
     names = [f"{x}_{y}" for x in ("p", "r", "f1") for y in ("mean", "sd")]
     return each.groupBy("lab").agg(F.count_distinct("fold").alias("folds"), *(F.sum(x).alias(x) for x in "mcsn"), *(c.alias(n) for c, n in zip(spread, names, strict=True)))
 

@@ -87,7 +87,7 @@ def collapsed_category(spark, sf_dir):
 
 
 @query(f"""{_RUNS}, x as (select fold, coalesce(gold_lab, pred_lab) lab, {COUNTS_SQL} from runs group by 1, 2), y as (select *, {scores_sql(4)} from x)
-    select lab, count(distinct fold) folds, sum(m)::bigint m, sum(c)::bigint c, sum(s)::bigint s, sum(n)::bigint n, {', '.join(f'cast(round(sum(cast(strict_{k} as decimal(18,4))) / count(*), 4) as double) {k}_mean, round(coalesce(stddev_samp(strict_{k}), 0), 4) {k}_sd' for k in ('p', 'r', 'f1'))} from y group by lab""")
+    select lab, count(distinct fold) folds, sum(m)::bigint m, sum(c)::bigint c, sum(s)::bigint s, sum(n)::bigint n, {', '.join(f'((2 * sum(cast(round(strict_{k} * 10000) as bigint)) + count(*)) // (2 * count(*))) / 10000 {k}_mean, round(coalesce(stddev_samp(strict_{k}), 0), 4) {k}_sd' for k in ('p', 'r', 'f1'))} from y group by lab""")
 def label_summary_over_folds(spark, sf_dir):
     return evaluation.over_folds(runs(spark, sf_dir))
 

@@ -174,12 +174,12 @@ def unpivot_products(spark, sf_dir):
     return products(wide, ["p_partkey"]).withColumn("n_fields", F.size("fields")).drop("fields")
 
 
-@query("""with u as (select c_custkey, 1 k, 'Name' label, c_name v from customer union all select c_custkey, 2, 'Segment', case when c_custkey % 3 = 0 then '  ' else c_mktsegment end from customer union all select c_custkey, 3, 'Balance', case when c_custkey % 4 = 0 then null else cast(cast(c_acctbal as bigint) as varchar) end from customer)
+@query("""with u as (select c_custkey, 1 k, 'Name' label, c_name v from customer union all select c_custkey, 2, 'Segment', case when c_custkey % 3 = 0 then '  ' else c_mktsegment end from customer union all select c_custkey, 3, 'Balance', case when c_custkey % 4 = 0 then null else cast(c_acctbal as varchar) end from customer)
     select c_custkey, k place, label, trim(v) "value" from u where trim(v) <> ''""")
 def demographic_entries(spark, sf_dir):
     from ..operators.cases import entries
 
-    rows = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("Name"), F.when(F.col("c_custkey") % 3 == 0, "  ").otherwise(F.col("c_mktsegment")).alias("Segment"), F.when(F.col("c_custkey") % 4 != 0, F.round("c_acctbal").cast("long").cast("string")).alias("Balance"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("Name"), F.when(F.col("c_custkey") % 3 == 0, "  ").otherwise(F.col("c_mktsegment")).alias("Segment"), F.when(F.col("c_custkey") % 4 != 0, F.col("c_acctbal").cast("string")).alias("Balance"))
     return entries(rows, ["c_custkey"], ["Name", "Segment", "Balance"])
 
 
