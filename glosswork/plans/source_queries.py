@@ -8,7 +8,8 @@ from ..operators import tables
 from ..operators.evaluation import counts
 from ..sources import files
 from ..sources.folders import new_folder
-from ..streaming import jobs
+from ..sources.keyed_table import KeyedTable
+from ..streaming import cases, jobs
 from .fixtures import ANNOTATION_SQL, COUNTS_SQL, annotations, outcomes_sql, table
 from .queries import _RUNS, outcomes, runs
 from .registry import query
@@ -150,7 +151,10 @@ def merge_cases(spark, sf_dir):
     customers, key = table(spark, sf_dir, "customer"), F.col("c_custkey")
     old = customers.where(key % 5 != 4).select("c_custkey", "c_name", "c_mktsegment", F.lit("old").alias("meta"), F.lit(0).alias("updated_at"))
     new = customers.where(key % 5 != 0).select("c_custkey", F.when(key % 3 == 0, " ").when(key % 3 == 1, F.upper("c_name")).alias("c_name"), F.when(key % 2 == 0, F.concat("c_mktsegment", F.lit("+"))).alias("c_mktsegment"), F.when(key % 7 != 0, "new").alias("meta"))
-    return tables.upsert(old, new, ["c_custkey"], always=["meta"], touched="updated_at", at=F.lit(1))
+    stored = KeyedTable(spark, new_folder(spark, "cases"), old.schema, ["c_custkey"], buckets=8)
+    stored.merge(old, 0, lambda _, rows: rows)
+    stored.merge(new.withColumn("updated_at", F.lit(1)), 1, lambda before, rows: tables.upsert(before, rows.drop("updated_at"), ["c_custkey"], always=["meta"], touched="updated_at", at=F.lit(1)))
+    return stored.read()
 
 
 @query("select c_custkey, coalesce(case when c_custkey % 3 = 1 then upper(c_name) end, case when c_custkey % 2 = 0 then c_name end) c_name from customer where c_custkey % 5 <> 4")
@@ -218,9 +222,30 @@ def stream_prediction_cache(spark, sf_dir):
     return jobs.merge_latest(event_stream(spark, sf_dir), ["user_id"], "event_id", new_folder(spark, "cache"), good="event_type <> 'error'").select("user_id", "event_id", "event_type")
 
 
-@query("""select user_id, max(event_id) event_id, arg_max("value", event_id) "value" from events group by 1""")
+#: Sixteen events after one another edit one case: which does what, by its number among them.
+_EDITS = {0: "post", 9: "post", 3: "add", 4: "add", 5: "undo", 6: "update", 10: "update", 7: "remove", 11: "remove", 12: "add", 13: "add", 14: "undo"}
+_EDIT_SQL = "case event_id % 16 " + " ".join(f"when {k} then '{v}'" for k, v in _EDITS.items()) + " else 'update' end"
+
+
+@query(f"""with e as (select event_id id, event_id // 16 % 50 k, {_EDIT_SQL} action, event_id % 4 j from events),
+    p as (select k, max(id) p from e where action = 'post' group by 1), l as (select e.* from e left join p using (k) where p is null or id > p),
+    posted as (select k, unnest(range(1 + p % 3)) j from p),
+    touched as (select k, j, arg_max(action, id) action, max(id) id from l where action in ('update', 'remove') group by 1, 2),
+    slots as (select coalesce(posted.k, touched.k) k, coalesce(posted.j, touched.j) j, action, touched.id, posted.k is not null posted from posted full join touched on posted.k = touched.k and posted.j = touched.j),
+    added as (select k, id from l where action = 'add' and not exists (select 1 from l u where u.action = 'undo' and u.k = l.k and u.id - 2 = l.id)),
+    found as (select k, 'L' || j label, j * 10 s from slots where action is distinct from 'remove' union all select k, 'E' || id, id % 50 from added)
+    select k "case", count(*) n, string_agg(label || ' ' || s, ',' order by label) "set" from found group by 1""")
 def stream_annotation_events(spark, sf_dir):
-    return jobs.replace_cases(event_stream(spark, sf_dir), "user_id", "event_id", "event_id", new_folder(spark, "cases")).select("user_id", "event_id", "value")
+    """Cases after posts of one to three annotations, updates, removals, additions, and undone additions."""
+    id, j = F.col("event_id"), F.col("event_id") % 4
+    one = lambda label, s: F.struct(label.alias("label"), s.cast("int").alias("s"), (s + 4).cast("int").alias("e"), F.lit("").alias("text"), F.lit("SME1").alias("note"), F.lit(False).alias("disputed"))
+    slot = lambda x: one(F.concat(F.lit("L"), x.cast("string")), x * 10)
+    action = F.expr(_EDIT_SQL)
+    held = F.when(action == "post", F.transform(F.sequence(F.lit(0).cast("long"), id % 3), slot)).when(action == "add", F.array(one(F.concat(F.lit("E"), id.cast("string")), id % 50))).otherwise(F.array(slot(j)))
+    edits = event_stream(spark, sf_dir).select(F.expr("event_id div 16 % 50").alias("case"), id.alias("event"), "ts", action.alias("action"), held.alias("annotations"), (id - 2).alias("undoes"))
+    found = cases.edited_cases(edits, new_folder(spark, "cases"))
+    said = F.transform("annotations", lambda a: F.concat(a["label"], F.lit(" "), a["s"].cast("string")))
+    return found.where(F.size("annotations") > 0).select("case", F.size("annotations").cast("long").alias("n"), F.array_join(F.array_sort(said), ",").alias("set"))
 
 
 @query("select date_trunc('day', ts) start, event_type kind, count(*) n from events group by all")

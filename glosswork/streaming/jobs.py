@@ -2,43 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.keyed_table import KeyedTable, newest_of
 
-def _newest(spark: SparkSession, folder: str) -> str | None:
-    """The newest version of the table in folder that was written to its end."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(conf)
-    if not fs.exists(path):
-        return None
-    done = [p.getPath() for p in fs.listStatus(path) if fs.exists(jvm.org.apache.hadoop.fs.Path(p.getPath(), "_SUCCESS"))]
-    return max((p.toString() for p in done), key=lambda p: int(p.rsplit("=", 1)[-1]), default=None)
 
-
-def merge_latest(stream: DataFrame, keys: list[str], order: str, folder: str, *, good: str = "true") -> DataFrame:
+def merge_latest(stream: DataFrame, keys: list[str], order: str, folder: str, *, good: str = "true", buckets: int = 64) -> DataFrame:
     """The last good row of each key in order, over all that the stream has brought so far.
 
-    A batch is merged with the version before and written as the version of its
-    number, so that a batch that runs again writes the same.
+    A batch rewrites the buckets of its keys alone, as the version of its number, so
+    that a batch that runs again writes the same.
     """
-    spark, names = stream.sparkSession, stream.columns
+    table = KeyedTable(stream.sparkSession, f"{folder}/table", stream.schema, keys, buckets=buckets)
 
     def merge(batch: DataFrame, number: int) -> None:
-        rows, before = batch.where(good), _newest(spark, f"{folder}/table")
-        if before and int(before.rsplit("=", 1)[-1]) < number:
-            rows = rows.unionByName(spark.read.schema(batch.schema).parquet(before))
-        last = rows.groupBy(*keys).agg(F.max_by(F.struct(*names), order).alias("_x")).select("_x.*")
-        last.write.mode("overwrite").parquet(f"{folder}/table/version={number}")
+        table.merge(batch.where(good), number, newest_of(keys, order))
 
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(_newest(spark, f"{folder}/table"))
-
-
-def replace_cases(stream: DataFrame, case: str, order: str, event: str, folder: str, *, late: str = "1 hour", time: str = "ts") -> DataFrame:
-    """Of each case the rows of its last event; an event that comes again within the watermark counts once."""
-    return merge_latest(stream.withWatermark(time, late).dropDuplicatesWithinWatermark([event]), [case], order, folder)
+    return table.read()
 
 
 def progress_counts(stream: DataFrame, kind: str, folder: str, *, every: str = "1 day", late: str = "1 hour", time: str = "ts") -> DataFrame:
