@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from hashlib import md5
+from math import exp, factorial
+from operator import add
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,25 +130,48 @@ def over_folds(outcomes: DataFrame, digits: int = 4) -> DataFrame:
     return each.groupBy("lab").agg(F.count_distinct("fold").alias("folds"), *(F.sum(x).alias(x) for x in "mcsn"), *(c.alias(n) for c, n in zip(spread, names, strict=True)))
 
 
+#: A prime below 2**31: products of two numbers below it add up within 64 bits.
+PRIME = (1 << 31) - 1
+
+
+def draw_bounds() -> list[int]:
+    """How many hashes below PRIME stand for at most 0, 1, 2, ... draws of a unit, when it is drawn once on average."""
+    shares = [exp(-1) / factorial(k) for k in range(13)]
+    return [round(PRIME * sum(shares[: k + 1])) for k in range(13)]
+
+
+def replicate_factors(replicates: int) -> list[tuple[int, int]]:
+    """Two factors of each replicate: eight digits of an md5 each."""
+    digits = [md5(f"replicate {r}".encode()).hexdigest() for r in range(replicates)]
+    return [(int(d[:8], 16) % PRIME, int(d[8:16], 16) % PRIME) for d in digits]
+
+
+def unit_hashes(unit: Column) -> tuple[Column, Column]:
+    """Two hashes of a unit below PRIME: eight digits of its md5 each."""
+    digits = F.md5(unit.cast("string").cast("binary"))
+    return tuple(F.conv(F.substring(digits, at, 8), 16, 10).cast("long") % PRIME for at in (1, 9))
+
+
+def draws(x: Column, y: Column, a: Column, b: Column) -> Column:
+    """How often the unit of two hashes is drawn in the replicate of two factors."""
+    mixed = (x * a + y * b) % PRIME
+    return reduce(add, ((mixed >= bound).cast("int") for bound in draw_bounds()))
+
+
 def bootstrap(outcomes: DataFrame, *, unit: str = "doc_id", replicates: int = 1000, least_units: int = 5, digits: int = 6) -> DataFrame:
     """One row: 2.5 and 97.5 percentiles of strict and adapted F1 over resampled units; nulls for fewer than least_units.
 
-    A replicate draws as many units as there are, with replacement, by a hash of
-    (replicate, draw); a unit is one row of counts, numbered in the order of its
-    id. The draws are generated where they are joined; nothing is collected.
+    In each replicate a unit is drawn so often as a hash of both says, once on
+    average. Draws are worked out where a unit's counts lie and summed there: what is shuffled
+    is a row of four sums for each replicate and task, however many units there are. A
+    null unit counts as one.
     """
-    spark = outcomes.sparkSession
     units = outcomes.groupBy(unit).agg(*counts())
-    numbered = units.withColumn("_bucket", F.pmod(F.xxhash64(unit), F.lit(256)))
-    sizes = numbered.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    numbered = numbered.join(F.broadcast(starts), "_bucket").withColumn("_i", F.col("_start") + F.row_number().over(Window.partitionBy("_bucket").orderBy(unit)) - 1)
-    total = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_total")).first()[0]
-    draws = spark.range(replicates * total).select((F.col("id") / F.lit(max(1, total))).cast("long").alias("replicate"), F.pmod(F.xxhash64("id", F.lit(42)), F.lit(max(1, total))).alias("_i"))
-    # Draws of a unit are counted before they meet it: a unit is shuffled once for each replicate that drew it.
-    times = draws.groupBy("replicate", "_i").agg(F.count(F.lit(1)).alias("_times"))
-    sums = times.join(numbered.select("_i", *"mcsn"), "_i").groupBy("replicate").agg(*(F.sum(F.col(x) * F.col("_times")).alias(x) for x in "mcsn"))
-    scores = scored(sums, 12)
+    factors = F.array(*(F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for a, b in replicate_factors(replicates)))
+    x, y = unit_hashes(F.coalesce(F.col(unit).cast("string"), F.lit("")))
+    each = units.select(x.alias("_x"), y.alias("_y"), *"mcsn").select("*", F.posexplode(factors).alias("replicate", "_f"))
+    drawn = each.withColumn("_times", draws(F.col("_x"), F.col("_y"), F.col("_f.a"), F.col("_f.b")))
+    sums = drawn.groupBy("replicate").agg(*(F.sum(F.col(x) * F.col("_times")).alias(x) for x in "mcsn"), F.count(F.lit(1)).alias("_units"))
     bounds = [F.round(F.percentile(x, F.lit(q)), digits).alias(f"{x}_{name}") for x in ("strict_f1", "adapted_f1") for q, name in ((0.025, "low"), (0.975, "high"))]
-    found = scores.agg(*bounds, F.count(F.lit(1)).alias("replicates"))
-    return found.select("replicates", *(F.when(F.lit(total >= least_units), F.col(b)).alias(b) for b in found.columns if b != "replicates"))
+    found = scored(sums, 12).agg(*bounds, F.max("_units").alias("_units"))
+    return found.select(F.lit(replicates).cast("long").alias("replicates"), *(F.when(F.col("_units") >= least_units, F.col(b)).alias(b) for b in found.columns if b != "_units"))

@@ -255,7 +255,14 @@ def cohort_sizes(spark, sf_dir):
     return table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").groupBy((F.col("o_orderkey") % 4).alias("series")).agg(count_n()).withColumn("filled", F.col("n") > 0)
 
 
-@query()
+_HEX = lambda of, at: f"('0x' || substr(md5({of}), {at}, 8))::bigint % {evaluation.PRIME}"
+_DRAWN = " + ".join(f"cast((x * a + y * b) % {evaluation.PRIME} >= {bound} as int)" for bound in evaluation.draw_bounds())
+
+
+@query(f"""{_O}, u as (select doc_id, {COUNTS_SQL} from outcomes group by 1), h as (select *, {_HEX('doc_id::varchar', 1)} x, {_HEX('doc_id::varchar', 9)} y from u),
+    r as (select i, {_HEX("'replicate ' || i", 1)} a, {_HEX("'replicate ' || i", 9)} b from (select unnest(range(200)) i)), d as (select i, m, c, s, n, {_DRAWN} k from h, r),
+    t as (select i, {', '.join(f'sum({x} * k)::bigint {x}' for x in 'mcsn')} from d group by 1), z as (select {scores_sql(12)} from t)
+    select 200::bigint replicates, {', '.join(f'round(quantile_cont({x}, {q}), 6) {x}_{name}' for x in ('strict_f1', 'adapted_f1') for q, name in ((0.025, 'low'), (0.975, 'high')))} from z""")
 def bootstrap_ci(spark, sf_dir):
     return evaluation.bootstrap(outcomes(spark, sf_dir), replicates=200)
 

@@ -224,6 +224,29 @@ def test_checked_results_and_bootstrap(spark):
     assert evaluation.bootstrap(good.where("doc_id < 3"), replicates=10).first()["strict_f1_low"] is None
 
 
+def test_bootstrap_draws_as_resampling_does(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    units = rng.poisson([6, 2, 1, 2], (3000, 4))
+    rows = [(i, kind) for i, counts in enumerate(units.tolist()) for kind, n in zip("MCSN", counts, strict=True) for _ in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, match_type string")
+    found = evaluation.bootstrap(df, replicates=1000)
+    # Nothing but the counts by unit and four sums a replicate is shuffled, and nothing is joined.
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 2 and "Range (" not in plan
+    times = rng.multinomial(len(units), np.full(len(units), 1 / len(units)), 4000)
+    m, c, s, n = (times @ units).T.astype(float)
+    f1 = lambda top, p, r: 2 * (top / p) * (top / r) / (top / p + top / r)
+    row = found.first()
+    for name, f in (("strict_f1", f1(m, m + c + s, m + c + n)), ("adapted_f1", f1(m + c / 2, m + c + s / 4, m + c + n))):
+        low, high = np.percentile(f, [2.5, 97.5])
+        assert abs(row[f"{name}_low"] - low) < 0.005 and abs(row[f"{name}_high"] - high) < 0.005 and row[f"{name}_high"] - row[f"{name}_low"] > 0.6 * (high - low)
+    drawn = spark.range(20_000).select(evaluation.draws(*evaluation.unit_hashes(F.col("id")), F.lit(48_271), F.lit(1_234_567)).alias("k")).groupBy("k").count()
+    share = {r["k"]: r["count"] / 20_000 for r in drawn.collect()}
+    assert abs(share[0] - 0.3679) < 0.015 and abs(share[1] - 0.3679) < 0.015 and abs(share[2] - 0.1839) < 0.012
+
+
 def test_splits_cover_each_row_once(spark):
     df = spark.createDataFrame([(i, i % 3) for i in range(50)] + [(7, 1)], "k long, series int")
     parts = [r["part"] for r in splits.fractions(df, "k", test=10, dev=20).collect()]
