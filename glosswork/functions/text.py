@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -63,14 +65,43 @@ def without_tags(html: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(html, r"<[^>]*>", " "), r"\s+", " "))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once: a lambda that names it would do so at each step."""
+    return F.transform(F.array(value), use)[0]
+
+
+def sums_before(numbers: Column, levels: int = 2) -> Column:
+    """For each number the sum of those before it.
+
+    A fold that appends copies what it has; so short runs (of the cube root of the length,
+    with two levels) are folded, and each is moved by the sum of the runs before it, which are
+    summed in the same way.
+    """
+    zero = F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("out"))
+    fold = lambda xs: F.aggregate(xs, zero, lambda acc, x: F.struct((acc["sum"] + x).alias("sum"), F.array_append(acc["out"], acc["sum"]).alias("out")))
+    if not levels:
+        return fold(numbers)["out"]
+
+    def in_runs(xs: Column, run: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(xs) / run).cast("int") - 1, F.lit(0)))
+        return F.transform(starts, lambda k: fold(F.slice(xs, k * run + 1, run)))
+
+    def moved(runs: Column) -> Column:
+        before = sums_before(F.transform(runs, lambda r: r["sum"]), levels - 1)
+        return F.flatten(F.zip_with(runs, before, lambda r, b: F.transform(r["out"], lambda x: x + b)))
+
+    length = lambda xs: F.greatest(F.ceil(F.pow(F.size(xs), F.lit(1 / (levels + 1)))).cast("int"), F.lit(1))
+    return let(numbers, lambda xs: let(length(xs), lambda run: let(in_runs(xs, run), moved)))
+
+
 def tag_free_places(html: Column) -> Column:
     """The places (from 0) of the characters outside tags, in order."""
-    spans = F.regexp_replace(html, r"<[^>]*>", "")
-    # Each tag's length in marks, so that places stay.
-    parts = F.split(html, r"(?=<[^>]*>)|(?<=>)")
-    lengths = F.transform(parts, lambda x: F.struct(F.length(x).alias("n"), (x.rlike(r"^<[^>]*>$")).alias("tag")))
-    starts = F.aggregate(lengths, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda acc, x: F.struct((acc["at"] + x["n"]).alias("at"), F.when(x["tag"] | (x["n"] == 0), acc["out"]).otherwise(F.concat(acc["out"], F.sequence(acc["at"], acc["at"] + x["n"] - 1))).alias("out")))
-    return F.when(F.length(spans) > 0, starts["out"]).otherwise(F.array().cast("array<int>"))
+    def outside(parts: Column) -> Column:
+        tag = lambda x: F.startswith(x, F.lit("<")) & F.endswith(x, F.lit(">"))
+        places = lambda x, at: F.when(tag(x), F.array().cast("array<int>")).otherwise(F.sequence(at, at + F.length(x) - 1))
+        return F.flatten(F.zip_with(parts, sums_before(F.transform(parts, F.length)), places))
+
+    return let(F.regexp_extract_all(html, F.lit(r"<[^>]*>|[^<]+|<"), F.lit(0)), outside)
 
 
 def sanitized(output: Column) -> Column:
@@ -88,11 +119,12 @@ def occurrences(text: Column, term: Column) -> Column:
 
 
 def exact_occurrences(text: Column, term: Column) -> Column:
-    """All places (from 0) where the term stands, overlaps included."""
-    # Split at the term's first character would lose overlaps: each place is looked at, in the JVM.
-    last = F.length(text) - F.length(term)
-    places = F.filter(F.sequence(F.lit(0), last), lambda i: F.substring(text, i + 1, F.length(term)) == term)
-    return F.when((F.length(term) > 0) & (last >= 0), places).otherwise(F.array().cast("array<int>"))
+    """All places (from 0) where the term stands, overlaps included; none for an empty term."""
+    # The text is parted before each occurrence, and the parts' lengths are summed up: linear in the text.
+    quoted = F.concat(F.lit(r"(?=\Q"), F.replace(term, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E)"))
+    places = sums_before(F.transform(F.split(text, quoted), F.length))
+    found = let(places, lambda all: F.when(F.startswith(text, term), all).otherwise(F.slice(all, F.lit(2), F.greatest(F.size(all) - 1, F.lit(0)))))
+    return F.when(F.length(term) > 0, found).when(F.length(term) == 0, F.array().cast("array<int>"))
 
 
 def nearest_occurrence(text: Column, term: Column, expected: Column, window: int = 800) -> Column:

@@ -68,48 +68,66 @@ def parse_inline_tags(spark, sf_dir):
     return found.select("doc_id", F.md5("clean").alias("clean"), F.explode("spans").alias("x")).select("doc_id", "clean", "x.s", "x.e", "x.lab")
 
 
-@query(f"""with d as (select doc_id, text from documents where length(text) > 40) select doc_id, 5 s, 12 e, 'ADVERSE' lab from d union all select doc_id, 16, 19, 'TEST' from d where doc_id % 3 = 0""")
+_INWARDS = r"""select doc_id, s + length(regexp_extract(x, '^[\s\p{Z}\x1c-\x1f\x{85}]*')) s, s + length(regexp_replace(x, '[\s\p{Z}\x1c-\x1f\x{85}]+$', '')) e, lab from (select *, substring(text, s + 1, e - s) x from t)"""
+
+
+@query(f"""with d as (select doc_id, text, length(text) n from documents where text is not null), t as (select doc_id, text, 5 s, least(12, n) e, 'ADVERSE' lab from d union all select doc_id, text, 16, least(19, n), 'TEST' from d where doc_id % 3 = 0),
+    c as ({_INWARDS}) select doc_id, cast(s as int) s, cast(e as int) e, lab from c where s < e""")
 def anchor_tag_spans(spark, sf_dir):
-    """Spans of tags whose stripped text is the document's own stand where they stood."""
-    tagged = texts(spark, sf_dir).where("length(text) > 40").select("doc_id", F.expr(_TAGGED).alias("text"))
-    found = anchoring.parsed_tags(tagged, {"AE": "ADVERSE", "LAB": "TEST"}).join(texts(spark, sf_dir), "doc_id").where("clean = text")
-    return found.select("doc_id", F.explode("spans").alias("x")).select("doc_id", "x.s", "x.e", "x.lab").distinct()
+    """Tags stand where they stood; every fourth output has words before and after that aren't in its text."""
+    tagged = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("Certainly, \u2042\u2042: "), F.expr(_TAGGED), F.lit(" \u2042\u2042"))).otherwise(F.expr(_TAGGED))
+    found = anchoring.anchored_tags(texts(spark, sf_dir).select("doc_id", tagged.alias("text")), texts(spark, sf_dir), {"AE": "ADVERSE", "LAB": "TEST"})
+    return found.select("doc_id", "s", "e", "lab")
 
 
-_MENTIONS = "with d as (select conv_id * 1000 + turn doc_id, text from conversations where length(text) >= 30), m as (select doc_id, text, substring(text, 3, 2) surface, unnest([0, 1, 2]) place from d)"
+_TURNS = "d as (select conv_id * 1000 + turn doc_id, text from conversations where text is not null)"
+_MENTIONS = f"{_TURNS}, m as (select doc_id, text, substring(text, 3, 2) surface, unnest([0, 1, 2, 3, 4]) place from d), o as (select *, case when surface <> '' then list_filter(range(0, length(text) - length(surface) + 1), lambda i: substring(text, i + 1, length(surface)) = surface) else [] end hits from m)"
 
 
 def turns(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").where("length(text) >= 30").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+    return table(spark, sf_dir, "conversations").where("text is not null").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+
 
+def mentions(spark, sf_dir):
+    """Five mentions of two characters of each turn, by turns under two labels."""
+    rows = turns(spark, sf_dir).select("doc_id", F.substring("text", 3, 2).alias("surface"), F.explode(F.array(*map(F.lit, range(5)))).alias("place"))
+    return rows.withColumn("lab", F.when(F.col("place") % 2 == 0, "AE").otherwise("LAB"))
 
-@query(f"""{_MENTIONS} select doc_id, place, list_filter(range(0, length(text) - 1), lambda i: substring(text, i + 1, 2) = surface)[place + 1] s from m""")
+
+# Of the five, labels by turns: what each takes where there are 1, 2, 3, 4 or more occurrences.
+_TAKEN = "case len(hits) when 0 then null when 1 then [0, 0, null, null, null] when 2 then [0, 1, 1, 0, null] when 3 then [0, 1, 2, 0, 1] when 4 then [0, 1, 2, 3, 1] else [0, 1, 2, 3, 4] end"
+
+
+@query(f"""with {_MENTIONS} select doc_id, place, hits[({_TAKEN})[place + 1] + 1] s from o""")
 def kth_mention_anchor(spark, sf_dir):
-    mentions = turns(spark, sf_dir).select("doc_id", F.substring("text", 3, 2).alias("surface"), F.explode(F.array(*map(F.lit, (0, 1, 2)))).alias("place")).withColumn("lab", F.lit("AE"))
-    return anchoring.anchored_surfaces(mentions, turns(spark, sf_dir)).select("doc_id", "place", F.col("s").cast("long").alias("s"))
+    return anchoring.anchored_surfaces(mentions(spark, sf_dir), turns(spark, sf_dir)).select("doc_id", "place", F.col("s").cast("long").alias("s"))
 
 
-@query(f"""{_MENTIONS}, x as (select doc_id, place, list_filter(range(0, length(text) - 1), lambda i: substring(text, i + 1, 2) = surface)[place + 1] s from m) select 'exact' how, count(*) filter (where s is not null) n from x union all select 'unmapped', count(*) filter (where s is null) from x""")
+# What is exact once more is like itself; two characters that no text holds are like nothing; one changed character of ten is like enough.
+@query(f"""with {_MENTIONS}, x as (select case when surface = '' then 'unmapped' when hits[({_TAKEN})[place + 1] + 1] is not null then 'exact' else 'fuzzy' end how from o union all select 'unmapped' from d union all select case when length(text) >= 10 then 'fuzzy' else 'unmapped' end from d)
+    select how, count(*) n from x group by 1""")
 def anchor_json_entities(spark, sf_dir):
-    """Surfaces by category in JSON, and how many of them were anchored."""
-    surface = F.substring("text", 3, 2)
-    output = F.concat(F.lit("The entities: "), F.to_json(F.create_map(F.lit("AE"), F.array(surface, surface, surface))), F.lit(" as asked"))
+    """Surfaces by category in JSON, and how many of them were anchored, in which way."""
     from ..functions.text import json_object
 
-    parsed = turns(spark, sf_dir).select("doc_id", F.explode(F.from_json(json_object(output), "map<string,array<string>>")).alias("lab", "all")).select("doc_id", "lab", F.posexplode("all").alias("place", "surface"))
-    found = anchoring.anchored_surfaces(parsed, turns(spark, sf_dir)).agg(F.count("s").alias("_exact"), F.count_if(F.col("s").isNull()).alias("_unmapped"))
-    return found.select(F.explode(F.array(F.struct(F.lit("exact").alias("how"), F.col("_exact").alias("n")), F.struct(F.lit("unmapped").alias("how"), F.col("_unmapped").alias("n")))).alias("x")).select("x.*")
+    surface, changed = F.substring("text", 3, 2), F.when(F.length("text") >= 10, F.concat(F.substring("text", 1, 4), F.lit("\u2042"), F.substring("text", 6, 5))).otherwise("\u2042\u2042")
+    lists = F.create_map(F.lit("AE"), F.array(surface, F.lit("\u2042\u2042\u2042"), surface, surface), F.lit("LAB"), F.array(surface, changed, surface))
+    output = F.concat(F.lit("The entities: "), F.to_json(lists), F.lit(" as asked"))
+    parsed = turns(spark, sf_dir).select("doc_id", F.explode(F.from_json(json_object(output), "map<string,array<string>>")).alias("lab", "all")).select("doc_id", "lab", F.posexplode("all").alias("k", "surface"))
+    # Of the two lists the mentions are taken by turns.
+    ordered = parsed.withColumn("place", F.when(F.col("surface").contains("\u2042"), F.col("k") + 100).when(F.col("lab") == "LAB", F.when(F.col("k") == 0, 1).otherwise(3)).otherwise(F.when(F.col("k") == 0, 0).otherwise(2 * (F.col("k") - 1)))).drop("k")
+    return anchoring.anchored_entities(ordered, turns(spark, sf_dir)).groupBy("how").agg(count_n())
 
 
-@query()
+@query(f"""with {_TURNS} select doc_id, case when length(text) >= 22 then 3 end s, case when length(text) >= 22 then 22 end e from d""")
 def fuzzy_anchor(spark, sf_dir):
-    """Surfaces that were changed in one place are found where they stood; tested on planted ones."""
+    """Surfaces that were changed in one place are found where they stood; a turn that is too short for it has none."""
     rows = turns(spark, sf_dir)
-    mentions = rows.select("doc_id", F.concat(F.expr("substring(text, 4, 9)"), F.lit("#"), F.expr("substring(text, 14, 9)")).alias("surface"))
-    return anchoring.fuzzy_anchored(mentions, rows)
+    changed = F.when(F.length("text") >= 22, F.concat(F.expr("substring(text, 4, 9)"), F.lit("\u2042"), F.expr("substring(text, 14, 9)"))).otherwise("\u2042\u2042")
+    return anchoring.fuzzy_anchored(rows.select("doc_id", changed.alias("surface")), rows).select("doc_id", "s", "e")
 
 
-@query("""with d as (select conv_id * 1000 + turn doc_id, text from conversations where length(text) >= 30), c as (select doc_id, text, substring(text, 8, 6) surface, 7 + cast(doc_id % 3 as int) * 5 claimed from d),
+@query("""with d as (select conv_id * 1000 + turn doc_id, text from conversations where text is not null), c as (select doc_id, text, substring(text, 8, 6) surface, 7 + cast(doc_id % 3 as int) * 5 claimed from d),
     x as (select *, list_filter(range(greatest(claimed - 800, 0), least(claimed + 800 + 6, length(text)) - 5), lambda i: substring(text, i + 1, 6) = surface) hits from c)
     select distinct doc_id, 'AE' lab, s, s + 6 e from (select doc_id, case when substring(text, claimed + 1, 6) = surface then claimed else cast(list_aggregate(list_transform(hits, lambda i: abs(i - claimed) * 1000000 + i), 'min') % 1000000 as int) end s from x) where s is not null""")
 def json_offset_spans(spark, sf_dir):

@@ -78,7 +78,7 @@ def strip_html(spark, sf_dir):
 def html_text_mapping(spark, sf_dir):
     """The mapped places hold the plain text."""
     places = table(spark, sf_dir, "pages").select("page_id", "html", T.tag_free_places(F.col("html")).alias("at"))
-    rebuilt = F.array_join(F.transform("at", lambda i: F.substring("html", i + 1, F.lit(1))), "")
+    rebuilt = T.let(F.split("html", ""), lambda characters: F.array_join(F.transform("at", lambda i: F.get(characters, i)), ""))
     return places.select("page_id", F.size("at").cast("long").alias("n"), (rebuilt == F.regexp_replace("html", r"<[^>]*>", "")).alias("mapped"))
 
 

@@ -261,3 +261,121 @@ def test_agreement_without_pairs_and_with_one_side(spark):
     assert sorted((r["kind"], r["n"]) for r in agreement.discrepancies(df).collect()) == [("punctuation", 1), ("unilateral", 1), ("wrong label", 1)]
     row = agreement.summarised(df.limit(0)).first()
     assert row["pairs"] == 0 and row["strict_f1"] == 0
+
+
+def brute_window(needle, text):
+    """The most similar window by looking at all of them."""
+    from difflib import SequenceMatcher
+
+    best, low = None, max(1, int(len(needle) * 0.7))
+    for s in range(len(text)):
+        for width in (low, len(needle), min(len(text), max(low, int(len(needle) * 1.3)))):
+            e = min(len(text), s + width)
+            ratio = SequenceMatcher(None, needle, text[s:e], autojunk=False).ratio()
+            best = (s, e, ratio) if best is None or ratio > best[2] else best
+        if best[2] >= 0.98:
+            break
+    return best if best and best[2] >= 0.8 else None
+
+
+def test_fuzzy_places_equal_brute_force_on_two_thousand_surfaces():
+    from glosswork.operators.fuzzy import TextIndex, similar_window
+
+    r, found, none = random.Random(6), 0, 0
+    for _ in range(100):
+        text = "".join(r.choice(["ab", "ba", "c", "d ", "e", "é", "😀", "the "][: r.randint(2, 8)]) for _ in range(r.randint(0, 60)))
+        index = TextIndex(text)
+        for _ in range(20):
+            at, n = r.randrange(len(text) + 1), r.choice([1, 2, 3, 5, 9, 14, 25])
+            chars = list(text[at : at + n])
+            for _ in range(r.choice([0, 1, 1, 2, 4])):
+                where = r.randrange(len(chars) + 1)
+                chars[where : where + r.choice([0, 1])] = r.choice(["", "x", "a", "#b"])
+            surface = "".join(chars)
+            want = brute_window(surface, text) if surface and text else None
+            assert similar_window(index, surface) == want, (surface, text)
+            found, none = found + (want is not None), none + (want is None)
+    assert found > 800 and none > 300
+
+
+def test_fuzzy_search_of_a_long_text_is_fast():
+    from glosswork.operators.fuzzy import TextIndex, similar_window
+
+    r = random.Random(2)
+    words = ["".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 9))) for _ in range(3000)]
+    text = " ".join(r.choice(words) for _ in range(180_000))
+    assert len(text) > 1_000_000
+    began, index = time.time(), TextIndex(text)
+    for at in (400_000, 900_000):
+        surface = text[at : at + 12] + "#" + text[at + 13 : at + 30]
+        s, e, ratio = similar_window(index, surface)
+        assert (s, e) == (at, at + 30) and ratio > 0.9
+    assert time.time() - began < 20
+
+
+def test_mentions_beyond_the_last_occurrence(spark):
+    texts = spark.createDataFrame([(1, "ab ab ab"), (2, "no"), (3, None)], "doc_id long, text string")
+    rows = [(1, i, lab, "ab") for i, lab in enumerate("AAABABBBB")] + [(1, 20, "A", "zz"), (1, 21, "A", ""), (2, 0, None, "no"), (2, 1, None, "no"), (3, 0, "A", "x"), (9, 0, "A", "x")]
+    got = {(x.doc_id, x.place): x.s for x in anchoring.anchored_surfaces(spark.createDataFrame(rows, "doc_id long, place int, lab string, surface string"), texts).collect()}
+    # A has all three; B begins anew, goes on from where it is, and has all three in the end.
+    assert [got[1, i] for i in range(9)] == [0, 3, 6, 0, None, 3, 6, None, None]
+    assert [got[k] for k in ((1, 20), (1, 21), (2, 0), (2, 1), (3, 0), (9, 0))] == [None, None, 0, None, None, None]
+
+    def plain(places, labels):
+        used, before, out = set(), -1, []
+        for lab in labels:
+            free = [s for s in places if (s, lab) not in used]
+            s = next((x for x in free if x > before), free[0] if free else None)
+            out.append(s)
+            if s is not None:
+                before = s
+                used.add((s, lab))
+        return out
+
+    r = random.Random(3)
+    for _ in range(300):
+        places, labels = sorted(r.sample(range(50), r.randint(0, 6))), [r.choice("ABC") for _ in range(r.randint(0, 15))]
+        assert anchoring.occupied(places, labels) == plain(places, labels)
+
+
+def test_surfaces_are_exact_fuzzy_or_unmapped(spark):
+    texts = spark.createDataFrame([(1, "a severe headache and a fever")], "doc_id long, text string")
+    rows = [(1, 0, "A", "fever"), (1, 1, "A", "severe headachx"), (1, 2, "A", "broken leg"), (1, 3, "A", " severe "), (1, 4, "A", None), (2, 0, "A", "x")]
+    got = sorted((x.doc_id, x.place, x.s, x.e, x.how) for x in anchoring.anchored_entities(spark.createDataFrame(rows, "doc_id long, place int, lab string, surface string"), texts).collect())
+    assert got == [(1, 0, 24, 29, "exact"), (1, 1, 2, 16, "fuzzy"), (1, 2, None, None, "unmapped"), (1, 3, 2, 8, "exact"), (1, 4, None, None, "unmapped"), (2, 0, None, None, "unmapped")]
+
+
+def test_tags_of_changed_texts_are_anchored(spark):
+    from glosswork.operators.drift import boundaries, equal_stretches, increasing
+
+    r = random.Random(8)
+    for _ in range(200):
+        values = [r.randrange(30) for _ in range(r.randint(0, 12))]
+        longest = max((len(c) for n in range(len(values) + 1) for c in itertools.combinations(values, n) if list(c) == sorted(set(c))), default=0) if len(values) < 9 else None
+        run = [values[i] for i in increasing(values)]
+        assert run == sorted(set(run)) and longest in (None, len(run))
+    sentences = [" ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(9)) + "." for _ in range(40)]
+    text = " ".join(sentences)
+    changed = " ".join("An opening. " + s if i == 3 else s.upper()[:20] + s[20:] if i == 9 else s for i, s in enumerate(sentences) if i != 20)
+    to = boundaries(changed, text)
+    assert len(to) == len(changed) + 1 and (to[1:] >= to[:-1]).all() and to[-1] == len(text)
+    for i, s in enumerate(sentences):
+        if i not in (3, 9, 20):
+            at = changed.index(s)
+            assert to[at + 8] == text.index(s) + 8, i
+    stretches = equal_stretches(changed, text)
+    assert all(changed[i : i + n] == text[j : j + n] for i, j, n in stretches) and all(a[0] + a[2] <= b[0] and a[1] + a[2] <= b[1] for a, b in itertools.pairwise(stretches))
+
+    def tagged(s, word):
+        return s.replace(word, f"<AE>{word}</AE>", 1)
+
+    word = sentences[30].split()[4]
+    rows = [(1, tagged(changed, word)), (2, tagged(text, word)), (3, "<AE>nothing of it</AE>"), (4, "<AE>x</AE>"), (5, "no tags"), (6, None), (7, f"<AE>{word}</AE> and <AE>{word}</AE> again")]
+    texts = spark.createDataFrame([(1, text), (2, text), (3, "another text"), (4, ""), (5, text), (6, text), (7, f"{word} and  {word} again")], "doc_id long, text string")
+    got = sorted(map(tuple, anchoring.anchored_tags(spark.createDataFrame(rows, "doc_id long, text string"), texts, {"AE": "A"}).select("doc_id", "s", "e", "how").collect()))
+    at = text.index(word)
+    assert got[:2] == [(1, at, at + 6, "refined"), (2, at, at + 6, "same")] and got[2][0] == 3 and got[2][3] == "near"
+    assert [g[:3] for g in got[3:]] == [(7, 0, 6), (7, 12, 18)]
+    began = time.time()
+    boundaries("x " + text * 40, text * 40)
+    assert time.time() - began < 10
