@@ -23,13 +23,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spans import with_islands
+from .spans import FOLDED, Span, with_islands
 
 _PICK = "struct<tier:int,overlap:int,back:int>"
-#: Spans of an island that the fold takes; its work grows with their square.
-FOLDED = 48
 KINDS = {3: ("M", "exact"), 2: ("C", "boundary"), 1: ("C", "class_confusion"), 0: ("N", "missed")}
-Span = dict
 Row = tuple[str, str, Span | None, Span | None]
 
 
@@ -106,24 +103,20 @@ def greedy(gs: list[Span], ps: list[Span], two_tier: bool) -> Iterator[Row]:
 
 def legacy(gs: list[Span], ps: list[Span]) -> Iterator[Row]:
     """The older scorer on an island's distinct spans: a gold span takes the first prediction in order that equals it, taken or not, or overlaps it and is free."""
-    taken, exact = [False] * len(ps), 0
+    taken, exact, free = [False] * len(ps), 0, Free(ps)
+    same = {(p["s"], p["e"], p["lab"]): j for j, p in enumerate(ps)}
     for g in gs:
-        hit = None
-        for j, p in enumerate(ps):
-            if p["s"] >= g["e"]:
-                break
-            if (p["s"], p["e"], p["lab"]) == (g["s"], g["e"], g["lab"]):
-                hit = ("M", "exact", j)
-                break
-            if p["e"] > g["s"] and not taken[j]:
-                hit = ("C", "boundary" if p["lab"] == g["lab"] else "class_confusion", j)
-                break
-        if hit is None:
-            yield "N", "missed", g, None
+        equal, over = same.get((g["s"], g["e"], g["lab"])), next(free.over(g), None)
+        if equal is not None and (over is None or equal <= over):
+            hit = ("M", "exact", equal)
+        elif over is not None:
+            hit = ("C", "boundary" if ps[over]["lab"] == g["lab"] else "class_confusion", over)
         else:
-            exact += taken[hit[2]]
-            taken[hit[2]] = True
-            yield hit[0], hit[1], g, ps[hit[2]]
+            yield "N", "missed", g, None
+            continue
+        exact += taken[hit[2]]
+        taken[hit[2]] = free.taken[hit[2]] = True
+        yield hit[0], hit[1], g, ps[hit[2]]
     for j, p in enumerate(ps):
         if not taken[j]:
             # Predictions less matches count as spurious: one that was taken twice makes up for a free one.

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import sentence_pieces
+from .spans import FOLDED, kept_of_islands, with_islands
 
 _CHUNKS = pa.schema([("doc_id", pa.int64()), ("chunk", pa.int32()), ("s", pa.int32()), ("e", pa.int32()), ("text", pa.string())])
 
@@ -59,13 +60,24 @@ def projected(spans: DataFrame, start: Column, end: Column) -> DataFrame:
     return spans.withColumns({"margin": margin, "s": F.col("s") + start, "e": F.col("e") + start})
 
 
-def dedupe_margin(spans: DataFrame) -> DataFrame:
-    """Of overlapping spans (doc_id, s, e, lab, margin) of one label, in order of start, the one of the larger margin takes the place of the kept one that it meets first."""
-    from .spans import with_islands
+def _larger_margins(spans: list[dict]) -> list[dict]:
+    """As the fold below. A kept span that ended before a start meets no later one: those at the head are passed over for good."""
+    kept, head = [], 0
+    for x in spans:
+        while head < len(kept) and kept[head]["e"] <= x["s"]:
+            head += 1
+        if head == len(kept):
+            kept.append(x)
+        elif x["m"] < kept[head]["m"]:
+            kept[head] = x
+    return kept
 
+
+def dedupe_margin(spans: DataFrame, *, folded: int = FOLDED) -> DataFrame:
+    """Of overlapping spans (doc_id, s, e, lab, margin) of one label, in order of start, the one of the larger margin takes the place of the kept one that it meets first. Spans hold something (s < e)."""
     keys = spans.withColumn("_doc", F.struct("doc_id", "lab")).withColumnRenamed("doc_id", "_id")
     islands = with_islands(keys.withColumnRenamed("_doc", "doc_id")).groupBy("doc_id", "island").agg(F.sort_array(F.collect_list(F.struct("s", "e", (-F.col("margin")).alias("m")))).alias("_all"))
-    span = "struct<s:int,e:int,m:int>"
+    span = islands.schema["_all"].dataType.simpleString()
     meets = lambda a, b: (a["s"] < b["e"]) & (b["s"] < a["e"])
 
     def step(acc: Column, x: Column) -> Column:
@@ -74,5 +86,6 @@ def dedupe_margin(spans: DataFrame) -> DataFrame:
         better = F.transform(acc, lambda k, i: F.when((i + 1 == hit) & (x["m"] < k["m"]), x).otherwise(k))
         return F.when(hit > 0, better).otherwise(F.array_append(acc, x))
 
-    kept = F.aggregate(F.col("_all").cast(f"array<{span}>"), F.array().cast(f"array<{span}>"), step)
-    return islands.select("doc_id.doc_id", "doc_id.lab", F.explode(kept).alias("_x")).select("doc_id", F.col("_x.s").alias("s"), F.col("_x.e").alias("e"), "lab", (-F.col("_x.m")).alias("margin"))
+    kept = F.aggregate(F.col("_all"), F.array().cast(span), step)
+    found = kept_of_islands(islands.select("doc_id.doc_id", "doc_id.lab", "_all"), kept, _larger_margins, folded=folded)
+    return found.select("doc_id", F.col("_x.s").alias("s"), F.col("_x.e").alias("e"), "lab", (-F.col("_x.m")).alias("margin"))

@@ -3,36 +3,54 @@
 In each document the largest number of pairs is found by augmenting paths, gold
 spans in order of start, end and label, their candidates by the ratio of overlap
 to union, then start, end and label. Pairs never leave an overlap island, so each
-island is matched by itself in Arrow batches. A span without a label pairs with
-nothing.
+island is matched by itself in Arrow batches. In an island of more than LAYERED
+spans shortest paths are taken in rounds: there are as many pairs, which may be
+of other spans. A span without a label pairs with nothing.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .alignment import Row, Span, by_island, islands_of
+from .alignment import Row, by_island, islands_of
+from .spans import Span
+
+LAYERED = 2000
 
 
 def overlap_ratio(a: Span, b: Span) -> float:
     return max(0, min(a["e"], b["e"]) - max(a["s"], b["s"])) / (max(a["e"], b["e"]) - min(a["s"], b["s"]))
 
 
-def candidates(g: Span, ps: list[Span]) -> list[int]:
-    near = [j for j, p in enumerate(ps) if p["s"] < g["e"] and g["s"] < p["e"] and None not in (g["lab"], p["lab"]) and p["lab"] != g["lab"]]
-    return sorted(near, key=lambda j: (-overlap_ratio(g, ps[j]), ps[j]["s"], ps[j]["e"], ps[j]["lab"], j))
+class Near:
+    """Sorted predictions, found by overlap: how far those up to each reach says where to begin."""
+
+    def __init__(self, ps: list[Span]):
+        self.ps, self.starts, self.reach = ps, [p["s"] for p in ps], list(accumulate((p["e"] for p in ps), max))
+
+    def candidates(self, g: Span) -> list[int]:
+        """Predictions of another label that overlap g, the best first."""
+        ps, low, high = self.ps, bisect_right(self.reach, g["s"]), bisect_left(self.starts, g["e"])
+        near = [j for j in range(low, high) if g["s"] < ps[j]["e"] and None not in (g["lab"], ps[j]["lab"]) and ps[j]["lab"] != g["lab"]]
+        return sorted(near, key=lambda j: (-overlap_ratio(g, ps[j]), ps[j]["s"], ps[j]["e"], ps[j]["lab"], j))
 
 
 def largest_matching(edges: list[list[int]]) -> dict[int, int]:
-    """right -> left of a largest matching; an augmenting path starts from each left node in turn."""
+    """right -> left of a largest matching; an augmenting path starts from each left node in turn.
+
+    What a search saw in vain leads nowhere later either, and isn't looked at again.
+    """
     owner: dict[int, int] = {}
+    dead: set[int] = set()
     for start in range(len(edges)):
         seen, path, choices = set(), [], [iter(edges[start])]
         while choices:
-            j = next((j for j in choices[-1] if j not in seen), None)
+            j = next((j for j in choices[-1] if j not in seen and j not in dead), None)
             if j is None:
                 choices.pop()
                 if path:
@@ -45,11 +63,55 @@ def largest_matching(edges: list[list[int]]) -> dict[int, int]:
                 owner.update(zip(path, left, strict=True))
                 break
             choices.append(iter(edges[owner[j]]))
+        else:
+            dead |= seen
     return owner
 
 
+def layered_matching(edges: list[list[int]]) -> dict[int, int]:
+    """right -> left of a largest matching, by rounds: each finds how far nodes are from free left ones, and takes shortest paths that share none."""
+    partner: list[int | None] = [None] * len(edges)
+    owner: dict[int, int] = {}
+    while True:
+        level: dict[int, int] = {i: 0 for i, j in enumerate(partner) if j is None}
+        layer, found = list(level), False
+        while layer and not found:
+            later = []
+            for i in layer:
+                for j in edges[i]:
+                    if j not in owner:
+                        found = True
+                    elif owner[j] not in level:
+                        level[owner[j]] = level[i] + 1
+                        later.append(owner[j])
+            layer = later
+        if not found:
+            return owner
+        used: set[int] = set()
+        choices = [iter(e) for e in edges]
+        for start in [i for i, j in enumerate(partner) if j is None]:
+            path: list[tuple[int, int]] = []
+            at = start
+            while True:
+                j = next((j for j in choices[at] if j not in used and (j not in owner or level.get(owner[j]) == level[at] + 1)), None)
+                if j is None:
+                    if not path:
+                        break
+                    at = path.pop()[0]
+                    continue
+                used.add(j)
+                path.append((at, j))
+                if j not in owner:
+                    for left, right in path:
+                        partner[left], owner[right] = right, left
+                    break
+                at = owner[j]
+
+
 def _rows(gs: list[Span], ps: list[Span]) -> Iterator[Row]:
-    owner = largest_matching([candidates(g, ps) for g in gs]) if gs and ps else {}
+    near = Near(ps)
+    edges = [near.candidates(g) for g in gs] if gs and ps else []
+    owner = largest_matching(edges) if len(gs) + len(ps) <= LAYERED else layered_matching(edges)
     paired = set(owner.values())
     for j, p in enumerate(ps):
         yield ("C", "wrong_label", gs[owner[j]], p) if j in owner else ("S", "spurious", None, p)

@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Callable, Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from ..functions.text import SPACE
 
 #: Spans meet in buckets of so many characters: a document of very many spans is spread over its buckets.
 BUCKET = 4096
+#: Positions that are sorted together: most documents are one stretch, a giant one is many.
+STRETCH = 1 << 20
+#: Spans of an island that a fold inside the JVM takes; its work grows with their square.
+FOLDED = 48
+Span = dict
 
 
 def overlap_join(left: DataFrame, right: DataFrame, *, bucket: int = BUCKET) -> DataFrame:
@@ -26,25 +37,72 @@ def containment_join(inner: DataFrame, outer: DataFrame) -> DataFrame:
     return overlap_join(inner, outer).withColumn("contained", (F.col("s") >= F.col("s2")) & (F.col("e") <= F.col("e2")))
 
 
-def with_islands(spans: DataFrame) -> DataFrame:
-    """spans with island: the number, in its document, of the cluster that chains of overlaps join."""
-    order = Window.partitionBy("doc_id").orderBy("s", "e")
-    before = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    opens = spans.withColumn("_opens", F.when(before.isNull() | (F.col("s") >= before), 1).otherwise(0))
-    return opens.withColumn("island", F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("_opens")
+def _in_stretches(spans: DataFrame, stretch: int) -> tuple[DataFrame, DataFrame]:
+    """spans with _stretch and _opens (whether an island begins), and the stretches, none of them a document's first, into which earlier spans may reach, as (doc_id, _stretch, _reach)."""
+    own = spans.withColumn("_stretch", F.floor(F.col("s") / stretch).cast("long"))
+    ends = own.groupBy("doc_id", "_stretch").agg(F.max("e").alias("_end"))
+    earlier = Window.partitionBy("doc_id").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    reach = ends.withColumn("_reach", F.max("_end").over(earlier)).where("_reach is not null").select("doc_id", "_stretch", "_reach")
+    before = F.max("e").over(Window.partitionBy("doc_id", "_stretch").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1))
+    met = own.withColumn("_before", before).join(reach, ["doc_id", "_stretch"], "left")
+    ended = F.greatest("_before", "_reach")  # null where there is neither
+    return met.withColumn("_opens", F.when(ended.isNull() | (F.col("s") >= ended), 1).otherwise(0)).drop("_before", "_reach"), reach
+
+
+def with_islands(spans: DataFrame, *, stretch: int = STRETCH) -> DataFrame:
+    """spans with island: the number, in its document, of the cluster that chains of overlaps join.
+
+    Spans are sorted by stretches of a document's positions. How far the spans before a stretch reach, and
+    how many islands begin before it, are summed up from a row for each stretch; a document of one
+    stretch has no such row.
+    """
+    opened, reach = _in_stretches(spans, stretch)
+    several = opened.join(reach.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id", "_stretch").agg(F.sum("_opens").alias("_n"))
+    earlier = Window.partitionBy("doc_id").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    begun = several.withColumn("_begun", F.sum("_n").over(earlier)).where("_begun is not null").select("doc_id", "_stretch", "_begun")
+    upto = F.sum("_opens").over(Window.partitionBy("doc_id", "_stretch").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, 0))
+    numbered = opened.withColumn("_upto", upto).join(begun, ["doc_id", "_stretch"], "left")
+    return numbered.withColumn("island", (F.coalesce("_begun", F.lit(0)) + F.col("_upto")).cast("int")).drop("_stretch", "_opens", "_upto", "_begun")
+
+
+def kept_of_islands(groups: DataFrame, short: Column, keep: Callable[[list[Span]], Iterable[Span]], *, folded: int = FOLDED) -> DataFrame:
+    """The columns of groups less _all, and _x: what is kept of each island's sorted spans (_all, structs). Short islands go by the fold short inside the JVM, longer ones by keep in Arrow batches."""
+    keys = [c for c in groups.columns if c != "_all"]
+    kind = groups.schema["_all"].dataType.elementType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                found, one = list(keep(b.column("_all")[i].as_py())), b.slice(i, 1)
+                for at in range(0, len(found), 10_000):
+                    part = pa.array(found[at : at + 10_000], b.schema.field("_all").type.value_type)
+                    owner = pa.array(np.zeros(len(part), np.int64))
+                    yield pa.RecordBatch.from_arrays([*(one.column(k).take(owner) for k in keys), part], names=[*keys, "_x"])
+
+    schema = StructType([*(groups.schema[k] for k in keys), StructField("_x", kind)])
+    long = groups.where(F.size("_all") > folded).select(*keys, "_all").mapInArrow(run, schema)
+    return groups.where(F.size("_all") <= folded).select(*keys, F.explode(short.cast(ArrayType(kind))).alias("_x")).unionByName(long)
+
+
+def _first_of_each(spans: list[Span]) -> Iterator[Span]:
+    end = None
+    for x in spans:
+        if end is None or x["s"] >= end:
+            end = -x["_e"]
+            yield x
 
 
 def dedupe_longest(spans: DataFrame) -> DataFrame:
     """By start, the longest first: spans that begin before the last kept one ends go."""
     groups = with_islands(spans).groupBy("doc_id", "island").agg(F.sort_array(F.collect_list(F.struct("s", (-F.col("e")).alias("_e"), "lab"))).alias("_all"))
     kept = F.aggregate(F.slice("_all", F.lit(2), F.size("_all")), F.slice("_all", 1, 1), lambda acc, x: F.when(x["s"] >= -F.element_at(acc, -1)["_e"], F.array_append(acc, x)).otherwise(acc))
-    return groups.select("doc_id", F.explode(kept).alias("_x")).select("doc_id", F.col("_x.s").alias("s"), (-F.col("_x._e")).alias("e"), F.col("_x.lab").alias("lab"))
+    found = kept_of_islands(groups, kept, _first_of_each)
+    return found.select("doc_id", F.col("_x.s").alias("s"), (-F.col("_x._e")).alias("e"), F.col("_x.lab").alias("lab"))
 
 
-def overlaps_nowhere(spans: DataFrame) -> DataFrame:
+def overlaps_nowhere(spans: DataFrame, *, stretch: int = STRETCH) -> DataFrame:
     """doc_id, disjoint: whether no two spans of the document overlap."""
-    order = Window.partitionBy("doc_id").orderBy("s", "e")
-    return spans.withColumn("_next", F.lead("s").over(order)).groupBy("doc_id").agg(F.bool_and(F.coalesce(F.col("_next") >= F.col("e"), F.lit(True))).alias("disjoint"))
+    return _in_stretches(spans, stretch)[0].groupBy("doc_id").agg((F.min("_opens") == 1).alias("disjoint"))
 
 
 def clean_span(text: Column, s: Column, e: Column) -> tuple[Column, Column]:
@@ -57,9 +115,30 @@ def clean_span(text: Column, s: Column, e: Column) -> tuple[Column, Column]:
     return F.least(low + left, high), F.greatest(high - right, F.least(low + left, high))
 
 
+class Apart:
+    """Spans that don't overlap, in order."""
+
+    def __init__(self):
+        self.starts, self.ends = [], []
+
+    def add(self, s: int, e: int) -> bool:
+        """Takes the span if it overlaps none."""
+        at = bisect_left(self.starts, s)
+        if (at and self.ends[at - 1] > s) or (at < len(self.starts) and self.starts[at] < e):
+            return False
+        self.starts.insert(at, s)
+        self.ends.insert(at, e)
+        return True
+
+
+def _longest_apart(spans: list[Span]) -> Iterator[Span]:
+    apart = Apart()
+    return (x for x in spans if apart.add(x["s"], x["e"]))
+
+
 def longest_first(spans: DataFrame) -> DataFrame:
-    """The longest spans first, then by start and label: each that overlaps none that was kept before."""
+    """The longest spans first, then by start and label: each that overlaps none that was kept before. Spans hold something (s < e)."""
     groups = with_islands(spans).groupBy("doc_id", "island").agg(F.sort_array(F.collect_list(F.struct((F.col("s") - F.col("e")).alias("_n"), "s", "e", "lab"))).alias("_all"))
     free = lambda acc, x: ~F.exists(acc, lambda k: (k["s"] < x["e"]) & (x["s"] < k["e"]))
     kept = F.aggregate(F.slice("_all", F.lit(2), F.size("_all")), F.slice("_all", 1, 1), lambda acc, x: F.when(free(acc, x), F.array_append(acc, x)).otherwise(acc))
-    return groups.select("doc_id", F.explode(kept).alias("_x")).select("doc_id", "_x.s", "_x.e", "_x.lab")
+    return kept_of_islands(groups, kept, _longest_apart).select("doc_id", "_x.s", "_x.e", "_x.lab")
