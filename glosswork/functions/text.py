@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 SPACE = r"\s\p{Z}\x1c-\x1f\x85"
 TOKEN = rf"[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_{SPACE}]"
 SEPARATOR = rf"((?<=[.!?])[{SPACE}]+|[↵\n]+)"
+#: What a sentence that isn't blank has from its first mark on, up to its separator.
+SENTENCE = rf"[^{SPACE}↵][^↵\n]*?(?:(?<=[.!?])[{SPACE}]+|[↵\n]+|\z)"
 _MARK = "\u0001"
 
 
@@ -26,7 +28,7 @@ def sentence_pieces(text: Column) -> Column:
 
 def n_sentences(text: Column) -> Column:
     """Sentences that hold more than white space; 0 for null."""
-    return F.coalesce(F.size(F.filter(sentence_pieces(text), lambda x: x.rlike(rf"[^{SPACE}↵]"))), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(SENTENCE)), F.lit(0)).cast("long")
 
 
 def normalized_term(raw: Column, shown: Column) -> Column:
@@ -36,12 +38,13 @@ def normalized_term(raw: Column, shown: Column) -> Column:
 
 def single_spaced(text: Column) -> Column:
     """Lower case, each run of white space one blank."""
-    return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.lower(text), rf"[{SPACE}]+", " "))
 
 
 def clean_punct(text: Column) -> Column:
     """Without white space and ASCII punctuation at both ends, lower case; empty for null."""
-    return F.lower(F.trim(F.regexp_replace(F.trim(F.coalesce(text, F.lit(""))), r"^\p{Punct}+|\p{Punct}+$", "")))
+    bare = lambda x: F.regexp_replace(x, rf"^[{SPACE}]+|[{SPACE}]+\z", "")
+    return F.lower(bare(F.regexp_replace(bare(F.coalesce(text, F.lit(""))), r"^\p{Punct}+|\p{Punct}+\z", "")))
 
 
 def contain_each_other(a: Column, b: Column) -> Column:
@@ -55,9 +58,13 @@ def printable(text: Column) -> Column:
     return F.regexp_replace(text, r"[\p{C}\p{Z}&&[^ ]]", "")
 
 
+#: A numbered heading (a fixed value of the semantics).
+HEADING = r"(?=\b(\d+\.\d+ [A-Z][a-z]+(?: [A-Z][a-z]+)*|\d+ [A-Z\s]+)\b)"
+
+
 def marked_sections(text: Column) -> Column:
     """A heading element before each numbered heading, which stays where it is."""
-    return F.regexp_replace(text, r"(?=\b(\d+\.\d+ [A-Z][a-z]+(?: [A-Z][a-z]+)*|\d+ [A-Z\s]+)\b)", "<h3>$1</h3>")
+    return F.regexp_replace(text, HEADING, "<h3>$1</h3>")
 
 
 def without_tags(html: Column) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,11 @@ _PARSED = pa.schema([("doc_id", pa.int64()), ("clean", pa.string()), ("spans", p
 _PARSED_DDL = "doc_id long, clean string, spans array<struct<s:int,e:int,lab:string>>, warnings array<string>"
 
 
+def tag_pattern(tags: Iterable[str]) -> re.Pattern:
+    names = "|".join(sorted(map(re.escape, tags), key=len, reverse=True))
+    return re.compile(rf"<\s*(?P<close>/?)\s*(?P<tag>{names})\s*>", re.IGNORECASE)
+
+
 def parse_tags(text: str, pattern: re.Pattern, labels: dict[str, str]) -> tuple[str, list[dict], list[str]]:
     """The text less its tags, the spans of closed tags in it, and what was wrong with the tags."""
     parts, spans, warnings, opened, at, length = [], [], [], [], 0, 0
@@ -55,8 +60,7 @@ def parse_tags(text: str, pattern: re.Pattern, labels: dict[str, str]) -> tuple[
 
 def parsed_tags(outputs: DataFrame, labels: dict[str, str]) -> DataFrame:
     """doc_id, clean, spans, warnings of outputs (doc_id, text); labels by tag, upper case. Null counts as empty."""
-    names = "|".join(sorted(map(re.escape, labels), key=len, reverse=True))
-    pattern = re.compile(rf"<\s*(?P<close>/?)\s*(?P<tag>{names})\s*>", re.IGNORECASE)
+    pattern = tag_pattern(labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

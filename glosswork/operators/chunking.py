@@ -8,8 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import sentence_pieces
-from .spans import FOLDED, kept_of_islands, with_islands
+from ..functions.text import SPACE, n_tokens, sentence_pieces
+from .spans import FOLDED, clean_span, containment_join, kept_of_islands, with_islands
 
 _CHUNKS = pa.schema([("doc_id", pa.int64()), ("chunk", pa.int32()), ("s", pa.int32()), ("e", pa.int32()), ("text", pa.string())])
 
@@ -60,6 +60,50 @@ def projected(spans: DataFrame, start: Column, end: Column) -> DataFrame:
     return spans.withColumns({"margin": margin, "s": F.col("s") + start, "e": F.col("e") + start})
 
 
+def _met(documents: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The sentences, and each with the spans that overlap it: doc_id, sentence, s, e, lab, contained."""
+    st = sentences(documents)
+    bounds = st.select("doc_id", F.col("s").cast("int").alias("s"), F.col("e").cast("int").alias("e"), F.col("sentence").alias("lab"))
+    pairs = containment_join(spans, bounds)
+    return st, pairs.select("doc_id", F.col("lab2").alias("sentence"), "s", "e", "lab", (F.col("s") - F.col("s2")).alias("_s"), (F.col("e") - F.col("s2")).alias("_e"), "contained")
+
+
+def sentence_examples(documents: DataFrame, spans: DataFrame, *, max_tokens: int = 512) -> DataFrame:
+    """doc_id, sentence, text, spans, outcome, crossing of each sentence, as an example to learn spans from.
+
+    spans are those inside the sentence, in its coordinates, moved inwards past
+    white space, each once; crossing is the number of spans that lie across its bounds. An
+    outcome is blank; too long (more than max_tokens tokens); overlap (of its spans); unaligned (a
+    span begins or ends within a word); negative (no spans); or example.
+    """
+    st, met = _met(documents, spans)
+    own = met.where("contained").groupBy("doc_id", "sentence").agg(F.collect_list(F.struct(F.col("_s").alias("s"), F.col("_e").alias("e"), "lab")).alias("_all"))
+    crossing = met.where("not contained").groupBy("doc_id", "sentence").agg(F.count(F.lit(1)).alias("crossing"))
+    text = F.col("text")
+
+    def inwards(x: Column) -> Column:
+        low, high = clean_span(text, x["s"], x["e"])
+        return F.struct(low.alias("s"), high.alias("e"), x["lab"].alias("lab"))
+
+    kept = F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce("_all", F.array().cast(own.schema["_all"].dataType)), inwards), lambda x: x["s"] < x["e"])))
+    rows = st.join(own, ["doc_id", "sentence"], "left").join(crossing, ["doc_id", "sentence"], "left").withColumn("spans", kept)
+    within = lambda at: F.substring(text, at, F.lit(2)).rlike(r"^[\p{L}\p{N}_]{2}\z")
+    lapped = F.exists(F.transform("spans", lambda x, i: x["e"] > F.get("spans", i + 1)["s"]), lambda x: F.coalesce(x, F.lit(False)))
+    cut = F.exists("spans", lambda x: ((x["s"] > 0) & within(x["s"])) | within(x["e"]))
+    outcome = F.when(~text.rlike(rf"[^{SPACE}]"), "blank").when(n_tokens(text) > max_tokens, "too long").when(lapped, "overlap").when(cut, "unaligned").when(F.size("spans") > 0, "example").otherwise("negative")
+    return rows.select("doc_id", "sentence", "text", "spans", outcome.alias("outcome"), F.coalesce("crossing", F.lit(0)).alias("crossing"))
+
+
+def example_counts(documents: DataFrame, spans: DataFrame, *, max_tokens: int = 512) -> DataFrame:
+    """One row: sentences, how many have each outcome, the spans of examples, and the different spans across bounds of sentences that aren't blank or too long."""
+    found = sentence_examples(documents, spans, max_tokens=max_tokens).drop("text")
+    outcomes = {x.replace(" ", "_"): F.count_if(F.col("outcome") == x) for x in ("blank", "too long", "overlap", "unaligned", "example", "negative")}
+    sums = found.agg(F.count(F.lit(1)).alias("sentences"), *(c.alias(n) for n, c in outcomes.items()), F.coalesce(F.sum(F.when(F.col("outcome") == "example", F.size("spans"))), F.lit(0)).cast("long").alias("spans"))
+    seen = found.where("outcome not in ('blank', 'too long') and crossing > 0").select("doc_id", "sentence")
+    crossing = _met(documents, spans)[1].where("not contained").join(seen, ["doc_id", "sentence"], "left_semi").select("doc_id", "s", "e", "lab").distinct().agg(F.count(F.lit(1)).alias("crossing"))
+    return sums.crossJoin(F.broadcast(crossing))  # a row each
+
+
 def _larger_margins(spans: list[dict]) -> list[dict]:
     """As the fold below. A kept span that ended before a start meets no later one: those at the head are passed over for good."""
     kept, head = [], 0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,18 @@ def statistics(documents: DataFrame, keys: list[str], digits: int = 4) -> DataFr
     )
 
 
+def with_annotations(statistics: DataFrame, documents: DataFrame, annotations: DataFrame, key: str, *, left_out: dict[str, list[str]], ae: list[str], drug: list[str]) -> DataFrame:
+    """statistics by key with annotations, ae_terms and drug_terms: of the annotations (doc_id, label, term) of the key's documents their number, less the labels that are left out for the key, and the different terms of two sets of labels."""
+    out = [(F.col(key).eqNullSafe(F.lit(k))) & F.col("label").isin(*labels) for k, labels in left_out.items()]
+    counted = reduce(lambda a, b: a & ~F.coalesce(b, F.lit(False)), out, F.lit(True))
+    term = lambda labels: F.count_distinct(F.when(F.col("label").isin(*labels) & (F.col("term") != ""), F.col("term")))
+    found = annotations.join(documents.select("doc_id", key), "doc_id").groupBy(F.col(key).alias("_key")).agg(F.count_if(counted).alias("annotations"), term(ae).alias("ae_terms"), term(drug).alias("drug_terms"))
+    names = ("annotations", "ae_terms", "drug_terms")
+    # As many rows on either side as there are keys.
+    joined = statistics.join(found, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
+    return joined.withColumns({n: F.coalesce(n, F.lit(0)) for n in names})
+
+
 def source_matrix(spans: DataFrame, source: str, values: list[str]) -> DataFrame:
     """Counts by label and source, side by side, with a row of totals (label TOTAL)."""
     cells = [F.count_if(F.col(source) == v).alias(v) for v in values]

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import anchoring, chunking, corpus, spans
-from .fixtures import SQL, gold, pred, table
+from ..operators import labels as L
+from .fixtures import ANNOTATION_SQL, SQL, annotations, gold, pred, table, taxonomy
 from .registry import query
 
 
@@ -149,17 +150,54 @@ def sentence_examples(spark, sf_dir):
 
 _TOKENS = r"len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}\x1c-\x1f\x{85}]'))"
 _COUNTED = rf"len(list_filter({_SENTENCES.replace('(text,', '(coalesce(text, {0}),').replace('{0}', chr(39) * 2)}, lambda x: regexp_matches(x, '[^\s\p{{Z}}\x1c-\x1f\x{{85}}↵]')))"
+_WHITE = r"[\s\p{Z}\x0b\x1c-\x1f\x{85}]"
+_EXAMPLES = rf"""with p as (select doc_id, list_filter({_SENTENCES}, lambda x: x <> '') ps from documents where text is not null), e as (select doc_id, generate_subscripts(ps, 1) i, unnest(ps) x from p), o0 as (select doc_id, i, x, length(x) n, sum(length(x)) over (partition by doc_id order by i) e from e), st as (select doc_id, i - 1 sentence, x, cast(e - n as int) s, cast(e as int) e from o0), {SQL},
+    i0 as (select st.doc_id, sentence, x, g.s - st.s s, g.e - st.s e, lab from st join gold g on g.doc_id = st.doc_id and g.s >= st.s and g.e <= st.e),
+    i1 as (select *, substring(x, s + 1, e - s) part from i0),
+    i2 as (select distinct doc_id, sentence, x, s + length(regexp_extract(part, '^{_WHITE}*')) s, s + length(regexp_replace(part, '{_WHITE}+$', '')) e, lab from i1),
+    i3 as (select *, lead(s) over (partition by doc_id, sentence order by s, e, lab) nx from i2 where s < e),
+    k as (select doc_id, sentence, count(*) n, bool_or(coalesce(nx < e, false)) lapped, bool_or((s > 0 and regexp_matches(substring(x, s, 2), '^[\p{{L}}\p{{N}}_][\p{{L}}\p{{N}}_]$')) or regexp_matches(substring(x, e, 2), '^[\p{{L}}\p{{N}}_][\p{{L}}\p{{N}}_]$')) cut, string_agg(s || ' ' || e || ' ' || lab, ',' order by s, e, lab) spans from i3 group by 1, 2),
+    r as (select st.doc_id, sentence, g.s, g.e, lab from st join gold g on g.doc_id = st.doc_id and greatest(g.s, st.s) < least(g.e, st.e) and not (g.s >= st.s and g.e <= st.e)),
+    c as (select doc_id, sentence, count(*) crossing from r group by 1, 2)"""
 
 
-@query(f"with t as (select lang, {_TOKENS} t, {_COUNTED} s from documents) select lang, count(*) documents, cast(sum(t) as bigint) tokens, cast(sum(s) as bigint) sentences, round(avg(t), 4) mean_tokens, round(coalesce(stddev_samp(t), 0), 4) sd_tokens, median(t) median_tokens from t group by lang")
+@query(f"""{_EXAMPLES} select doc_id, sentence, case when not regexp_matches(x, '[^\\s\\p{{Z}}\\x0b\\x1c-\\x1f\\x{{85}}]') then 'blank' when {_TOKENS.replace("coalesce(text, '')", "x")} > 512 then 'too long' when coalesce(lapped, false) then 'overlap' when coalesce(cut, false) then 'unaligned' when n > 0 then 'example' else 'negative' end outcome, coalesce(n, 0) n_spans, coalesce(spans, '') spans, coalesce(crossing, 0) crossing
+    from st left join k using (doc_id, sentence) left join c using (doc_id, sentence)""")
+def sentence_training_examples(spark, sf_dir):
+    """Sentences with their spans in their own coordinates, and what becomes of each as an example."""
+    found = chunking.sentence_examples(table(spark, sf_dir, "documents"), gold(spark, sf_dir))
+    said = F.transform("spans", lambda x: F.concat_ws(" ", x["s"].cast("string"), x["e"].cast("string"), x["lab"].cast("string")))
+    return found.select("doc_id", F.col("sentence").cast("long").alias("sentence"), "outcome", F.size("spans").cast("long").alias("n_spans"), F.array_join(said, ",").alias("spans"), "crossing")
+
+
+@query(f"""{_EXAMPLES}, o as (select doc_id, sentence, case when not regexp_matches(x, '[^\\s\\p{{Z}}\\x0b\\x1c-\\x1f\\x{{85}}]') then 'blank' when {_TOKENS.replace("coalesce(text, '')", "x")} > 512 then 'too long' when coalesce(lapped, false) then 'overlap' when coalesce(cut, false) then 'unaligned' when n > 0 then 'example' else 'negative' end outcome, coalesce(n, 0) n_spans from st left join k using (doc_id, sentence)),
+    a as (select count(*) sentences, {', '.join(f"count(*) filter (where outcome = '{x}') {x.replace(' ', '_')}" for x in ('blank', 'too long', 'overlap', 'unaligned', 'example', 'negative'))}, coalesce(sum(n_spans) filter (where outcome = 'example'), 0)::bigint spans from o),
+    b as (select count(*) crossing from (select distinct r.doc_id, r.s, r.e, r.lab from r join o using (doc_id, sentence) where outcome not in ('blank', 'too long'))) select * from a, b""")
+def sentence_example_counts(spark, sf_dir):
+    """How many sentences became examples, and why others didn't; spans over a sentence's bounds count once for a document."""
+    return chunking.example_counts(table(spark, sf_dir, "documents"), gold(spark, sf_dir))
+
+
+_COUNTS = f"t as (select lang, {_TOKENS} t, {_COUNTED} s from documents), x as (select lang, count(*) documents, cast(sum(t) as bigint) tokens, cast(sum(s) as bigint) sentences, round(avg(t), 4) mean_tokens, round(coalesce(stddev_samp(t), 0), 4) sd_tokens, median(t) median_tokens from t group by lang)"
+_KNOWN = """, m as (select d.lang, norm.canonical label, lower(trim(case when trim(text_raw) <> '' then text_raw else norm."text" end)) term from norm join documents d using (doc_id) where note = 'SME1' and canonical is not null),
+    k as (select lang, count(*) filter (where not (lang = 'en' and label in ('DX', 'STATUS'))) annotations, count(distinct term) filter (where label = 'AE' and term <> '') ae_terms, count(distinct term) filter (where label in ('SDRUG', 'CDRUG') and term <> '') drug_terms from m group by lang)"""
+_STATS = f"with {ANNOTATION_SQL}, {_COUNTS}{_KNOWN}, z as (select x.*, coalesce(annotations, 0) annotations, coalesce(ae_terms, 0) ae_terms, coalesce(drug_terms, 0) drug_terms from x left join k on k.lang is not distinct from x.lang)"
+
+
+@query(f"{_STATS} select * from z")
 def corpus_stats(spark, sf_dir):
-    return corpus.statistics(table(spark, sf_dir, "documents"), ["lang"])
+    """Tokens and sentences of each language's documents, and what one annotator found in them: in English two labels don't count."""
+    documents = table(spark, sf_dir, "documents")
+    rows = L.normalized(annotations(spark, sf_dir).where("note = 'SME1'"), taxonomy(spark)).where("canonical is not null")
+    found = rows.select("doc_id", F.col("canonical").alias("label"), L.terms(rows).alias("term"))
+    return corpus.with_annotations(corpus.statistics(documents, ["lang"]), documents, found, "lang", left_out={"en": ["DX", "STATUS"]}, ae=["AE"], drug=["SDRUG", "CDRUG"])
+
+
+_ROWS = {"reports": "documents", "tokens": "tokens", "sentences": "sentences", "mean_tokens": "mean_tokens", "sd_tokens": "sd_tokens", "median_tokens": "median_tokens", "annotations": "annotations", "ae_terms": "ae_terms", "drug_terms": "drug_terms"}
 
 
-@query(f"with t as (select lang corpus, {_TOKENS} t, {_COUNTED} s from documents where lang in ('en', 'de')), x as (select corpus, cast(count(*) as double) reports, cast(sum(t) as double) tokens, cast(sum(s) as double) sentences, median(t) median_tokens from t group by 1) unpivot x on reports, tokens, sentences, median_tokens into name metric value \"value\"")
+@query(f"{_STATS}, y as (select coalesce(lang, '') corpus, {', '.join(f'cast({c} as double) {n}' for n, c in _ROWS.items() if n != c)}, {', '.join(f'cast({c} as double) {c}_' for n, c in _ROWS.items() if n == c)} from z), w as (select corpus, reports, {', '.join(f'{n}_ {n}' for n, c in _ROWS.items() if n == c)} from y) unpivot w on {', '.join(_ROWS)} into name metric value \"value\"")
 def report_corpus(spark, sf_dir):
-    """Two corpora's statistics as rows of a table."""
-    stats = corpus.statistics(table(spark, sf_dir, "documents").where("lang in ('en', 'de')"), ["lang"])
-    names = {"reports": "documents", "tokens": "tokens", "sentences": "sentences", "median_tokens": "median_tokens"}
-    wide = stats.select(F.col("lang").alias("corpus"), *(F.col(c).cast("double").alias(n) for n, c in names.items()))
-    return wide.unpivot("corpus", list(names), "metric", "value")
+    """Each corpus's statistics as rows of a table."""
+    wide = corpus_stats(spark, sf_dir).select(F.coalesce("lang", F.lit("")).alias("corpus"), *(F.col(c).cast("double").alias(n) for n, c in _ROWS.items()))
+    return wide.unpivot("corpus", list(_ROWS), "metric", "value")

@@ -41,12 +41,15 @@ def normalized_term(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", T.normalized_term(raw, F.col("p_type")).alias("term"))
 
 
-@query(r"select conv_id, turn, trim(regexp_replace(lower(text), '[ \t\n\x0B\f\r]+', ' ', 'g')) term from conversations")
+@query(r"select conv_id, turn, trim(regexp_replace(lower(text), '[\s\p{Z}\x0b\x1c-\x1f\x{85}]+', ' ', 'g')) term from conversations")
 def normalize_ws_term(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.single_spaced(F.col("text")).alias("term"))
 
 
-@query("select conv_id, turn, lower(trim(regexp_replace(trim(coalesce(text, '')), '^[[:punct:]]+|[[:punct:]]+$', '', 'g'))) term from conversations")
+_BARE = r"regexp_replace({}, '^[\s\p{{Z}}\x0b\x1c-\x1f\x{{85}}]+|[\s\p{{Z}}\x0b\x1c-\x1f\x{{85}}]+$', '', 'g')"
+
+
+@query(f"""select conv_id, turn, lower({_BARE.format(f"regexp_replace({_BARE.format("coalesce(text, '')")}, '^[[:punct:]]+|[[:punct:]]+$', '', 'g')")}) term from conversations""")
 def clean_punct(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.clean_punct(F.col("text")).alias("term"))
 
