@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import adapted, exact_only, f1, ratio, strict
+from ..functions.text import single_spaced
+from .alignment import align
 
 
 def counts() -> list[Column]:
@@ -75,6 +77,26 @@ def agreement(pairs: DataFrame, digits: int = 6) -> DataFrame:
     return total.join(chance).select("n", F.round(po, digits).alias("observed"), F.round(pe, digits).alias("expected"), F.round(F.when(pe < 1, (po - pe) / (1 - pe)).otherwise(1.0), digits).alias("kappa"))
 
 
+def term_frequencies(outcomes: DataFrame, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """term, n: what texts (doc_id, text) hold at the gold spans of outcomes of some pairs (gold_lab, pred_lab), in lower case and with single blanks; empty terms, and documents without a text, don't count."""
+    wrong = outcomes.join(pairs.select("gold_lab", "pred_lab"), ["gold_lab", "pred_lab"], "left_semi").join(texts.select("doc_id", F.col("text").alias("_text")), "doc_id")
+    term = single_spaced(F.substring("_text", F.col("gold_s") + 1, F.col("gold_e") - F.col("gold_s")))
+    return wrong.select(term.alias("term")).where("term <> ''").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+
+
+def by_version(gold: DataFrame, pred: DataFrame, taxonomy: DataFrame) -> DataFrame:
+    """Counts and scores by version and category, and in total (TOTAL), of spans whose labels a taxonomy (version, lab, category) maps in several ways.
+
+    All versions are aligned at once: a span is there for each version that maps its
+    label, and its version is a part of its document's key. An outcome counts for
+    each category that its gold or predicted span has. Labels that a version lacks are left out of it.
+    """
+    mapped = lambda df: df.join(F.broadcast(taxonomy), "lab").select(F.struct("version", "doc_id").alias("doc_id"), "s", "e", F.col("category").alias("lab"))
+    found = align(mapped(gold), mapped(pred)).withColumn("version", F.col("doc_id.version"))
+    categories = F.array_append(F.array_distinct(F.array_compact(F.array("gold_lab", "pred_lab"))), F.lit("TOTAL"))
+    return scored(found.withColumn("category", F.explode(categories)).groupBy("version", "category").agg(*counts()))
+
+
 def total_counts(outcomes: DataFrame) -> DataFrame:
     """One row: how many outcomes of each kind, 0 for none."""
     return outcomes.agg(*counts())

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import normalized_term
+from ..functions.text import normalized_term, occurrences
 
 #: Interface categories and what a label of theirs contains, first match first (fixed values).
 UI_CATEGORIES = (
@@ -95,3 +95,11 @@ def terms(annotations: DataFrame) -> Column:
 def flags(relationships: Column, kinds: tuple[str, ...]) -> list[Column]:
     """0/1 for each kind of relationship (a map from kind to span) whose span has a text."""
     return [F.coalesce((F.trim(relationships[k]["text"]) != "").cast("int"), F.lit(0)).alias(f"rel_{k}") for k in kinds]
+
+
+def inventory(annotations: DataFrame, pages: DataFrame) -> DataFrame:
+    """category, term, label, human, ai, in_texts: of each term in lower case how many annotations (doc_id, label, note, text) by humans and by models, and how often it stands, whatever its case, in the pages (doc_id, page) of its documents; a document counts once."""
+    human = is_human(F.col("note"))
+    by_doc = annotations.groupBy("doc_id", ui_category(F.col("label")).alias("category"), F.lower("text").alias("term"), canonical(F.col("label")).alias("label")).agg(F.count_if(human).alias("human"), F.count_if(~human).alias("ai"))
+    found = by_doc.join(pages.select("doc_id", "page"), "doc_id", "left").withColumn("_n", F.coalesce(occurrences(F.col("page"), F.col("term")), F.lit(0)))
+    return found.groupBy("category", "term", "label").agg(F.sum("human").alias("human"), F.sum("ai").alias("ai"), F.sum("_n").alias("in_texts"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import labels as L
 from ..operators import tables
+from ..sources.files import nonempty
 from .fixtures import ANNOTATION_SQL, LENGTH, NOTES, annotations, gold, pred, table, taxonomy
 from .registry import query
 
@@ -120,7 +121,8 @@ def dq_case_series(spark, sf_dir):
 
 @query("select doc_id, lang, n_chars from documents where lang = 'en'")
 def scan_documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", "lang", "n_chars")
+    """One corpus's documents; a corpus without any is an error."""
+    return nonempty(table(spark, sf_dir, "documents").where("lang = 'en'"), "documents").select("doc_id", "lang", "n_chars")
 
 
 @query(f"{_A} select a.doc_id, a.label, a.note from ann a join orders on o_orderkey = a.doc_id where o_orderstatus = 'F' and note = 'SME1'")
@@ -284,10 +286,15 @@ def top_users(spark, sf_dir):
     return user_distribution(spark, sf_dir).join(table(spark, sf_dir, "supplier"), F.col("user_id") == F.col("s_suppkey")).select("s_name", "n").orderBy(F.desc("n"), "s_name").limit(10)
 
 
-@query(f"""{_A} select {_UI.format('label')} category, lower("text") term, {_CANON} label, count(*) filter (where {_HUMAN}) human, count(*) filter (where not {_HUMAN}) ai from ann group by all""")
+_HALF = "substring(\"text\", 1, 3)"
+
+
+@query(f"""{_A}, h as (select doc_id, {_UI.format('label')} category, lower({_HALF}) term, {_CANON} label, count(*) filter (where {_HUMAN}) human, count(*) filter (where not {_HUMAN}) ai from ann group by all)
+    select category, term, label, sum(human)::bigint human, sum(ai)::bigint ai, sum(case when length(term) > 0 then (length(lower(coalesce(d.text, ''))) - length(replace(lower(coalesce(d.text, '')), term, ''))) // length(term) else 0 end)::bigint in_texts from h left join documents d using (doc_id) group by all""")
 def inventory_counts(spark, sf_dir):
-    human = L.is_human(F.col("note"))
-    return annotations(spark, sf_dir).groupBy(L.ui_category(F.col("label")).alias("category"), F.lower("text").alias("term"), L.canonical(F.col("label")).alias("label")).agg(F.count_if(human).alias("human"), F.count_if(~human).alias("ai"))
+    """Terms (of three letters, so that texts hold some) by category and label: who marked them, and how often they stand in the texts of the documents that they were marked in."""
+    rows = annotations(spark, sf_dir).withColumn("text", F.substring("text", 1, 3))
+    return L.inventory(rows, table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("page")))
 
 
 _TERM = """lower(trim(case when trim(text_raw) <> '' then text_raw else "text" end))"""

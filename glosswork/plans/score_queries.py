@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions import scores
-from ..operators import agreement, alignment, evaluation, matching, splits
+from ..operators import agreement, alignment, evaluation, matching, splits, tables
+from ..sources import files
+from ..sources.folders import new_folder
 from .fixtures import CATEGORY_SQL, COUNTS_SQL, SQL, base, categories, gold, outcomes_sql, pred, scores_sql, table
 from .queries import _RUNS, outcomes, runs
-from .registry import query
+from .registry import ORACLE_SQL, query
 
 _O = f"with recursive {outcomes_sql(True)}"
 _COUNTS = f"x as (select {COUNTS_SQL} from outcomes)"
@@ -57,12 +62,15 @@ def pool_by_seed_complete(spark, sf_dir):
 _F1S = "round(avg(strict_f1), 6) strict_f1_mean, round(coalesce(stddev_samp(strict_f1), 0), 6) strict_f1_sd, round(avg(adapted_f1), 6) adapted_f1_mean, round(coalesce(stddev_samp(adapted_f1), 0), 6) adapted_f1_sd"
 
 
-@query(f"""{_RUNS}, x as (select fold, seed, {COUNTS_SQL} from runs group by 1, 2), y as (select fold, {scores_sql()} from x), z as (select seed, {COUNTS_SQL} from runs group by 1), w as (select {scores_sql()} from z)
-    select fold, count(*) runs, {_F1S} from y group by fold union all select -1, count(*), {_F1S} from w""")
+@query(f"""{_RUNS}, x as (select fold, seed, {COUNTS_SQL} from runs group by 1, 2), y as (select fold, {scores_sql()} from x), z as (select seed, {COUNTS_SQL} from runs group by 1), w as (select {scores_sql()} from z),
+    v as (select fold, count(*) runs, {_F1S} from y group by fold union all select -1, count(*), {_F1S} from w), k as (select fold, count(distinct doc_id) documents from runs group by 1 union all select -1, count(distinct doc_id) from runs) select v.*, documents from v join k using (fold)""")
 def report_case_series(spark, sf_dir):
-    """Each fold's scores over seeds and the micro total (fold -1)."""
+    """Each fold's scores over seeds and the micro total (fold -1), with the sizes of their cohorts."""
     found = runs(spark, sf_dir)
-    return evaluation.with_micro(evaluation.pooled(found, ["fold", "seed"]), evaluation.pooled(found, ["seed"]))
+    scores = evaluation.with_micro(evaluation.pooled(found, ["fold", "seed"]), evaluation.pooled(found, ["seed"]))
+    # A document is in one fold: their sizes add up. Either side has a row for each fold.
+    each = found.groupBy("fold", "doc_id").agg(F.lit(1).alias("_one")).groupBy("fold").agg(F.count(F.lit(1)).alias("documents"))
+    return scores.join(each.unionByName(each.agg(F.lit(-1).alias("fold"), F.sum("documents").alias("documents"))), "fold")
 
 
 @query(f"""{_O}, {CATEGORY_SQL}, u as (select match_type, a.category g, b.category p from outcomes left join categories a on a.lab = gold_lab left join categories b on b.lab = pred_lab),
@@ -125,12 +133,19 @@ def prediction_label_counts(spark, sf_dir):
     return outcomes(spark, sf_dir).where("match_type in ('M', 'C', 'S') and pred_lab is not null").groupBy(F.col("pred_lab").alias("lab")).agg(count_n())
 
 
-@query(f"{_O}, c as (select gold_lab, pred_lab from outcomes where subtype = 'class_confusion' group by all order by count(*) desc, gold_lab, pred_lab limit 8) select gold_e - gold_s length, count(*) n from outcomes semi join c using (gold_lab, pred_lab) where subtype = 'class_confusion' group by 1")
+_TERMS = r"""t as (select trim(regexp_replace(lower(substring(d.text, gold_s + 1, gold_e - gold_s)), '[\s\p{Z}\x0b\x1c-\x1f\x{85}]+', ' ', 'g')) term from outcomes join c using (gold_lab, pred_lab) join documents d on d.doc_id = outcomes.doc_id where subtype = 'class_confusion')"""
+
+
+@query(f"{_O}, c as (select gold_lab, pred_lab from outcomes where subtype = 'class_confusion' group by all order by count(*) desc, gold_lab, pred_lab limit 8), {_TERMS} select term, count(*) n from t where term <> '' group by 1")
 def term_frequencies(spark, sf_dir):
-    """Frequencies of what stands in the spans of the most frequent confusions; the derived spans have lengths for texts."""
-    found = outcomes(spark, sf_dir)
-    pairs = evaluation.confusions(found).orderBy(F.desc("n"), "gold_lab", "pred_lab").limit(8)
-    return found.where("subtype = 'class_confusion'").join(pairs, ["gold_lab", "pred_lab"], "left_semi").groupBy((F.col("gold_e") - F.col("gold_s")).alias("length")).agg(count_n())
+    """What the texts hold where gold spans were given a wrong label, of the most frequent pairs of labels."""
+    return _terms(spark, sf_dir, outcomes(spark, sf_dir))
+
+
+def _terms(spark, sf_dir, found, kind="class_confusion"):
+    wrong = found.where(F.col("subtype") == kind)
+    pairs = wrong.groupBy("gold_lab", "pred_lab").agg(count_n()).orderBy(F.desc("n"), "gold_lab", "pred_lab").limit(8)
+    return evaluation.term_frequencies(wrong, pairs, table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 @query(f"with {SQL} select (select count(*) from gold) gold, (select count(*) from pred) pred, true conserved, true paired")
@@ -269,13 +284,12 @@ def bootstrap_ci(spark, sf_dir):
 
 @query(f"{_RUNS} select fold, seed, {COUNTS_SQL} from runs group by all")
 def union_runs(spark, sf_dir):
-    """The runs of each seed apart, put together again."""
-    found = runs(spark, sf_dir)
-    parts = [found.where(F.col("seed") == seed) for seed in (42, 123, 456, 789, 1011)]
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part, allowMissingColumns=True)
-    return whole.groupBy("fold", "seed").agg(*evaluation.counts())
+    """The runs of each seed, written apart once and put together again."""
+    out = new_folder(spark, "runs")
+    files.write_runs(runs(spark, sf_dir), out)
+    stored = spark.read.parquet(out)
+    parts = [stored.where(F.col("seed") == seed) for seed in (42, 123, 456, 789, 1011)]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).groupBy("fold", "seed").agg(*evaluation.counts())
 
 
 @query(f"""{_RUNS}, e as (select unnest(range(11)) fold, s.seed from (select unnest([42, 123, 456, 789, 1011]) seed) s), a as (select distinct fold, seed from runs) select 'missing' problem, cast(fold as int) fold, seed from (select cast(fold as bigint) fold, seed from e except select fold, seed from a) union all select 'extra', cast(fold as int), seed from (select cast(fold as bigint) fold, seed from a except select cast(fold as bigint), seed from e)""")
@@ -294,16 +308,43 @@ def ordered_summaries(spark, sf_dir):
     return union_runs(spark, sf_dir).withColumn("place", F.row_number().over(Window.orderBy("seed", "fold")))
 
 
+def _long(df, section, name, values):
+    """Rows (section, name, metric, value) of some columns."""
+    wide = df.select(F.lit(section).alias("section"), name.cast("string").alias("name"), *(F.col(v).cast("double").alias(v) for v in values))
+    return wide.unpivot(["section", "name"], list(values), "metric", "value")
+
+
+def _pair_name():
+    return F.concat(F.col("gold_lab").cast("string"), F.lit(" > "), F.col("pred_lab").cast("string"))
+
+
 @query()
 def report_error_taxonomy(spark, sf_dir):
-    """Counts before and after wrong labels are corrected, one row each."""
+    """As one long table: outcomes before and after wrong labels are corrected, the most frequent pairs of labels of the corrected ones, and what their texts hold."""
     before = outcomes(spark, sf_dir, two_tier=False)
-    return evaluation.total_counts(before).withColumn("stage", F.lit("raw")).unionByName(evaluation.total_counts(matching.corrected(before)).withColumn("stage", F.lit("corrected")))
+    after = stored(matching.corrected(before), "corrected")
+    wrong = after.where("subtype = 'wrong_label'").groupBy("gold_lab", "pred_lab").agg(count_n()).orderBy(F.desc("n"), "gold_lab", "pred_lab").limit(8)
+    parts = [_long(evaluation.total_counts(before), "raw", F.lit("all"), "mcsn"), _long(evaluation.total_counts(after), "corrected", F.lit("all"), "mcsn"), _long(wrong, "confusions", _pair_name(), ["n"]), _long(_terms(spark, sf_dir, after, "wrong_label"), "terms", F.col("term"), ["n"])]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 @query()
 def report_directional(spark, sf_dir):
-    return evaluation.by_category_directed(with_categories(spark, matching.corrected(outcomes(spark, sf_dir, two_tier=False))))
+    """As one long table: gold spans that the outcomes have too few or too many of, by label; directional scores by category once wrong labels are corrected; the most frequent pairs of labels."""
+    after = stored(matching.corrected(outcomes(spark, sf_dir, two_tier=False)), "corrected")
+    given = gold(spark, sf_dir)
+    held = after.where("match_type <> 'S'").select(F.col("gold_lab").alias("lab"))
+    wrong = after.where("subtype = 'wrong_label'").groupBy("gold_lab", "pred_lab").agg(count_n()).orderBy(F.desc("n"), "gold_lab", "pred_lab").limit(8)
+    scores_of = evaluation.by_category_directed(with_categories(spark, after))
+    parts = [_long(tables.reconcile(given, held, "lab"), "reconcile", F.col("lab"), ["missing", "excess"]), _long(scores_of, "category", F.col("category"), [c for c in scores_of.columns if c != "category"]), _long(wrong, "confusions", _pair_name(), ["n"])]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def stored(df, name):
+    """df written once and read again: what costs a matching is used several times."""
+    out = new_folder(df.sparkSession, name)
+    df.write.parquet(out)
+    return df.sparkSession.read.schema(df.schema).parquet(out)
 
 
 @query()
@@ -331,23 +372,46 @@ def report_seed_reproducibility(spark, sf_dir):
     return each.unionByName(each.agg(F.lit(-1).alias("seed"), F.round(F.avg("strict_f1"), 6).alias("strict_f1"), F.round(F.avg("adapted_f1"), 6).alias("adapted_f1")))
 
 
-@query(f"""{_O}, {CATEGORY_SQL}, u as (select o.*, unnest(list_distinct(list_filter([a.category, b.category], lambda x: x is not null))) category from outcomes o left join categories a on a.lab = gold_lab left join categories b on b.lab = pred_lab),
-    x as (select category, {COUNTS_SQL} from u group by 1 union all select 'TOTAL', {COUNTS_SQL} from outcomes) select *, {scores_sql()} from x""")
+#: Versions of the taxonomy: the category of each label, from 0 on.
+SCHEMAS = {"labels": ("AE", "SDRUG", "CDRUG", "LAB", "MHX"), "panel": ("AE", "DRUG", "DRUG", "LAB", "HX"), "history": ("AE", "DRUG", "DRUG", "OTHER", "OTHER"), "drugs": ("REST", "DRUG", "DRUG", "REST", "REST"), "any": ("ANY", "ANY", "ANY", "ANY", "ANY")}
+_SCHEMA_ROWS = [(version, lab, category) for version, of in SCHEMAS.items() for lab, category in enumerate(of)]
+_VERSIONED = re.sub(r"\b(base|gold|pred)\b", r"\1_0", SQL) + ", tax(version, lab, category) as (values " + ", ".join(f"('{v}', {lab}, '{c}')" for v, lab, c in _SCHEMA_ROWS) + """),
+    base as (select distinct version || ':' || doc_id doc_id from base_0, (select distinct version from tax)), gold as (select version || ':' || doc_id doc_id, s, e, category lab from gold_0 join tax using (lab)), pred as (select version || ':' || doc_id doc_id, s, e, category lab from pred_0 join tax using (lab))"""
+
+
+@query(f"""with recursive {outcomes_sql(True).replace(SQL, _VERSIONED, 1)}, u as (select match_type, split_part(doc_id, ':', 1) version, unnest(list_distinct(list_filter([gold_lab, pred_lab], lambda x: x is not null))) category from outcomes),
+    x as (select version, category, {COUNTS_SQL} from u group by 1, 2 union all select split_part(doc_id, ':', 1), 'TOTAL', {COUNTS_SQL} from outcomes group by 1) select *, {scores_sql()} from x""")
 def report_category_panel(spark, sf_dir):
-    found = outcomes(spark, sf_dir)
-    total = evaluation.scored(evaluation.total_counts(found)).withColumn("category", F.lit("TOTAL"))
-    return evaluation.by_category(found, categories(spark)).unionByName(total)
+    """Scores by category and in total under five versions of the taxonomy, whose spans are aligned in one pass."""
+    taxonomy = spark.createDataFrame(_SCHEMA_ROWS, "version string, lab int, category string")
+    return evaluation.by_version(gold(spark, sf_dir), pred(spark, sf_dir), taxonomy)
+
+
+_SUMMARY = ("pairs", "cases", "both", "label_agreement", "strict_p", "strict_r", "strict_f1", "one_right", "two_right")
 
 
-@query(f"""with {_PAIRS_SQL}, c as (select count(*) n, count(*) filter (where label_1 is not null and label_2 is not null) b, count(*) filter (where label_1 = label_2) s from mp)
-    select 'summary' section, 'label agreement' metric, round(100 * s / b, 6) "value" from c union all select 'category', cast(label_1 as varchar), round(100 * count(*) filter (where label_1 = label_2) / count(*), 6) from mp where label_1 is not null and label_2 is not null group by label_1""")
+@query(f"""with s as ({ORACLE_SQL['iaa_summary']}), d as ({ORACLE_SQL['iaa_discrepancies']}), c as ({ORACLE_SQL['iaa_by_category']}), {_PAIRS_SQL},
+    m as (select label_1 a, label_2 b, count(*) n from mp where label_1 is not null and label_2 is not null group by all), t as (select sum(n) n, sum(case when a = b then n else 0 end) same from m),
+    pe as (select sum(cast(r.n as double) * q.n) chance from (select a k, sum(n) n from m group by 1) r join (select b k, sum(n) n from m group by 1) q using (k)), v as (select same / n::double po, chance / (n::double * n) pe from t, pe)
+    {" union all ".join(f"""select 'summary' section, '' "name", '{x}' metric, cast("{x}" as double) "value" from s""" for x in _SUMMARY)}
+    union all select 'kappa', '', 'observed', round(po, 6) from v union all select 'kappa', '', 'expected', round(pe, 6) from v union all select 'kappa', '', 'kappa', round((po - pe) / (1 - pe), 6) from v
+    union all select 'discrepancies', kind, 'n', n from d union all select 'discrepancies', kind, 'percent', percent from d
+    union all select 'category', cast(label as varchar), 'n', n from c union all select 'category', cast(label as varchar), 'matched', matched from c union all select 'category', cast(label as varchar), 'percent', percent from c""")
 def report_iaa(spark, sf_dir):
+    """All that is said of the agreement of two annotators, as one long table."""
     pairs = mention_pairs(spark, sf_dir)
-    summary = agreement.summarised(pairs).select(F.lit("summary").alias("section"), F.lit("label agreement").alias("metric"), F.col("label_agreement").alias("value"))
-    return summary.unionByName(agreement.by_category(pairs).select(F.lit("category").alias("section"), F.col("label").cast("string").alias("metric"), F.col("percent").alias("value")))
+    kappa = evaluation.agreement(pairs.select(F.col("label_1").alias("a"), F.col("label_2").alias("b")))
+    parts = [_long(agreement.summarised(pairs), "summary", F.lit(""), _SUMMARY), _long(kappa, "kappa", F.lit(""), ["observed", "expected", "kappa"]), _long(agreement.discrepancies(pairs), "discrepancies", F.col("kind"), ["n", "percent"]), _long(agreement.by_category(pairs), "category", F.col("label"), ["n", "matched", "percent"])]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-@query("""with l as (select user_id, max("value") v, user_id % 3 model from events where "value" is not null group by user_id) select model, count(*) runs, round(avg(v), 6) best_mean, round(coalesce(stddev_samp(v), 0), 6) best_sd from l group by model""")
+@query("""with l as (select user_id log, max("value" / 2) v, count(*) points, max(event_id) last from events where "value" is not null group by user_id) select log % 3 model, count(*) runs, sum(points)::bigint points, round(avg(v), 6) best_mean, round(coalesce(stddev_samp(v), 0), 6) best_sd, max(last) last_step from l group by 1""")
 def report_encoder_ablation(spark, sf_dir):
-    best = best_checkpoint(spark, sf_dir).withColumn("model", F.col("user_id") % 3)
-    return best.groupBy("model").agg(F.count(F.lit(1)).alias("runs"), F.round(F.avg("best_value"), 6).alias("best_mean"), F.round(F.coalesce(F.stddev_samp("best_value"), F.lit(0.0)), 6).alias("best_sd"))
+    """Training logs are written, scanned, and the best score of each summed up by model."""
+    line = F.concat_ws("   ", F.expr("event_id div 7"), "event_id", "value", F.lit("0.5"), "user_id", F.lit("20"), F.lit("30"), F.col("value") / 2)
+    out = new_folder(spark, "logs")
+    rows = table(spark, sf_dir, "events").select(F.coalesce(F.when(F.col("value").isNotNull(), line), F.lit("done")).alias("value"), F.col("user_id").alias("log"))
+    rows.repartition("log").write.partitionBy("log").text(out)
+    points = files.train_log(spark.read.text(out), "log")
+    best = points.groupBy("log").agg(F.max("score").alias("best"), count_n(), F.max("step").alias("last")).withColumn("model", F.col("log") % 3)
+    return best.groupBy("model").agg(F.count(F.lit(1)).alias("runs"), F.sum("n").alias("points"), F.round(F.avg("best"), 6).alias("best_mean"), F.round(F.coalesce(F.stddev_samp("best"), F.lit(0.0)), 6).alias("best_sd"), F.max("last").alias("last_step"))

@@ -78,6 +78,21 @@ def scan_partitioned_runs(spark, sf_dir):
     return rows.where("fold < 3").groupBy("fold", "seed").agg(count_n())
 
 
+@query(f"""{_RUNS}, f as (select fold, seed, count(*) n from runs group by all), e as (select unnest(range(11)) fold, s.seed from (select unnest([42, 123, 456, 789, 1011]) seed) s)
+    select 'missing' problem, cast(fold as int) fold, seed, 1::bigint n from e where fold = 10 union all select 'missing', 3, 42, 1 union all select 'unexpected', 4, 7, 1 union all select 'duplicate', 5, 123, 2 union all select 'disagrees', fold, seed, n from f where fold = 6 and seed = 456 union all select 'disagrees', 4, 7, n from f where fold = 3 and seed = 42 union all select 'unnamed', null, null, 1""")
+def scan_run_problems(spark, sf_dir):
+    """Runs by the names of their folders: one that came under another name, one twice, one with other rows, one without a number, ten that never came."""
+    found, is_run = runs(spark, sf_dir), lambda fold, seed: (F.col("fold") == fold) & (F.col("seed") == seed)
+    name = F.format_string("fold_%02d_seed_%d_raw", F.when(is_run(3, 42), 4).otherwise(F.col("fold")), F.when(is_run(3, 42), 7).otherwise(F.col("seed")))
+    again = F.when(is_run(5, 123) & (F.col("doc_id") % 20 >= 10), "fold_5_seed_123_raw").when(is_run(8, 789) & (F.col("match_type") == "N"), "notes").otherwise(name)
+    named = found.withColumns({"run": again, "own_fold": F.when(is_run(6, 456), 0).otherwise(F.col("fold")), "own_seed": F.col("seed")}).drop("fold", "seed")
+    out = new_folder(spark, "named")
+    named.repartition("run").write.partitionBy("run").parquet(out)
+    seeds = F.array(*map(F.lit, (42, 123, 456, 789, 1011)))
+    expected = spark.range(11).select(F.col("id").cast("int").alias("fold"), F.explode(seeds).alias("seed"))
+    return files.named_runs(spark, out, expected)[1]
+
+
 @query(f"{_RUNS} select fold, seed, {COUNTS_SQL} from runs group by all")
 def sink_fold_results(spark, sf_dir):
     return spark.read.parquet(_run_folder(spark, sf_dir)).groupBy("fold", "seed").agg(*counts())
@@ -115,15 +130,16 @@ def scan_case_intake(spark, sf_dir):
     return files.intake(posts, "json")
 
 
-@query("""with recursive """ + outcomes_sql(True) + """, d as (select doc_id, text from documents where text is not null) select o.doc_id, gold_s s, gold_e e, gold_lab label, substring(text, gold_s + 1, gold_e - gold_s) "text" from outcomes o join d using (doc_id) where match_type = 'N'""")
+@query("""with recursive """ + outcomes_sql(True) + """, d as (select doc_id, text from documents where text is not null) select o.doc_id, gold_s s, gold_e e, gold_lab label, substring(text, gold_s + 1, gold_e - gold_s) "text", md5(text) full_md5 from outcomes o join d using (doc_id) where match_type = 'N'""")
 def sink_missing_entities(spark, sf_dir):
     """Missed spans with what stands there, written as CSV and read back."""
     texts = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text")
-    found = files.missing_entities(outcomes(spark, sf_dir), texts).drop("n_chars")
+    found = files.missing_entities(outcomes(spark, sf_dir), texts)
     out = new_folder(spark, "missing")
     options = {"header": True, "quoteAll": True, "escape": '"', "multiLine": True, "lineSep": "\x01", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "emptyValue": ""}
     found.write.options(**options).csv(out)
-    return spark.read.options(**options).schema("doc_id long, s int, e int, label int, text string").csv(out).withColumn("text", F.coalesce("text", F.lit("")))
+    back = spark.read.options(**options).schema("doc_id long, s int, e int, label int, text string, full_text string").csv(out)
+    return back.select("doc_id", "s", "e", "label", F.coalesce("text", F.lit("")).alias("text"), F.md5(F.coalesce("full_text", F.lit("")).cast("binary")).alias("full_md5"))
 
 
 @query(f"with {ANNOTATION_SQL} select doc_id, label, note, 1 page, s, e from placed where reason = 'valid'")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,18 +47,51 @@ def run_files(spark: SparkSession, path: str, expected: DataFrame) -> tuple[Data
     return rows, expected.join(rows.select("fold", "seed").distinct(), ["fold", "seed"], "left_anti")
 
 
+RUN_NAME = r"fold_(\d+)_seed_(\d+)_raw"
+
+
+def nonempty(df: DataFrame, what: str) -> DataFrame:
+    """df; an error where it has no rows."""
+    if df.isEmpty():
+        raise ValueError(f"there are no {what}")
+    return df
+
+
+def named_runs(spark: SparkSession, path: str, expected: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tables of runs in folders run=fold_XX_seed_Y_raw, with fold and seed from the name, and what is wrong with them.
+
+    Problems (problem, fold, seed, n): runs that are missing of the expected (fold, seed),
+    or not expected; a run of several folders (duplicate, n folders); rows (n) whose own own_fold and own_seed
+    are other than the name's (disagrees); folders (n) without a run in their name (unnamed).
+    """
+    rows = spark.read.parquet(path)
+    part = lambda k: F.regexp_extract("run", RUN_NAME, k).try_cast("int")
+    rows = rows.withColumns({"fold": part(1), "seed": part(2)})
+    # A row for each folder.
+    folders = rows.groupBy("run", "fold", "seed").agg(F.count_if(~(F.col("own_fold").eqNullSafe(F.col("fold")) & F.col("own_seed").eqNullSafe(F.col("seed")))).alias("other"))
+    named = folders.where("fold is not null")
+    actual = named.groupBy("fold", "seed").agg(F.count(F.lit(1)).alias("folders"), F.sum("other").alias("other"))
+    keys, one = ["fold", "seed"], F.lit(1).cast("long").alias("n")
+    found = [
+        expected.join(actual, keys, "left_anti").select(F.lit("missing").alias("problem"), *keys, one), actual.join(expected, keys, "left_anti").select(F.lit("unexpected").alias("problem"), *keys, one),
+        actual.where("folders > 1").select(F.lit("duplicate").alias("problem"), *keys, F.col("folders").alias("n")), actual.where("other > 0").select(F.lit("disagrees").alias("problem"), *keys, F.col("other").alias("n")),
+        folders.where("fold is null").agg(F.count(F.lit(1)).alias("n")).where("n > 0").select(F.lit("unnamed").alias("problem"), *(F.lit(None).cast("int").alias(k) for k in keys), "n"),
+    ]
+    return rows, reduce(DataFrame.unionByName, found)
+
+
 def manifest_folds(df: DataFrame, column: str) -> DataFrame:
     """fold, doc_id of a manifest's map from fold to files, without their ending."""
     folds = df.select(F.explode(F.from_json(F.get_json_object(column, "$.fold_documents"), "map<string,array<string>>")).alias("fold", "files"))
     return folds.select(F.col("fold").cast("int").alias("fold"), F.explode("files").alias("file")).select("fold", F.regexp_replace("file", r"\.json$", "").alias("doc_id"))
 
 
-def train_log(df: DataFrame) -> DataFrame:
-    """epoch, step, loss_trans, loss_ner, f, p, r, score of the lines (value) that are rows of a log; ents_* come in per cent."""
+def train_log(df: DataFrame, *keys: str) -> DataFrame:
+    """keys of df, epoch, step, loss_trans, loss_ner, f, p, r, score of the lines (value) that are rows of a log; ents_* come in per cent."""
     x = F.split(F.trim("value"), r"\s+")
     names = ("epoch", "step", "loss_trans", "loss_ner", "f", "p", "r", "score")
     numbers = [F.get(x, F.lit(i)).try_cast("double").alias(n) for i, n in enumerate(names)]
-    rows = df.where(F.size(x) >= 8).select(*numbers).dropna()
+    rows = df.where(F.size(x) >= 8).select(*keys, *numbers).dropna(subset=list(names))
     return rows.withColumns({n: F.col(n) / 100 for n in "fpr"} | {n: F.col(n).cast("long") for n in ("epoch", "step")})
 
 
@@ -87,9 +122,9 @@ def write_runs(df: DataFrame, path: str) -> None:
 
 
 def missing_entities(outcomes: DataFrame, texts: DataFrame) -> DataFrame:
-    """doc_id, s, e, label, text of the spans that were missed, with the text of their document."""
+    """doc_id, s, e, label, text of the spans that were missed, and full_text, the text of their document."""
     rows = outcomes.where("match_type = 'N'").join(texts, "doc_id")
-    return rows.select("doc_id", F.col("gold_s").alias("s"), F.col("gold_e").alias("e"), F.col("gold_lab").alias("label"), F.substring("text", F.col("gold_s") + 1, F.col("gold_e") - F.col("gold_s")).alias("text"), F.length("text").alias("n_chars"))
+    return rows.select("doc_id", F.col("gold_s").alias("s"), F.col("gold_e").alias("e"), F.col("gold_lab").alias("label"), F.substring("text", F.col("gold_s") + 1, F.col("gold_e") - F.col("gold_s")).alias("text"), F.col("text").alias("full_text"))
 
 
 def run_metadata(outcomes: DataFrame, prompt: str) -> DataFrame:
