@@ -141,11 +141,11 @@ def by_island(islands: DataFrame, schema: str, rows_of: Callable[[list[Span], li
     return islands.select("doc_id", "gs", "ps").mapInArrow(run, schema)
 
 
-def islands_of(gold: DataFrame, pred: DataFrame) -> tuple[DataFrame, str]:
+def islands_of(gold: DataFrame, pred: DataFrame, stretch: int | None = None) -> tuple[DataFrame, str]:
     """doc_id, gs and ps of each overlap island, sorted, and the schema of outcomes."""
     both = gold.select("doc_id", "s", "e", "lab", F.lit(True).alias("_gold")).unionByName(pred.select("doc_id", "s", "e", "lab", F.lit(False).alias("_gold")))
     span = F.struct("s", "e", "lab")
-    islands = with_islands(both.where("doc_id is not null and s < e")).groupBy("doc_id", "island").agg(
+    islands = with_islands(both.where("doc_id is not null and s < e"), stretch=stretch).groupBy("doc_id", "island").agg(
         F.sort_array(F.collect_list(F.when(F.col("_gold"), span))).alias("gs"), F.sort_array(F.collect_list(F.when(~F.col("_gold"), span))).alias("ps")
     )
     kind = {f.name: f.dataType.simpleString() for f in both.schema}
@@ -162,9 +162,9 @@ def _hollow(gold: DataFrame, pred: DataFrame) -> DataFrame:
     return missed.unionByName(pred.where(hollow).select("doc_id", F.lit("S").alias("match_type"), F.lit("spurious").alias("subtype"), *other("gold", gold), *own("pred")))
 
 
-def align(gold: DataFrame, pred: DataFrame, *, two_tier: bool = True, folded: int = FOLDED) -> DataFrame:
-    """Outcomes: doc_id, match_type (M, C, S, N), subtype, gold_s, gold_e, gold_lab, pred_s, pred_e, pred_lab."""
-    islands, schema = islands_of(gold, pred)
+def align(gold: DataFrame, pred: DataFrame, *, two_tier: bool = True, folded: int = FOLDED, stretch: int | None = None) -> DataFrame:
+    """Outcomes: doc_id, match_type (M, C, S, N), subtype, gold_s, gold_e, gold_lab, pred_s, pred_e, pred_lab; stretch as in with_islands."""
+    islands, schema = islands_of(gold, pred, stretch)
     short = F.size("gs") + F.size("ps") <= folded
     long = by_island(islands.where(~short), schema, lambda gs, ps: greedy(gs, ps, two_tier))
     return _folded(islands.where(short), two_tier).unionByName(long).unionByName(_hollow(gold, pred))

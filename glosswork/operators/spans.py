@@ -15,7 +15,7 @@ from ..functions.text import SPACE
 
 #: Spans meet in buckets of so many characters: a document of very many spans is spread over its buckets.
 BUCKET = 4096
-#: Positions that are sorted together: most documents are one stretch, a giant one is many.
+#: Positions that are sorted together where documents may be giant: most are one stretch, a giant one is many.
 STRETCH = 1 << 20
 #: Spans of an island that a fold inside the JVM takes; its work grows with their square.
 FOLDED = 48
@@ -37,31 +37,38 @@ def containment_join(inner: DataFrame, outer: DataFrame) -> DataFrame:
     return overlap_join(inner, outer).withColumn("contained", (F.col("s") >= F.col("s2")) & (F.col("e") <= F.col("e2")))
 
 
-def _in_stretches(spans: DataFrame, stretch: int) -> tuple[DataFrame, DataFrame]:
-    """spans with _stretch and _opens (whether an island begins), and the stretches, none of them a document's first, into which earlier spans may reach, as (doc_id, _stretch, _reach)."""
-    own = spans.withColumn("_stretch", F.floor(F.col("s") / stretch).cast("long"))
-    ends = own.groupBy("doc_id", "_stretch").agg(F.max("e").alias("_end"))
-    earlier = Window.partitionBy("doc_id").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
-    reach = ends.withColumn("_reach", F.max("_end").over(earlier)).where("_reach is not null").select("doc_id", "_stretch", "_reach")
-    before = F.max("e").over(Window.partitionBy("doc_id", "_stretch").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1))
-    met = own.withColumn("_before", before).join(reach, ["doc_id", "_stretch"], "left")
-    ended = F.greatest("_before", "_reach")  # null where there is neither
-    return met.withColumn("_opens", F.when(ended.isNull() | (F.col("s") >= ended), 1).otherwise(0)).drop("_before", "_reach"), reach
+def _in_stretches(spans: DataFrame, stretch: int) -> DataFrame:
+    """spans with _stretch, _opens (whether an island begins) and _upto (how many have begun in the stretch).
+
+    A span that reaches into later stretches stands in each of them once more, before
+    the stretch's own spans, and is gone again at the end.
+    """
+    first = F.floor(F.col("s") / stretch).cast("long")
+    last = F.floor((F.greatest(F.col("e"), F.col("s") + 1) - 1) / stretch).cast("long")
+    each = spans.select("*", F.explode(F.sequence(first, last)).alias("_stretch")).withColumn("_own", F.col("_stretch") == first)
+    order = Window.partitionBy("doc_id", "_stretch").orderBy("_own", "s", "e")
+    before = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.when(F.col("_own") & (before.isNull() | (F.col("s") >= before)), 1).otherwise(0)
+    opened = each.withColumn("_opens", opens).withColumn("_upto", F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return opened.where("_own").drop("_own")
 
 
-def with_islands(spans: DataFrame, *, stretch: int = STRETCH) -> DataFrame:
+def with_islands(spans: DataFrame, *, stretch: int | None = None) -> DataFrame:
     """spans with island: the number, in its document, of the cluster that chains of overlaps join.
 
-    Spans are sorted by stretches of a document's positions. How far the spans before a stretch reach, and
-    how many islands begin before it, are summed up from a row for each stretch; a document of one
-    stretch has no such row.
+    A document's spans are sorted by one task, unless stretch is given: then by
+    stretches of so many positions, for corpora with giant documents. How many islands
+    begin before a stretch is summed up from a row for each stretch. That costs a shuffle more.
     """
-    opened, reach = _in_stretches(spans, stretch)
-    several = opened.join(reach.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id", "_stretch").agg(F.sum("_opens").alias("_n"))
+    if stretch is None:
+        order = Window.partitionBy("doc_id").orderBy("s", "e")
+        before = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
+        opened = spans.withColumn("_opens", F.when(before.isNull() | (F.col("s") >= before), 1).otherwise(0))
+        return opened.withColumn("island", F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("_opens")
+    opened = _in_stretches(spans, stretch)
     earlier = Window.partitionBy("doc_id").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
-    begun = several.withColumn("_begun", F.sum("_n").over(earlier)).where("_begun is not null").select("doc_id", "_stretch", "_begun")
-    upto = F.sum("_opens").over(Window.partitionBy("doc_id", "_stretch").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, 0))
-    numbered = opened.withColumn("_upto", upto).join(begun, ["doc_id", "_stretch"], "left")
+    begun = opened.groupBy("doc_id", "_stretch").agg(F.sum("_opens").alias("_n")).withColumn("_begun", F.sum("_n").over(earlier)).where("_begun is not null").select("doc_id", "_stretch", "_begun")
+    numbered = opened.join(begun, ["doc_id", "_stretch"], "left")
     return numbered.withColumn("island", (F.coalesce("_begun", F.lit(0)) + F.col("_upto")).cast("int")).drop("_stretch", "_opens", "_upto", "_begun")
 
 
@@ -84,25 +91,19 @@ def kept_of_islands(groups: DataFrame, short: Column, keep: Callable[[list[Span]
     return groups.where(F.size("_all") <= folded).select(*keys, F.explode(short.cast(ArrayType(kind))).alias("_x")).unionByName(long)
 
 
-def _first_of_each(spans: list[Span]) -> Iterator[Span]:
-    end = None
-    for x in spans:
-        if end is None or x["s"] >= end:
-            end = -x["_e"]
-            yield x
-
-
-def dedupe_longest(spans: DataFrame) -> DataFrame:
+def dedupe_longest(spans: DataFrame, *, stretch: int | None = None) -> DataFrame:
     """By start, the longest first: spans that begin before the last kept one ends go."""
-    groups = with_islands(spans).groupBy("doc_id", "island").agg(F.sort_array(F.collect_list(F.struct("s", (-F.col("e")).alias("_e"), "lab"))).alias("_all"))
+    groups = with_islands(spans, stretch=stretch).groupBy("doc_id", "island").agg(F.sort_array(F.collect_list(F.struct("s", (-F.col("e")).alias("_e"), "lab"))).alias("_all"))
     kept = F.aggregate(F.slice("_all", F.lit(2), F.size("_all")), F.slice("_all", 1, 1), lambda acc, x: F.when(x["s"] >= -F.element_at(acc, -1)["_e"], F.array_append(acc, x)).otherwise(acc))
-    found = kept_of_islands(groups, kept, _first_of_each)
-    return found.select("doc_id", F.col("_x.s").alias("s"), (-F.col("_x._e")).alias("e"), F.col("_x.lab").alias("lab"))
+    return groups.select("doc_id", F.explode(kept).alias("_x")).select("doc_id", F.col("_x.s").alias("s"), (-F.col("_x._e")).alias("e"), F.col("_x.lab").alias("lab"))
 
 
-def overlaps_nowhere(spans: DataFrame, *, stretch: int = STRETCH) -> DataFrame:
-    """doc_id, disjoint: whether no two spans of the document overlap."""
-    return _in_stretches(spans, stretch)[0].groupBy("doc_id").agg((F.min("_opens") == 1).alias("disjoint"))
+def overlaps_nowhere(spans: DataFrame, *, stretch: int | None = None) -> DataFrame:
+    """doc_id, disjoint: whether no two spans of the document overlap; stretch as in with_islands."""
+    if stretch is not None:
+        return _in_stretches(spans, stretch).groupBy("doc_id").agg((F.min("_opens") == 1).alias("disjoint"))
+    order = Window.partitionBy("doc_id").orderBy("s", "e")
+    return spans.withColumn("_next", F.lead("s").over(order)).groupBy("doc_id").agg(F.bool_and(F.coalesce(F.col("_next") >= F.col("e"), F.lit(True))).alias("disjoint"))
 
 
 def clean_span(text: Column, s: Column, e: Column) -> tuple[Column, Column]:
@@ -136,9 +137,9 @@ def _longest_apart(spans: list[Span]) -> Iterator[Span]:
     return (x for x in spans if apart.add(x["s"], x["e"]))
 
 
-def longest_first(spans: DataFrame) -> DataFrame:
+def longest_first(spans: DataFrame, *, stretch: int | None = None) -> DataFrame:
     """The longest spans first, then by start and label: each that overlaps none that was kept before. Spans hold something (s < e)."""
-    groups = with_islands(spans).groupBy("doc_id", "island").agg(F.sort_array(F.collect_list(F.struct((F.col("s") - F.col("e")).alias("_n"), "s", "e", "lab"))).alias("_all"))
+    groups = with_islands(spans, stretch=stretch).groupBy("doc_id", "island").agg(F.sort_array(F.collect_list(F.struct((F.col("s") - F.col("e")).alias("_n"), "s", "e", "lab"))).alias("_all"))
     free = lambda acc, x: ~F.exists(acc, lambda k: (k["s"] < x["e"]) & (x["s"] < k["e"]))
     kept = F.aggregate(F.slice("_all", F.lit(2), F.size("_all")), F.slice("_all", 1, 1), lambda acc, x: F.when(free(acc, x), F.array_append(acc, x)).otherwise(acc))
     return kept_of_islands(groups, kept, _longest_apart).select("doc_id", "_x.s", "_x.e", "_x.lab")

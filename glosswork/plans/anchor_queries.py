@@ -188,7 +188,8 @@ _STATS = f"with {ANNOTATION_SQL}, {_COUNTS}{_KNOWN}, z as (select x.*, coalesce(
 def corpus_stats(spark, sf_dir):
     """Tokens and sentences of each language's documents, and what one annotator found in them: in English two labels don't count."""
     documents = table(spark, sf_dir, "documents")
-    rows = L.normalized(annotations(spark, sf_dir).where("note = 'SME1'"), taxonomy(spark)).where("canonical is not null")
+    known = annotations(spark, sf_dir).where("note = 'SME1'").join(documents.select("doc_id"), "doc_id", "left_semi")
+    rows = L.normalized(known, taxonomy(spark)).where("canonical is not null")
     found = rows.select("doc_id", F.col("canonical").alias("label"), L.terms(rows).alias("term"))
     return corpus.with_annotations(corpus.statistics(documents, ["lang"]), documents, found, "lang", left_out={"en": ["DX", "STATUS"]}, ae=["AE"], drug=["SDRUG", "CDRUG"])
 

@@ -41,7 +41,7 @@ def span_containment_join(spark, sf_dir):
     i as (select *, cast(sum(case when m is null or s >= m then 1 else 0 end) over (partition by doc_id order by s, e rows unbounded preceding) as int) island from o)
     select doc_id, island, min(s) s, max(e) e, count(*) n from i group by doc_id, island""")
 def overlap_islands(spark, sf_dir):
-    return spans.with_islands(gold(spark, sf_dir)).groupBy("doc_id", "island").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.count(F.lit(1)).alias("n"))
+    return spans.with_islands(gold(spark, sf_dir), stretch=spans.STRETCH).groupBy("doc_id", "island").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""with recursive {SQL}, o as (select *, row_number() over (partition by doc_id order by s, e desc, lab) k from gold),

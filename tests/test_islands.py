@@ -21,9 +21,9 @@ def numbered(rows):
     return sorted(out)
 
 
-@pytest.mark.parametrize("stretch", [5, 40, 1 << 20])
+@pytest.mark.parametrize("stretch", [None, 5, 40, 1 << 20])
 def test_islands_of_random_spans(spark, stretch):
-    r = random.Random(stretch)
+    r = random.Random(stretch or 1)
     docs = {i: [(s := r.randrange(r.choice([30, 300])), s + r.choice([1, 2, 5, 60]), r.choice("ab")) for _ in range(r.randint(1, 30))] for i in range(60)}
     df = spark.createDataFrame([(i, *x) for i, d in docs.items() for x in d], SPANS)
     got = {}
@@ -70,14 +70,21 @@ def test_short_and_long_islands_give_the_same(spark):
     docs = {i: [(s := r.randrange(40), s + r.randint(1, 9), r.choice("ab"), r.randrange(9)) for _ in range(r.randint(1, 25))] for i in range(40)}
     df = spark.createDataFrame([(i, *x) for i, d in docs.items() for x in d], f"{SPANS}, margin int")
     assert sorted(map(tuple, chunking.dedupe_margin(df, folded=0).collect())) == sorted(map(tuple, chunking.dedupe_margin(df, folded=1000).collect()))
-    for keep, order in ((spans._longest_apart, lambda x: (x[0] - x[1], *x[:3])), (spans._first_of_each, lambda x: (x[0], -x[1], x[2]))):
-        for rows in docs.values():
-            ordered = sorted({x[:3] for x in rows}, key=order)
-            kept, plain = [(x["s"], x["e"]) for x in keep([{"s": s, "e": e, "_e": -e, "lab": lab} for s, e, lab in ordered])], []
-            for s, e, _ in ordered:
-                if keep is spans._longest_apart and all(e <= a or b <= s for a, b in plain) or keep is spans._first_of_each and (not plain or s >= plain[-1][1]):
-                    plain.append((s, e))
-            assert kept == plain
+    for rows in docs.values():
+        ordered = sorted({x[:3] for x in rows}, key=lambda x: (x[0] - x[1], *x[:3]))
+        kept, plain = [(x["s"], x["e"]) for x in spans._longest_apart([{"s": s, "e": e, "lab": lab} for s, e, lab in ordered])], []
+        for s, e, _ in ordered:
+            if all(e <= a or b <= s for a, b in plain):
+                plain.append((s, e))
+        assert kept == plain
+
+
+def test_alignment_by_stretches_is_the_same(spark):
+    r = random.Random(11)
+    side = lambda: spark.createDataFrame([(i % 5, s := r.randrange(300), s + r.randint(1, 30), r.choice("ab")) for i in range(300)], SPANS)
+    gold, pred = side(), side()
+    whole, parted = (sorted(map(repr, alignment.align(gold, pred, stretch=n).collect())) for n in (None, 16))
+    assert whole == parted
 
 
 def test_matchings_are_as_large_by_either_way():
