@@ -44,9 +44,13 @@ def boundary_margin(spark, sf_dir):
     return project_offsets(spark, sf_dir).where("lab = 0").withColumnRenamed("margin", "boundary")
 
 
-@query()
+# Spans go one by one: of the kept ones the first that overlaps gives way to a larger margin.
+@query(f"""with recursive {SQL}, b as (select *, (s * 7 + e) % 50 margin from (select * from gold union all select * from pred)), o as (select *, row_number() over (partition by doc_id, lab order by s, e, -margin) k from b),
+    f(doc_id, lab, k, kept) as (select doc_id, lab, 1::bigint, [{{'s': s, 'e': e, 'margin': margin}}] from o where k = 1 union all
+        select doc_id, lab, k, case when hit is null then list_append(kept, x) when x.margin > kept[hit].margin then list_concat(kept[:hit - 1], [x], kept[hit + 1:]) else kept end
+        from (select o.doc_id, o.lab, o.k, f.kept, {{'s': o.s, 'e': o.e, 'margin': o.margin}} x, list_filter(range(1, len(f.kept) + 1), lambda i: f.kept[i].s < o.e and o.s < f.kept[i].e)[1] hit from f join o on o.doc_id = f.doc_id and o.lab = f.lab and o.k = f.k + 1)),
+    l as (select doc_id, lab, arg_max(kept, k) kept from f group by 1, 2) select doc_id, lab, x.s, x.e, x.margin from (select doc_id, lab, unnest(kept) x from l)""")
 def span_dedupe_margin(spark, sf_dir):
-    """Tested against brute force."""
     both = gold(spark, sf_dir).unionByName(pred(spark, sf_dir))
     return chunking.dedupe_margin(both.withColumn("margin", (F.col("s") * 7 + F.col("e")) % 50))
 
@@ -62,9 +66,10 @@ def span_filter_longest_first(spark, sf_dir):
 _TAGGED = "substring(text, 1, 5) || '<AE>' || substring(text, 6, 7) || '</ae>' || substring(text, 13, 4) || case doc_id % 3 when 0 then '< Lab >' || substring(text, 17, 3) || '</LAB>' else '' end || substring(text, case doc_id % 3 when 0 then 20 else 17 end)"
 
 
-@query(f"""with d as (select doc_id, text from documents where length(text) > 40) select doc_id, md5(text) clean, 5 s, 12 e, 'ADVERSE' lab from d union all select doc_id, md5(text), 16, 19, 'TEST' from d where doc_id % 3 = 0""")
+@query("""with d as (select doc_id, text, cast(length(text) as int) n from documents where text is not null) select doc_id, md5(text) clean, 5 s, least(12, n) e, 'ADVERSE' lab from d where n > 5 union all select doc_id, md5(text), 16, least(19, n), 'TEST' from d where doc_id % 3 = 0 and n > 16""")
 def parse_inline_tags(spark, sf_dir):
-    tagged = texts(spark, sf_dir).where("length(text) > 40").select("doc_id", F.expr(_TAGGED).alias("text"))
+    """Tags around the sixth to the twelfth character, and of every third text around three more; in short texts they hold less, or nothing."""
+    tagged = texts(spark, sf_dir).select("doc_id", F.expr(_TAGGED).alias("text"))
     found = anchoring.parsed_tags(tagged, {"AE": "ADVERSE", "LAB": "TEST"})
     return found.select("doc_id", F.md5("clean").alias("clean"), F.explode("spans").alias("x")).select("doc_id", "clean", "x.s", "x.e", "x.lab")
 

@@ -93,4 +93,4 @@ def sql_sliding_chunks(spark, sf_dir):
 def sql_parse_inline_tags(spark, sf_dir):
     """Tags by a table function, joined from the side in SQL."""
     _document_view(spark, sf_dir)
-    return spark.sql(f"select doc_id, md5(c.clean) clean, c.s, c.e, c.lab from (select doc_id, {_TAGGED} tagged from _glosswork_documents where length(text) > 40), lateral parse_inline_tags(tagged, map('AE', 'ADVERSE', 'LAB', 'TEST')) c where c.s is not null")
+    return spark.sql(f"select doc_id, md5(c.clean) clean, c.s, c.e, c.lab from (select doc_id, {_TAGGED} tagged from _glosswork_documents), lateral parse_inline_tags(tagged, map('AE', 'ADVERSE', 'LAB', 'TEST')) c where c.s is not null")

@@ -28,6 +28,18 @@ def mcsn_counts(spark, sf_dir):
     return evaluation.total_counts(outcomes(spark, sf_dir))
 
 
+def stored(df, name):
+    """df written once and read again: what costs a matching is used several times."""
+    out = new_folder(df.sparkSession, name)
+    df.write.parquet(out)
+    return df.sparkSession.read.schema(df.schema).parquet(out)
+
+
+def label_outcomes(spark, sf_dir):
+    """Outcomes by labels alone, aligned once."""
+    return stored(outcomes(spark, sf_dir, two_tier=False), "outcomes")
+
+
 def _some(kind: str):
     return ["m", "c", "s", "n", *(f"{kind}_{x}" for x in ("p", "r", "f1"))]
 
@@ -151,7 +163,7 @@ def _terms(spark, sf_dir, found, kind="class_confusion"):
 @query(f"with {SQL} select (select count(*) from gold) gold, (select count(*) from pred) pred, true conserved, true paired")
 def dq_conservation(spark, sf_dir):
     """Once wrong labels are corrected, all gold and predicted spans are still there, once each, and each pair took one of either."""
-    before = outcomes(spark, sf_dir, two_tier=False)
+    before = label_outcomes(spark, sf_dir)
     after = matching.corrected(before)
     names = {x: F.col(x) for x in "mcsn"}
     a, b = evaluation.total_counts(before).toDF("b0", "b1", "b2", "b3"), evaluation.total_counts(after)
@@ -165,18 +177,28 @@ def dq_conservation(spark, sf_dir):
 @query()
 def wrong_label_matching(spark, sf_dir):
     """Tested against brute force: SQL has no augmenting paths."""
-    return matching.wrong_labels(outcomes(spark, sf_dir, two_tier=False))
+    return matching.wrong_labels(label_outcomes(spark, sf_dir))
 
 
 @query()
 def outcome_correct(spark, sf_dir):
-    return evaluation.scored(evaluation.total_counts(matching.corrected(outcomes(spark, sf_dir, two_tier=False))))
-
-
-@query()
+    return evaluation.scored(evaluation.total_counts(matching.corrected(label_outcomes(spark, sf_dir))))
+
+
+# Gold spans go one by one: each takes the first prediction that equals it, or overlaps it and is free.
+@query(f"""with recursive {SQL}, g as (select *, row_number() over (partition by doc_id order by s, e, lab) k from (select distinct * from gold)),
+    p as (select doc_id, list({{'s': s, 'e': e, 'lab': lab}} order by s, e, lab) ps from (select distinct * from pred) group by doc_id),
+    hits as (select g.*, coalesce(list_filter(range(1, coalesce(len(ps), 0) + 1), lambda j: least(ps[j].e, g.e) > greatest(ps[j].s, g.s)), []) near, coalesce(list_position(ps, {{'s': g.s, 'e': g.e, 'lab': g.lab}}), 0) same from g left join p using (doc_id)),
+    steps(doc_id, k, used, again, hit) as (select distinct doc_id, 0::bigint, []::bigint[], 0::bigint, 0::bigint from base
+        union all select doc_id, k, case when hit > 0 and not list_contains(used, hit) then list_append(used, hit) else used end, again + cast(hit > 0 and list_contains(used, hit) as bigint), hit
+        from (select h.doc_id, h.k, st.used, st.again, coalesce(list_filter(h.near, lambda j: j = h.same or not list_contains(st.used, j))[1], 0) hit from steps st join hits h on h.doc_id = st.doc_id and h.k = st.k + 1)),
+    last as (select doc_id, arg_max(used, k) used, max(again) again from steps group by doc_id),
+    o as (select h.doc_id, case when hit = 0 then 'N' when hit = same then 'M' else 'C' end match_type, h.lab from steps join hits h using (doc_id, k)),
+    spare as (select doc_id, greatest(0, len(list_filter(range(1, len(ps) + 1), lambda j: not list_contains(coalesce(used, []), j))) - coalesce(again, 0)) n from p left join last using (doc_id))
+    select doc_id, match_type, count(*) n from o group by all union all select doc_id, 'S', n from spare where n > 0""")
 def span_score_scorer(spark, sf_dir):
-    """The older scorer; tested against brute force."""
-    return alignment.align_legacy(gold(spark, sf_dir), pred(spark, sf_dir))
+    """The older scorer's outcomes by document."""
+    return alignment.align_legacy(gold(spark, sf_dir), pred(spark, sf_dir)).groupBy("doc_id", "match_type").agg(count_n())
 
 
 _CAT = "case {0} when 2 then 1 when 3 then 2 when 4 then 3 else {0} end"
@@ -321,7 +343,7 @@ def _pair_name():
 @query()
 def report_error_taxonomy(spark, sf_dir):
     """As one long table: outcomes before and after wrong labels are corrected, the most frequent pairs of labels of the corrected ones, and what their texts hold."""
-    before = outcomes(spark, sf_dir, two_tier=False)
+    before = label_outcomes(spark, sf_dir)
     after = stored(matching.corrected(before), "corrected")
     wrong = after.where("subtype = 'wrong_label'").groupBy("gold_lab", "pred_lab").agg(count_n()).orderBy(F.desc("n"), "gold_lab", "pred_lab").limit(8)
     parts = [_long(evaluation.total_counts(before), "raw", F.lit("all"), "mcsn"), _long(evaluation.total_counts(after), "corrected", F.lit("all"), "mcsn"), _long(wrong, "confusions", _pair_name(), ["n"]), _long(_terms(spark, sf_dir, after, "wrong_label"), "terms", F.col("term"), ["n"])]
@@ -331,7 +353,7 @@ def report_error_taxonomy(spark, sf_dir):
 @query()
 def report_directional(spark, sf_dir):
     """As one long table: gold spans that the outcomes have too few or too many of, by label; directional scores by category once wrong labels are corrected; the most frequent pairs of labels."""
-    after = stored(matching.corrected(outcomes(spark, sf_dir, two_tier=False)), "corrected")
+    after = stored(matching.corrected(label_outcomes(spark, sf_dir)), "corrected")
     given = gold(spark, sf_dir)
     held = after.where("match_type <> 'S'").select(F.col("gold_lab").alias("lab"))
     wrong = after.where("subtype = 'wrong_label'").groupBy("gold_lab", "pred_lab").agg(count_n()).orderBy(F.desc("n"), "gold_lab", "pred_lab").limit(8)
@@ -340,17 +362,10 @@ def report_directional(spark, sf_dir):
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def stored(df, name):
-    """df written once and read again: what costs a matching is used several times."""
-    out = new_folder(df.sparkSession, name)
-    df.write.parquet(out)
-    return df.sparkSession.read.schema(df.schema).parquet(out)
-
-
 @query()
 def report_model_performance(spark, sf_dir):
     """Strict and adapted scores of three ways to align the same spans."""
-    ways = {"two tiers": outcomes(spark, sf_dir), "labels": outcomes(spark, sf_dir, two_tier=False)}
+    ways = {"two tiers": outcomes(spark, sf_dir), "labels": label_outcomes(spark, sf_dir)}
     ways["labels, corrected"] = matching.corrected(ways["labels"])
     rows = [evaluation.scored(evaluation.total_counts(found)).withColumn("model", F.lit(name)) for name, found in ways.items()]
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
@@ -359,7 +374,7 @@ def report_model_performance(spark, sf_dir):
 @query()
 def report_output_format(spark, sf_dir):
     """Scores with wrong labels corrected, by run."""
-    corrected = matching.corrected(outcomes(spark, sf_dir, two_tier=False)).withColumn("run", F.col("doc_id") % 2)
+    corrected = matching.corrected(label_outcomes(spark, sf_dir)).withColumn("run", F.col("doc_id") % 2)
     return evaluation.pooled(corrected, ["run"])
 
 
@@ -367,7 +382,7 @@ def report_output_format(spark, sf_dir):
 def report_seed_reproducibility(spark, sf_dir):
     """Scores by seed, wrong labels corrected, and their average (seed -1)."""
     seeds = F.array(*map(F.lit, (42, 123, 456, 789, 1011)))
-    corrected = matching.corrected(outcomes(spark, sf_dir, two_tier=False)).withColumn("seed", F.element_at(seeds, (F.floor(F.col("doc_id") / 10) % 5 + 1).cast("int")))
+    corrected = matching.corrected(label_outcomes(spark, sf_dir)).withColumn("seed", F.element_at(seeds, (F.floor(F.col("doc_id") / 10) % 5 + 1).cast("int")))
     each = evaluation.pooled(corrected, ["seed"]).select("seed", "strict_f1", "adapted_f1")
     return each.unionByName(each.agg(F.lit(-1).alias("seed"), F.round(F.avg("strict_f1"), 6).alias("strict_f1"), F.round(F.avg("adapted_f1"), 6).alias("adapted_f1")))
 

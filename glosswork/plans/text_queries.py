@@ -99,19 +99,19 @@ def count_occurrences(spark, sf_dir):
     return documents(spark, sf_dir).where("text is not null").select("doc_id", T.occurrences(F.col("text"), F.lit("EN")).alias("n"))
 
 
-@query("""with c as (select conv_id, turn, text, substring(text, 3, 2) term from conversations where length(text) >= 4)
-    select conv_id, turn, unnest(list_filter(range(0, length(text) - 1), lambda i: substring(text, i + 1, 2) = term)) "at" from c""")
+@query("""with c as (select conv_id, turn, text, substring(text, 3, 2) term from conversations where text is not null)
+    select conv_id, turn, unnest(list_filter(range(0, length(text) - length(term) + 1), lambda i: substring(text, i + 1, length(term)) = term)) "at" from c where term <> ''""")
 def exact_occurrences(spark, sf_dir):
     term = F.substring("text", 3, 2)
-    found = table(spark, sf_dir, "conversations").where("length(text) >= 4").select("conv_id", "turn", F.explode(T.exact_occurrences(F.col("text"), term)).alias("at"))
+    found = table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", F.explode(T.exact_occurrences(F.col("text"), term)).alias("at"))
     return found.withColumn("at", F.col("at").cast("long"))
 
 
-@query("""with c as (select conv_id, turn, text, substring(text, 3, 2) term, cast(length(text) // 2 as int) x from conversations where length(text) >= 4)
-    select conv_id, turn, cast(list_aggregate(list_transform(hits, lambda i: abs(i - x) * 1000000 + i), 'min') % 1000000 as int) "at" from (select *, list_filter(range(greatest(x - 40, 0), least(x + 40 + 2, length(text)) - 1), lambda i: substring(text, i + 1, 2) = term) hits from c)""")
+@query("""with c as (select conv_id, turn, text, substring(text, 3, 2) term, cast(length(text) // 2 as int) x from conversations where text is not null)
+    select conv_id, turn, cast(list_aggregate(list_transform(hits, lambda i: abs(i - x) * 1000000 + i), 'min') % 1000000 as int) "at" from (select *, case when term <> '' then list_filter(range(greatest(x - 40, 0), least(x + 40 + length(term), length(text)) - length(term) + 1), lambda i: substring(text, i + 1, length(term)) = term) else [] end hits from c)""")
 def nearest_occurrence(spark, sf_dir):
     half = F.expr("cast(length(text) div 2 as int)")
-    return table(spark, sf_dir, "conversations").where("length(text) >= 4").select("conv_id", "turn", T.nearest_occurrence(F.col("text"), F.substring("text", 3, 2), half, 40).alias("at"))
+    return table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", T.nearest_occurrence(F.col("text"), F.substring("text", 3, 2), half, 40).alias("at"))
 
 
 @query("select doc_id, translate(replace(text, chr(10), '↵'), '↵', chr(10)) = text same, length(text) n from documents where text is not null")
