@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -46,13 +47,20 @@ def split_words(text: str) -> list[bytes]:
     return text.lower().encode().translate(_LETTERS).split()
 
 
+@lru_cache(1 << 16)
+def _script(letter: str) -> int:
+    """A character's script, -1 if it is no letter."""
+    return int(_CODES[np.searchsorted(_STARTS, ord(letter), side="right") - 1]) if letter.isalpha() else -1
+
+
 def script_of(word: str) -> int:
     """The script of a word's first letter beyond ASCII, or that of ASCII letters; -1 without a letter."""
     found = -1
     for c in word:
-        if c.isalpha():
-            found = int(_CODES[np.searchsorted(_STARTS, ord(c), side="right") - 1])
-            if ord(c) > 127:
+        code = _script(c)
+        if code >= 0:
+            found = code
+            if c > "\x7f" or word.isascii():
                 break
     return found
 
