@@ -20,7 +20,7 @@ from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .spans import FOLDED, Span, with_islands
@@ -103,7 +103,7 @@ def greedy(gs: list[Span], ps: list[Span], two_tier: bool) -> Iterator[Row]:
 
 def legacy(gs: list[Span], ps: list[Span]) -> Iterator[Row]:
     """The older scorer on an island's distinct spans: a gold span takes the first prediction in order that equals it, taken or not, or overlaps it and is free."""
-    taken, exact, free = [False] * len(ps), 0, Free(ps)
+    taken, free = [False] * len(ps), Free(ps)
     same = {(p["s"], p["e"], p["lab"]): j for j, p in enumerate(ps)}
     for g in gs:
         equal, over = same.get((g["s"], g["e"], g["lab"])), next(free.over(g), None)
@@ -114,14 +114,13 @@ def legacy(gs: list[Span], ps: list[Span]) -> Iterator[Row]:
         else:
             yield "N", "missed", g, None
             continue
-        exact += taken[hit[2]]
+        if taken[hit[2]]:
+            yield "X", "again", None, None
         taken[hit[2]] = free.taken[hit[2]] = True
         yield hit[0], hit[1], g, ps[hit[2]]
     for j, p in enumerate(ps):
         if not taken[j]:
-            # Predictions less matches count as spurious: one that was taken twice makes up for a free one.
-            yield "S", "spurious" if exact <= 0 else "made up for", None, p
-            exact -= 1
+            yield "S", "spurious", None, p
 
 
 def by_island(islands: DataFrame, schema: str, rows_of: Callable[[list[Span], list[Span]], Iterator[Row]]) -> DataFrame:
@@ -173,4 +172,8 @@ def align(gold: DataFrame, pred: DataFrame, *, two_tier: bool = True, folded: in
 def align_legacy(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """Outcomes of the older scorer, on distinct spans (doc_id, s, e, lab)."""
     islands, schema = islands_of(gold.select("doc_id", "s", "e", "lab").distinct(), pred.select("doc_id", "s", "e", "lab").distinct())
-    return by_island(islands, schema, legacy).where("subtype <> 'made up for'")
+    # A document's predictions less its matches count as spurious: one that was taken twice makes up for a free one.
+    order = Window.partitionBy("doc_id", "match_type").orderBy("pred_s", "pred_e", "pred_lab")
+    again = F.count_if(F.col("match_type") == "X").over(Window.partitionBy("doc_id"))
+    found = by_island(islands, schema, legacy).withColumns({"_again": again, "_place": F.row_number().over(order)})
+    return found.where("match_type <> 'X' and (match_type <> 'S' or _place > _again)").drop("_again", "_place")
