@@ -129,13 +129,18 @@ def by_island(islands: DataFrame, schema: str, rows_of: Callable[[list[Span], li
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            types = [b.schema.field(0).type, pa.string(), pa.string(), *(b.schema.field(1).type.value_type.field(x).type for _ in range(2) for x in ("s", "e", "lab"))]
+            pack = lambda out: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)  # noqa: B023, E731
+            out: list[list] = []
             for i in range(b.num_rows):  # an island at a time, however long
                 doc_id, gs, ps = (c[i].as_py() for c in b.columns)
-                out = [[doc_id, kind, subtype, *((x[k] if x else None) for x in (g, p) for k in ("s", "e", "lab"))] for kind, subtype, g, p in rows_of(gs, ps)]
-                for at in range(0, len(out), 10_000):
-                    columns = list(zip(*out[at : at + 10_000], strict=True))
-                    types = [b.schema.field(0).type, pa.string(), pa.string(), *(b.schema.field(1).type.value_type.field(x).type for _ in range(2) for x in ("s", "e", "lab"))]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+                for kind, subtype, g, p in rows_of(gs, ps):
+                    out.append([doc_id, kind, subtype, *((x[k] if x else None) for x in (g, p) for k in ("s", "e", "lab"))])
+                    if len(out) == 10_000:
+                        yield pack(out)
+                        out = []
+            if out:
+                yield pack(out)
 
     return islands.select("doc_id", "gs", "ps").mapInArrow(run, schema)
 
