@@ -133,9 +133,10 @@ def fuzzy_anchor(spark, sf_dir):
     return anchoring.fuzzy_anchored(rows.select("doc_id", changed.alias("surface")), rows).select("doc_id", "s", "e")
 
 
-@query("""with d as (select conv_id * 1000 + turn doc_id, text from conversations where text is not null), c as (select doc_id, text, substring(text, 8, 6) surface, 7 + cast(doc_id % 3 as int) * 5 claimed from d),
-    x as (select *, list_filter(range(greatest(claimed - 800, 0), least(claimed + 800 + 6, length(text)) - 5), lambda i: substring(text, i + 1, 6) = surface) hits from c)
-    select distinct doc_id, 'AE' lab, s, s + 6 e from (select doc_id, case when substring(text, claimed + 1, 6) = surface then claimed else cast(list_aggregate(list_transform(hits, lambda i: abs(i - claimed) * 1000000 + i), 'min') % 1000000 as int) end s from x) where s is not null""")
+# A turn that ends early gives a shorter surface, or none.
+@query("""with d as (select conv_id * 1000 + turn doc_id, text from conversations where text is not null), c as (select doc_id, text, substring(text, 8, 6) surface, 7 + cast(doc_id % 3 as int) * 5 claimed from d where length(text) > 7),
+    x as (select *, cast(length(surface) as int) n, list_filter(range(greatest(claimed - 800, 0), least(claimed + 800 + n, length(text)) - n + 1), lambda i: substring(text, i + 1, length(surface)) = surface) hits from c)
+    select distinct doc_id, 'AE' lab, s, s + n e from (select doc_id, n, case when substring(text, claimed + 1, n) = surface then claimed else cast(list_aggregate(list_transform(hits, lambda i: abs(i - claimed) * 1000000 + i), 'min') % 1000000 as int) end s from x) where s is not null""")
 def json_offset_spans(spark, sf_dir):
     claims = turns(spark, sf_dir).select("doc_id", F.lit("AE").alias("lab"), (7 + (F.col("doc_id") % 3) * 5).cast("int").alias("s"), F.substring("text", 8, 6).alias("surface"))
     return anchoring.anchored_offsets(claims, turns(spark, sf_dir))
