@@ -109,8 +109,20 @@ def kth_mention_anchor(spark, sf_dir):
     return anchoring.anchored_surfaces(mentions(spark, sf_dir), turns(spark, sf_dir)).select("doc_id", "place", F.col("s").cast("long").alias("s"))
 
 
-# What is exact once more is like itself; two characters that no text holds are like nothing; one changed character of ten is like enough.
-@query(f"""with {_MENTIONS}, x as (select case when surface = '' then 'unmapped' when hits[({_TAKEN})[place + 1] + 1] is not null then 'exact' else 'fuzzy' end how from o union all select 'unmapped' from d union all select case when length(text) >= 10 then 'fuzzy' else 'unmapped' end from d)
+# What is exact once more is like itself; two characters that no text holds are like nothing. Ten characters with one changed are like the ten
+# where the five after it stand at their own place first. Else a window must be like enough by its matching blocks: the longest one, the first
+# of equals in the surface and then in the window, and so on at both sides of it.
+_LIKE = """f as (select doc_id, text, substring(text, 1, 4) || '\u2042' || substring(text, 6, 5) x from d where length(text) >= 10 and strpos(substring(text, 1, 10), substring(text, 6, 5)) < 6),
+    w0 as (select distinct doc_id, x, substring(text, s + 1, n) w from (select *, unnest(range(length(text))) s from f), (select unnest([7, 10, 13]) n)),
+    w as (select * from w0 where 2 * len(list_filter(range(1, 11), lambda i: contains(w, substring(x, i, 1)))) / (10 + length(w)) >= 0.8::double),
+    b(doc_id, x, w, a0, a1, b0, b1, got) as (select doc_id, x, w, 0::bigint, 10::bigint, 0::bigint, length(w), 0::bigint from w union all
+        select doc_id, x, w, unnest([a0, i + n]), unnest([i, a1]), unnest([b0, j + n]), unnest([j, b1]), unnest([n, 0]) from (select *, best // 10000 n, 99 - best // 100 % 100 i, 99 - best % 100 j from (select *,
+            list_max(flatten(list_transform(range(a0, a1), lambda i: list_transform(range(b0, b1), lambda j: coalesce(list_max(list_filter(range(1, least(a1 - i, b1 - j) + 1), lambda n: substring(x, i + 1, n) = substring(w, j + 1, n))), 0) * 10000 + (99 - i) * 100 + 99 - j)))) best from b) where best >= 10000)),
+    alike as (select distinct doc_id from (select doc_id, w, sum(got) got from b group by all) where 2 * got / (10 + length(w)) >= 0.8::double)"""
+
+
+@query(f"""with recursive {_MENTIONS}, {_LIKE}, x as (select case when surface = '' then 'unmapped' when hits[({_TAKEN})[place + 1] + 1] is not null then 'exact' else 'fuzzy' end how from o union all select 'unmapped' from d
+        union all select case when length(text) >= 10 and (doc_id in (select doc_id from alike) or doc_id not in (select doc_id from f)) then 'fuzzy' else 'unmapped' end from d)
     select how, count(*) n from x group by 1""")
 def anchor_json_entities(spark, sf_dir):
     """Surfaces by category in JSON, and how many of them were anchored, in which way."""

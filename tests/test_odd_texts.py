@@ -17,7 +17,7 @@ def same(spark, folder, name):
     assert sorted(map(tuple, found.collect())) == sorted(con.execute(f"select {', '.join(found.columns)} from ({ORACLE_SQL[name]})").fetchall())
 
 
-@pytest.mark.parametrize("name", ["json_offset_spans"])
+@pytest.mark.parametrize("name", ["anchor_json_entities", "json_offset_spans"])
 def test_turns(spark, tmp_path, name):
     duckdb.connect().execute("copy (select 1::bigint conv_id, unnest(range(len($1)))::bigint turn, unnest($1) text) to '" + str(tmp_path / "conversations.parquet") + "' (format parquet)", [TURNS])
     same(spark, tmp_path, name)
