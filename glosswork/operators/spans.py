@@ -49,7 +49,7 @@ def _in_stretches(spans: DataFrame, stretch: int) -> DataFrame:
     order = Window.partitionBy("doc_id", "_stretch").orderBy("_own", "s", "e")
     before = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
     opens = F.when(F.col("_own") & (before.isNull() | (F.col("s") >= before)), 1).otherwise(0)
-    opened = each.withColumn("_opens", opens).withColumn("_upto", F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    opened = each.withColumn("_opens", opens).withColumn("_upto", F.sum("_opens").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
     return opened.where("_own").drop("_own")
 
 
@@ -64,7 +64,7 @@ def with_islands(spans: DataFrame, *, stretch: int | None = None) -> DataFrame:
         order = Window.partitionBy("doc_id").orderBy("s", "e")
         before = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
         opened = spans.withColumn("_opens", F.when(before.isNull() | (F.col("s") >= before), 1).otherwise(0))
-        return opened.withColumn("island", F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("_opens")
+        return opened.withColumn("island", F.sum("_opens").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow)).cast("int")).drop("_opens")
     opened = _in_stretches(spans, stretch)
     earlier = Window.partitionBy("doc_id").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
     begun = opened.groupBy("doc_id", "_stretch").agg(F.sum("_opens").alias("_n")).withColumn("_begun", F.sum("_n").over(earlier)).where("_begun is not null").select("doc_id", "_stretch", "_begun")

@@ -37,8 +37,9 @@ def span_containment_join(spark, sf_dir):
     return spans.containment_join(gold(spark, sf_dir), pred(spark, sf_dir))
 
 
+# Equal spans are of one island whichever of them comes first.
 @query(f"""with {SQL}, o as (select *, max(e) over (partition by doc_id order by s, e rows between unbounded preceding and 1 preceding) m from gold),
-    i as (select *, cast(sum(case when m is null or s >= m then 1 else 0 end) over (partition by doc_id order by s, e rows unbounded preceding) as int) island from o)
+    i as (select *, cast(sum(case when m is null or s >= m then 1 else 0 end) over (partition by doc_id order by s, e) as int) island from o)
     select doc_id, island, min(s) s, max(e) e, count(*) n from i group by doc_id, island""")
 def overlap_islands(spark, sf_dir):
     return spans.with_islands(gold(spark, sf_dir), stretch=spans.STRETCH).groupBy("doc_id", "island").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.count(F.lit(1)).alias("n"))
