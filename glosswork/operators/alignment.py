@@ -3,10 +3,11 @@
 Gold spans go in order of start, end and label. Each takes the free prediction
 that equals it; else the one of its label with the largest overlap; else, with
 two tiers, the one of another label with the largest overlap; the first on
-ties. Spans of different overlap islands never meet, so each island is aligned
-by itself: short ones by a fold inside the JVM, longer ones in Arrow batches,
-where a gold span looks only at the free predictions that it overlaps. An island
-is one row; a document may have any number of them.
+ties. Spans of different overlap islands never meet. Spark brings a document's
+spans together in order, and islands are aligned as they go by in Arrow batches:
+short ones side by side, the first gold span of each, then the second, and so on;
+longer ones by themselves, where a gold span looks only at the free predictions
+that it overlaps. Only an island is held whole.
 
 Defined results: null labels are equal to each other and to nothing else; gold
 spans that hold nothing (s >= e, or a null offset) are missed and such
@@ -19,46 +20,204 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .spans import FOLDED, Span, with_islands
 
-_PICK = "struct<tier:int,overlap:int,back:int>"
 KINDS = {3: ("M", "exact"), 2: ("C", "boundary"), 1: ("C", "class_confusion"), 0: ("N", "missed")}
 Row = tuple[str, str, Span | None, Span | None]
+#: Outcomes by number: the tiers first.
+NAMES = [*(KINDS[t] for t in range(4)), ("S", "spurious"), ("C", "wrong_label"), ("X", "again")]
+SPURIOUS, WRONG, AGAIN = 4, 5, 6
+
+
+def _changes(values: pa.Array) -> np.ndarray:
+    """Whether each value but the first differs from the one before."""
+    if pa.types.is_struct(values.type):
+        return np.logical_or.reduce([_changes(x) for x in values.flatten()])
+    one, other = values[1:], values[:-1]
+    differ = pc.fill_null(pc.not_equal(one, other), False).to_numpy(zero_copy_only=False)
+    return differ | (one.is_null().to_numpy(zero_copy_only=False) != other.is_null().to_numpy(zero_copy_only=False))
+
+
+class Block:
+    """Whole islands of sorted spans: rows with s, e, lab (numbers, equal where the labels are), gold and the number of their island."""
+
+    def __init__(self, rows: pa.RecordBatch, opens: np.ndarray):
+        self.rows, self.begins, self.island = rows, np.flatnonzero(opens), np.cumsum(opens) - 1
+        self.s, self.e = (rows.column(x).to_numpy().astype(np.int64) for x in ("s", "e"))
+        self.lab = pc.dictionary_encode(rows.column("lab"), null_encoding="encode").indices.to_numpy()
+        self.gold = rows.column("_gold").to_numpy(zero_copy_only=False)
+
+    def unlabelled(self) -> np.ndarray:
+        return self.rows.column("lab").is_null().to_numpy(zero_copy_only=False)
+
+    def counts(self, mask: np.ndarray) -> np.ndarray:
+        """Rows of the mask in each island."""
+        return np.bincount(self.island[mask], minlength=len(self.begins))
+
+    def spans(self, at: np.ndarray) -> list[Span]:
+        """Rows as spans, with their number as row."""
+        return [{"s": s, "e": e, "lab": lab, "row": i} for s, e, lab, i in zip(self.s[at].tolist(), self.e[at].tolist(), self.lab[at].tolist(), at.tolist(), strict=True)]
+
+    def of_islands(self, islands: np.ndarray, among: np.ndarray) -> Iterator[tuple[list[Span], list[Span]]]:
+        """Gold and predicted spans among some rows, an island at a time."""
+        ends = np.append(self.begins[1:], len(self.s))
+        for k in islands:
+            at = np.arange(self.begins[k], ends[k])
+            at = at[among[at]]
+            yield self.spans(at[self.gold[at]]), self.spans(at[~self.gold[at]])
+
+    def pairs(self, among: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of the gold and predicted spans among some rows that overlap, and the place of the gold span in its island."""
+        gs, ps = np.flatnonzero(among & self.gold), np.flatnonzero(among & ~self.gold)
+        first, n = np.searchsorted(self.island[ps], self.island[gs]), self.counts(among & ~self.gold)[self.island[gs]]
+        place = np.arange(len(gs)) - np.searchsorted(self.island[gs], self.island[gs])
+        owner = np.repeat(np.arange(len(gs)), n)
+        p = ps[np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + first[owner]] if len(owner) else np.empty(0, np.int64)
+        g = gs[owner]
+        met = np.minimum(self.e[g], self.e[p]) > np.maximum(self.s[g], self.s[p])
+        return g[met], p[met], place[owner[met]]
+
+
+#: The number of each outcome, and the rows of its gold and predicted span, -1 for none.
+Decided = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+    """Whole islands of rows that come by document, start and end; the last island is held until the next begins."""
+    held: list[tuple[pa.RecordBatch, np.ndarray]] = []
+    last, reach = None, 0
+
+    def whole() -> Block:
+        return Block(pa.Table.from_batches([b for b, _ in held]).combine_chunks().to_batches()[0], np.concatenate([o for _, o in held]))
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        s, e = (b.column(x).to_numpy().astype(np.int64) for x in ("s", "e"))
+        docs = b.column("doc_id")
+        new = np.concatenate([[True] if last is None else _changes(pa.concat_arrays([last, docs[:1]])), _changes(docs)])
+        doc = np.cumsum(new) - new[0]
+        low = min(int(s.min()), int(e.min()) if new[0] else reach)
+        width = max(int(e.max()), low if new[0] else reach) - low + 1
+        ends = np.maximum.accumulate(np.concatenate([[-1 if new[0] else reach - low], doc * width + e - low]))
+        opens = doc * width + s - low >= ends[:-1]
+        last, reach = docs[-1:], int(ends[-1] - doc[-1] * width + low)
+        if opens.any():
+            cut = int(np.flatnonzero(opens)[-1])
+            if cut:
+                held.append((b.slice(0, cut), opens[:cut]))
+            if held:
+                yield whole()
+            held = [(b.slice(cut), opens[cut:])]
+        else:
+            held.append((b, opens))
+    if held:
+        yield whole()
 
 
-def _pick(taken: Column, gold: Column, two_tier: bool) -> Column:
-    def score(p: Column, j: Column) -> Column:
-        overlap = F.least(p["e"], gold["e"]) - F.greatest(p["s"], gold["s"])
-        same = p["lab"].eqNullSafe(gold["lab"])
-        tier = F.when(F.array_contains(taken, j), 0).when(same & (p["s"] == gold["s"]) & (p["e"] == gold["e"]), 3).when(overlap <= 0, 0).when(same, 2).otherwise(int(two_tier))
-        return F.struct(tier.cast("int").alias("tier"), overlap.cast("int").alias("overlap"), (-j).cast("int").alias("back"))
-
-    none = F.struct(F.lit(0).alias("tier"), F.lit(0).alias("overlap"), F.lit(1).alias("back")).cast(_PICK)
-    return F.coalesce(F.array_max(F.transform(F.col("ps"), score)), none)
-
-
-def _folded(islands: DataFrame, two_tier: bool) -> DataFrame:
-    state = F.struct(F.array().cast("array<int>").alias("taken"), F.array().cast(f"array<{_PICK}>").alias("picks"))
+def outcomes_of(spans: DataFrame, schema: str, decide: Callable[[Block], Decided]) -> DataFrame:
+    """What decide says of the islands of sorted spans, as rows of outcomes."""
+    names = ["doc_id", "match_type", "subtype", *(f"{side}_{x}" for side in ("gold", "pred") for x in ("s", "e", "lab"))]
 
-    def step(acc: Column, g: Column) -> Column:
-        pick = _pick(acc["taken"], g, two_tier)
-        return F.transform(F.array(pick), lambda p: F.struct(F.when(p["tier"] > 0, F.array_append(acc["taken"], -p["back"])).otherwise(acc["taken"]).alias("taken"), F.array_append(acc["picks"], p).alias("picks")))[0]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = [pa.array([x[i] for x in NAMES]) for i in range(2)]
+        for block in blocks(batches):
+            kind, g, p = decide(block)
+            for at in range(0, len(kind), 10_000):
+                k, own, other = (x[at : at + 10_000] for x in (kind, g, p))
+                sides = [block.rows.column(x).take(pa.array(side, pa.int64(), mask=side < 0)) for side in (own, other) for x in ("s", "e", "lab")]
+                doc = block.rows.column("doc_id").take(pa.array(np.where(own < 0, other, own)))
+                yield pa.RecordBatch.from_arrays([doc, *(w.take(pa.array(k)) for w in words), *sides], names=names)
 
-    done = islands.withColumn("_done", F.aggregate("gs", state, step)).withColumns({"picks": F.col("_done.picks"), "taken": F.col("_done.taken")})
+    return spans.mapInArrow(run, schema)
 
-    def outcome(g: Column, pick: Column) -> Column:
-        choose = lambda n: F.element_at(F.array(*(F.lit(KINDS[t][n]) for t in range(4))), pick["tier"] + 1)
-        return F.struct(choose(0).alias("match_type"), choose(1).alias("subtype"), g.alias("g"), F.when(pick["tier"] > 0, F.get("ps", -pick["back"])).alias("p"))
 
-    spare = F.filter(F.transform("ps", lambda p, j: F.struct(F.lit("S").alias("match_type"), F.lit("spurious").alias("subtype"), F.when(F.lit(False), p).alias("g"), p.alias("p"), j.alias("j"))), lambda x: ~F.array_contains("taken", x["j"]))
-    rows = F.concat(F.zip_with("gs", "picks", outcome), F.transform(spare, lambda x: F.struct(x["match_type"].alias("match_type"), x["subtype"].alias("subtype"), x["g"].alias("g"), x["p"].alias("p"))))
-    out = done.select("doc_id", F.explode(rows).alias("_x"))
-    sides = [F.col(f"_x.{a}.{x}").alias(f"{b}_{x}") for a, b in (("g", "gold"), ("p", "pred")) for x in ("s", "e", "lab")]
-    return out.select("doc_id", "_x.match_type", "_x.subtype", *sides)
+def in_order(gold: DataFrame, pred: DataFrame, stretch: int | None = None) -> tuple[DataFrame, str]:
+    """The spans that hold something (doc_id, s, e, lab, _gold), each island's together and in order, and the schema of outcomes."""
+    both = gold.select("doc_id", "s", "e", "lab", F.lit(True).alias("_gold")).unionByName(pred.select("doc_id", "s", "e", "lab", F.lit(False).alias("_gold")))
+    kind = {f.name: f.dataType.simpleString() for f in both.schema}
+    sides = ", ".join(f"{side}_{x} {kind[x]}" for side in ("gold", "pred") for x in ("s", "e", "lab"))
+    rows, keys = both.where("doc_id is not null and s < e"), ["doc_id"]
+    if stretch is not None:
+        rows, keys = with_islands(rows, stretch=stretch), ["doc_id", "island"]
+    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "s", "e", "lab", "_gold").select(*both.columns)
+    return ordered, f"doc_id {kind['doc_id']}, match_type string, subtype string, {sides}"
+
+
+def _first_of_each(g: np.ndarray) -> np.ndarray:
+    return np.concatenate([[True], g[1:] != g[:-1]])[: len(g)]
+
+
+def _in_rounds(block: Block, g: np.ndarray, p: np.ndarray, place: np.ndarray, again: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs by place, gold span and preference: the numbers of those that are taken; which predictions are, and which pairs took one that was (only where again)."""
+    taken, chosen, twice = np.zeros(len(block.s), bool), [], []
+    bounds = np.searchsorted(place, np.arange(int(place[-1]) + 2)) if len(place) else [0]
+    for low, high in zip(bounds, bounds[1:], strict=False):
+        at = np.arange(low, high)
+        at = at[again[at] | ~taken[p[at]]]
+        at = at[_first_of_each(g[at])]
+        twice.append(at[taken[p[at]]])
+        taken[p[at]] = True
+        chosen.append(at)
+    none = np.empty(0, np.int64)
+    return np.concatenate([none, *chosen]), taken, np.concatenate([none, *twice])
+
+
+def _decided(block: Block, g: np.ndarray, kinds: np.ndarray, p: np.ndarray, taken: np.ndarray, among: np.ndarray) -> Decided:
+    """Outcomes of the rows among: chosen pairs, gold spans without one, and predictions that aren't taken."""
+    missed = among & block.gold
+    missed[g] = False
+    missed, free = np.flatnonzero(missed), np.flatnonzero(among & ~block.gold & ~taken)
+    lacks = lambda x: np.full(len(x), -1, np.int64)
+    return np.concatenate([kinds, np.zeros(len(missed), np.int64), np.full(len(free), SPURIOUS)]), np.concatenate([g, missed, lacks(free)]), np.concatenate([p, lacks(missed), free])
+
+
+def _of_rows(found: Iterator[Row]) -> Decided:
+    number = {x: i for i, x in enumerate(NAMES)}
+    rows = [(number[kind, subtype], g["row"] if g else -1, p["row"] if p else -1) for kind, subtype, g, p in found]
+    return tuple(np.array(rows, np.int64).reshape(-1, 3).T)
+
+
+def joined(parts: list[Decided]) -> Decided:
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def decided(block: Block, two_tier: bool = True, folded: int = FOLDED) -> Decided:
+    """The greedy alignment of a block's islands."""
+    short = np.diff(np.append(block.begins, len(block.s))) <= folded
+    among, every = short[block.island], np.ones(len(block.s), bool)
+    g, p, place = block.pairs(among)
+    same = block.lab[g] == block.lab[p]
+    tier = np.where(same & (block.s[g] == block.s[p]) & (block.e[g] == block.e[p]), 3, np.where(same, 2, int(two_tier)))
+    g, p, place, tier = (x[tier > 0] for x in (g, p, place, tier))
+    order = np.lexsort((p, np.maximum(block.s[g], block.s[p]) - np.minimum(block.e[g], block.e[p]), -tier, g, place))
+    g, p, place, tier = (x[order] for x in (g, p, place, tier))
+    chosen, taken, _ = _in_rounds(block, g, p, place, np.zeros(len(g), bool))
+    parts = [_decided(block, g[chosen], tier[chosen], p[chosen], taken, among)]
+    return joined(parts + [_of_rows(greedy(gs, ps, two_tier)) for gs, ps in block.of_islands(np.flatnonzero(~short), every)])
+
+
+def _legacy_block(block: Block, folded: int = FOLDED) -> Decided:
+    """Of equal spans of one side the first is looked at, and the others are left out."""
+    equal = lambda x: np.concatenate([[False], x[1:] == x[:-1]])
+    single = ~(equal(block.island) & equal(block.s) & equal(block.e) & equal(block.lab) & equal(block.gold))
+    short = np.diff(np.append(block.begins, len(block.s))) <= folded
+    among = short[block.island] & single
+    g, p, place = block.pairs(among)
+    order = np.lexsort((p, g, place))
+    g, p, place = (x[order] for x in (g, p, place))
+    same = block.lab[g] == block.lab[p]
+    exact = same & (block.s[g] == block.s[p]) & (block.e[g] == block.e[p])
+    chosen, taken, twice = _in_rounds(block, g, p, place, exact)
+    parts = [_decided(block, g[chosen], np.where(exact, 3, np.where(same, 2, 1))[chosen], p[chosen], taken, among)]
+    parts.append((np.full(len(twice), AGAIN), np.full(len(twice), -1, np.int64), p[twice]))
+    return joined(parts + [_of_rows(legacy(gs, ps)) for gs, ps in block.of_islands(np.flatnonzero(~short), single)])
 
 
 class Free:
@@ -115,7 +274,7 @@ def legacy(gs: list[Span], ps: list[Span]) -> Iterator[Row]:
             yield "N", "missed", g, None
             continue
         if taken[hit[2]]:
-            yield "X", "again", None, None
+            yield "X", "again", None, ps[hit[2]]
         taken[hit[2]] = free.taken[hit[2]] = True
         yield hit[0], hit[1], g, ps[hit[2]]
     for j, p in enumerate(ps):
@@ -123,41 +282,7 @@ def legacy(gs: list[Span], ps: list[Span]) -> Iterator[Row]:
             yield "S", "spurious", None, p
 
 
-def by_island(islands: DataFrame, schema: str, rows_of: Callable[[list[Span], list[Span]], Iterator[Row]]) -> DataFrame:
-    """rows_of over the sorted spans (gs, ps) of each island, as outcomes."""
-    names = ["doc_id", "match_type", "subtype", *(f"{side}_{x}" for side in ("gold", "pred") for x in ("s", "e", "lab"))]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            types = [b.schema.field(0).type, pa.string(), pa.string(), *(b.schema.field(1).type.value_type.field(x).type for _ in range(2) for x in ("s", "e", "lab"))]
-            pack = lambda out: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)  # noqa: B023, E731
-            out: list[list] = []
-            for i in range(b.num_rows):  # an island at a time, however long
-                doc_id, gs, ps = (c[i].as_py() for c in b.columns)
-                for kind, subtype, g, p in rows_of(gs, ps):
-                    out.append([doc_id, kind, subtype, *((x[k] if x else None) for x in (g, p) for k in ("s", "e", "lab"))])
-                    if len(out) == 10_000:
-                        yield pack(out)
-                        out = []
-            if out:
-                yield pack(out)
-
-    return islands.select("doc_id", "gs", "ps").mapInArrow(run, schema)
-
-
-def islands_of(gold: DataFrame, pred: DataFrame, stretch: int | None = None) -> tuple[DataFrame, str]:
-    """doc_id, gs and ps of each overlap island, sorted, and the schema of outcomes."""
-    both = gold.select("doc_id", "s", "e", "lab", F.lit(True).alias("_gold")).unionByName(pred.select("doc_id", "s", "e", "lab", F.lit(False).alias("_gold")))
-    span = F.struct("s", "e", "lab")
-    islands = with_islands(both.where("doc_id is not null and s < e"), stretch=stretch).groupBy("doc_id", "island").agg(
-        F.sort_array(F.collect_list(F.when(F.col("_gold"), span))).alias("gs"), F.sort_array(F.collect_list(F.when(~F.col("_gold"), span))).alias("ps")
-    )
-    kind = {f.name: f.dataType.simpleString() for f in both.schema}
-    sides = ", ".join(f"{side}_{x} {kind[x]}" for side in ("gold", "pred") for x in ("s", "e", "lab"))
-    return islands, f"doc_id {kind['doc_id']}, match_type string, subtype string, {sides}"
-
-
-def _hollow(gold: DataFrame, pred: DataFrame) -> DataFrame:
+def hollow(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """Outcomes of spans that hold nothing."""
     hollow, null = "doc_id is not null and coalesce(s >= e, true)", F.lit(None)
     own = lambda side: [F.col(x).alias(f"{side}_{x}") for x in ("s", "e", "lab")]
@@ -168,17 +293,27 @@ def _hollow(gold: DataFrame, pred: DataFrame) -> DataFrame:
 
 def align(gold: DataFrame, pred: DataFrame, *, two_tier: bool = True, folded: int = FOLDED, stretch: int | None = None) -> DataFrame:
     """Outcomes: doc_id, match_type (M, C, S, N), subtype, gold_s, gold_e, gold_lab, pred_s, pred_e, pred_lab; stretch as in with_islands."""
-    islands, schema = islands_of(gold, pred, stretch)
-    short = F.size("gs") + F.size("ps") <= folded
-    long = by_island(islands.where(~short), schema, lambda gs, ps: greedy(gs, ps, two_tier))
-    return _folded(islands.where(short), two_tier).unionByName(long).unionByName(_hollow(gold, pred))
+    spans, schema = in_order(gold, pred, stretch)
+    return outcomes_of(spans, schema, lambda block: decided(block, two_tier, folded)).unionByName(hollow(gold, pred))
+
+
+def _legacy_outcomes(gold: DataFrame, pred: DataFrame) -> DataFrame:
+    """Outcomes of the older scorer, with a row X for each time that a prediction was taken again."""
+    spans, schema = in_order(gold, pred)
+    return outcomes_of(spans, schema, _legacy_block)
 
 
 def align_legacy(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """Outcomes of the older scorer, on distinct spans (doc_id, s, e, lab)."""
-    islands, schema = islands_of(gold.select("doc_id", "s", "e", "lab").distinct(), pred.select("doc_id", "s", "e", "lab").distinct())
     # A document's predictions less its matches count as spurious: one that was taken twice makes up for a free one.
     order = Window.partitionBy("doc_id", "match_type").orderBy("pred_s", "pred_e", "pred_lab")
     again = F.count_if(F.col("match_type") == "X").over(Window.partitionBy("doc_id"))
-    found = by_island(islands, schema, legacy).withColumns({"_again": again, "_place": F.row_number().over(order)})
+    found = _legacy_outcomes(gold, pred).withColumns({"_again": again, "_place": F.row_number().over(order)})
     return found.where("match_type <> 'X' and (match_type <> 'S' or _place > _again)").drop("_again", "_place")
+
+
+def legacy_counts(gold: DataFrame, pred: DataFrame) -> DataFrame:
+    """doc_id, match_type, n: how many outcomes of each kind align_legacy has for a document."""
+    kinds = F.col("match_type")
+    found = _legacy_outcomes(gold, pred).groupBy("doc_id").agg(*(F.count_if(kinds == x).alias(x) for x in "MCNSX"))
+    return found.withColumn("S", F.greatest(F.col("S") - F.col("X"), F.lit(0))).drop("X").unpivot("doc_id", list("MCNS"), "match_type", "n").where("n > 0")

@@ -14,10 +14,11 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .alignment import Row, by_island, islands_of
+from .alignment import SPURIOUS, WRONG, Block, Decided, Row, _of_rows, in_order, joined, outcomes_of
 from .spans import Span
 
 LAYERED = 2000
@@ -37,7 +38,7 @@ class Near:
         """Predictions of another label that overlap g, the best first."""
         ps, low, high = self.ps, bisect_right(self.reach, g["s"]), bisect_left(self.starts, g["e"])
         near = [j for j in range(low, high) if g["s"] < ps[j]["e"] and None not in (g["lab"], ps[j]["lab"]) and ps[j]["lab"] != g["lab"]]
-        return sorted(near, key=lambda j: (-overlap_ratio(g, ps[j]), ps[j]["s"], ps[j]["e"], ps[j]["lab"], j))
+        return sorted(near, key=lambda j: (-overlap_ratio(g, ps[j]), j))
 
 
 def largest_matching(edges: list[list[int]]) -> dict[int, int]:
@@ -120,13 +121,33 @@ def _rows(gs: list[Span], ps: list[Span]) -> Iterator[Row]:
             yield "N", "missed", g, None
 
 
+def _matched_block(block: Block) -> Decided:
+    golds, preds, without = block.counts(block.gold), block.counts(~block.gold), block.unlabelled()
+    # Islands of one side have no pairs; of one span on either side there is one pair, or none.
+    single = (golds <= 1) & (preds <= 1)
+    g, p, _ = block.pairs(single[block.island])
+    differ = (block.lab[g] != block.lab[p]) & ~without[g] & ~without[p]
+    g, p = g[differ], p[differ]
+    left = (single | (golds == 0) | (preds == 0))[block.island]
+    left[g] = left[p] = False
+    missed, spurious = np.flatnonzero(left & block.gold), np.flatnonzero(left & ~block.gold)
+    none = lambda x: np.full(len(x), -1, np.int64)
+    parts = [(np.full(len(g), WRONG), g, p), (np.zeros(len(missed), np.int64), missed, none(missed)), (np.full(len(spurious), SPURIOUS), none(spurious), spurious)]
+    for gs, ps in block.of_islands(np.flatnonzero(~single & (golds > 0) & (preds > 0)), np.ones(len(block.s), bool)):
+        for x in (*gs, *ps):
+            if without[x["row"]]:
+                x["lab"] = None
+        parts.append(_of_rows(_rows(gs, ps)))
+    return joined(parts)
+
+
 def corrected(outcomes: DataFrame) -> DataFrame:
     """outcomes in which each pair of a missed and a spurious span is one row C (wrong_label)."""
     side = lambda name, kind: outcomes.where(F.col("match_type") == kind).select("doc_id", *(F.col(f"{name}_{x}").alias(x) for x in ("s", "e", "lab")))
     missed, spurious = side("gold", "N"), side("pred", "S")
-    islands, schema = islands_of(missed, spurious)
+    spans, schema = in_order(missed, spurious)
     hollow = outcomes.where("(match_type = 'N' and coalesce(gold_s >= gold_e, true)) or (match_type = 'S' and coalesce(pred_s >= pred_e, true))")
-    return outcomes.where("match_type in ('M', 'C')").unionByName(by_island(islands, schema, _rows)).unionByName(hollow)
+    return outcomes.where("match_type in ('M', 'C')").unionByName(outcomes_of(spans, schema, _matched_block)).unionByName(hollow)
 
 
 def wrong_labels(outcomes: DataFrame) -> DataFrame:

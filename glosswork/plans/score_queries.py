@@ -198,7 +198,7 @@ def outcome_correct(spark, sf_dir):
     select doc_id, match_type, count(*) n from o group by all union all select doc_id, 'S', n from spare where n > 0""")
 def span_score_scorer(spark, sf_dir):
     """The older scorer's outcomes by document."""
-    return alignment.align_legacy(gold(spark, sf_dir), pred(spark, sf_dir)).groupBy("doc_id", "match_type").agg(count_n())
+    return alignment.legacy_counts(gold(spark, sf_dir), pred(spark, sf_dir))
 
 
 _CAT = "case {0} when 2 then 1 when 3 then 2 when 4 then 3 else {0} end"
