@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from hashlib import md5
 from math import exp, factorial
 from operator import add
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import adapted, exact_only, f1, ratio, strict
 from ..functions.text import single_spaced
-from .alignment import align
+from .alignment import NAMES, Block, blocks, decided, hollow, in_order
 
 
 def counts() -> list[Column]:
@@ -84,17 +88,52 @@ def term_frequencies(outcomes: DataFrame, pairs: DataFrame, texts: DataFrame) ->
     return wrong.select(term.alias("term")).where("term <> ''").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _in_version(block: Block, codes: np.ndarray) -> Block:
+    """The block's spans under other labels, less those of a negative one, in order and with islands anew."""
+    rows = np.flatnonzero(codes >= 0)
+    rows = rows[np.lexsort((block.gold[rows], codes[rows], block.e[rows], block.s[rows], block.island[rows]))]
+    s, e, island = block.s[rows], block.e[rows], block.island[rows]
+    low = int(s.min()) if len(rows) else 0
+    width = int(e.max()) - low + 1 if len(rows) else 1
+    before = np.concatenate([[-1], np.maximum.accumulate(island * width + e - low)])[: len(rows)]
+    columns = {"s": s, "e": e, "lab": codes[rows], "_gold": block.gold[rows]}
+    return Block(pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], names=list(columns)), island * width + s - low >= before)
+
+
 def by_version(gold: DataFrame, pred: DataFrame, taxonomy: DataFrame) -> DataFrame:
     """Counts and scores by version and category, and in total (TOTAL), of spans whose labels a taxonomy (version, lab, category) maps in several ways.
 
-    All versions are aligned at once: a span is there for each version that maps its
-    label, and its version is a part of its document's key. An outcome counts for
-    each category that its gold or predicted span has. Labels that a version lacks are left out of it.
+    Spans are shuffled once, and each island is aligned under all versions, one after the other; a
+    task gives its counts by version and category. An outcome counts for each category that its gold
+    or predicted span has. Labels that a version lacks are left out of it. The taxonomy has as many
+    rows as there are labels in each version.
     """
+    spans, _ = in_order(gold, pred)
+    categories, labels = F.array_append(F.array_distinct(F.array_compact(F.array("gold_lab", "pred_lab"))), F.lit("TOTAL")), spans.schema["lab"].dataType
+    known = taxonomy.where("lab is not null").select("version", F.col("lab").cast(labels).alias("lab"), "category").collect()
+    versions = {v: {r["lab"]: r["category"] for r in known if r["version"] == v} for v in sorted({r["version"] for r in known})}
+    kinds = np.array(["MCSN".find(x) for x, _ in NAMES])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = {v: sorted(set(of.values()), key=lambda c: (c is not None, c or "")) for v, of in versions.items()}
+        sums = {v: np.zeros((len(names[v]) + 1, 4), np.int64) for v in versions}
+        for block in blocks(batches):
+            for v, of in versions.items():
+                place = np.array([*(names[v].index(c) for c in of.values()), -1])
+                known_as = pc.index_in(block.rows.column("lab"), pa.array(list(of), block.rows.column("lab").type))
+                view = _in_version(block, place[pc.fill_null(known_as, len(of)).to_numpy()])
+                kind, g, p = decided(view)
+                code = view.rows.column("lab").to_numpy()
+                one, other = (np.where(x < 0, -1, code[x]) if len(code) else x for x in (g, p))
+                for lab, counted in ((one, one >= 0), (other, (other >= 0) & (other != one)), (np.full(len(kind), len(names[v])), np.ones(len(kind), bool))):
+                    sums[v] += np.bincount(lab[counted] * 4 + kinds[kind[counted]], minlength=sums[v].size).reshape(-1, 4)
+        rows = [(v, c, *n) for v in versions for c, n in zip([*names[v], "TOTAL"], sums[v].tolist(), strict=True) if c is not None and any(n)]
+        yield pa.RecordBatch.from_pylist([dict(zip(("version", "category", *"mcsn"), r, strict=True)) for r in rows], schema=pa.schema([("version", pa.string()), ("category", pa.string()), *((x, pa.int64()) for x in "mcsn")]))
+
     mapped = lambda df: df.join(F.broadcast(taxonomy), "lab").select(F.struct("version", "doc_id").alias("doc_id"), "s", "e", F.col("category").alias("lab"))
-    found = align(mapped(gold), mapped(pred)).withColumn("version", F.col("doc_id.version"))
-    categories = F.array_append(F.array_distinct(F.array_compact(F.array("gold_lab", "pred_lab"))), F.lit("TOTAL"))
-    return scored(found.withColumn("category", F.explode(categories)).groupBy("version", "category").agg(*counts()))
+    empty = hollow(mapped(gold), mapped(pred)).withColumn("version", F.col("doc_id.version")).withColumn("category", F.explode(categories)).groupBy("version", "category").agg(*counts())
+    found = spans.mapInArrow(run, "version string, category string, m long, c long, s long, n long").unionByName(empty)
+    return scored(found.groupBy("version", "category").agg(*(F.sum(x).alias(x) for x in "mcsn")))
 
 
 def total_counts(outcomes: DataFrame) -> DataFrame:
