@@ -422,11 +422,12 @@ def report_iaa(spark, sf_dir):
 
 @query("""with l as (select user_id log, max("value" / 2) v, count(*) points, max(event_id) last from events where "value" is not null group by user_id) select log % 3 model, count(*) runs, sum(points)::bigint points, round(avg(v), 6) best_mean, round(coalesce(stddev_samp(v), 0), 6) best_sd, max(last) last_step from l group by 1""")
 def report_encoder_ablation(spark, sf_dir):
-    """Training logs are written, scanned, and the best score of each summed up by model."""
+    """Training logs are written, scanned, and the best score of each summed up by model. Lines carry their log, so that files don't grow in number with the logs."""
     line = F.concat_ws("   ", F.expr("event_id div 7"), "event_id", "value", F.lit("0.5"), "user_id", F.lit("20"), F.lit("30"), F.col("value") / 2)
     out = new_folder(spark, "logs")
-    rows = table(spark, sf_dir, "events").select(F.coalesce(F.when(F.col("value").isNotNull(), line), F.lit("done")).alias("value"), F.col("user_id").alias("log"))
-    rows.repartition("log").write.partitionBy("log").text(out)
-    points = files.train_log(spark.read.text(out), "log")
+    rows = table(spark, sf_dir, "events").select(F.coalesce(F.when(F.col("value").isNotNull(), line), F.lit("done")).alias("value"), F.coalesce(F.col("user_id").cast("string"), F.lit("")).alias("log"))
+    rows.select(F.concat("log", F.lit("\t"), "value").alias("value")).write.text(out)
+    parts = F.split("value", "\t", 2)
+    points = files.train_log(spark.read.text(out).select(F.get(parts, F.lit(1)).alias("value"), F.get(parts, F.lit(0)).try_cast("long").alias("log")), "log")
     best = points.groupBy("log").agg(F.max("score").alias("best"), count_n(), F.max("step").alias("last")).withColumn("model", F.col("log") % 3)
     return best.groupBy("model").agg(F.count(F.lit(1)).alias("runs"), F.sum("n").alias("points"), F.round(F.avg("best"), 6).alias("best_mean"), F.round(F.coalesce(F.stddev_samp("best"), F.lit(0.0)), 6).alias("best_sd"), F.max("last").alias("last_step"))
