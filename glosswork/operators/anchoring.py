@@ -25,6 +25,9 @@ from .spans import clean_span
 _PARSED = pa.schema([("doc_id", pa.int64()), ("clean", pa.string()), ("spans", pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("lab", pa.string())]))), ("warnings", pa.list_(pa.string()))])
 _PARSED_DDL = "doc_id long, clean string, spans array<struct<s:int,e:int,lab:string>>, warnings array<string>"
 
+#: Texts that a task parses, and gives on, at once.
+TEXTS = 100
+
 
 def tag_pattern(tags: Iterable[str]) -> re.Pattern:
     names = "|".join(sorted(map(re.escape, tags), key=len, reverse=True))
@@ -63,7 +66,7 @@ def parsed_tags(outputs: DataFrame, labels: dict[str, str]) -> DataFrame:
     pattern = tag_pattern(labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(at, TEXTS) for whole in batches for at in range(0, whole.num_rows, TEXTS)):
             found = [parse_tags(x or "", pattern, labels) for x in b.column(1).to_pylist()]
             columns = [b.column(0), *([f[i] for f in found] for i in range(3))]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, _PARSED, strict=True)], schema=_PARSED)
