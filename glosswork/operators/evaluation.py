@@ -144,9 +144,11 @@ def total_counts(outcomes: DataFrame) -> DataFrame:
 def by_category_directed(outcomes: DataFrame, digits: int = 6) -> DataFrame:
     """Counts by category (gold_cat, pred_cat) in which an outcome of two categories is wrong_gold in the one and wrong_pred in the other, with precision and recall of their own."""
     gold, pred, kind = F.col("gold_cat"), F.col("pred_cat"), F.col("match_type")
-    own = outcomes.where((kind != "C") | (gold == pred)).select(F.coalesce(gold, pred).alias("category"), F.when(kind == "M", "exact").when(kind == "C", "boundary").when(kind == "S", "spurious").otherwise("missed").alias("as"))
-    wrong = outcomes.where((kind == "C") & (gold != pred))
-    rows = own.unionByName(wrong.select(gold.alias("category"), F.lit("wrong_gold").alias("as"))).unionByName(wrong.select(pred.alias("category"), F.lit("wrong_pred").alias("as")))
+    one = lambda category, what: F.struct(category.alias("category"), what.alias("as"))
+    own = one(F.coalesce(gold, pred), F.when(kind == "M", "exact").when(kind == "C", "boundary").when(kind == "S", "spurious").otherwise("missed"))
+    # Each outcome is looked at once.
+    each = F.when((kind != "C") | (gold == pred), F.array(own)).when((kind == "C") & (gold != pred), F.array(one(gold, F.lit("wrong_gold")), one(pred, F.lit("wrong_pred"))))
+    rows = outcomes.select(F.explode(each).alias("_x")).select("_x.category", "_x.as")
     names = ("exact", "boundary", "wrong_gold", "wrong_pred", "spurious", "missed")
     found = rows.groupBy("category").agg(*(F.count_if(F.col("as") == x).alias(x) for x in names))
     e, b, wg, wp, s, n = (F.col(x) for x in names)

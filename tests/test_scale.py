@@ -23,3 +23,11 @@ def test_texts_leave_a_task_in_small_batches(spark, monkeypatch, most):
     texts = spark.range(20, numPartitions=1).select(F.col("id").alias("doc_id"), F.concat(F.lit("a <AE>b</AE> "), F.col("id").cast("string")).alias("text"))
     seen = parsed(texts, {"AE": "ADVERSE"}).mapInArrow(lambda batches: batches, "doc_id long, clean string, spans array<struct<s:int,e:int,lab:string>>, warnings array<string>").collect()
     assert [(r["doc_id"], r["clean"]) for r in sorted(seen)] == [(i, f"a b {i}") for i in range(20)]
+
+
+@pytest.mark.parametrize("name", ["per_category_metrics_directional", "report_case_series", "pool_by_seed_complete"])
+def test_spans_are_aligned_once(spark, sf_dir, monkeypatch, name):
+    made = []
+    monkeypatch.setattr(score_queries, "stored", lambda df, _: made.append(df) or df.localCheckpoint())
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") + len(made) == 1
