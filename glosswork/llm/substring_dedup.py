@@ -14,7 +14,9 @@ found and none that is unique (1e13 windows hold two of equal hashes with a
 chance of 1 in 1e12). Windows already
 seen twice within a task's batch are settled there: one row tells of them, so a
 passage that a third of all rows hold is a row a batch. The streams are sorted
-and compared to their neighbours; no group is ever held.
+by anchor and hash and compared to their neighbours; no group is ever held. A
+stretch of windows that share an anchor thus comes out as one range, and a
+task tells of a document once, however many of its windows it has seen.
 
 Defined results: null, empty and short texts lose nothing; equal rows repeat
 each other; rows are told apart by their id and text; null ids are rows like
@@ -43,7 +45,7 @@ _KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed"
 _KEPT_DDL = "doc_id long, n_words long, n_removed long, text string"
 #: A window to be compared, one of a document settled in its batch, a settled window that others are to know of.
 OPEN, SETTLED, KNOWN = 0, 1, 2
-#: Hits that a reducer gathers by document before it sends them on.
+#: Hits that a reducer gathers before it joins them to ranges, and twice the ranges that it holds before it sends them on.
 FLUSH_HITS = 200_000
 #: Bytes of the texts whose windows are worked out together, and words whose hashes a task keeps.
 SLICE, WORDS = 1_500_000, 100_000
@@ -132,29 +134,41 @@ def _candidates(shared, size: int, width: int):
 def _opened(segments: DataFrame) -> DataFrame:
     """A row for each window of a segment; settled segments stay as they are."""
     hashes = F.when(F.col("kind") == SETTLED, F.array(F.struct(F.col("anchor").alias("hashes"), F.lit(0).cast("long").alias("more")))).otherwise(F.arrays_zip("hashes", "more"))
-    rows = segments.select("kind", "doc_id", "text_hash", "start", "count", F.posexplode(hashes).alias("_at", "_w"))
-    return rows.select(F.col("_w.hashes").alias("hash"), F.col("_w.more").alias("more"), "kind", "doc_id", "text_hash", (F.col("start") + F.col("_at")).cast("int").alias("start"), "count")
+    rows = segments.select("anchor", "kind", "doc_id", "text_hash", "start", "count", F.posexplode(hashes).alias("_at", "_w"))
+    return rows.select("anchor", F.col("_w.hashes").alias("hash"), F.col("_w.more").alias("more"), "kind", "doc_id", "text_hash", (F.col("start") + F.col("_at")).cast("int").alias("start"), "count")
+
+
+Ranges = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _ranges(parts: list[Ranges]) -> Ranges:
+    """Hits and ranges (no_id, doc, text, start, count) in order, those in a row of one document as one; settled ranges may lie over them."""
+    no_id, doc, text, start, count = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((start, text, doc, no_id))
+    no_id, doc, text, start, count = no_id[order], doc[order], text[order], start[order], count[order]
+    new = _starts(no_id, doc, text)
+    cuts = np.flatnonzero(new | np.concatenate([[True], start[1:] > start[:-1] + count[:-1]]))
+    return no_id[cuts], doc[cuts], text[cuts], start[cuts], np.maximum.reduceat(start + count, cuts) - start[cuts]
+
+
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Whether each row but the first differs from the one before in a key; true for the first."""
+    return np.concatenate([[True], np.logical_or.reduce([k[1:] != k[:-1] for k in keys])])
 
 
 def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From windows sorted by hash: those that have an equal one, by document."""
-    held: list[tuple[np.ndarray, ...]] = []
+    """From windows sorted so that equal ones are neighbours: those that have an equal one, as ranges by document."""
+    held: list[Ranges] = []
     n_held = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
         nonlocal held, n_held
         if held:
-            no_id, doc, text, start, count = (np.concatenate(x) for x in zip(*held))
-            order = np.lexsort((start, text, doc, no_id))
-            no_id, doc, text, start, count = no_id[order], doc[order], text[order], start[order], count[order]
-            same = (np.diff(doc) == 0) & (np.diff(text) == 0) & (np.diff(no_id.astype(int)) == 0)
-            # Windows in a row become one range; settled ranges may lie over them.
-            cuts = np.concatenate([[0], np.nonzero(~same | (start[1:] > start[:-1] + count[:-1]))[0] + 1])
-            ends = np.maximum.reduceat(start + count, cuts)
-            first = np.concatenate([[0], np.nonzero(~same[cuts[1:] - 1])[0] + 1]) if len(cuts) > 1 else np.array([0])
-            begins, offsets = start[cuts], pa.array(np.append(first, len(cuts)), pa.int32())
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (begins, ends - begins)]
-            yield record(_HITS, pa.array(doc[cuts[first]], mask=no_id[cuts[first]]), pa.array(text[cuts[first]]), *lists)
+            no_id, doc, text, start, count = _ranges(held)
+            first = np.flatnonzero(_starts(no_id, doc, text))
+            offsets = pa.array(np.append(first, len(doc)), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (start, count)]
+            yield record(_HITS, pa.array(doc[first], mask=no_id[first]), pa.array(text[first]), *lists)
         held, n_held = [], 0
 
     carry = None  # the last hash of the batch before, its rows that wait, and whether it is known
@@ -190,7 +204,10 @@ def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held.append((ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(), taken.column(4).to_numpy(), taken.column(5).to_numpy().astype(np.int64), taken.column(6).to_numpy().astype(np.int64)))
             n_held += len(rows)
             if n_held >= FLUSH_HITS:
-                yield from flush()
+                held = [_ranges(held)]
+                n_held = len(held[0][0])
+                if 2 * n_held >= FLUSH_HITS:
+                    yield from flush()
     yield from flush()
 
 
@@ -238,7 +255,7 @@ def remove_repeats(df: DataFrame, *, text: str = "text", size: int = 35, max_wid
 
     bits = spark.sparkContext.broadcast(sketch(rows, keys, rows=2, width=width))
     segments = rows.mapInArrow(_candidates(bits, size, width), _SEGMENTS_DDL).repartition("anchor")
-    windows = _opened(segments).sortWithinPartitions("hash", "more")
+    windows = _opened(segments).sortWithinPartitions("anchor", "hash", "more").drop("anchor")
     # A settled range counts its windows; an open one is a window.
     hits = windows.mapInArrow(_matched, _HITS_DDL).groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("starts")).alias("_starts"), F.flatten(F.collect_list("counts")).alias("_counts"))
     hits = hits.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})

@@ -2,7 +2,9 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 
+from glosswork.llm import substring_dedup
 from glosswork.llm.hashing import WordHashes, rolled, sliding
 from glosswork.llm.sketches import repeated, sketch
 from glosswork.llm.substring_dedup import remove_repeats
@@ -78,3 +80,15 @@ def test_repeats_across_small_batches(spark):
 
 def test_repeats_of_no_rows(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_task_tells_of_a_document_once(monkeypatch):
+    """Windows come stretch by stretch, more of them than are gathered at a time; a document's are one row with one range."""
+    monkeypatch.setattr(substring_dedup, "FLUSH_HITS", 1000)
+    rng, rows = random.Random(3), []
+    for stretch in range(60):
+        for h, i in sorted((rng.randrange(2**62), i) for i in range(10)):
+            rows += [(h, 1, substring_dedup.OPEN, d, 7, 10 * stretch + i, 1) for d in range(20)]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(substring_dedup._WINDOWS.names, r)) for r in rows[k : k + 450]], substring_dedup._WINDOWS) for k in range(0, len(rows), 450)]
+    out = [r for b in substring_dedup._matched(iter(batches)) for r in b.to_pylist()]
+    assert out == [{"doc_id": d, "text_hash": 7, "starts": [0], "counts": [600]} for d in range(20)]
