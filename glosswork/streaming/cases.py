@@ -7,8 +7,9 @@ back, what was updated is as before. A post and a commit empty the history.
 
 State is kept by case: the set and history up to a time, and the edits since, which
 come in any order. At each batch the edits are put in order and replayed, so one that is late
-by less than the watermark counts where it belongs, and one that comes again counts once. When the
-watermark has passed, a timer folds edits into the set. A case is one key: its
+by less than the watermark counts where it belongs, and one that comes again (the same time and
+number) counts once. What is before a case's last post has no say in what follows, so it is dropped
+from each Arrow batch before rows are shuffled, and from the state. When the watermark has passed, a timer folds edits into the set. A case is one key: its
 edits are applied one after another, whatever the machines.
 
 Defined results: null annotations count as none; an undo of an unknown edit, a removal
@@ -21,6 +22,9 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -91,6 +95,31 @@ def replayed(case: Case, edits: Iterable[dict]) -> Case:
     return case
 
 
+def since_post(edits: list[dict]) -> list[dict]:
+    """Of a case's edits, those from its last post on."""
+    last = max(((e["at"], e["event"]) for e in edits if e["action"] == "post"), default=None)
+    return edits if last is None else [e for e in edits if (e["at"], e["event"]) >= last]
+
+
+def without_replaced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edits of each batch without those that come before a post of their case."""
+    for b in batches:
+        case = pc.dictionary_encode(b.column("case")).indices.to_numpy()
+        at, event = (b.column(x).to_numpy() for x in ("at", "event"))
+        order = np.lexsort((event, at, case))
+        case = case[order]
+        posts = np.flatnonzero(pc.fill_null(pc.equal(b.column("action"), "post"), False).to_numpy(zero_copy_only=False)[order])
+        last = np.full(case.max(initial=-1) + 1, -1)
+        last[case[posts]] = posts  # ascending: a case's last one stays
+        keep = np.zeros(len(case), bool)
+        keep[order] = np.arange(len(case)) >= last[case]
+        yield b.filter(pa.array(keep))
+
+
+#: Edits of a case that are read before those that a post has replaced are dropped.
+HELD = 10_000
+
+
 class CaseProcessor(StatefulProcessor):
     """The set of each case after each batch that brought it edits."""
 
@@ -104,13 +133,17 @@ class CaseProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         (upto, case), since = self._held()
-        known = {(e["at"], e["event"]) for e in since}
+        known, full = {(e["at"], e["event"]) for e in since}, len(since) + HELD
         for r in rows:
             edit = {"at": r["at"], "event": r["event"], "action": r["action"], "undoes": r["undoes"], "annotations": [a and {f: a[f] for f in FIELDS} for a in r["annotations"] or []]}
             # What the timer has folded is over: a late edit would be out of turn.
             if r["at"] > upto and (edit["at"], edit["event"]) not in known:
                 known.add((edit["at"], edit["event"]))
                 since.append(edit)
+                if len(since) >= full:
+                    since = since_post(since)
+                    known, full = {(e["at"], e["event"]) for e in since}, 2 * len(since) + HELD
+        since = since_post(since)
         if since:
             self.since.update((json.dumps(since),))
             self.handle.registerTimer(max(e["at"] for e in since) // 1000 + 1)
@@ -141,8 +174,9 @@ def edited_cases(edits: DataFrame, folder: str, *, late: str = "1 hour", trigger
     """
     spark = edits.sparkSession
     kind = edits.schema["case"].dataType.simpleString()
-    rows = edits.withWatermark("ts", late).where("`case` is not null and ts is not null and event is not null")
+    rows = edits.where("`case` is not null and ts is not null and event is not null")
     rows = rows.select("case", "ts", F.unix_micros("ts").alias("at"), F.col("event").cast("long").alias("event"), "action", F.col("annotations").cast(f"array<{ANNOTATION}>").alias("annotations"), F.col("undoes").cast("long").alias("undoes"))
+    rows = rows.mapInArrow(without_replaced, rows.schema).withWatermark("ts", late)
     held = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
     try:

@@ -2,9 +2,11 @@
 
 import datetime
 import itertools
+import json
 import random
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from glosswork.sources.keyed_table import KeyedTable, newest_of
@@ -102,3 +104,43 @@ def test_the_newest_rows_of_several_batches(spark, tmp_path):
         got = jobs.merge_latest(stream, ["k"], "n", f"{tmp_path}/out", good="good", buckets=5)
     assert sorted((x.k, x.n) for x in got.collect()) == sorted((k, max(n for j, n, g in rows if j == k and g)) for k in {j for j, _, g in rows if g})
     assert got.agg(F.count_distinct("k")).first()[0] == got.count()
+
+
+class _State:
+    def __init__(self):
+        self.value = None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+class _Handle:
+    def __init__(self):
+        self.states = {}
+
+    def getValueState(self, name, schema):
+        return self.states.setdefault(name, _State())
+
+    def registerTimer(self, at):
+        pass
+
+
+def test_state_and_shuffle_hold_no_edits_before_a_post():
+    rng, names = random.Random(4), ("post", "add", "update", "remove", "undo", "commit", "dispute", None)
+    one = lambda: dict(zip(cases.FIELDS, (rng.choice("AB"), rng.randrange(3), 5, "t", "n", rng.random() < 0.5), strict=True))
+    rows = [{"case": rng.choice("xyz"), "at": rng.randrange(900), "event": i, "action": rng.choices(names, (1, 4, 2, 2, 2, 1, 1, 1))[0], "annotations": [one()], "undoes": i - rng.randrange(4)} for i in range(3000)]
+    kept = [r for b in cases.without_replaced(iter(pa.Table.from_pylist(rows).to_batches(max_chunksize=500))) for r in b.to_pylist()]
+    assert len(kept) < 600
+    for case in "xyz":
+        own = [r for r in rows if r["case"] == case]
+        expected = cases.replayed(cases.new_case(), own)["annotations"]
+        assert cases.replayed(cases.new_case(), [r for r in kept if r["case"] == case])["annotations"] == expected
+        processor, handle = cases.CaseProcessor(), _Handle()
+        processor.init(handle)
+        for k in range(0, len(own), 400):
+            out = list(processor.handleInputRows((case,), iter(own[k : k + 400]), None))
+        assert [a.asDict() for a in out[-1]["annotations"]] == expected and out[-1]["version"] == max(r["at"] for r in own)
+        assert len(json.loads(handle.states["since"].value[0])) < 100
