@@ -15,10 +15,11 @@ from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .alignment import SPURIOUS, WRONG, Block, Decided, Row, _of_rows, in_order, joined, outcomes_of
+from .alignment import NAMES, SPURIOUS, WRONG, Block, Decided, Row, _changes, _of_rows, blocks, decided, hollow, in_order, joined, outcomes_of
 from .spans import Span
 
 LAYERED = 2000
@@ -153,3 +154,53 @@ def corrected(outcomes: DataFrame) -> DataFrame:
 def wrong_labels(outcomes: DataFrame) -> DataFrame:
     """The pairs alone."""
     return corrected(outcomes).where("subtype = 'wrong_label'")
+
+
+#: Ways to align: by two tiers, by labels alone, by labels with wrong ones corrected.
+WAYS = ("tiers", "labels", "corrected")
+
+
+def _left(block: Block, rows: np.ndarray) -> Block:
+    """Some rows of a block, in order, with islands anew."""
+    s, e, island = block.s[rows], block.e[rows], block.island[rows]
+    low = int(s.min())
+    width = int(e.max()) - low + 1
+    before = np.concatenate([[-1], np.maximum.accumulate(island * width + e - low)])[: len(rows)]
+    return Block(block.rows.take(pa.array(rows)), island * width + s - low >= before)
+
+
+def counts_by_document(gold: DataFrame, pred: DataFrame, ways: tuple[str, ...] = WAYS) -> DataFrame:
+    """doc_id and, for each way, tiers_m, tiers_c, tiers_s, tiers_n and so on: how many outcomes of each kind it has.
+
+    Spans are shuffled and sorted once, and each block of islands is aligned in all ways where it
+    lies. A document of several blocks has a row for each; they are to be summed.
+    """
+    spans, _ = in_order(gold, pred)
+    kinds = np.array(["MCSN".find(x) for x, _ in NAMES])
+    names = [f"{way}_{x}" for way in ways for x in "mcsn"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches):
+            ids = block.rows.column("doc_id")
+            new = np.concatenate([[True], _changes(ids)])
+            doc, n = np.cumsum(new) - 1, int(new.sum())
+            sums, plain = {}, None
+            for way in ways:
+                if way == "tiers":
+                    kind, g, p = decided(block)
+                else:
+                    kind, g, p = plain = plain or decided(block, two_tier=False)
+                found = np.bincount(doc[np.where(g < 0, p, g)] * 4 + kinds[kind], minlength=4 * n).reshape(-1, 4)
+                if way == "corrected":
+                    rows = np.sort(np.concatenate([g[kind == 0], p[kind == SPURIOUS]]))
+                    if len(rows):
+                        again, one, _ = _matched_block(_left(block, rows))
+                        wrong = np.bincount(doc[rows[one[again == WRONG]]], minlength=n)
+                        found += wrong[:, None] * np.array([0, 1, -1, -1])
+                sums[way] = found
+            columns = np.concatenate([sums[way] for way in ways], axis=1).T
+            yield pa.RecordBatch.from_arrays([ids.filter(pa.array(new)), *(pa.array(c) for c in columns)], names=["doc_id", *names])
+
+    kind = F.col("match_type")
+    empty = hollow(gold, pred).groupBy("doc_id").agg(*(F.count_if(kind == name[-1].upper()).alias(name) for name in names))
+    return spans.mapInArrow(run, ", ".join([f"doc_id {spans.schema['doc_id'].dataType.simpleString()}", *(f"{x} long" for x in names)])).unionByName(empty)

@@ -370,10 +370,11 @@ def report_directional(spark, sf_dir):
 @query()
 def report_model_performance(spark, sf_dir):
     """Strict and adapted scores of three ways to align the same spans."""
-    ways = {"two tiers": outcomes(spark, sf_dir), "labels": label_outcomes(spark, sf_dir)}
-    ways["labels, corrected"] = matching.corrected(ways["labels"])
-    rows = [evaluation.scored(evaluation.total_counts(found)).withColumn("model", F.lit(name)) for name, found in ways.items()]
-    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+    found = matching.counts_by_document(gold(spark, sf_dir), pred(spark, sf_dir))
+    names = dict(zip(("two tiers", "labels", "labels, corrected"), matching.WAYS, strict=True))
+    sums = found.agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in found.columns[1:]))
+    each = sums.select(F.inline(F.array(*(F.struct(*(F.col(f"{way}_{x}").alias(x) for x in "mcsn"), F.lit(name).alias("model")) for name, way in names.items()))))
+    return evaluation.scored(each).select("m", "c", "s", "n", *(f"{kind}_{x}" for kind in ("strict", "adapted") for x in ("p", "r", "f1")), "model")
 
 
 @query()

@@ -107,3 +107,17 @@ def test_wrong_labels_of_a_long_chain(spark):
     began = time.time()
     counts = {x.match_type: x["count"] for x in matching.corrected(df).groupBy("match_type").count().collect()}
     assert counts == {"C": 50_000} and time.time() - began < 60
+
+
+def test_counts_in_three_ways_at_once_are_those_of_the_outcomes(spark):
+    r = random.Random(8)
+    side = lambda: [(r.choice([None, *range(40)]), s := r.randrange(60), s + r.choice([0, 1, 4, 12, 30]), r.choice(["a", "b", "c", None])) for _ in range(700)]
+    gold, pred = (spark.createDataFrame(side(), SPANS) for _ in range(2))
+    labels = alignment.align(gold, pred, two_tier=False)
+    each = {"tiers": alignment.align(gold, pred), "labels": labels, "corrected": matching.corrected(labels)}
+    found = matching.counts_by_document(gold, pred)
+    got = {x["doc_id"]: x.asDict() for x in found.groupBy("doc_id").agg(*(F.sum(c).alias(c) for c in found.columns[1:])).collect()}
+    for way, outcomes in each.items():
+        expected = {x["doc_id"]: [x[k] for k in "MCSN"] for x in outcomes.groupBy("doc_id").agg(*(F.count_if(F.col("match_type") == k).alias(k) for k in "MCSN")).collect()}
+        assert {d: [x[f"{way}_{k}"] for k in "mcsn"] for d, x in got.items()} == expected
+    assert None not in got and sum(x["corrected_c"] - x["labels_c"] for x in got.values()) > 20
