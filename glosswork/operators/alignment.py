@@ -25,6 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, IntegralType, ShortType, StringType
 
 from .spans import FOLDED, Span, with_islands
 
@@ -32,7 +33,7 @@ KINDS = {3: ("M", "exact"), 2: ("C", "boundary"), 1: ("C", "class_confusion"), 0
 Row = tuple[str, str, Span | None, Span | None]
 #: Outcomes by number: the tiers first.
 NAMES = [*(KINDS[t] for t in range(4)), ("S", "spurious"), ("C", "wrong_label"), ("X", "again")]
-SPURIOUS, WRONG, AGAIN = 4, 5, 6
+CONFUSED, SPURIOUS, WRONG, AGAIN = 1, 4, 5, 6
 
 
 def _changes(values: pa.Array) -> np.ndarray:
@@ -88,26 +89,65 @@ class Block:
 Decided = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
+def _opened(new: np.ndarray, s: np.ndarray, e: np.ndarray, reach: int) -> tuple[np.ndarray, int]:
+    """Of sorted spans, where new marks the first of each document, those that open an island, and how far the last document's reach; reach: how far those before did."""
+    doc = np.cumsum(new) - new[0]
+    low = min(int(s.min()), int(e.min()) if new[0] else reach)
+    width = max(int(e.max()), low if new[0] else reach) - low + 1
+    ends = np.maximum.accumulate(np.concatenate([[-1 if new[0] else reach - low], doc * width + e - low]))
+    return doc * width + s - low >= ends[:-1], int(ends[-1] - doc[-1] * width + low)
+
+
+def _put_in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows that come by _at as blocks takes them. Documents of one hash lie among each other until a place that no span of theirs crosses."""
+    held: list[pa.RecordBatch] = []
+    last, reach = None, 0
+
+    def ordered() -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        doc, lab = rows.column("doc_id").dictionary_encode().indices.to_numpy().astype(np.int64), pc.rank(rows.column("lab"), null_placement="at_start", tiebreaker="dense").to_numpy().astype(np.int64)
+        own = lab * 2 + rows.column("_gold").to_numpy(zero_copy_only=False)
+        order = np.lexsort((own, rows.column("e").to_numpy(), doc << 32 | rows.column("_at").to_numpy() & 0xFFFFFFFF))
+        return rows.drop_columns(["_at"]).take(pa.array(order))
+
+    for b in batches:
+        if "_at" not in b.schema.names:
+            yield b
+            continue
+        if not b.num_rows:
+            continue
+        hashes = b.column("_at").to_numpy() >> 32
+        new = np.concatenate([[last is None or hashes[0] != last], hashes[1:] != hashes[:-1]])
+        apart, reach = _opened(new, *(b.column(x).to_numpy().astype(np.int64) for x in ("s", "e")), reach)
+        last = hashes[-1]
+        cut = int(np.flatnonzero(apart)[-1]) if apart.any() else -1
+        if cut > 0:
+            held.append(b.slice(0, cut))
+        if cut >= 0:
+            if held:
+                yield ordered()
+            held = []
+        held.append(b.slice(max(cut, 0)))
+    if held:
+        yield ordered()
+
+
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
-    """Whole islands of rows that come by document, start and end; the last island is held until the next begins."""
+    """Whole islands of rows that come by document, start and end, or by _at; the last island is held until the next begins."""
     held: list[tuple[pa.RecordBatch, np.ndarray]] = []
     last, reach = None, 0
 
     def whole() -> Block:
         return Block(pa.Table.from_batches([b for b, _ in held]).combine_chunks().to_batches()[0], np.concatenate([o for _, o in held]))
 
-    for b in batches:
+    for b in _put_in_order(batches):
         if not b.num_rows:
             continue
         s, e = (b.column(x).to_numpy().astype(np.int64) for x in ("s", "e"))
         docs = b.column("doc_id")
         new = np.concatenate([[True] if last is None else _changes(pa.concat_arrays([last, docs[:1]])), _changes(docs)])
-        doc = np.cumsum(new) - new[0]
-        low = min(int(s.min()), int(e.min()) if new[0] else reach)
-        width = max(int(e.max()), low if new[0] else reach) - low + 1
-        ends = np.maximum.accumulate(np.concatenate([[-1 if new[0] else reach - low], doc * width + e - low]))
-        opens = doc * width + s - low >= ends[:-1]
-        last, reach = docs[-1:], int(ends[-1] - doc[-1] * width + low)
+        opens, reach = _opened(new, s, e, reach)
+        last = docs[-1:]
         if opens.any():
             cut = int(np.flatnonzero(opens)[-1])
             if cut:
@@ -121,32 +161,66 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
         yield whole()
 
 
+def shown(block: Block, kind: np.ndarray, g: np.ndarray, p: np.ndarray, *more: np.ndarray) -> pa.RecordBatch:
+    """Outcomes as rows, with a column n if there is more. An outcome of neither span has no document."""
+    names = ["doc_id", "match_type", "subtype", *(f"{side}_{x}" for side in ("gold", "pred") for x in ("s", "e", "lab")), "n"]
+    words, at = [pa.array([x[i] for x in NAMES]) for i in range(2)], lambda x: pa.array(x, pa.int64(), mask=x < 0)
+    sides = [block.rows.column(x).take(at(side)) for side in (g, p) for x in ("s", "e", "lab")]
+    columns = [block.rows.column("doc_id").take(at(np.where(g < 0, p, g))), *(w.take(pa.array(kind)) for w in words), *sides, *map(pa.array, more)]
+    return pa.RecordBatch.from_arrays(columns, names=names[: len(columns)])
+
+
 def outcomes_of(spans: DataFrame, schema: str, decide: Callable[[Block], Decided]) -> DataFrame:
     """What decide says of the islands of sorted spans, as rows of outcomes."""
-    names = ["doc_id", "match_type", "subtype", *(f"{side}_{x}" for side in ("gold", "pred") for x in ("s", "e", "lab"))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = [pa.array([x[i] for x in NAMES]) for i in range(2)]
         for block in blocks(batches):
-            kind, g, p = decide(block)
-            for at in range(0, len(kind), 10_000):
-                k, own, other = (x[at : at + 10_000] for x in (kind, g, p))
-                sides = [block.rows.column(x).take(pa.array(side, pa.int64(), mask=side < 0)) for side in (own, other) for x in ("s", "e", "lab")]
-                doc = block.rows.column("doc_id").take(pa.array(np.where(own < 0, other, own)))
-                yield pa.RecordBatch.from_arrays([doc, *(w.take(pa.array(k)) for w in words), *sides], names=names)
+            found = decide(block)
+            for at in range(0, len(found[0]), 10_000):
+                yield shown(block, *(x[at : at + 10_000] for x in found))
 
     return spans.mapInArrow(run, schema)
 
 
+def only(decide: Callable[[Block], Decided], *kinds: int) -> Callable[[Block], Decided]:
+    """decide, of whose outcomes some kinds alone are shown."""
+
+    def run(block: Block) -> Decided:
+        found = decide(block)
+        shown = np.isin(found[0], kinds)
+        return tuple(x[shown] for x in found)
+
+    return run
+
+
+def documents_of(block: Block) -> tuple[pa.Array, np.ndarray]:
+    """The ids of a block's documents, in order, and which of them each row is of."""
+    ids = block.rows.column("doc_id")
+    new = np.concatenate([[True], _changes(ids)])
+    return ids.filter(pa.array(new)), np.cumsum(new) - 1
+
+
+def tally(found: Decided, doc: np.ndarray, kinds: str) -> np.ndarray:
+    """How many outcomes of each of the kinds, among which all are, each document has."""
+    kind, g, p = found
+    at = np.array([kinds.find(x) for x, _ in NAMES])[kind]
+    return np.bincount(doc[np.where(g < 0, p, g)] * len(kinds) + at, minlength=len(kinds) * (int(doc[-1]) + 1)).reshape(-1, len(kinds))
+
+
 def in_order(gold: DataFrame, pred: DataFrame, stretch: int | None = None) -> tuple[DataFrame, str]:
-    """The spans that hold something (doc_id, s, e, lab, _gold), each island's together and in order, and the schema of outcomes."""
+    """The spans that hold something (doc_id, s, e, lab, _gold) as blocks takes them, and the schema of outcomes; with _at, the documents' hash and the start, where these fit in one number."""
     both = gold.select("doc_id", "s", "e", "lab", F.lit(True).alias("_gold")).unionByName(pred.select("doc_id", "s", "e", "lab", F.lit(False).alias("_gold")))
     kind = {f.name: f.dataType.simpleString() for f in both.schema}
     sides = ", ".join(f"{side}_{x} {kind[x]}" for side in ("gold", "pred") for x in ("s", "e", "lab"))
     rows, keys = both.where("doc_id is not null and s < e"), ["doc_id"]
     if stretch is not None:
         rows, keys = with_islands(rows, stretch=stretch), ["doc_id", "island"]
-    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "s", "e", "lab", "_gold").select(*both.columns)
+    if stretch is None and isinstance(both.schema["s"].dataType, (ByteType, ShortType, IntegerType)) and all(isinstance(both.schema[x].dataType, (IntegralType, StringType)) for x in ("doc_id", "lab")):
+        # One number, which Spark sorts by its bits; the rest is put in order batch by batch.
+        at = F.shiftleft(F.shiftright(F.xxhash64("doc_id"), 32), 32).bitwiseOR(F.col("s").cast("long") + (1 << 31))
+        ordered = rows.repartition(*keys).withColumn("_at", at).sortWithinPartitions("_at")
+    else:
+        ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "s", "e", "lab", "_gold").select(*both.columns)
     return ordered, f"doc_id {kind['doc_id']}, match_type string, subtype string, {sides}"
 
 
@@ -297,6 +371,12 @@ def align(gold: DataFrame, pred: DataFrame, *, two_tier: bool = True, folded: in
     return outcomes_of(spans, schema, lambda block: decided(block, two_tier, folded)).unionByName(hollow(gold, pred))
 
 
+def align_only(gold: DataFrame, pred: DataFrame, *kinds: int) -> DataFrame:
+    """The outcomes of align that are of some kinds of pairs; others never leave a task."""
+    spans, schema = in_order(gold, pred)
+    return outcomes_of(spans, schema, only(decided, *kinds))
+
+
 def _legacy_outcomes(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """Outcomes of the older scorer, with a row X for each time that a prediction was taken again."""
     spans, schema = in_order(gold, pred)
@@ -314,6 +394,15 @@ def align_legacy(gold: DataFrame, pred: DataFrame) -> DataFrame:
 
 def legacy_counts(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """doc_id, match_type, n: how many outcomes of each kind align_legacy has for a document."""
-    kinds = F.col("match_type")
-    found = _legacy_outcomes(gold, pred).groupBy("doc_id").agg(*(F.count_if(kinds == x).alias(x) for x in "MCNSX"))
+    kinds = "MCNSX"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches):
+            ids, doc = documents_of(block)
+            yield pa.RecordBatch.from_arrays([ids, *map(pa.array, tally(_legacy_block(block), doc, kinds).T)], names=["doc_id", *kinds])
+
+    # A document of several blocks has a row for each.
+    spans, _ = in_order(gold, pred)
+    each = spans.mapInArrow(run, ", ".join([f"doc_id {spans.schema['doc_id'].dataType.simpleString()}", *(f"{x} long" for x in kinds)]))
+    found = each.groupBy("doc_id").agg(*(F.sum(x).alias(x) for x in kinds))
     return found.withColumn("S", F.greatest(F.col("S") - F.col("X"), F.lit(0))).drop("X").unpivot("doc_id", list("MCNS"), "match_type", "n").where("n > 0")

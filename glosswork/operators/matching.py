@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .alignment import NAMES, SPURIOUS, WRONG, Block, Decided, Row, _changes, _of_rows, blocks, decided, hollow, in_order, joined, outcomes_of
+from .alignment import SPURIOUS, WRONG, Block, Decided, Row, _of_rows, blocks, decided, documents_of, hollow, in_order, joined, only, outcomes_of, shown, tally
 from .spans import Span
 
 LAYERED = 2000
@@ -169,6 +169,50 @@ def _left(block: Block, rows: np.ndarray) -> Block:
     return Block(block.rows.take(pa.array(rows)), island * width + s - low >= before)
 
 
+def _corrected(block: Block, found: Decided) -> Decided:
+    """Outcomes of a block, wrong labels corrected where they lie."""
+    kind, g, p = found
+    free = (kind == 0) | (kind == SPURIOUS)
+    rows = np.sort(np.where(g < 0, p, g)[free])
+    if not len(rows):
+        return found
+    again, one, other = _matched_block(_left(block, rows))
+    of_block = lambda x: np.where(x < 0, -1, rows[x])
+    return joined([(kind[~free], g[~free], p[~free]), (again, of_block(one), of_block(other))])
+
+
+def corrected_block(block: Block) -> Decided:
+    """A block's spans aligned by labels alone, wrong ones corrected."""
+    return _corrected(block, decided(block, two_tier=False))
+
+
+def align_corrected(gold: DataFrame, pred: DataFrame) -> DataFrame:
+    """What corrected says of the outcomes by labels alone; spans are shuffled and sorted once for both."""
+    spans, schema = in_order(gold, pred)
+    return outcomes_of(spans, schema, corrected_block).unionByName(hollow(gold, pred))
+
+
+def align_corrected_summed(gold: DataFrame, pred: DataFrame) -> DataFrame:
+    """The outcomes of align_corrected with n: the pairs of wrong labels as they are, the others as rows without spans that say how many they stand for."""
+    spans, schema = in_order(gold, pred)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches):
+            kind, g, p = corrected_block(block)
+            yield shown(block, *(x[kind == WRONG] for x in (kind, g, p)), np.ones((kind == WRONG).sum(), np.int64))
+            n = np.bincount(kind[kind != WRONG], minlength=WRONG)
+            some = np.flatnonzero(n)
+            yield shown(block, some, np.full(len(some), -1), np.full(len(some), -1), n[some])
+
+    return spans.mapInArrow(run, f"{schema}, n long").unionByName(hollow(gold, pred).withColumn("n", F.lit(1).cast("long")))
+
+
+def align_wrong_labels(gold: DataFrame, pred: DataFrame) -> DataFrame:
+    """The pairs of align_corrected alone."""
+    spans, schema = in_order(gold, pred)
+    return outcomes_of(spans, schema, only(corrected_block, WRONG))
+
+
 def counts_by_document(gold: DataFrame, pred: DataFrame, ways: tuple[str, ...] = WAYS) -> DataFrame:
     """doc_id and, for each way, tiers_m, tiers_c, tiers_s, tiers_n and so on: how many outcomes of each kind it has.
 
@@ -176,30 +220,20 @@ def counts_by_document(gold: DataFrame, pred: DataFrame, ways: tuple[str, ...] =
     lies. A document of several blocks has a row for each; they are to be summed.
     """
     spans, _ = in_order(gold, pred)
-    kinds = np.array(["MCSN".find(x) for x, _ in NAMES])
     names = [f"{way}_{x}" for way in ways for x in "mcsn"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
-            ids = block.rows.column("doc_id")
-            new = np.concatenate([[True], _changes(ids)])
-            doc, n = np.cumsum(new) - 1, int(new.sum())
+            ids, doc = documents_of(block)
             sums, plain = {}, None
             for way in ways:
                 if way == "tiers":
-                    kind, g, p = decided(block)
+                    found = decided(block)
                 else:
-                    kind, g, p = plain = plain or decided(block, two_tier=False)
-                found = np.bincount(doc[np.where(g < 0, p, g)] * 4 + kinds[kind], minlength=4 * n).reshape(-1, 4)
-                if way == "corrected":
-                    rows = np.sort(np.concatenate([g[kind == 0], p[kind == SPURIOUS]]))
-                    if len(rows):
-                        again, one, _ = _matched_block(_left(block, rows))
-                        wrong = np.bincount(doc[rows[one[again == WRONG]]], minlength=n)
-                        found += wrong[:, None] * np.array([0, 1, -1, -1])
-                sums[way] = found
+                    found = plain = plain or decided(block, two_tier=False)
+                sums[way] = tally(_corrected(block, found) if way == "corrected" else found, doc, "MCSN")
             columns = np.concatenate([sums[way] for way in ways], axis=1).T
-            yield pa.RecordBatch.from_arrays([ids.filter(pa.array(new)), *(pa.array(c) for c in columns)], names=["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(c) for c in columns)], names=["doc_id", *names])
 
     kind = F.col("match_type")
     empty = hollow(gold, pred).groupBy("doc_id").agg(*(F.count_if(kind == name[-1].upper()).alias(name) for name in names))

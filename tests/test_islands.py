@@ -121,3 +121,46 @@ def test_counts_in_three_ways_at_once_are_those_of_the_outcomes(spark):
         expected = {x["doc_id"]: [x[k] for k in "MCSN"] for x in outcomes.groupBy("doc_id").agg(*(F.count_if(F.col("match_type") == k).alias(k) for k in "MCSN")).collect()}
         assert {d: [x[f"{way}_{k}"] for k in "mcsn"] for d, x in got.items()} == expected
     assert None not in got and sum(x["corrected_c"] - x["labels_c"] for x in got.values()) > 20
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_the_older_scorer_counts_where_spans_lie(spark):
+    r = random.Random(9)
+    side = lambda: [(r.choice([None, *range(40)]), s := r.randrange(60), s + r.choice([0, 1, 4, 12, 30]), r.choice(["a", "b", None])) for _ in range(700)]
+    gold, pred = (spark.createDataFrame(side(), SPANS).distinct() for _ in range(2))
+    found = alignment.legacy_counts(gold, pred)
+    each = alignment.align_legacy(gold, pred).groupBy("doc_id", "match_type").count()
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, each.collect()))
+    assert "gold_s" not in plan_of(found)  # outcomes of single spans never leave a task
+
+
+def test_documents_of_one_hash_are_told_apart():
+    import pyarrow as pa
+
+    r = random.Random(10)
+    rows = [(r.choice("xyz"), s := r.randrange(400), s + r.randint(1, 9), r.choice([None, 1, 2]), r.random() < 0.5) for _ in range(500)]
+    names = ["doc_id", "s", "e", "lab", "_gold"]
+    types = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
+
+    def said(rows, size, **more):
+        batch = pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)), *map(pa.array, more.values())], names=[*names, *more])
+        found = []
+        for block in alignment.blocks(batch.slice(at, size) for at in range(0, len(rows), size)):
+            rank = lambda i: None if i < 0 else tuple(block.rows.column(c)[i].as_py() for c in names)  # noqa: B023, E731
+            found += [(int(k), rank(g), rank(p)) for k, g, p in zip(*alignment.decided(block), strict=True)]
+        return sorted(found, key=repr)
+
+    # x and y share a hash.
+    at = lambda x: ((x[0] == "z") << 32) | (x[1] + (1 << 31))
+    mixed = sorted(rows, key=at)
+    whole = said(sorted(rows, key=lambda x: (*x[:3], x[3] or 0, x[4])), 1000)
+    assert all(said(mixed, size, _at=[at(x) for x in mixed]) == whole for size in (1000, 64, 3))
+
+
+def test_spans_are_sorted_by_one_number(spark):
+    spans, _ = alignment.in_order(*(spark.createDataFrame([(1, 2, 3, "a")], SPANS) for _ in range(2)))
+    [sort] = [x for x in plan_of(spans).splitlines() if "Sort [" in x]
+    assert sort.count("ASC") == 1
