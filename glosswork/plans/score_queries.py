@@ -182,7 +182,7 @@ def dq_conservation(spark, sf_dir):
 @query()
 def wrong_label_matching(spark, sf_dir):
     """Tested against brute force: SQL has no augmenting paths."""
-    return matching.wrong_labels(label_outcomes(spark, sf_dir))
+    return matching.align_wrong_labels(gold(spark, sf_dir), pred(spark, sf_dir))
 
 
 @query()
@@ -358,7 +358,7 @@ def report_error_taxonomy(spark, sf_dir):
 @query()
 def report_directional(spark, sf_dir):
     """As one long table: gold spans that the outcomes have too few or too many of, by label; directional scores by category once wrong labels are corrected; the most frequent pairs of labels."""
-    after = stored(matching.corrected(label_outcomes(spark, sf_dir)), "corrected")
+    after = stored(matching.align_corrected(gold(spark, sf_dir), pred(spark, sf_dir)), "corrected")
     given = gold(spark, sf_dir)
     held = after.where("match_type <> 'S'").select(F.col("gold_lab").alias("lab"))
     wrong = after.where("subtype = 'wrong_label'").groupBy("gold_lab", "pred_lab").agg(count_n()).orderBy(F.desc("n"), "gold_lab", "pred_lab").limit(8)

@@ -83,3 +83,30 @@ def test_long_reports(spark, sf_dir, counted):
     by = lambda metric: sum(r.value for r in rows if (r.section, r.metric) == ("category", metric))
     m, c, s, n = total(fixed)
     assert (by("exact"), by("spurious"), by("missed")) == (m, s, n) and by("wrong_gold") == by("wrong_pred") and by("boundary") + by("wrong_gold") == c
+
+
+@pytest.fixture
+def kept(monkeypatch):
+    """The tables that a query writes on its way."""
+    from glosswork.plans import score_queries
+
+    found, plain = [], score_queries.stored
+
+    def stored(df, name):
+        found.append(plain(df, name))
+        return found[-1]
+
+    monkeypatch.setattr(score_queries, "stored", stored)
+    return found
+
+
+def test_wrong_labels_are_matched_where_spans_were_aligned(spark, sf_dir, kept):
+    from glosswork.operators import alignment, matching
+    from glosswork.plans.fixtures import gold, pred
+
+    found = QUERIES["wrong_label_matching"](spark, sf_dir)
+    assert not kept
+    outcomes = alignment.align(gold(spark, sf_dir), pred(spark, sf_dir), two_tier=False)
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, matching.wrong_labels(outcomes).collect()))
+    whole = matching.align_corrected(gold(spark, sf_dir), pred(spark, sf_dir))
+    assert sorted(map(repr, whole.collect())) == sorted(map(repr, matching.corrected(outcomes).collect()))
