@@ -348,10 +348,12 @@ def _pair_name():
 @query()
 def report_error_taxonomy(spark, sf_dir):
     """As one long table: outcomes before and after wrong labels are corrected, the most frequent pairs of labels of the corrected ones, and what their texts hold."""
-    before = label_outcomes(spark, sf_dir)
-    after = stored(matching.corrected(before), "corrected")
+    after = stored(matching.align_corrected_summed(gold(spark, sf_dir), pred(spark, sf_dir)), "corrected")
     wrong = after.where("subtype = 'wrong_label'").groupBy("gold_lab", "pred_lab").agg(count_n()).orderBy(F.desc("n"), "gold_lab", "pred_lab").limit(8)
-    parts = [_long(evaluation.total_counts(before), "raw", F.lit("all"), "mcsn"), _long(evaluation.total_counts(after), "corrected", F.lit("all"), "mcsn"), _long(wrong, "confusions", _pair_name(), ["n"]), _long(_terms(spark, sf_dir, after, "wrong_label"), "terms", F.col("term"), ["n"])]
+    counts = after.agg(*(F.coalesce(F.sum(F.when(F.col("match_type") == x.upper(), F.col("n"))), F.lit(0)).alias(x) for x in "mcsn"), F.count_if(F.col("subtype") == "wrong_label").alias("pairs"))
+    # A pair of wrong labels was a missed and a spurious span before.
+    raw = counts.select("m", *((F.col(x) + sign * F.col("pairs")).alias(x) for x, sign in (("c", -1), ("s", 1), ("n", 1))))
+    parts = [_long(raw, "raw", F.lit("all"), "mcsn"), _long(counts, "corrected", F.lit("all"), "mcsn"), _long(wrong, "confusions", _pair_name(), ["n"]), _long(_terms(spark, sf_dir, after, "wrong_label"), "terms", F.col("term"), ["n"])]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 

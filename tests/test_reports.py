@@ -110,3 +110,9 @@ def test_wrong_labels_are_matched_where_spans_were_aligned(spark, sf_dir, kept):
     assert sorted(map(repr, found.collect())) == sorted(map(repr, matching.wrong_labels(outcomes).collect()))
     whole = matching.align_corrected(gold(spark, sf_dir), pred(spark, sf_dir))
     assert sorted(map(repr, whole.collect())) == sorted(map(repr, matching.corrected(outcomes).collect()))
+
+
+def test_error_taxonomy_keeps_rows_of_wrong_labels_alone(spark, sf_dir, kept):
+    QUERIES["report_error_taxonomy"](spark, sf_dir)
+    [table] = kept
+    assert table.where("gold_s is not null and pred_s is not null and subtype <> 'wrong_label'").isEmpty()
