@@ -116,3 +116,9 @@ def test_error_taxonomy_keeps_rows_of_wrong_labels_alone(spark, sf_dir, kept):
     QUERIES["report_error_taxonomy"](spark, sf_dir)
     [table] = kept
     assert table.where("gold_s is not null and pred_s is not null and subtype <> 'wrong_label'").isEmpty()
+
+
+@pytest.mark.parametrize("name", ["report_seed_reproducibility"])
+def test_scores_are_summed_without_a_table_of_outcomes(spark, sf_dir, kept, name):
+    QUERIES[name](spark, sf_dir)
+    assert not kept
