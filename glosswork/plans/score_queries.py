@@ -392,8 +392,7 @@ def report_model_performance(spark, sf_dir):
 @query()
 def report_output_format(spark, sf_dir):
     """Scores with wrong labels corrected, by run."""
-    corrected = matching.corrected(label_outcomes(spark, sf_dir)).withColumn("run", F.col("doc_id") % 2)
-    return evaluation.pooled(corrected, ["run"])
+    return evaluation.scored(_counts_by(corrected_counts(spark, sf_dir), (F.col("doc_id") % 2).alias("run")))
 
 
 @query()

@@ -118,7 +118,7 @@ def test_error_taxonomy_keeps_rows_of_wrong_labels_alone(spark, sf_dir, kept):
     assert table.where("gold_s is not null and pred_s is not null and subtype <> 'wrong_label'").isEmpty()
 
 
-@pytest.mark.parametrize("name", ["report_seed_reproducibility"])
+@pytest.mark.parametrize("name", ["report_seed_reproducibility", "report_output_format"])
 def test_scores_are_summed_without_a_table_of_outcomes(spark, sf_dir, kept, name):
     QUERIES[name](spark, sf_dir)
     assert not kept
