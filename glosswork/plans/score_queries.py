@@ -166,7 +166,8 @@ _TERMS = r"""t as (select trim(regexp_replace(lower(substring(d.text, gold_s + 1
 @query(f"{_O}, c as (select gold_lab, pred_lab from outcomes where subtype = 'class_confusion' group by all order by count(*) desc, gold_lab, pred_lab limit 8), {_TERMS} select term, count(*) n from t where term <> '' group by 1")
 def term_frequencies(spark, sf_dir):
     """What the texts hold where gold spans were given a wrong label, of the most frequent pairs of labels."""
-    return _terms(spark, sf_dir, outcomes(spark, sf_dir))
+    confused = stored(alignment.align_only(gold(spark, sf_dir), pred(spark, sf_dir), alignment.CONFUSED), "confused")
+    return _terms(spark, sf_dir, confused)
 
 
 def _terms(spark, sf_dir, found, kind="class_confusion"):

@@ -122,3 +122,9 @@ def test_error_taxonomy_keeps_rows_of_wrong_labels_alone(spark, sf_dir, kept):
 def test_scores_are_summed_without_a_table_of_outcomes(spark, sf_dir, kept, name):
     QUERIES[name](spark, sf_dir)
     assert not kept
+
+
+def test_terms_are_taken_from_one_alignment(spark, sf_dir, kept):
+    QUERIES["term_frequencies"](spark, sf_dir)
+    [table] = kept
+    assert [x.subtype for x in table.select("subtype").distinct().collect()] == ["class_confusion"]
