@@ -76,7 +76,8 @@ def layer(note: Column) -> Column:
 def display_pick(annotations: DataFrame, order: str, *, show_rejected: bool = False) -> DataFrame:
     """Of the annotations of a span (doc_id, s, e) the human one, else a language model's, else the encoder's; the last in order on ties."""
     shown = annotations if show_rejected else annotations.where(~F.upper(F.coalesce("note", F.lit(""))).contains("REJECTED"))
-    shown = shown.withColumn("layer", layer(F.col("note")))
+    # Dealt by span first: else each task sorts all that it reads, to send on the first of each span.
+    shown = shown.withColumn("layer", layer(F.col("note"))).repartition("doc_id", "s", "e")
     rank = F.when(F.col("layer") == "Human", 1).when(F.col("layer") == "LLM", 2).otherwise(3)
     place = F.row_number().over(Window.partitionBy("doc_id", "s", "e").orderBy(rank, F.desc(order)))
     return shown.withColumn("_place", place).where("_place = 1").drop("_place")

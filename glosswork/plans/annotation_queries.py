@@ -341,7 +341,8 @@ def first_n_docs(spark, sf_dir):
 @query(f"""{_A}, x as (select *, {_LAYER} layer from placed where reason = 'valid'), r as (select *, row_number() over (partition by doc_id, s, e order by case layer when 'Human' then 1 when 'LLM' then 2 else 3 end, ln * 100000 + pk desc, note, label) k from x) select doc_id, s, e, layer, count(*) n from r where k = 1 group by all""")
 def display_layer_pick(spark, sf_dir):
     found = L.with_offsets(annotations(spark, sf_dir), length()).where("reason = 'valid'").withColumn("ord", F.col("ln") * 100000 + F.col("pk"))
-    return L.display_pick(found, "ord").groupBy("doc_id", "s", "e", "layer").agg(count_n())
+    # One annotation is picked of each span.
+    return L.display_pick(found, "ord").select("doc_id", "s", "e", "layer", F.lit(1).cast("long").alias("n"))
 
 
 @query("""with e as (select user_id, event_id, value, event_type <> 'error' ok from events) select user_id, max(event_id) event_id, arg_max(value, event_id) "value" from e where ok group by user_id""")

@@ -128,3 +128,13 @@ def test_terms_are_taken_from_one_alignment(spark, sf_dir, kept):
     QUERIES["term_frequencies"](spark, sf_dir)
     [table] = kept
     assert [x.subtype for x in table.select("subtype").distinct().collect()] == ["class_confusion"]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_layers_are_picked_without_sorting_what_is_read(spark, sf_dir):
+    plan = plan_of(QUERIES["display_layer_pick"](spark, sf_dir))
+    exchange = next(i for i, x in enumerate(plan.splitlines()) if "Exchange hashpartitioning(doc_id" in x)
+    assert not any("Sort [" in x or "Aggregate" in x for x in plan.splitlines()[exchange:]) and "HashAggregate" not in plan
