@@ -76,32 +76,40 @@ def sentence_examples(documents: DataFrame, spans: DataFrame, *, max_tokens: int
     outcome is blank; too long (more than max_tokens tokens); overlap (of its spans); unaligned (a
     span begins or ends within a word); negative (no spans); or example.
     """
-    st, met = _met(documents, spans)
-    own = met.where("contained").groupBy("doc_id", "sentence").agg(F.collect_list(F.struct(F.col("_s").alias("s"), F.col("_e").alias("e"), "lab")).alias("_all"))
-    crossing = met.where("not contained").groupBy("doc_id", "sentence").agg(F.count(F.lit(1)).alias("crossing"))
-    text = F.col("text")
+    return _examples(documents, spans, max_tokens).withColumn("crossing", F.size("_across")).select("doc_id", "sentence", "text", "spans", "outcome", F.col("crossing").cast("long").alias("crossing"))
+
+
+def _examples(documents: DataFrame, spans: DataFrame, max_tokens: int) -> DataFrame:
+    """sentence_examples with the spans across a sentence's bounds (_across: s, e, lab in the document)."""
+    st, met = _met(documents, spans.join(documents.select("doc_id"), "doc_id", "left_semi"))
+    own = F.collect_list(F.when(F.col("contained"), F.struct(F.col("_s").alias("s"), F.col("_e").alias("e"), "lab"))).alias("_all")
+    across = F.collect_list(F.when(~F.col("contained"), F.struct("s", "e", "lab"))).alias("_across")
+    found = met.groupBy("doc_id", "sentence").agg(own, across)
+    text, none = F.col("text"), lambda name: F.array().cast(found.schema[name].dataType)
 
     def inwards(x: Column) -> Column:
         low, high = clean_span(text, x["s"], x["e"])
         return F.struct(low.alias("s"), high.alias("e"), x["lab"].alias("lab"))
 
-    kept = F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce("_all", F.array().cast(own.schema["_all"].dataType)), inwards), lambda x: x["s"] < x["e"])))
-    rows = st.join(own, ["doc_id", "sentence"], "left").join(crossing, ["doc_id", "sentence"], "left").withColumn("spans", kept)
+    kept = F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce("_all", none("_all")), inwards), lambda x: x["s"] < x["e"])))
+    rows = st.join(found, ["doc_id", "sentence"], "left").withColumn("spans", kept)
     within = lambda at: F.substring(text, at, F.lit(2)).rlike(r"^[\p{L}\p{N}_]{2}\z")
     lapped = F.exists(F.transform("spans", lambda x, i: x["e"] > F.get("spans", i + 1)["s"]), lambda x: F.coalesce(x, F.lit(False)))
     cut = F.exists("spans", lambda x: ((x["s"] > 0) & within(x["s"])) | within(x["e"]))
     outcome = F.when(~text.rlike(rf"[^{SPACE}]"), "blank").when(n_tokens(text) > max_tokens, "too long").when(lapped, "overlap").when(cut, "unaligned").when(F.size("spans") > 0, "example").otherwise("negative")
-    return rows.select("doc_id", "sentence", "text", "spans", outcome.alias("outcome"), F.coalesce("crossing", F.lit(0)).alias("crossing"))
+    return rows.select("doc_id", "sentence", "text", "spans", outcome.alias("outcome"), F.coalesce("_across", none("_across")).alias("_across"))
 
 
 def example_counts(documents: DataFrame, spans: DataFrame, *, max_tokens: int = 512) -> DataFrame:
     """One row: sentences, how many have each outcome, the spans of examples, and the different spans across bounds of sentences that aren't blank or too long."""
-    found = sentence_examples(documents, spans, max_tokens=max_tokens).drop("text")
-    outcomes = {x.replace(" ", "_"): F.count_if(F.col("outcome") == x) for x in ("blank", "too long", "overlap", "unaligned", "example", "negative")}
-    sums = found.agg(F.count(F.lit(1)).alias("sentences"), *(c.alias(n) for n, c in outcomes.items()), F.coalesce(F.sum(F.when(F.col("outcome") == "example", F.size("spans"))), F.lit(0)).cast("long").alias("spans"))
-    seen = found.where("outcome not in ('blank', 'too long') and crossing > 0").select("doc_id", "sentence")
-    crossing = _met(documents, spans)[1].where("not contained").join(seen, ["doc_id", "sentence"], "left_semi").select("doc_id", "s", "e", "lab").distinct().agg(F.count(F.lit(1)).alias("crossing"))
-    return sums.crossJoin(F.broadcast(crossing))  # a row each
+    # A row for each span across a sentence's bounds; the first, or the only one without, stands for the sentence.
+    across = F.when(~F.col("outcome").isin("blank", "too long"), F.col("_across"))
+    found = _examples(documents, spans, max_tokens).select("doc_id", "outcome", F.size("spans").alias("_n"), F.posexplode_outer(across).alias("_at", "_x"))
+    first = F.coalesce(F.col("_at"), F.lit(0)) == 0
+    outcomes = {x.replace(" ", "_"): F.count_if(first & (F.col("outcome") == x)) for x in ("blank", "too long", "overlap", "unaligned", "example", "negative")}
+    n_spans = F.coalesce(F.sum(F.when(first & (F.col("outcome") == "example"), F.col("_n"))), F.lit(0)).cast("long")
+    crossing = F.count_distinct(F.when(F.col("_x").isNotNull(), F.struct("doc_id", "_x")))
+    return found.agg(F.count_if(first).alias("sentences"), *(c.alias(n) for n, c in outcomes.items()), n_spans.alias("spans"), crossing.alias("crossing"))
 
 
 def _larger_margins(spans: list[dict]) -> list[dict]:

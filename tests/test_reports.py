@@ -138,3 +138,9 @@ def test_layers_are_picked_without_sorting_what_is_read(spark, sf_dir):
     plan = plan_of(QUERIES["display_layer_pick"](spark, sf_dir))
     exchange = next(i for i, x in enumerate(plan.splitlines()) if "Exchange hashpartitioning(doc_id" in x)
     assert not any("Sort [" in x or "Aggregate" in x for x in plan.splitlines()[exchange:]) and "HashAggregate" not in plan
+
+
+def test_sentences_are_counted_in_one_pass(spark, sf_dir):
+    plan = QUERIES["sentence_example_counts"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    # Texts are cut for the sentences that spans meet, and for those that are judged; spans across bounds are set out once.
+    assert plan.count("Generate posexplode(") <= 3
