@@ -198,7 +198,7 @@ def wrong_label_matching(spark, sf_dir):
 
 @query()
 def outcome_correct(spark, sf_dir):
-    return evaluation.scored(evaluation.total_counts(matching.corrected(label_outcomes(spark, sf_dir))))
+    return evaluation.scored(_counts_by(corrected_counts(spark, sf_dir)))
 
 
 # Gold spans go one by one: each takes the first prediction that equals it, or overlaps it and is free.

@@ -87,7 +87,7 @@ def scan_run_problems(spark, sf_dir):
     again = F.when(is_run(5, 123) & (F.col("doc_id") % 20 >= 10), "fold_5_seed_123_raw").when(is_run(8, 789) & (F.col("match_type") == "N"), "notes").otherwise(name)
     named = found.withColumns({"run": again, "own_fold": F.when(is_run(6, 456), 0).otherwise(F.col("fold")), "own_seed": F.col("seed")}).drop("fold", "seed")
     out = new_folder(spark, "named")
-    named.repartition("run").write.partitionBy("run").parquet(out)
+    named.hint("rebalance", "run").write.partitionBy("run").parquet(out)
     seeds = F.array(*map(F.lit, (42, 123, 456, 789, 1011)))
     expected = spark.range(11).select(F.col("id").cast("int").alias("fold"), F.explode(seeds).alias("seed"))
     return files.named_runs(spark, out, expected)[1]

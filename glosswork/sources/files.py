@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -69,15 +67,19 @@ def named_runs(spark: SparkSession, path: str, expected: DataFrame) -> tuple[Dat
     rows = rows.withColumns({"fold": part(1), "seed": part(2)})
     # A row for each folder.
     folders = rows.groupBy("run", "fold", "seed").agg(F.count_if(~(F.col("own_fold").eqNullSafe(F.col("fold")) & F.col("own_seed").eqNullSafe(F.col("seed")))).alias("other"))
-    named = folders.where("fold is not null")
-    actual = named.groupBy("fold", "seed").agg(F.count(F.lit(1)).alias("folders"), F.sum("other").alias("other"))
-    keys, one = ["fold", "seed"], F.lit(1).cast("long").alias("n")
-    found = [
-        expected.join(actual, keys, "left_anti").select(F.lit("missing").alias("problem"), *keys, one), actual.join(expected, keys, "left_anti").select(F.lit("unexpected").alias("problem"), *keys, one),
-        actual.where("folders > 1").select(F.lit("duplicate").alias("problem"), *keys, F.col("folders").alias("n")), actual.where("other > 0").select(F.lit("disagrees").alias("problem"), *keys, F.col("other").alias("n")),
-        folders.where("fold is null").agg(F.count(F.lit(1)).alias("n")).where("n > 0").select(F.lit("unnamed").alias("problem"), *(F.lit(None).cast("int").alias(k) for k in keys), "n"),
-    ]
-    return rows, reduce(DataFrame.unionByName, found)
+    keys, known = ["fold", "seed"], F.col("fold").isNotNull()
+    # A row for each run, and one for all folders without.
+    actual = folders.groupBy("fold", F.when(known, F.col("seed")).alias("seed")).agg(F.count(F.lit(1)).alias("folders"), F.sum("other").alias("other"))
+    both = expected.groupBy(*keys).agg(F.count(F.lit(1)).alias("wanted")).join(actual, keys, "full")
+    problem = lambda name, n: F.struct(F.lit(name).alias("problem"), n.cast("long").alias("n"))
+    here, one = F.col("folders").isNotNull(), F.lit(1)
+    found = F.array_compact(F.array(
+        F.when(here & ~known, problem("unnamed", F.col("folders"))), F.when(here & known & F.col("wanted").isNull(), problem("unexpected", one)),
+        F.when(known & (F.col("folders") > 1), problem("duplicate", F.col("folders"))), F.when(known & (F.col("other") > 0), problem("disagrees", F.col("other"))),
+    ))
+    missing = F.array_repeat(problem("missing", one), F.when(here, 0).otherwise(F.col("wanted")).cast("int"))
+    problems = both.select(*keys, F.explode(F.concat(missing, found)).alias("x")).select("x.problem", *keys, "x.n")
+    return rows, problems
 
 
 def manifest_folds(df: DataFrame, column: str) -> DataFrame:
@@ -117,8 +119,8 @@ def intake(df: DataFrame, column: str) -> DataFrame:
 
 
 def write_runs(df: DataFrame, path: str) -> None:
-    """A table of runs in folders by fold and seed."""
-    df.repartition("fold", "seed").write.partitionBy("fold", "seed").parquet(path)
+    """A table of runs in folders by fold and seed; a run of many rows is written by many tasks."""
+    df.hint("rebalance", "fold", "seed").write.partitionBy("fold", "seed").parquet(path)
 
 
 def missing_entities(outcomes: DataFrame, texts: DataFrame) -> DataFrame:

@@ -144,3 +144,8 @@ def test_sentences_are_counted_in_one_pass(spark, sf_dir):
     plan = QUERIES["sentence_example_counts"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     # Texts are cut for the sentences that spans meet, and for those that are judged; spans across bounds are set out once.
     assert plan.count("Generate posexplode(") <= 3
+
+
+def test_runs_are_checked_in_one_scan(spark, sf_dir):
+    plan = QUERIES["scan_run_problems"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1
