@@ -7,6 +7,7 @@ A-Z alone; both are used on encoded text throughout.
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 import uuid
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 
 #: Texts are handed to Python code in groups of about so many bytes.
 SLICE_BYTES = 2_000_000
+#: Spark's setting by which a job's shuffles go when it ends; by itself it keeps them until the driver collects its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -77,6 +80,17 @@ def discard(df: DataFrame) -> None:
     release(spark)
 
 
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Within it, the shuffles of a job are removed when the job ends; the session's setting is put back."""
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark clear the shuffles of jobs that are over: it does so for plans that nothing holds any more."""
     gc.collect()

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, encoded, record, slices, written
+from .common import checkpointed, encoded, record, shuffles_removed, slices, written
 from .hashing import WordHashes, rolled
 from .sketches import level_of, sketch
 
@@ -271,8 +271,8 @@ def _known(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(-(2**63)))
 
 
-def link_documents(df: DataFrame, *, text: str = "text", size: int = 5, percent: int = 80, width: int | None = None, text_hashes: bool = False) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest id that links reach) for each row of df (doc_id, text); percent: the least similarity."""
+def _components_of(df: DataFrame, text: str, size: int, percent: int, width: int | None) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, text_hash, n, sid), and of each class (sid) the smallest id that links reach."""
     spark = df.sparkSession
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
     if width is None:
@@ -314,7 +314,13 @@ def link_documents(df: DataFrame, *, text: str = "text", size: int = 5, percent:
 
     own = members.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("_own")).join(labels, "sid", "left").withColumn("least", F.coalesce("least", "sid"))
     smallest = own.groupBy("least").agg(F.min("_own").alias("_component"))
-    ids = own.join(smallest, "least").select("sid", "_component")
+    return members, own.join(smallest, "least").select("sid", "_component")
+
+
+def link_documents(df: DataFrame, *, text: str = "text", size: int = 5, percent: int = 80, width: int | None = None, text_hashes: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest id that links reach) for each row of df (doc_id, text); percent: the least similarity."""
+    with shuffles_removed(df.sparkSession):
+        members, ids = _components_of(df, text, size, percent, width)
     more = ["text_hash"] if text_hashes else []
     return members.join(ids, "sid", "left").select("doc_id", *more, F.col("n").alias("n_shingles"), F.coalesce("_component", "doc_id").alias("component_id"))
 

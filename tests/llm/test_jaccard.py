@@ -1,4 +1,5 @@
 import random
+import time
 
 from glosswork.llm.jaccard_join import link_documents
 
@@ -73,3 +74,20 @@ def test_a_large_family_near_the_limit(spark):
         rows.append((i, " ".join(words)))
     found = link_documents(spark.createDataFrame(rows, "doc_id long, text string"), size=3, percent=90)
     assert sorted(map(tuple, found.collect()), key=str) == brute(rows, 3, 90)
+
+
+def test_no_shuffle_outlives_its_job(spark):
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        files = manager.getAllFiles()
+        return {name for name in (files.apply(i).getName() for i in range(files.size())) if name.startswith("shuffle")}
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = shuffles(), spark.conf.get(key)
+    link_documents(spark.createDataFrame(corpus(6), "doc_id long, text string"), size=3, percent=90, width=1 << 16)
+    deadline = time.time() + 20
+    while (left := shuffles() - before) and time.time() < deadline:  # files are removed in the background
+        time.sleep(0.2)
+    assert not left
+    assert spark.conf.get(key) == setting
