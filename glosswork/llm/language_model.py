@@ -40,12 +40,12 @@ from __future__ import annotations
 import copy
 import json
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -77,19 +77,21 @@ _SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_token
 _OFFSETS = CONTEXT + np.arange(STRIDE)[:, None] - np.arange(STRIDE + CONTEXT)[None, :]
 _CAUSAL = np.where(_OFFSETS > 0, np.float32(0), np.float32(-1e9))
 _LOW = np.float32(-1e9)
+_FAST, _CLOSE, _OPEN = zstandard.ZstdCompressor(level=1), zstandard.ZstdCompressor(level=6), zstandard.ZstdDecompressor()
 
 
-def packed(x: np.ndarray) -> bytes:
-    """Numbers from 0, compressed: byte planes of as many bytes as the largest needs."""
+def packed(x: np.ndarray, whole: bool = False) -> bytes:
+    """Numbers from 0, compressed, of as many bytes as the largest needs: in byte planes or (whole) one after another, for those whose sequences come again."""
     width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
-    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
-    return bytes([width]) + zlib.compress(planes.tobytes(), 1)
+    data = x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+    return bytes([width | whole << 7]) + (_CLOSE if whole else _FAST).compress((data if whole else data.T).tobytes())
 
 
 def unpacked(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(blob[1:]), np.uint8).reshape(blob[0], -1)
-    out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, : blob[0]] = planes.T
+    width, data = blob[0] & 127, np.frombuffer(_OPEN.decompress(blob[1:]), np.uint8)
+    numbers = data.reshape(-1, width) if blob[0] >> 7 else data.reshape(width, -1).T
+    out = np.zeros((len(numbers), 8), np.uint8)
+    out[:, :width] = numbers
     return out.view("<i8").ravel()
 
 
@@ -135,7 +137,7 @@ def _blocks(path: str, block: int):
         doc_ids, held_out, sizes, ids, total = [], [], [], [], 0
 
         def full() -> pa.RecordBatch:
-            return record(_BLOCKS, [number], [doc_ids], [held_out], [sizes], [packed(np.concatenate(ids))])
+            return record(_BLOCKS, [number], [doc_ids], [held_out], [sizes], [packed(np.concatenate(ids), True)])
 
         for b in slices(batches, 2):
             for doc_id, held, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), encoded(b, 2), strict=True):
@@ -199,6 +201,11 @@ class Block:
         words, owners = self.words()
         return *distinct(np.concatenate([self.numbers(), words])), owners
 
+    def trained(self, at: np.ndarray, owners: np.ndarray, n: int, held_out: list[bool]) -> np.ndarray:
+        """How often the block's training texts have each of its n distinct n-grams."""
+        train = ~np.array(held_out, bool)
+        return np.bincount(at, np.concatenate([train[self.text], train[self.text], train[owners]]), n).astype(np.int64)
+
     def own_counts(self) -> tuple[np.ndarray, np.ndarray]:
         """How often the block itself has the pair and the triple that end at each place."""
         codes = pd.factorize(self.numbers())[0]
@@ -252,8 +259,7 @@ def _ask_counts(vocabulary, parts: int):
             for number, held_out, sizes, ids in _rows(b):
                 block = Block(sizes, ids, vocabulary.value)
                 grams, at, owners = block.grams()
-                train = ~np.array(held_out, bool)
-                counts = np.bincount(at, np.concatenate([train[block.text], train[block.text], train[owners]]), len(grams)).astype(np.int64)
+                counts = block.trained(at, owners, len(grams), held_out)
                 some, _, places = part_cuts(grams, parts, block.base)
                 # Differences, of the pairs and triples and of the words, each from their range's start.
                 few = [int(np.searchsorted(grams[x], WORDS)) for x in places]
@@ -271,7 +277,7 @@ def _asked_grams(blob: bytes, part: int, parts: int, bits: int) -> np.ndarray:
 
 
 def _add_counts(parts: int, bits: int):
-    """What all blocks together have of each n-gram of a part, for each block in the order in which it asked; and how many words the part's training texts have."""
+    """What the other blocks together have of each n-gram of a part, for each block in the order in which it asked; and how many words the part's training texts have."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         asked = [_asked_grams(x, key[0].as_py(), parts, bits) for x in rows["grams"].to_pylist()]
@@ -279,14 +285,14 @@ def _add_counts(parts: int, bits: int):
         grams, at = distinct(np.concatenate(asked))
         totals = np.bincount(at, counts, len(grams)).astype(np.int64)
         words = [int(((grams >= WORDS) & (totals > 0)).sum())] + [0] * (len(asked) - 1)
-        found = [packed(x) for x in np.split(totals[at], np.cumsum([len(x) for x in asked])[:-1])]
+        found = [packed(x) for x in np.split(totals[at] - counts, np.cumsum([len(x) for x in asked])[:-1])]
         return pa.Table.from_batches([record(_FOUND, rows["part"].combine_chunks(), rows["block"].combine_chunks(), found, words)])
 
     return run
 
 
 def found_counts(block: Block, grams: np.ndarray, found: list[dict], parts: int) -> np.ndarray:
-    """The counts of a block's distinct n-grams, from what each part returned."""
+    """The other blocks' counts of a block's distinct n-grams, from what each part returned."""
     some, _, places = part_cuts(grams, parts, block.base)
     blobs, counts = {x["part"]: x["counts"] for x in found}, np.empty(len(grams), np.int64)
     for part, at in zip(some.tolist(), places, strict=True):
@@ -494,7 +500,8 @@ def _score(weights, shares, parts: int):
         _, doc_ids, held_out, sizes, ids = (left[c][0].as_py() for c in _BLOCKS.names)
         block = Block(sizes, ids, shares.value.vocabulary)
         grams, at, owners = block.grams()
-        counts = found_counts(block, grams, right.select(["part", "counts"]).to_pylist(), parts)[at]
+        counts = found_counts(block, grams, right.select(["part", "counts"]).to_pylist(), parts)
+        counts = (counts + block.trained(at, owners, len(grams), held_out))[at]
         pairs, triples, words = np.split(counts, [len(block.places), 2 * len(block.places)])
         placed, scores, w = Placed(block, pairs, triples, shares.value), np.zeros(len(sizes)), weights.value
         for k in range(0, len(placed.window_at), BATCH):

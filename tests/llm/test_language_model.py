@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from glosswork.llm import language_model as lm
@@ -214,3 +215,28 @@ def test_a_block_counts_what_it_has_itself():
     assert two.tolist() == [triples[s[t - 2], s[t - 1], s[t]] for s in lines for t in range(2, len(s))]
     some = block.alone(np.array([True, False, True, True]))
     assert some.sizes.tolist() == [5, 0, 15] and some.line.tolist() == [*lines[0], *lines[2], *lines[3]]
+
+
+def test_parts_return_what_the_other_blocks_have():
+    lines = [[[0, 1, 2, 0, 1], [3, 3, 3]], [[0, 1, 6] * 5, []]]
+    blocks = [lm.Block([len(t) for t in texts], lm.packed(np.array([x for t in texts for x in t], np.int64)), Small) for texts in lines]
+    bits, asked, own = lm.number_bits(Small.size + 1), [], []
+    for number, block in enumerate(blocks):
+        grams, at, owners = block.grams()
+        own.append((grams, block.trained(at, owners, len(grams), [False, False])))
+        few = int(np.searchsorted(grams, lm.WORDS))
+        steps = [lm.packed(np.diff(x, prepend=0)) for x in (grams[:few], grams[few:] - lm.WORDS)]
+        asked.append({"part": 0, "block": number, "grams": b"".join(len(y).to_bytes(4, "little") + y for y in steps), "counts": lm.packed(own[-1][1])})
+    found = lm._add_counts(1, bits)((pa.scalar(0),), pa.Table.from_pylist(asked, lm._ASKED)).to_pylist()
+    for k, (grams, _) in enumerate(own):
+        other = dict(zip(*(x.tolist() for x in own[1 - k]), strict=True))
+        expected = [other.get(g, 0) for g in grams.tolist()]
+        assert lm.found_counts(blocks[k], grams, [found[k]], 1).tolist() == expected and any(expected) and not all(expected)
+
+
+def test_ids_that_come_again_are_packed_small():
+    rng = np.random.default_rng(3)
+    for x in (np.tile(rng.integers(0, 50_000, 5000), 4), rng.integers(0, 2**40, 100), np.empty(0, np.int64), np.zeros(3, np.int64)):
+        for whole in (False, True):
+            assert lm.unpacked(lm.packed(x, whole)).tolist() == x.tolist()
+    assert len(lm.packed(np.tile(rng.integers(0, 50_000, 5000), 4), True)) < 12_000
